@@ -28,10 +28,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.decontaminate import find_contamination
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_quality": op6_quality,
     "op8_token_counts": op8_token_counts,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}

@@ -147,3 +147,49 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, dtype=np.int64 if values.dtype.kind in "biu" else np.float64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+#: Odd multipliers of 64-bit hashes.
+MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTE_VALUES = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
+_powers = [np.ones(1, np.uint64)]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit values."""
+    h = (h ^ (h >> np.uint64(33))) * MIX_A
+    h ^= h >> np.uint64(29)
+    h *= MIX_B
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a run of texts, A-Z taken as a-z, and each text's offset in words.
+
+    is_word: for each byte value, whether it belongs to words.
+    """
+    n = len(offsets) - 1
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    inside = is_word[raw]
+    border = np.zeros(len(raw) + 1, np.bool_)
+    border[offsets] = True
+    before = np.empty(len(raw), np.bool_)
+    before[0], before[1:] = False, inside[:-1]
+    starts = np.flatnonzero(inside & (~before | border[:-1]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(inside)
+    first = np.searchsorted(at, starts)
+    length = np.diff(np.append(first, len(at)))
+    longest = int(length.max())
+    if len(_powers[0]) < longest:
+        p = np.full(max(64, longest), np.uint64(0x9E3779B97F4A7C15))
+        p[0] = 1
+        _powers[0] = np.cumprod(p, dtype=np.uint64)
+    place = np.arange(len(at)) - np.repeat(first, length)
+    values = _BYTE_VALUES[_LOWER[raw[at]]] * _powers[0][place]
+    words = mixed(np.add.reduceat(values, first) + length.astype(np.uint64))
+    return words, np.searchsorted(starts, offsets)
