@@ -28,6 +28,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.decontaminate import find_contamination
 
@@ -39,6 +45,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_quality": op6_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
 
