@@ -14,12 +14,24 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm import toxicity
 
     return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm import quality
 
@@ -50,14 +62,66 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_top_k": op1_top_k,
+    "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
 
+def _license_sql() -> str:
+    """The canonical form and its digests, restated in SQL."""
+    from strandloom.llm import licenses
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def form(text: str) -> str:
+        out = f"regexp_replace(lower(coalesce({text}, '')), {quote(licenses.COPYRIGHT_LINE)}, chr(10), 'g')"
+        out = f"' ' || regexp_replace(regexp_replace({out}, {quote(licenses.NO_WORD)}, ' ', 'g'), ' ?\\n ?', ' ' || chr(10) || ' ', 'g') || ' '"
+        for was, now in licenses.SPELLINGS.items():
+            out = f"replace({out}, ' {was} ', ' {now} ')"
+        return out
+
+    digest = "CASE WHEN trim(regexp_replace(form, '[ \\n]+', ' ', 'g')) <> '' THEN md5(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) END"
+    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in licenses.KNOWN)
+    return f"""
+        WITH known AS (
+            SELECT digest, min(license_id) AS license_id
+            FROM (SELECT license_id, {digest} AS digest FROM (SELECT license_id, {form("text")} AS form FROM (VALUES {values}) AS t(license_id, text)))
+            GROUP BY digest
+        ), forms AS (SELECT row_number() OVER () AS row, doc_id, {form("text")} AS form FROM documents
+        ), lines AS (SELECT row, md5(trim(unnest(string_split(form, chr(10))))) AS digest FROM forms
+        ), notices AS (
+            SELECT row, string_agg(license_id, ',' ORDER BY license_id) AS ids
+            FROM (SELECT DISTINCT row, license_id FROM lines JOIN known USING (digest)) GROUP BY row
+        ), digests AS (SELECT row, doc_id, {digest} AS text_digest FROM forms)
+        SELECT doc_id, text_digest, license_id, coalesce(ids, '') AS notice_ids
+        FROM digests LEFT JOIN known ON text_digest = digest LEFT JOIN notices USING (row)
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op2_mixing": """
+        WITH sized AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source
+        ), rates AS (SELECT source, w / (SELECT sum(w) FROM sized) * (SELECT sum(n) FROM sized) / n AS rate FROM sized
+        ), cdf AS (
+            SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+            FROM rates, range(0, 120) AS t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)
+        ), held AS (SELECT source, list(cdf) AS cdf FROM cdf GROUP BY source
+        ), keyed AS (
+            SELECT d.*, held.cdf, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS doc_key
+            FROM documents d JOIN held ON d.source IS NOT DISTINCT FROM held.source
+        ), drawn AS (
+            SELECT *, len(list_filter(cdf, lambda c: c <= CAST(CAST('0x' || substr(md5('20240501|copies|' || doc_key || '|1'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0)) AS n
+            FROM keyed
+        ), copies AS (SELECT doc_id, text, lang, source, n_chars, doc_key, unnest(range(1, n + 1)) AS copy FROM drawn)
+        SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
+               CAST('0x' || substr(md5('20240501|order|' || doc_key || '|' || copy), 1, 15) AS BIGINT) AS mix_order
+        FROM copies
+    """,
+    "op5_licenses": _license_sql(),
     "op1_top_k": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
