@@ -26,6 +26,35 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A list for the pages' own hosts and first path levels: put on, taken off and put on again at hashed dates.
+
+    The tables hold no list; a deployment passes its own to filter_urls.
+    """
+    from strandloom.llm.url_filter import host_of
+
+    host = host_of(F.col("url"))
+    level = F.concat_ws("/", host, F.regexp_extract("url", r"^[a-z]+://[^/]*/([^/?#]+)", 1))
+    domains = pages.select(F.lit("domain").alias("kind"), F.regexp_replace(host, "^(www|m|blog)[.]", "").alias("pattern"))
+    prefixes = pages.where(F.regexp_extract("url", r"^[a-z]+://[^/]*/([^/?#]+)", 1) != "").select(F.lit("prefix").alias("kind"), level.alias("pattern"))
+    known = domains.unionByName(prefixes).where("pattern <> ''").distinct()
+    draw = lambda name, n: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(name), "kind", "pattern").cast("binary")), 1, 7), 16, 10).cast("int"), F.lit(n))
+    start = F.lit("2024-01-01").cast("date")
+    on = F.date_add(start, draw("on", 200))
+    off, again = F.date_add(on, draw("off", 90)), F.date_add(on, F.lit(120) + draw("again", 60))
+    listed = known.where(draw("listed", 3) == 0)
+    events = F.array(F.struct(F.lit("add").alias("action"), on.alias("at")), F.struct(F.lit("remove").alias("action"), off.alias("at")), F.struct(F.lit("add").alias("action"), again.alias("at")))
+    return listed.select("kind", "pattern", F.explode(events).alias("e")).select("kind", "pattern", "e.action", "e.at")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.url_filter import filter_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    return filter_urls(pages.withColumn("fetched", fetched), dated_list(pages))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.licenses import scan_licenses
 
@@ -64,6 +93,7 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_url_filters": op4_url_filters,
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
     "op8_token_counts": op8_token_counts,
@@ -121,6 +151,38 @@ ORACLES: dict[str, str] = {
                CAST('0x' || substr(md5('20240501|order|' || doc_key || '|' || copy), 1, 15) AS BIGINT) AS mix_order
         FROM copies
     """,
+    "op4_url_filters": r"""
+        WITH hosts AS (
+            SELECT page_id, url, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host,
+                   regexp_extract(url, '^[a-z]+://[^/]*/([^/?#]+)', 1) AS level,
+                   string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/') AS path,
+                   CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS fetched
+            FROM pages
+        ), known AS (
+            SELECT 'domain' AS kind, regexp_replace(host, '^(www|m|blog)[.]', '') AS pattern FROM hosts WHERE host <> ''
+            UNION SELECT 'prefix', host || '/' || level FROM hosts WHERE level <> ''
+        ), drawn AS (
+            SELECT *, CAST('0x' || substr(md5('listed|' || kind || '|' || pattern), 1, 7) AS INTEGER) % 3 AS listed,
+                   CAST('0x' || substr(md5('on|' || kind || '|' || pattern), 1, 7) AS INTEGER) % 200 AS d1,
+                   CAST('0x' || substr(md5('off|' || kind || '|' || pattern), 1, 7) AS INTEGER) % 90 AS d2,
+                   CAST('0x' || substr(md5('again|' || kind || '|' || pattern), 1, 7) AS INTEGER) % 60 AS d3
+            FROM known
+        ), entries AS (
+            SELECT kind, pattern, 'add' AS action, DATE '2024-01-01' + d1 AS at FROM drawn WHERE listed = 0
+            UNION ALL SELECT kind, pattern, 'remove', DATE '2024-01-01' + (d1 + d2) FROM drawn WHERE listed = 0
+            UNION ALL SELECT kind, pattern, 'add', DATE '2024-01-01' + (d1 + 120 + d3) FROM drawn WHERE listed = 0
+        ), labels AS (SELECT *, string_split(host, '.') AS l, list_filter(path, lambda x: x <> '') AS s FROM hosts WHERE host <> ''
+        ), asked AS (
+            SELECT page_id, url, fetched, 'domain' AS kind, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.'))) AS pattern FROM labels
+            UNION SELECT page_id, url, fetched, 'prefix', unnest(list_transform(range(0, least(len(s), 8) + 1), lambda i: array_to_string([host] || s[1:i], '/'))) FROM labels
+        ), latest AS (
+            SELECT a.page_id, a.url, a.fetched, a.kind, a.pattern, arg_max(e.action, CAST(e.at AS VARCHAR) || e.action) AS action
+            FROM asked a JOIN entries e ON a.kind = e.kind AND a.pattern = e.pattern AND e.at <= a.fetched
+            GROUP BY ALL
+        ), hits AS (SELECT page_id, url, fetched, count(*) AS n, min(kind || ':' || pattern) AS matched FROM latest WHERE action = 'add' GROUP BY ALL)
+        SELECT h.page_id, h.url, h.fetched, coalesce(n, 0) AS n_matches, matched, coalesce(n, 0) > 0 AS blocked
+        FROM hosts h LEFT JOIN hits USING (page_id, url, fetched)
+    """,
     "op5_licenses": _license_sql(),
     "op1_top_k": """
         WITH usable AS (
