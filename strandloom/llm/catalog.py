@@ -67,6 +67,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.warc import round_trip
+
+    records = round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,6 +103,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
@@ -184,6 +192,15 @@ ORACLES: dict[str, str] = {
         FROM hosts h LEFT JOIN hits USING (page_id, url, fetched)
     """,
     "op5_licenses": _license_sql(),
+    "op7_warc": """
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), largest AS (SELECT payload_digest, max(page_id) AS last FROM payloads WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN last IS NULL OR page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+        FROM payloads LEFT JOIN largest USING (payload_digest)
+    """,
     "op1_top_k": """
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
