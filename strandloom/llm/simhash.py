@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import materialize, short_batches
@@ -272,14 +272,23 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest doc_id, nulls last.
 
     If rows with different texts share that id, the one with the smallest hash of its text stays; of rows
-    that are repeated whole, one. Documents are shuffled once, by id and text.
+    that are repeated whole, one. Documents are shuffled once, by id and text (again, if rows are repeated whole).
     """
     columns = docs.columns
     rows = _components(docs, text, GROUP_ROWS)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "row_id", "row_text")
-    kept = rows.groupBy("root").agg(F.min(first).alias("r")).select("r.row_id", "r.row_text").distinct()
-    keys = dict(zip(("row_id", "row_text"), _row_key(F.col("doc_id"), F.col(text)), strict=True))
-    held = docs.withColumns({f"__{k}": c for k, c in keys.items()})
-    kept = kept.select(F.col("row_id").alias("__row_id"), F.col("row_text").alias("__row_text"))
-    once = F.row_number().over(Window.partitionBy("__row_id", "__row_text").orderBy(F.lit(1)))
-    return held.join(kept, ["__row_id", "__row_text"]).withColumn("__once", once).where("__once = 1").select(columns)
+    alike = rows.groupBy("root", first.alias("r")).agg(F.count("*").alias("n"))
+    kept = alike.groupBy("root").agg(F.min(F.struct("r", "n")).alias("k"))
+    kept = materialize(kept.select(F.col("k.r.row_id").alias("__row_id"), F.col("k.r.row_text").alias("__row_text"), F.col("k.n").alias("n")), "simhash-kept")
+    keys = dict(zip(("__row_id", "__row_text"), _row_key(F.col("doc_id"), F.col(text)), strict=True))
+    held = docs.withColumns(keys)
+
+    def matching(chosen: DataFrame) -> DataFrame:
+        # texts stream past hashed keys: they are dealt once, neither sorted nor held
+        return held.join(chosen.drop("n").hint("shuffle_hash"), list(keys), "left_semi")
+
+    out = matching(kept.where("n = 1"))
+    repeated = kept.where("n > 1")
+    if repeated.take(1):
+        out = out.unionByName(matching(repeated).dropDuplicates(list(keys)))
+    return out.select(columns)
