@@ -117,7 +117,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     )
 
 
-def text_slices(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about most_bytes.
 
     Yields (first row, end row, bytes of the run, offset of each row in it and of its end). Nulls are
