@@ -2,5 +2,881 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.config import DEFAULT
+from strandloom.functions import cigar, kmers
+from strandloom.functions import columns as x
+from strandloom.operators import assembly, breakpoints, calling, clustering, coverage, depth, germline, ordered, panel, shortreads, somatic
+from strandloom.plans import views as v
+from strandloom.sources import text, variants
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+c = F.col
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r3(e: str) -> str:
+    return f"floor(({e}) * 1000 + 0.5) / 1000.0"
+
+
+def _stats(prefix: str = "") -> str:
+    return ", ".join(
+        f"{_r3(e)} AS {prefix}{n}"
+        for n, e in (
+            ("starts_std_dev", "stddev_pop(start_loc)"),
+            ("mapq_mean", "avg(mapq)"),
+            ("event_size_std_dev", "stddev_pop(event_size)"),
+            ("event_size_median", "median(event_size)"),
+            ("event_size_mean", "avg(event_size)"),
+        )
+    )
+
+
+# --- clustering ------------------------------------------------------------------------------------------
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.start_clusters(v.breakpoints(spark, d))
+
+
+@query(f"""WITH {v.CLUSTERED}
+    SELECT start_chr, cluster, min(start_loc) AS cluster_start, max(CASE WHEN is_nearby_event THEN end_loc ELSE start_loc END) AS cluster_end,
+           count(*) AS n_breakpoints, count(DISTINCT read_name) AS n_reads FROM cl GROUP BY start_chr, cluster""")
+def start_clusters(spark, d):
+    return clustering.cluster_extent(_clustered(spark, d))
+
+
+@query(f"WITH {v.CLUSTERED} SELECT start_chr, cluster, {_stats()} FROM cl GROUP BY start_chr, cluster")
+def cluster_stats(spark, d):
+    return clustering.cluster_statistics(_clustered(spark, d))
+
+
+_SPAN = "(max(CASE WHEN is_nearby_event THEN end_loc ELSE start_loc END) - min(start_loc))"
+_INS = "FILTER (WHERE breakpoint_notation = '<INS>')"
+_PHASED = "(haplotype_start IS NOT NULL OR haplotype_end IS NOT NULL)"
+
+
+def _hp(value: str) -> str:
+    return f"count(*) FILTER (WHERE haplotype_start IS NOT DISTINCT FROM {value} AND {_PHASED}) + count(*) FILTER (WHERE haplotype_end IS NOT DISTINCT FROM {value} AND {_PHASED})"
+
+
+@query(f"""WITH {v.CLUSTERED}, sets AS (
+        SELECT start_chr, cluster, count(DISTINCT ps) AS n FROM (SELECT start_chr, cluster, phase_set_start AS ps FROM cl UNION ALL SELECT start_chr, cluster, phase_set_end FROM cl) GROUP BY ALL
+    ), notations AS (
+        SELECT start_chr, cluster, breakpoint_notation, count(*) AS n, min((start_loc, ord)) AS f FROM cl GROUP BY ALL
+    ), dominant AS (
+        SELECT start_chr, cluster, breakpoint_notation AS dominant_notation, n AS dominant_count FROM notations
+        QUALIFY row_number() OVER (PARTITION BY start_chr, cluster ORDER BY n DESC, f) = 1
+    ), wide AS (
+        SELECT start_chr, cluster, count(*) AS total_breakpoints, count(DISTINCT sample) AS unique_samples, string_agg(DISTINCT sample, ',' ORDER BY sample) AS sample_list,
+               count(DISTINCT source) AS unique_sources, string_agg(DISTINCT source, ',' ORDER BY source) AS source_list, {_stats()},
+               {_r3("avg(start_loc)")} AS starts_mean, {_r3("median(start_loc)")} AS starts_median, min(start_loc) AS starts_min, max(start_loc) AS starts_max,
+               {_r3("median(mapq)")} AS mapq_median, {_r3("stddev_pop(mapq)")} AS mapq_std_dev, min(mapq) AS mapq_min, max(mapq) AS mapq_max,
+               CAST(min(event_size) AS BIGINT) AS event_size_min, CAST(max(event_size) AS BIGINT) AS event_size_max, count(*) {_INS} AS insert_count,
+               coalesce({_r3(f"avg(insert_length) {_INS}")}, 0.0) AS insert_mean, coalesce({_r3(f"median(insert_length) {_INS}")}, 0.0) AS insert_median,
+               coalesce({_r3(f"stddev_pop(insert_length) {_INS}")}, 0.0) AS insert_std_dev,
+               count(*) FILTER (WHERE sample = 'tumor') AS tumor_alignments, count(*) FILTER (WHERE sample = 'normal') AS normal_alignments,
+               count(DISTINCT read_name) FILTER (WHERE sample = 'tumor') AS tumor_reads, count(DISTINCT read_name) FILTER (WHERE sample = 'normal') AS normal_reads,
+               {_hp("1")} AS haplotype_1, {_hp("2")} AS haplotype_2, {_hp("NULL")} AS haplotype_none,
+               CAST({_SPAN} AS BIGINT) AS cluster_span, count(*) / greatest(1, {_SPAN}) * 1000 AS breakpoint_density
+        FROM cl GROUP BY start_chr, cluster)
+    SELECT wide.*, n AS phase_sets_count, dominant_notation, dominant_count, greatest(tumor_reads, normal_reads) AS max_sample_support,
+           CASE WHEN least(tumor_reads, normal_reads) > 0 THEN least(tumor_reads, normal_reads) ELSE greatest(tumor_reads, normal_reads) END AS min_sample_support,
+           greatest(tumor_reads, normal_reads) / total_breakpoints AS support_ratio
+    FROM wide JOIN sets USING (start_chr, cluster) JOIN dominant USING (start_chr, cluster)""")
+def cluster_stats_full(spark, d):
+    out = clustering.comprehensive_statistics(_clustered(spark, d))
+    return out.withColumn("phase_sets_count", c("phase_sets_count").cast("bigint"))
+
+
+_ENDS = v.CLUSTERED + """, ec AS (SELECT * FROM cl WHERE breakpoint_notation NOT IN ('<INS>', '+', '-')
+    AND (start_chr, cluster, end_chr) IN (SELECT (start_chr, cluster, end_chr) FROM cl WHERE breakpoint_notation NOT IN ('<INS>', '+', '-') GROUP BY start_chr, cluster, end_chr HAVING count(DISTINCT read_name) >= 2))"""
+
+
+@query(f"WITH {_ENDS} SELECT start_chr, cluster, end_chr, count(*) AS n_breakpoints, count(DISTINCT read_name) AS n_reads, min(end_loc) AS first_end, max(end_loc) AS last_end FROM ec GROUP BY ALL")
+def end_groups(spark, d):
+    rows = clustering.end_clusters(_clustered(spark, d))
+    return rows.groupBy("start_chr", "cluster", "end_chr").agg(F.count("*").alias("n_breakpoints"), F.count_distinct("read_name").alias("n_reads"), F.min("end_loc").alias("first_end"), F.max("end_loc").alias("last_end"))
+
+
+@query(f"""WITH {v.CLUSTERED}, e AS (SELECT *, CASE WHEN end_loc - max(end_loc) OVER (PARTITION BY start_chr, cluster, end_chr ORDER BY end_loc, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 50 THEN 0 ELSE 1 END AS eo
+        FROM cl WHERE breakpoint_notation NOT IN ('<INS>', '+', '-')
+    ), n AS (SELECT *, CAST(sum(eo) OVER (PARTITION BY start_chr, cluster, end_chr ORDER BY end_loc, ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_cluster FROM e)
+    SELECT start_chr, cluster, end_chr, end_cluster, count(*) AS n_breakpoints FROM n GROUP BY ALL HAVING count(DISTINCT read_name) >= 2""")
+def end_clusters_split(spark, d):
+    from dataclasses import replace
+
+    rows = clustering.end_clusters(_clustered(spark, d), replace(DEFAULT, split_ends=True))
+    return rows.groupBy("start_chr", "cluster", "end_chr", "end_cluster").agg(F.count("*").alias("n_breakpoints"))
+
+
+_ISLANDS = """ins AS (SELECT *, lag(insert_length) OVER (PARTITION BY start_chr, cluster, end_chr ORDER BY insert_length, ord) AS before FROM {rows} WHERE breakpoint_notation = '<INS>'
+    ), li AS (SELECT *, CAST(sum(CASE WHEN before IS NULL OR insert_length > ceil(before * 1.25) THEN 1 ELSE 0 END) OVER (PARTITION BY start_chr, cluster, end_chr ORDER BY insert_length, ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS length_island FROM ins)"""
+
+
+@query(f"WITH {v.CLUSTERED}, {_ISLANDS.format(rows='cl')} SELECT start_chr, cluster, length_island, count(*) AS n, min(insert_length) AS shortest, max(insert_length) AS longest FROM li GROUP BY ALL")
+def insert_length_islands(spark, d):
+    rows = clustering.insert_length_islands(_clustered(spark, d).where("breakpoint_notation = '<INS>'"), calling.GROUP)
+    return rows.groupBy("start_chr", "cluster", "length_island").agg(F.count("*").alias("n"), F.min("insert_length").alias("shortest"), F.max("insert_length").alias("longest"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value FROM events
+    ), f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 1800000000 THEN 0 ELSE 1 END AS opens FROM e
+    ), n AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM f)
+    SELECT user_id, session, count(*) AS n_events, min(t) AS first_us, max(t) AS last_us FROM n GROUP BY ALL""")
+def session_clusters_events(spark, d):
+    rows = v.table(spark, d, "events").select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("t"))
+    out = ordered.islands(rows, ["user_id"], c("t"), c("t"), F.lit(1_800_000_000), [c("t"), c("event_id")], 86_400_000_000, "session")
+    return out.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("t").alias("first_us"), F.max("t").alias("last_us"))
+
+
+# --- calls -----------------------------------------------------------------------------------------------
+
+_SUPPORT = """count(DISTINCT read_name) FILTER (WHERE sample = 'tumor') AS tumor_reads, count(DISTINCT read_name) FILTER (WHERE sample = 'normal') AS normal_reads,
+    count(*) FILTER (WHERE sample = 'tumor') AS tumor_alignments, count(*) FILTER (WHERE sample = 'normal') AS normal_alignments"""
+_AGG = f"""CAST(trunc(median(start_loc)) AS BIGINT) AS start_loc, CAST(trunc(median(end_loc)) AS BIGINT) AS end_median, string_agg(DISTINCT source, '/' ORDER BY source) AS source,
+    count(*) FILTER (WHERE breakpoint_notation = '<INS>') AS n_insertions, CAST(trunc(avg(insert_length) {_INS}) AS BIGINT) AS insert_mean, count(inserted_sequence) AS n_sequences, count(*) AS n_rows,
+    {_SUPPORT}, {_stats("origin_")}"""
+_ORIGIN_AS_END = ", ".join(f"origin_{s} AS end_{s}" for s in variants.STATISTICS)
+_ORIGINS = ", ".join(f"origin_{s}" for s in variants.STATISTICS)
+_EACH = "start_chr, cluster, start_loc, end_chr, end_loc, breakpoint_notation, sv_length, part, source, n_insertions, n_sequences, n_rows, tumor_reads, normal_reads, tumor_alignments, normal_alignments"
+_CALLS = v.CLUSTERED + f""", big AS (SELECT * FROM cl WHERE (start_chr, cluster, end_chr) IN (SELECT (start_chr, cluster, end_chr) FROM cl GROUP BY ALL HAVING count(*) >= 3)
+    ), many AS (SELECT * FROM big WHERE breakpoint_notation = '<INS>' AND (start_chr, cluster, end_chr) IN (SELECT (start_chr, cluster, end_chr) FROM big WHERE breakpoint_notation = '<INS>' GROUP BY ALL HAVING count(*) >= 3)
+    ), {_ISLANDS.format(rows='many')}, whole AS (SELECT start_chr, cluster, end_chr, length_island AS part, '<INS>' AS breakpoint_notation, {_AGG} FROM li GROUP BY start_chr, cluster, end_chr, length_island
+    ), icalls AS (SELECT *, start_loc AS end_loc, insert_mean AS sv_length, end_chr AS group_end_chr, {_ORIGIN_AS_END} FROM whole WHERE greatest(tumor_reads, normal_reads) >= 3
+    ), ends AS (SELECT * FROM big WHERE breakpoint_notation <> '<INS>' AND (start_chr, cluster, end_chr) IN (SELECT (start_chr, cluster, end_chr) FROM big WHERE breakpoint_notation <> '<INS>' GROUP BY ALL HAVING count(DISTINCT read_name) >= 2)
+    ), estats AS (SELECT start_chr, cluster, end_chr, {_stats("end_")} FROM ends GROUP BY ALL
+    ), eagg AS (SELECT start_chr, cluster, end_chr, 1::BIGINT AS part, breakpoint_notation, {_AGG} FROM ends GROUP BY start_chr, cluster, end_chr, breakpoint_notation
+    ), ecalls AS (SELECT eagg.*, end_median AS end_loc, CASE WHEN start_chr <> end_chr THEN 0 ELSE abs(end_median - start_loc) END AS sv_length, end_chr AS group_end_chr, estats.* EXCLUDE (start_chr, cluster, end_chr)
+                   FROM eagg JOIN estats USING (start_chr, cluster, end_chr) WHERE greatest(tumor_reads, normal_reads) >= 3
+    ), allcalls AS (SELECT {_EACH}, {_ORIGINS}, {", ".join("end_" + s for s in variants.STATISTICS)} FROM icalls
+                    UNION ALL SELECT {_EACH}, {_ORIGINS}, {", ".join("end_" + s for s in variants.STATISTICS)} FROM ecalls WHERE sv_length >= 50 OR start_chr <> end_chr
+    ), totals AS (SELECT start_chr, cluster, count(DISTINCT read_name) FILTER (WHERE sample = 'tumor') AS clustered_tumor, count(DISTINCT read_name) FILTER (WHERE sample = 'normal') AS clustered_normal FROM cl GROUP BY ALL
+    ), calls AS (SELECT *, start_chr || ':' || cluster || ':' || end_chr || ':' || part || ':' || breakpoint_notation AS call_id FROM allcalls JOIN totals USING (start_chr, cluster))"""
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus calls with a key."""
+    calls = calling.call_breakpoints(_clustered(spark, d)).drop("group_end_chr")
+    return calls.withColumn("call_id", F.concat_ws(":", "start_chr", c("cluster").cast("string"), "end_chr", c("part").cast("string"), "breakpoint_notation"))
+
+
+@query(f"WITH {_CALLS} SELECT * FROM calls")
+def consensus_calls(spark, d):
+    return _calls(spark, d)
+
+
+_PHASES = ", ".join(
+    f"count(*) FILTER (WHERE haplotype_{e} = 1) AS {e}_hp1, count(*) FILTER (WHERE haplotype_{e} = 2) AS {e}_hp2, count(*) FILTER (WHERE haplotype_{e} IS NULL OR haplotype_{e} NOT IN (1, 2)) AS {e}_hp_none, "
+    f"coalesce(string_agg(DISTINCT CAST(phase_set_{e} AS VARCHAR), ',' ORDER BY CAST(phase_set_{e} AS VARCHAR)), '') AS {e}_phase_sets"
+    for e in ("start", "end")
+)
+
+
+@query(f"WITH {v.CLUSTERED} SELECT start_chr, cluster, breakpoint_notation, sample, count(DISTINCT read_name) AS n_reads, count(*) AS n_alignments, {_PHASES} FROM cl GROUP BY ALL")
+def phase_counts(spark, d):
+    return calling.phase_counts(_clustered(spark, d), ["start_chr", "cluster", "breakpoint_notation"])
+
+
+@query("""WITH g AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '+-' ELSE '+' END AS breakpoint_notation FROM orders)
+    SELECT * FROM g WHERE breakpoint_notation NOT IN ('+', '-') OR o_custkey NOT IN (SELECT o_custkey FROM g WHERE breakpoint_notation NOT IN ('+', '-'))""")
+def svtype_filter(spark, d):
+    n = F.element_at(F.array(*[F.lit(a) for a in ("+", "-", "+-", "+")]), (c("o_orderkey") % 4 + 1).cast("int"))
+    return calling.drop_minor_single_ends(v.table(spark, d, "orders").select("o_orderkey", "o_custkey", n.alias("breakpoint_notation")), ["o_custkey"])
+
+
+# --- coverage and depth ----------------------------------------------------------------------------------
+
+_COV = v.READS + """, cov AS (SELECT sample, contig, haplotype, bin, count(*) AS depth
+    FROM (SELECT sample, contig, haplotype, unnest(range(start // 10, "end" // 10 + 1)) AS bin FROM reads) GROUP BY ALL)"""
+
+
+def _coverage(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.binned_coverage(v.reads(spark, d), DEFAULT.coverage_bin)
+
+
+@query(f"WITH {_COV} SELECT * FROM cov")
+def coverage_bins(spark, d):
+    return _coverage(spark, d)
+
+
+@query(f"WITH {_COV} SELECT sample, contig, haplotype, count(*) AS n_bins, CAST(sum(depth) AS BIGINT) AS total, max(depth) AS deepest FROM cov GROUP BY ALL")
+def coverage_by_hp(spark, d):
+    return _coverage(spark, d).groupBy("sample", "contig", "haplotype").agg(F.count("*").alias("n_bins"), F.sum("depth").alias("total"), F.max("depth").alias("deepest"))
+
+
+@query(f"WITH {_COV} SELECT sample, contig, haplotype, bin, depth FROM cov")
+def coverage_deltas(spark, d):
+    runs = coverage.coverage_by_deltas(v.reads(spark, d), DEFAULT.coverage_bin, 500)
+    return runs.select("sample", "contig", "haplotype", F.explode(F.sequence("bin", c("next_bin") - 1)).alias("bin"), "depth")
+
+
+@query(f"""WITH {_COV}, parts AS (SELECT sample, contig, haplotype, bin, depth FROM cov UNION ALL SELECT sample, contig, haplotype, bin, depth FROM cov WHERE sample = 'normal')
+    SELECT sample, contig, haplotype, bin, CAST(sum(depth) AS BIGINT) AS depth FROM parts GROUP BY ALL""")
+def coverage_merge(spark, d):
+    rows = _coverage(spark, d)
+    return coverage.merge_coverage(rows, rows.where("sample = 'normal'"))
+
+
+@query(f"""WITH {_COV}, w AS (SELECT DISTINCT sample, contig, haplotype FROM cov), b AS (SELECT *, unnest(range(0, 30001)) AS bin FROM w)
+    SELECT b.sample, b.contig, b.haplotype, count(*) AS n_bins, CAST(sum(coalesce(depth, 0)) AS BIGINT) AS total, count(*) FILTER (WHERE depth IS NULL) AS n_empty
+    FROM b LEFT JOIN cov ON b.sample = cov.sample AND b.contig = cov.contig AND b.haplotype IS NOT DISTINCT FROM cov.haplotype AND b.bin = cov.bin GROUP BY ALL""")
+def coverage_dense(spark, d):
+    rows = coverage.dense_coverage(_coverage(spark, d), v.contigs(spark, d), DEFAULT.coverage_bin)
+    return rows.groupBy("sample", "contig", "haplotype").agg(F.count("*").alias("n_bins"), F.sum("depth").alias("total"), F.count_if(c("depth") == 0).alias("n_empty"))
+
+
+@query(f"WITH {v.READS} SELECT sample, CAST(sum(query_length) AS BIGINT) AS read_length, CAST(sum(query_length) AS BIGINT) / {v.GENOME} AS coverage FROM reads GROUP BY sample")
+def global_coverage(spark, d):
+    return coverage.genome_coverage(v.reads(spark, d), v.GENOME)
+
+
+def _depth_sql() -> str:
+    cols = []
+    for s in ("tumor", "normal"):
+        for p, shift in (("before", -1), ("at", 0), ("after", 1)):
+            for e in ("start", "end"):
+                cols.append(f"CAST(coalesce(sum(depth) FILTER (WHERE sample = '{s}' AND shift = {shift} AND e = '{e}'), 0) AS BIGINT) AS dp_{s}_{p}_{e}")
+        for e in ("start", "end"):
+            parts = " || ',' || ".join(f"CAST(coalesce(sum(depth) FILTER (WHERE sample = '{s}' AND shift = 0 AND e = '{e}' AND haplotype IS NOT DISTINCT FROM {hp}), 0) AS VARCHAR)" for hp in ("1", "2", "NULL"))
+            cols.append(f"{parts} AS hp_{s}_{e}")
+    return _CALLS + ", " + _COV.replace(v.READS, v.READS) + f""", ends AS (SELECT call_id, 'start' AS e, start_chr AS contig, start_loc AS loc FROM calls UNION ALL SELECT call_id, 'end', end_chr, end_loc FROM calls
+    ), asked AS (SELECT call_id, e, contig, shift, loc // 10 + shift AS bin FROM ends, (VALUES (-1), (0), (1)) AS t(shift)
+    ), met AS (SELECT call_id, {", ".join(cols)} FROM asked LEFT JOIN cov USING (contig, bin) GROUP BY call_id
+    ), raw AS (SELECT * FROM calls JOIN met USING (call_id)
+    ), ann AS (SELECT *, {", ".join(f"CASE WHEN dp_{s}_at_{e} > 0 THEN least(1.0, round_even({s}_alignments / dp_{s}_at_{e}, 3)) ELSE 0.0 END AS af_{s}_{e}" for s in ("tumor", "normal") for e in ("start", "end"))} FROM raw)"""
+
+
+_ANNOTATED = _depth_sql().replace(", ends AS (SELECT * FROM big", ", wends AS (SELECT * FROM big").replace("FROM ends GROUP BY", "FROM wends GROUP BY")
+_DEPTHS = [f"dp_{s}_{p}_{e}" for s in ("tumor", "normal") for p in ("before", "at", "after") for e in ("start", "end")]
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    return depth.annotate_depth(_calls(spark, d), _coverage(spark, d))
+
+
+@query(f"WITH {_ANNOTATED} SELECT call_id, {', '.join(_DEPTHS)}, hp_tumor_start, hp_tumor_end, hp_normal_start, hp_normal_end FROM ann")
+def depth_annotation(spark, d):
+    return _annotated(spark, d).select("call_id", *_DEPTHS, "hp_tumor_start", "hp_tumor_end", "hp_normal_start", "hp_normal_end")
+
+
+@query(f"WITH {_ANNOTATED} SELECT call_id, tumor_alignments, normal_alignments, af_tumor_start, af_tumor_end, af_normal_start, af_normal_end FROM ann")
+def allele_fraction(spark, d):
+    return _annotated(spark, d).select("call_id", "tumor_alignments", "normal_alignments", "af_tumor_start", "af_tumor_end", "af_normal_start", "af_normal_end")
+
+
+# --- somatic filters -------------------------------------------------------------------------------------
+
+_FEATURED = _ANNOTATED + """, f0 AS (SELECT *, greatest(af_tumor_start, af_tumor_end) AS tumor_af, greatest(af_normal_start, af_normal_end) AS normal_af,
+        tumor_reads / (normal_reads + 1) AS support_ratio, least(origin_mapq_mean, end_mapq_mean) AS min_mapq, abs(origin_mapq_mean - end_mapq_mean) AS mapq_diff,
+        least(dp_tumor_at_start, dp_tumor_at_end) AS tumor_coverage, least(dp_normal_at_start, dp_normal_at_end) AS normal_coverage FROM ann
+    ), feat AS (SELECT *, tumor_reads / (tumor_coverage + 1) AS support_density, tumor_reads / greatest(2.0, tumor_coverage * 0.06::DOUBLE) AS support_ratio_expected,
+        tumor_af * tumor_coverage / (tumor_reads + 1) AS af_support_consistency, clustered_normal / (clustered_tumor + 1) AS normal_noise_ratio,
+        greatest(origin_starts_std_dev, end_starts_std_dev) / (end_event_size_mean + 1) AS std_dev_ratio,
+        CASE WHEN tumor_coverage > 0 THEN ceil(tumor_coverage * 0.1::DOUBLE) + 1 ELSE 3 END AS ms FROM f0)"""
+_FEATURES = ["tumor_af", "normal_af", "support_ratio", "min_mapq", "mapq_diff", "tumor_coverage", "normal_coverage", "support_density", "support_ratio_expected", "af_support_consistency", "normal_noise_ratio", "std_dev_ratio"]
+
+
+def _featured(spark: SparkSession, d: str) -> DataFrame:
+    return somatic.features(_annotated(spark, d), "ONT")
+
+
+@query(f"WITH {_FEATURED} SELECT call_id, {', '.join(_FEATURES)} FROM feat")
+def features(spark, d):
+    return _featured(spark, d).select("call_id", *_FEATURES)
+
+
+_SPREAD_SQL = "(origin_starts_std_dev / (end_event_size_mean + 1) > 10 OR end_starts_std_dev / (end_event_size_mean + 1) > 40)"
+_NOISY_SQL = "(clustered_normal > 1 AND clustered_normal / (clustered_tumor + 1e-8) > 0.1)"
+_COVERAGES = (2.0, 1.0)
+
+
+@query(f"""WITH {_FEATURED} SELECT call_id, CASE WHEN normal_coverage / {_COVERAGES[1]}::DOUBLE < 0.3 OR normal_coverage / {_COVERAGES[1]}::DOUBLE > 3.0 THEN 'abnormal_coverage_ratio' WHEN normal_coverage < 2 THEN 'low_normal_coverage'
+    WHEN normal_af > 0.05 THEN 'high_normal_af' WHEN tumor_af < 0.05 THEN 'low_tumor_af' WHEN min_mapq < 55 THEN 'low_mapq' WHEN mapq_diff > 5 THEN 'mapq_diff_too_large'
+    WHEN normal_reads > CASE WHEN normal_coverage > 0 THEN floor(normal_coverage * 0.1::DOUBLE) ELSE 1 END THEN 'high_normal_support' WHEN tumor_reads < ms THEN 'low_tumor_support'
+    WHEN {_SPREAD_SQL} THEN 'high_std_dev' WHEN {_NOISY_SQL} THEN 'high_clustered_normal_ratio' WHEN support_ratio < {_COVERAGES[0]}::DOUBLE * 0.15::DOUBLE THEN 'low_support_ratio'
+    WHEN breakpoint_notation = '<INS>' AND origin_starts_std_dev > 30 THEN 'insertion_high_std_dev' END AS reason FROM feat""")
+def filter_strict_high(spark, d):
+    return _featured(spark, d).select("call_id", somatic.strict_high(F.lit(_COVERAGES[0]), F.lit(_COVERAGES[1])).alias("reason"))
+
+
+@query(f"""WITH {_FEATURED} SELECT call_id, CASE WHEN tumor_af < 0.05 THEN 'low_tumor_af' WHEN normal_af > 0.05 THEN 'high_normal_af' WHEN min_mapq < 55 THEN 'low_mapq' WHEN normal_coverage < 2 THEN 'low_normal_coverage'
+    WHEN mapq_diff > 5 THEN 'mapq_diff_too_large' WHEN {_SPREAD_SQL} THEN 'high_std_dev' WHEN {_NOISY_SQL} THEN 'high_clustered_normal_ratio' END AS reason FROM feat""")
+def filter_strict_low(spark, d):
+    return _featured(spark, d).select("call_id", somatic.strict_low().alias("reason"))
+
+
+_LENIENT_SQL = """CASE WHEN normal_af > 0.05 AND NOT (normal_af <= 0.07 AND tumor_af >= 0.2 AND tumor_reads >= ms * 3 AND support_ratio >= 10) THEN 'bed_high_normal_af'
+    WHEN tumor_af < 0.1 AND NOT (tumor_af >= 0.08 AND tumor_reads >= ms * 3 AND normal_reads = 0) THEN 'bed_low_tumor_af'
+    WHEN min_mapq < 40 AND NOT (min_mapq >= 35 AND tumor_reads >= ms * 3 AND tumor_af >= 0.2 AND normal_reads = 0) THEN 'bed_low_mapq'
+    WHEN normal_reads > 0 AND NOT (normal_reads <= 1 AND tumor_reads >= ms * 3 AND tumor_af >= 0.2 AND support_ratio >= ms) THEN 'bed_high_normal_support'
+    WHEN tumor_reads < ms AND NOT (tumor_reads >= ms * 0.8 AND tumor_af >= 0.3 AND normal_reads = 0) THEN 'bed_low_tumor_support'
+    WHEN clustered_normal > 3 AND NOT (clustered_normal <= 4 AND tumor_reads >= ms * 3 AND tumor_af >= 0.3 AND normal_reads = 0) THEN 'bed_high_clustered_normal' END"""
+
+
+@query(f"WITH {_FEATURED} SELECT call_id, {_LENIENT_SQL} AS reason FROM feat")
+def filter_bed_lenient(spark, d):
+    return _featured(spark, d).select("call_id", somatic.bed_lenient().alias("reason"))
+
+
+@query(f"""WITH {_FEATURED} SELECT call_id, NOT ((abs(sv_length) BETWEEN 1 AND 49) OR normal_af > 0.1 OR tumor_af < 0.1 OR min_mapq < 40 OR normal_reads > 1 OR tumor_reads < ceil(30 * 0.1::DOUBLE) + 1 OR clustered_normal > 1) AS passes FROM feat""")
+def filter_legacy(spark, d):
+    return _featured(spark, d).select("call_id", somatic.legacy(30.0).alias("passes"))
+
+
+_CONFIDENT = _FEATURED + """, conf0 AS (SELECT *, least(1.0, tumor_af / 0.05::DOUBLE) AS af_confidence, least(1.0, support_ratio_expected) AS support_confidence, least(1.0, min_mapq / 60.0::DOUBLE) AS quality_confidence,
+        1.0::DOUBLE / (1.0 + normal_noise_ratio * 10) AS noise_confidence, greatest(0.1, 1.0 - greatest(0.0, normal_af - 0.01::DOUBLE) * 20) AS normal_af_confidence FROM feat
+    ), conf AS (SELECT *, (af_confidence + support_confidence + quality_confidence + noise_confidence + normal_af_confidence) / 6.0 AS confidence_score FROM conf0)"""
+
+
+@query(f"WITH {_CONFIDENT} SELECT call_id, af_confidence, support_confidence, quality_confidence, noise_confidence, normal_af_confidence, confidence_score FROM conf")
+def confidence(spark, d):
+    return somatic.confidence(_featured(spark, d)).select("call_id", *somatic.confidence_factors(), "confidence_score")
+
+
+@query(f"""WITH {_FEATURED} SELECT quantile_cont(tumor_af, 0.1) AS af_p10, quantile_cont(tumor_af, 0.25) AS af_p25, quantile_cont(tumor_af, 0.5) AS af_p50, quantile_cont(tumor_af, 0.75) AS af_p75,
+    quantile_cont(tumor_af, 0.9) AS af_p90, CAST(median(tumor_reads) AS DOUBLE) AS support_median, median(min_mapq) AS mapq_median, count(*) AS total_variants FROM feat""")
+def reference_stats(spark, d):
+    return somatic.reference_statistics(_featured(spark, d))
+
+
+@query(f"WITH {_ANNOTATED} SELECT coalesce(avg((af_tumor_start + af_tumor_end) / 2) FILTER (WHERE (af_tumor_start + af_tumor_end) / 2 >= 0.1 AND (af_normal_start + af_normal_end) / 2 <= 0.01), 0.0) AS mean_af FROM ann")
+def mean_somatic_af(spark, d):
+    return somatic.mean_somatic_af(_annotated(spark, d))
+
+
+@query(f"WITH {_FEATURED} SELECT avg(tumor_af) FILTER (WHERE tumor_af BETWEEN 0.1 AND 0.6) AS tumor_mean_af, avg(normal_af) FILTER (WHERE normal_af BETWEEN 0.1 AND 0.6) AS normal_mean_af FROM feat")
+def af_distribution(spark, d):
+    return somatic.af_distribution(_annotated(spark, d))
+
+
+@query(f"WITH {_FEATURED} SELECT avg(tumor_coverage) * 0.1::DOUBLE AS depth_threshold FROM feat")
+def depth_threshold(spark, d):
+    return somatic.depth_threshold(_annotated(spark, d))
+
+
+@query(f"""WITH {_CALLS}, {v.REGIONS}, hit AS (SELECT call_id, min((b.start, b."end")) AS r FROM calls JOIN bed b ON b.contig = calls.start_chr AND calls.start_loc BETWEEN b.start AND b."end" + 1 GROUP BY call_id)
+    SELECT call_id, r[1] AS region_start, r[2] AS region_end, r IS NOT NULL AS in_region FROM calls LEFT JOIN hit USING (call_id)""")
+def bed_lookup(spark, d):
+    return somatic.lookup_regions(_calls(spark, d), v.regions(spark, d)).select("call_id", "region_start", "region_end", "in_region")
+
+
+_STRICT_LOW_SQL = ORACLES["filter_strict_low"].split("SELECT call_id, ")[-1].rsplit(" AS reason", 1)[0]
+
+
+@query(f"""WITH {_CONFIDENT}, {v.REGIONS}, hit AS (SELECT DISTINCT call_id FROM calls JOIN bed b ON b.contig = calls.start_chr AND calls.start_loc BETWEEN b.start AND b."end" + 1
+    ), why AS (SELECT call_id, confidence_score, hit.call_id IS NOT NULL AS in_region, CASE WHEN abs(sv_length) BETWEEN 1 AND 49 THEN 'failed_basic_prefilter' WHEN hit.call_id IS NOT NULL THEN {_LENIENT_SQL} ELSE {_STRICT_LOW_SQL} END AS rejected
+        FROM conf LEFT JOIN hit USING (call_id))
+    SELECT call_id, coalesce(rejected, CASE WHEN in_region THEN 'passed_bed_lenient' ELSE 'passed_strict_low' END) AS reason, rejected IS NULL AND confidence_score >= 0.7 AS passed FROM why""")
+def filter_somatic(spark, d):
+    return somatic.filter_somatic(_annotated(spark, d), *_COVERAGES, mean_af=0.2, regions=v.regions(spark, d)).select("call_id", "reason", "passed")
+
+
+# --- panel of normals ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {v.KNOWN} SELECT * FROM pon WHERE af >= 0.01")
+def pon_candidates(spark, d):
+    return panel.common_variants(v.known_variants(spark, d))
+
+
+@query(f"""WITH {v.BREAKPOINTS}, {v.KNOWN}, p AS (SELECT * FROM pon WHERE af >= 0.45)
+    SELECT start_chr, count(*) AS n_kept, min(start_loc) AS first_kept, max(start_loc) AS last_kept FROM bp WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.chr1 = bp.start_chr AND (
+        (abs(bp.start_loc - p.start) <= 500 AND bp.end_chr = p.chr2 AND abs(bp.end_loc - p."end") <= 500)
+        OR (bp.start_chr = p.chr2 AND abs(bp.start_loc - p."end") <= 500 AND bp.end_chr = p.chr1 AND abs(bp.end_loc - p.start) <= 500))) GROUP BY start_chr""")
+def pon_antijoin(spark, d):
+    from dataclasses import replace
+
+    known = panel.common_variants(v.known_variants(spark, d), replace(DEFAULT, pon_min_af=0.45))
+    rows = v.breakpoints(spark, d).withColumn("key", F.xxhash64("ord", "start_loc", "end_loc", "mapq"))
+    return panel.subtract(rows, known, "key").groupBy("start_chr").agg(F.count("*").alias("n_kept"), F.min("start_loc").alias("first_kept"), F.max("start_loc").alias("last_kept"))
+
+
+# --- alignments ------------------------------------------------------------------------------------------
+
+_OPS = v.READS + """, ops AS (SELECT ord, start, cigar, is_reverse, unnest(regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 1)) AS n, unnest(regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 2)) AS op,
+        unnest(range(1, len(regexp_extract_all(cigar, '\\d+[MIDNSHP=X]')) + 1)) AS i, len(regexp_extract_all(cigar, '\\d+[MIDNSHP=X]')) AS total FROM (SELECT DISTINCT ord, start, cigar, is_reverse FROM reads)
+    ), o AS (SELECT *, CAST(n AS BIGINT) AS len FROM ops)"""
+
+
+def _own_reads(spark: SparkSession, d: str) -> DataFrame:
+    return v.reads(spark, d).select("ord", "start", "cigar", "is_reverse").distinct()
+
+
+@query(f"""WITH {_OPS}, s AS (SELECT ord, start, cigar, is_reverse, coalesce(sum(len) FILTER (WHERE op = 'S' AND i = CASE WHEN is_reverse THEN total ELSE 1 END), 0) AS sl, coalesce(sum(len) FILTER (WHERE op = 'S' AND i <> CASE WHEN is_reverse THEN total ELSE 1 END), 0) AS sr,
+        sum(len) FILTER (WHERE op = 'M') AS m, sum(len) FILTER (WHERE op = 'I') AS ins, sum(len) FILTER (WHERE op = 'D') AS del FROM o GROUP BY ALL)
+    SELECT ord, cigar, CAST(sl AS BIGINT) AS softclip_left, CAST(sr AS BIGINT) AS softclip_right, CAST(m AS BIGINT) AS match_length, CAST(ins AS BIGINT) AS insert_length, CAST(del AS BIGINT) AS delete_length, 0::BIGINT AS mismatch_length,
+        start AS ref_start, CAST(start + m + del AS BIGINT) AS ref_end, CAST(sl AS BIGINT) AS query_start, CAST(sl + m + ins AS BIGINT) AS query_end FROM s""")
+def cigar_summary(spark, d):
+    return _own_reads(spark, d).select("ord", "cigar", cigar.summary(c("cigar"), c("start"), c("is_reverse")).alias("a")).select("ord", "cigar", "a.*")
+
+
+_WALK = _OPS + """, w AS (SELECT *, start + coalesce(sum(CASE WHEN op IN ('M', 'D', '=', 'X') THEN len ELSE 0 END) OVER (PARTITION BY ord, start, cigar, is_reverse ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r,
+        coalesce(sum(CASE WHEN op IN ('M', 'I', 'S', '=', 'X') THEN len ELSE 0 END) OVER (PARTITION BY ord, start, cigar, is_reverse ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q FROM o)"""
+
+
+@query(f"WITH {_WALK} SELECT ord, cigar, is_reverse, op AS kind, CAST(r AS BIGINT) AS event_start, CAST(r + CASE WHEN op = 'D' THEN len ELSE 0 END AS BIGINT) AS event_end, len AS event_length, CAST(q AS BIGINT) AS query_offset FROM w WHERE op IN ('D', 'I') AND len >= 30")
+def cigar_indels(spark, d):
+    rows, parts = _own_reads(spark, d), []
+    for kind in ("D", "I"):
+        e = rows.select("ord", "cigar", "is_reverse", F.lit(kind).alias("kind"), F.explode(cigar.events(cigar.operations(c("cigar")), c("start"), kind, 30)).alias("e"))
+        parts.append(e.select("ord", "cigar", "is_reverse", "kind", c("e.start").alias("event_start"), c("e.end").alias("event_end"), c("e.len").alias("event_length"), c("e.query").alias("query_offset")))
+    return parts[0].unionByName(parts[1])
+
+
+_GAPS = """iv AS (SELECT DISTINCT l_suppkey AS g, l_partkey * 100 AS s, l_partkey * 100 + CAST(l_quantity AS BIGINT) AS e FROM lineitem
+    ), fl AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 60 THEN 0 ELSE 1 END AS opens FROM iv
+    ), nu AS (SELECT *, sum(opens) OVER (PARTITION BY g ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM fl)"""
+
+
+@query(f"WITH {_GAPS} SELECT g AS l_suppkey, min(s) AS merged_start, max(e) AS merged_end, CAST(sum(e - s) AS BIGINT) AS merged_length FROM nu GROUP BY g, k")
+def merge_intervals(spark, d):
+    low = c("l_partkey") * 100
+    q = c("l_quantity").cast("bigint")
+    rows = v.table(spark, d, "lineitem").select("l_suppkey", F.struct(low.alias("start"), (low + q).alias("end"), q.alias("len"), F.lit(0).cast("bigint").alias("query")).alias("e")).distinct()
+    merged = rows.groupBy("l_suppkey").agg(cigar.merge(F.collect_list("e"), 60).alias("m")).select("l_suppkey", F.explode("m").alias("m"))
+    return merged.select("l_suppkey", c("m.start").alias("merged_start"), c("m.end").alias("merged_end"), c("m.len").alias("merged_length"))
+
+
+@query(f"WITH {v.READS} SELECT ord, count(*) AS n, count(*) FILTER (WHERE CAST(regexp_extract(cigar, '^(\\d+)S', 1) AS BIGINT) >= 20) AS n_clipped FROM reads GROUP BY ord")
+def clip_flags(spark, d):
+    return v.reads(spark, d).groupBy("ord").agg(F.count("*").alias("n"), F.count_if(shortreads.clipped(20)).alias("n_clipped"))
+
+
+@query(f"""WITH l AS (SELECT 'r' || l_orderkey AS read_name, 'chr' || ((l_suppkey + 1) % 24 + 1) AS contig, CAST(l_partkey * 100 AS BIGINT) AS ref_start, l_linestatus = 'F' AS is_reverse, CAST(l_quantity * 10 AS BIGINT) || 'S' || CAST(l_quantity * 30 AS BIGINT) || 'M' AS cigar,
+        CAST(CAST(l_quantity AS BIGINT) % 60 AS INTEGER) AS mapq, l_suppkey FROM lineitem)
+    SELECT read_name, 'tumor' AS sample, contig, ref_start, is_reverse, cigar, mapq FROM l WHERE mapq > 5 AND (l_suppkey + 1) % 24 + 1 <= 22""")
+def sa_explode(spark, d):
+    return breakpoints.split_alignments(v.split_tags(spark, d), DEFAULT.min_mapq)
+
+
+_PAIRS = v.ALIGNMENTS + """, p0 AS (SELECT *, lead(contig) OVER w AS c2, lead(ref_start) OVER w AS s2, lead(ref_end) OVER w AS e2, lead(is_reverse) OVER w AS r2, lead(mapq) OVER w AS m2, lead(is_primary) OVER w AS y2, lead(query_end) OVER w AS qe2, lead(query_start) OVER w AS qs2
+        FROM al WINDOW w AS (PARTITION BY read_name ORDER BY query_start)
+    ), pairs AS (SELECT sample, read_name, ord, contig AS first_chr, CASE WHEN is_reverse THEN ref_start ELSE ref_end END AS first_loc, CASE WHEN is_reverse THEN '-' ELSE '+' END AS first_sign,
+        CAST(substr(contig, 4) AS INTEGER) <= 22 AND mapq >= 5 AS first_reliable, is_primary AS first_primary, query_start AS first_query_start, query_end AS first_query_end, c2 AS second_chr, CASE WHEN r2 THEN e2 ELSE s2 END AS second_loc,
+        CASE WHEN r2 THEN '+' ELSE '-' END AS second_sign, CAST(substr(c2, 4) AS INTEGER) <= 22 AND m2 >= 5 AS second_reliable, y2 AS second_primary, qs2 AS second_query_start, qe2 AS second_query_end, least(mapq, m2) AS mapq FROM p0 WHERE c2 IS NOT NULL)"""
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def breakpoint_pairs(spark, d):
+    return breakpoints.breakpoint_pairs(v.alignments(spark, d))
+
+
+@query(f"""WITH {_PAIRS}, sw AS (SELECT *, CASE WHEN first_chr = second_chr THEN first_loc > second_loc ELSE CAST(substr(first_chr, 4) AS INTEGER) > CAST(substr(second_chr, 4) AS INTEGER) END AS swap FROM pairs WHERE first_reliable AND second_reliable
+    ), k AS (SELECT sample, read_name, ord, mapq, CASE WHEN swap THEN second_chr ELSE first_chr END AS start_chr, CASE WHEN swap THEN second_loc ELSE first_loc END AS start_loc, CASE WHEN swap THEN first_chr ELSE second_chr END AS end_chr,
+        CASE WHEN swap THEN first_loc ELSE second_loc END AS end_loc, CASE WHEN swap THEN second_sign || first_sign ELSE first_sign || second_sign END AS sign, CASE WHEN CASE WHEN swap THEN second_primary ELSE first_primary END THEN 'start' ELSE 'end' END AS phased_end,
+        CASE WHEN swap THEN second_query_start ELSE first_query_start END AS query_from, CASE WHEN swap THEN first_query_end ELSE second_query_end END AS query_to FROM sw)
+    SELECT sample, read_name, ord, mapq, start_chr, start_loc, end_chr, CASE WHEN start_chr = end_chr AND sign = '-+' AND end_loc - start_loc < 50 THEN start_loc ELSE end_loc END AS end_loc, phased_end, query_from, query_to,
+        CASE WHEN start_chr = end_chr AND sign = '-+' AND end_loc - start_loc < 50 THEN '<INS>' ELSE sign END AS breakpoint_notation FROM k""")
+def canonical_order(spark, d):
+    return breakpoints.canonical_junctions(breakpoints.breakpoint_pairs(v.alignments(spark, d)))
+
+
+_TANDEM = """SELECT a.sample, a.read_name, least(a.mapq, b.mapq) AS mapq, a.contig AS start_chr, greatest(a.ref_start, b.ref_start) AS start_loc, a.contig AS end_chr, least(a.ref_end, b.ref_end) AS end_loc, '-+' AS breakpoint_notation,
+    CASE WHEN a.is_primary THEN 'start' ELSE 'end' END AS phased_end FROM {t} a JOIN {t} b ON {on} AND a.is_reverse = b.is_reverse AND a.ord < b.ord AND least(a.ref_end, b.ref_end) - greatest(a.ref_start, b.ref_start) >= 30"""
+
+
+@query(f"WITH {v.ALIGNMENTS}, m AS (SELECT * REPLACE (contig AS read_name, ref_start % 50000 AS ref_start, ref_start % 50000 + 400 AS ref_end), row_number() OVER () AS z FROM al WHERE ord <= 2) " + _TANDEM.format(t="m", on="a.read_name = b.read_name AND a.contig = b.contig"))
+def tandem_dups(spark, d):
+    # alignments of a contig, brought closer together, stand for those of one read
+    rows = v.alignments(spark, d).where("ord <= 2").withColumn("read_name", c("contig"))
+    rows = rows.withColumn("ref_start", c("ref_start") % 50_000).withColumn("ref_end", c("ref_start") + 400)
+    return breakpoints.tandem_duplications(rows)
+
+
+# --- k-mers ----------------------------------------------------------------------------------------------
+
+_K = 12
+_REF = f"""ref AS (SELECT DISTINCT item_id, kmer FROM (SELECT item_id, unnest(list_transform(range(1, greatest(length(t) - {_K} + 2, 1)), lambda i: substr(t, i, {_K}))) AS kmer FROM (SELECT item_id, upper(text) AS t FROM benchmark)) WHERE kmer NOT LIKE '%N%')"""
+_READ = f"""rk AS (SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(t) - {_K} + 2, 1)), lambda i: substr(t, i, {_K}))) AS kmer FROM (SELECT upper(text) AS t FROM documents)) WHERE kmer NOT LIKE '%N%' GROUP BY kmer)"""
+
+
+def _reference_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.reference_kmers(v.table(spark, d, "benchmark"), ["item_id"], "text", _K)
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    counts = kmers.kmer_counts(v.table(spark, d, "documents"), [], "text", _K)
+    return _reference_kmers(spark, d).join(counts, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
+
+@query(f"WITH {_REF} SELECT item_id, count(*) AS n_kmers, min(kmer) AS first_kmer FROM ref GROUP BY item_id")
+def ref_kmers(spark, d):
+    return _reference_kmers(spark, d).groupBy("item_id").agg(F.count("*").alias("n_kmers"), F.min("kmer").alias("first_kmer"))
+
+
+@query(f"WITH {_READ} SELECT n, count(*) AS n_kmers FROM rk GROUP BY n")
+def read_kmer_counts(spark, d):
+    return kmers.kmer_counts(v.table(spark, d, "documents"), [], "text", _K).groupBy("n").agg(F.count("*").alias("n_kmers"))
+
+
+@query(f"WITH {_REF}, {_READ} SELECT item_id, count(*) AS n_kmers, count(*) FILTER (WHERE coalesce(n, 0) >= 3) AS n_supported, count(*) FILTER (WHERE coalesce(n, 0) >= 3) / count(*) > 0.85 AS is_match FROM ref LEFT JOIN rk USING (kmer) GROUP BY item_id")
+def kmer_match(spark, d):
+    return kmers.deletion_support(_matched(spark, d), ["item_id"])
+
+
+@query(f"""WITH {_REF}, {_READ}, t AS (SELECT item_id, count(*) AS n_kmers FROM ref GROUP BY item_id)
+    SELECT item_id, n_kmers, count(*) FILTER (WHERE coalesce(n, 0) > (SELECT count(*) FROM documents) / greatest(100, n_kmers) * 1.5::DOUBLE) AS n_frequent,
+        count(*) FILTER (WHERE coalesce(n, 0) > (SELECT count(*) FROM documents) / greatest(100, n_kmers) * 1.5::DOUBLE) / n_kmers > 0.3 AS is_match FROM ref JOIN t USING (item_id) LEFT JOIN rk USING (kmer) GROUP BY item_id, n_kmers""")
+def kmer_match_dup(spark, d):
+    # one count for all items: a scalar of the documents, joined by a constant key
+    n = v.table(spark, d, "documents").agg(F.count("*").alias("n_reads")).first().n_reads
+    items = v.table(spark, d, "benchmark").select("item_id", F.lit(n).alias("n_reads")).distinct()
+    return kmers.duplication_support(_matched(spark, d), items, ["item_id"])
+
+
+@query("""WITH k AS (SELECT list_distinct(list_filter(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21)), lambda s: NOT contains(s, 'N'))) AS ks FROM (SELECT upper(text) AS t FROM benchmark WHERE item_id = 3))
+    SELECT doc_id, list_has_any(list_filter(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21)), lambda s: NOT contains(s, 'N')), (SELECT ks FROM k)) AS shares FROM (SELECT doc_id, upper(text) AS t FROM documents)""")
+def insertion_kmers(spark, d):
+    known = v.table(spark, d, "benchmark").where("item_id = 3").select(kmers.kmers(c("text"), 21).alias("k")).first().k
+    return v.table(spark, d, "documents").select("doc_id", kmers.shares_kmer(c("text"), F.array(*[F.lit(k) for k in known]), 21).alias("shares"))
+
+
+# --- depth evidence --------------------------------------------------------------------------------------
+
+_BINS = """bins AS (SELECT l_suppkey AS call_id, l_partkey % 60 AS bin, CAST(l_partkey % 60 * 10 AS BIGINT) AS mid, CASE WHEN l_partkey % 60 < 20 THEN 'up' WHEN l_partkey % 60 < 40 THEN 'target' ELSE 'down' END AS region,
+    CAST(sum(CAST(l_quantity AS BIGINT) * CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 60 BETWEEN 20 AND 39 THEN 1 ELSE 3 END) AS DOUBLE) / 10 AS cov FROM lineitem GROUP BY ALL)"""
+_G = 30.0
+
+
+def _bins(spark: SparkSession, d: str) -> DataFrame:
+    t = v.table(spark, d, "lineitem")
+    bin_ = c("l_partkey") % 60
+    factor = F.when((c("l_suppkey") % 3 == 0) & bin_.between(20, 39), 1).otherwise(3)
+    region = F.when(bin_ < 20, "up").when(bin_ < 40, "target").otherwise("down")
+    return t.groupBy(c("l_suppkey").alias("call_id"), bin_.alias("bin"), (bin_ * 10).alias("mid"), region.alias("region")).agg((F.sum(c("l_quantity").cast("bigint") * factor).cast("double") / 10).alias("cov"))
+
+
+_DSTATS = _BINS + f""", d0 AS (SELECT call_id, count(*) FILTER (WHERE region = 'target') AS n_target, coalesce(avg(cov) FILTER (WHERE region = 'target'), 0.0) AS target_mean, coalesce(median(cov) FILTER (WHERE region = 'target'), 0.0) AS target_median,
+        coalesce(stddev_pop(cov) FILTER (WHERE region = 'target'), 0.0) AS target_std, var_samp(cov) FILTER (WHERE region = 'target') AS target_var, count(*) FILTER (WHERE region <> 'target') AS n_flank,
+        coalesce(avg(cov) FILTER (WHERE region <> 'target'), {_G}) AS flank_mean, coalesce(stddev_pop(cov) FILTER (WHERE region <> 'target'), 0.0) AS flank_std, var_samp(cov) FILTER (WHERE region <> 'target') AS flank_var,
+        avg(cov) AS all_mean, stddev_pop(cov) AS all_std FROM bins GROUP BY call_id
+    ), ds AS (SELECT *, target_mean / {_G}::DOUBLE AS global_ratio, CASE WHEN flank_mean > 0 THEN target_mean / flank_mean ELSE 0 END AS flank_ratio,
+        CASE WHEN n_target > 1 THEN (target_mean - {_G}) / nullif(sqrt(target_var / n_target), 0) ELSE 0.0 END AS t_global,
+        CASE WHEN n_target > 1 AND n_flank > 1 THEN (target_mean - flank_mean) / nullif(sqrt(((n_target - 1) * target_var + (n_flank - 1) * flank_var) / (n_target + n_flank - 2) * (1.0 / n_target + 1.0 / n_flank)), 0) ELSE 0.0 END AS t_flank,
+        CASE WHEN n_target > 0 THEN (target_mean - all_mean) / nullif(all_std, 0) ELSE 0.0 END AS mean_z FROM d0)"""
+
+
+def _round(e: str, n: int = 6) -> str:
+    return f"round({e}, {n})"
+
+
+@query(f"WITH {_BINS} SELECT * FROM bins")
+def binned_coverage(spark, d):
+    return _bins(spark, d)
+
+
+@query(f"WITH {_DSTATS} SELECT call_id, n_target, n_flank, {', '.join(f'round({x}, 6) AS {x}' for x in ('target_mean', 'target_median', 'target_std', 'flank_mean', 'flank_std', 'global_ratio', 'flank_ratio', 't_global', 't_flank', 'mean_z'))} FROM ds")
+def coverage_ttest(spark, d):
+    rows = germline.depth_statistics(_bins(spark, d), "call_id", _G)
+    return rows.select("call_id", "n_target", "n_flank", *[F.round(n, 6).alias(n) for n in ("target_mean", "target_median", "target_std", "flank_mean", "flank_std", "global_ratio", "flank_ratio", "t_global", "t_flank", "mean_z")])
+
+
+@query()
+def coverage_pvalues(spark, d):
+    rows = germline.with_p_values(germline.depth_statistics(_bins(spark, d), "call_id", _G))
+    return rows.select("call_id", "p_global", "p_flank")
+
+
+@query(f"WITH {_BINS} SELECT call_id, bin, round((cov - avg(cov) OVER w) / nullif(stddev_pop(cov) OVER w, 0), 6) AS z FROM bins WINDOW w AS (PARTITION BY call_id)")
+def coverage_zscore(spark, d):
+    return germline.z_scores(_bins(spark, d), "call_id").select("call_id", "bin", F.round("z", 6).alias("z"))
+
+
+_GRAD = _BINS + """, tb AS (SELECT call_id, min(bin) AS lo, max(bin) AS hi, count(*) AS n, avg(cov) AS t FROM bins WHERE region = 'target' GROUP BY call_id
+    ), g0 AS (SELECT call_id, n, t, coalesce(avg(cov) FILTER (WHERE bin BETWEEN lo - 5 AND lo - 1), t) AS pre, coalesce(avg(cov) FILTER (WHERE bin BETWEEN hi + 1 AND hi + 5), t) AS post FROM bins JOIN tb USING (call_id) GROUP BY call_id, n, t
+    ), g AS (SELECT *, CASE WHEN pre > 0 THEN t / pre ELSE 1 END AS a, CASE WHEN t > 0 THEN post / t ELSE 1 END AS b, CASE WHEN post > 0 THEN t / post ELSE 1 END AS r FROM g0)"""
+_GRADIENT_DEL = "CASE WHEN n < 3 THEN 'insufficient_data' WHEN a < 0.7 AND b > 1.3 THEN 'sharp_drop_recovery' WHEN a < 0.8 AND b > 1.2 THEN 'moderate_drop_recovery' WHEN a BETWEEN 0.8 AND 1.2 AND b BETWEEN 0.8 AND 1.2 THEN 'smooth_transition' ELSE 'irregular' END"
+_GRADIENT_DUP = "CASE WHEN n < 3 THEN 'insufficient_data' WHEN a > 1.3 AND r > 1.3 THEN 'sharp_elevation_pattern' WHEN a > 1.2 AND r > 1.2 THEN 'moderate_elevation_pattern' WHEN a BETWEEN 0.8 AND 1.2 AND r BETWEEN 0.8 AND 1.2 THEN 'smooth_transition' ELSE 'irregular' END"
+
+
+@query(f"WITH {_GRAD} SELECT call_id, round(a, 6) AS drop_ratio, round(b, 6) AS recovery_ratio, {_GRADIENT_DEL} AS gradient_del FROM g")
+def gradient_del(spark, d):
+    return germline.gradients(_bins(spark, d), "call_id").select("call_id", F.round("drop_ratio", 6).alias("drop_ratio"), F.round("recovery_ratio", 6).alias("recovery_ratio"), "gradient_del")
+
+
+@query(f"WITH {_GRAD} SELECT call_id, round(a, 6) AS rise_pre, round(r, 6) AS rise_post, {_GRADIENT_DUP} AS gradient_dup FROM g")
+def gradient_dup(spark, d):
+    return germline.gradients(_bins(spark, d), "call_id").select("call_id", F.round("rise_pre", 6).alias("rise_pre"), F.round("rise_post", 6).alias("rise_post"), "gradient_dup")
+
+
+@query(f"""WITH {_BINS}, w AS (SELECT call_id, bin, mid AS first_mid, avg(cov) OVER f AS window_mean, last_value(mid) OVER f AS last_mid, count(*) OVER f AS n FROM bins WHERE region = 'target' WINDOW f AS (PARTITION BY call_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
+    SELECT call_id, first_mid, last_mid, round(window_mean, 6) AS window_mean FROM w WHERE n = 5 QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY window_mean, bin) = 1""")
+def min_window(spark, d):
+    return germline.minimum_window(_bins(spark, d), "call_id").select("call_id", "first_mid", "last_mid", F.round("window_mean", 6).alias("window_mean"))
+
+
+@query(f"""WITH {_DSTATS} SELECT call_id, concat_ws(',', CASE WHEN flank_mean / {_G} > 2 THEN 'high_flanking_coverage:high' WHEN flank_mean / {_G} > 1.5 THEN 'high_flanking_coverage:medium' END,
+        CASE WHEN global_ratio > 1.2 THEN 'high_target_coverage' WHEN global_ratio BETWEEN 0.8 AND 1.2 THEN 'normal_target_coverage' END) AS anomalies_del,
+    concat_ws(',', CASE WHEN global_ratio > 2 THEN 'very_high_target_coverage' WHEN global_ratio > 1.5 THEN 'high_target_coverage' WHEN global_ratio BETWEEN 0.8 AND 1.2 THEN 'normal_target_coverage' END, CASE WHEN flank_mean / {_G} < 0.5 THEN 'low_flanking_coverage' END) AS anomalies_dup FROM ds""")
+def coverage_anomalies(spark, d):
+    return germline.anomalies(germline.depth_statistics(_bins(spark, d), "call_id", _G)).select("call_id", "anomalies_del", "anomalies_dup")
+
+
+# scores: p-values come from a stand-in column, so that SQL can follow
+_SCORED = """s AS (SELECT l_orderkey AS call_id, l_linenumber AS line, CAST(l_partkey % 200 AS DOUBLE) / 80 AS global_ratio, CAST(l_suppkey % 90 AS DOUBLE) / 60 AS flank_ratio, CAST(l_partkey % 200 AS DOUBLE) / 80 * 30 AS target_mean, CAST(l_suppkey % 90 AS DOUBLE) AS flank_mean,
+    CAST(l_quantity AS DOUBLE) / 1000 AS p_global, CAST(l_quantity AS DOUBLE) / 500 AS p_flank, CAST(l_quantity - 25 AS DOUBLE) / 8 AS mean_z, l_orderkey % 5 AS gp FROM lineitem)"""
+_PATTERNS = {"del": ["sharp_drop_recovery", "moderate_drop_recovery", "smooth_transition", "irregular", "insufficient_data"], "dup": ["sharp_elevation_pattern", "moderate_elevation_pattern", "smooth_transition", "irregular", "insufficient_data"]}
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    t = v.table(spark, d, "lineitem")
+    pattern = lambda k: F.element_at(F.array(*[F.lit(p) for p in _PATTERNS[k]]), (c("l_orderkey") % 5 + 1).cast("int"))
+    ratio = (c("l_partkey") % 200).cast("double") / 80
+    return t.select(
+        c("l_orderkey").alias("call_id"), c("l_linenumber").alias("line"), ratio.alias("global_ratio"), ((c("l_suppkey") % 90).cast("double") / 60).alias("flank_ratio"), (ratio * 30).alias("target_mean"), (c("l_suppkey") % 90).cast("double").alias("flank_mean"),
+        F.lit(30.0).alias("global_cov"), (c("l_quantity") / 1000).alias("p_global"), (c("l_quantity") / 500).alias("p_flank"), ((c("l_quantity") - 25) / 8).alias("mean_z"), pattern("del").alias("gradient_del"), pattern("dup").alias("gradient_dup"),
+    )
+
+
+def _level(score: str, strong: str) -> str:
+    return f"CASE WHEN {score} >= 6 AND {strong} >= 1 THEN 'high' WHEN {score} >= 4 AND {strong} >= 1 THEN 'medium' WHEN {score} >= 2 THEN 'low' ELSE 'not_supported' END"
+
+
+def _i(*tests: str) -> str:
+    return "(" + " + ".join(f"CAST(coalesce({t}, FALSE) AS INTEGER)" for t in tests) + ")"
+
+
+_STRONG_DEL = _i("global_ratio < 0.5", "p_global < 0.01 AND target_mean < 30 AND global_ratio < 0.8", "gp = 0")
+_SCORE_DEL = f"{_STRONG_DEL} * 3 + {_i('flank_ratio < 0.7 AND p_flank < 0.05 AND NOT flank_mean / 30 > 1.5', 'mean_z < -2', 'gp = 1')} * 2 + {_i('global_ratio > 0.5 AND global_ratio < 0.8')} - {_i('flank_mean / 30 > 2', 'target_mean / 30 BETWEEN 0.8 AND 1.2', 'gp = 2')} * 2"
+_STRONG_DUP = _i("global_ratio > 1.5", "p_global < 0.01 AND target_mean > 30 AND global_ratio > 1.2", "gp = 0")
+_SCORE_DUP = f"{_STRONG_DUP} * 3 + {_i('flank_ratio > 1.3 AND p_flank < 0.05 AND NOT flank_mean / 30 < 0.5', 'mean_z > 2', 'gp = 1')} * 2 + {_i('global_ratio > 1.2 AND global_ratio < 1.5')} - {_i('flank_mean / 30 < 0.5', 'target_mean / 30 BETWEEN 0.8 AND 1.2', 'gp = 2')} * 2"
+
+
+@query(f"WITH {_SCORED}, z AS (SELECT *, {_SCORE_DEL} AS sc, {_STRONG_DEL} AS st FROM s) SELECT call_id, line, sc AS deletion_score, {_level('sc', 'st')} AS deletion_level, sc >= 2 AS is_deletion FROM z")
+def score_del(spark, d):
+    return germline.score_deletion(_scored(spark, d)).select("call_id", "line", "deletion_score", "deletion_level", "is_deletion")
+
+
+@query(f"WITH {_SCORED}, z AS (SELECT *, {_SCORE_DUP} AS sc, {_STRONG_DUP} AS st FROM s) SELECT call_id, line, sc AS duplication_score, {_level('sc', 'st')} AS duplication_level, sc >= 2 AS is_duplication FROM z")
+def score_dup(spark, d):
+    return germline.score_duplication(_scored(spark, d)).select("call_id", "line", "duplication_score", "duplication_level", "is_duplication")
+
+
+# --- pair, clip and split evidence ------------------------------------------------------------------------
+
+
+def _some_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Places to test, from suppliers: a span on one contig, or two contigs for every third."""
+    t = v.table(spark, d, "supplier")
+    low = c("s_suppkey") * 1789 % 200_000
+    contig = lambda k: F.concat(F.lit("chr"), ((c("s_suppkey") + k) % 24 + 1).cast("string"))
+    return t.select(c("s_suppkey").alias("call_id"), contig(0).alias("start_chr"), low.alias("start_loc"), F.when(c("s_suppkey") % 3 == 0, contig(1)).otherwise(contig(0)).alias("end_chr"), (low + c("s_suppkey") % 7 * 300 + 50).alias("end_loc"))
+
+
+_PLACES = """pl AS (SELECT s_suppkey AS call_id, 'chr' || (s_suppkey % 24 + 1) AS c1, s_suppkey * 1789 % 200000 AS p1, CASE WHEN s_suppkey % 3 = 0 THEN 'chr' || ((s_suppkey + 1) % 24 + 1) ELSE 'chr' || (s_suppkey % 24 + 1) END AS c2,
+    s_suppkey * 1789 % 200000 + s_suppkey % 7 * 300 + 50 AS p2 FROM supplier)"""
+_USABLE = "NOT is_secondary AND NOT is_supplementary AND mapq >= 20"
+_INV = v.SHORT_READS + ", " + _PLACES + f""", sp AS (SELECT *, CASE WHEN p2 - least(100, (p2 - p1) // 10) > p1 + least(100, (p2 - p1) // 10) THEN p1 + least(100, (p2 - p1) // 10) ELSE greatest(0, p1 - 500) END AS lo,
+        CASE WHEN p2 - least(100, (p2 - p1) // 10) > p1 + least(100, (p2 - p1) // 10) THEN p2 - least(100, (p2 - p1) // 10) ELSE p2 + 500 END AS hi FROM pl
+    ), m AS (SELECT call_id, sr.*, is_paired AND NOT mate_unmapped AND mate_contig = contig AND mate_start BETWEEN lo AND hi AS pair FROM sp JOIN sr ON sr.contig = c1 AND sr.start < hi AND sr."end" > lo WHERE {_USABLE}
+    ), inside AS (SELECT call_id, count(*) FILTER (WHERE pair) AS total_pairs, count(*) FILTER (WHERE pair AND is_reverse = mate_reverse) AS same_orientation, count(*) FILTER (WHERE pair AND template_length <> 0) AS n_sized,
+        count(*) FILTER (WHERE pair AND template_length <> 0 AND (abs(template_length) > 2000 OR abs(template_length) < 100)) AS n_odd_sizes, count(*) FILTER (WHERE NOT is_reverse) AS n_forward, count(*) FILTER (WHERE is_reverse) AS n_reverse FROM m GROUP BY call_id
+    ), ends AS (SELECT call_id, c1, p1 AS at FROM pl UNION ALL SELECT call_id, c1, p2 FROM pl
+    ), spl AS (SELECT call_id, count(*) AS n_splits FROM ends JOIN sr ON sr.contig = c1 AND sr.start < at + 200 AND sr."end" > greatest(0, at - 200) WHERE mapq >= 20 AND form < 2 AND clip >= 15 AND abs(start - at) <= 100 GROUP BY call_id
+    ), cnt AS (SELECT call_id, coalesce(total_pairs, 0) AS total_pairs, coalesce(same_orientation, 0) AS same_orientation, coalesce(n_sized, 0) AS n_sized, coalesce(n_odd_sizes, 0) AS n_odd_sizes, coalesce(n_forward, 0) AS n_forward, coalesce(n_reverse, 0) AS n_reverse,
+        coalesce(n_splits, 0) AS n_splits, 0::BIGINT AS n_supplementary FROM pl LEFT JOIN inside USING (call_id) LEFT JOIN spl USING (call_id)
+    ), rt AS (SELECT *, same_orientation / nullif(total_pairs, 0) AS same, coalesce(n_odd_sizes / nullif(n_sized, 0), 0) AS odd, coalesce(abs(n_forward - n_reverse) / nullif(n_forward + n_reverse, 0), 0) AS bias FROM cnt
+    ), z AS (SELECT *, CASE WHEN same >= 0.7 THEN 5 WHEN same >= 0.5 THEN 4 WHEN same >= 0.3 THEN 2 WHEN same <= 0.1 THEN -3 ELSE 0 END + CASE WHEN same_orientation >= 8 THEN 3 WHEN same_orientation >= 3 THEN 2 WHEN same_orientation >= 1 THEN 1 ELSE 0 END
+        + CASE WHEN n_splits >= 4 THEN 3 WHEN n_splits >= 2 THEN 2 WHEN n_splits >= 1 THEN 1 ELSE 0 END + CASE WHEN odd >= 0.5 THEN 3 WHEN odd >= 0.3 THEN 2 ELSE 0 END + CASE WHEN bias >= 0.7 THEN 2 WHEN bias >= 0.6 THEN 1 ELSE 0 END AS sc FROM rt)"""
+
+
+@query(f"""WITH {_INV} SELECT call_id, total_pairs, same_orientation, n_sized, n_odd_sizes, n_forward, n_reverse, n_splits, n_supplementary, CASE WHEN total_pairs > 0 THEN sc END AS inversion_score,
+    CASE WHEN total_pairs = 0 THEN 'insufficient_data' WHEN sc >= 8 THEN 'high' WHEN sc >= 5 THEN 'medium' WHEN sc >= 2 THEN 'low' ELSE 'negative' END AS inversion_level, total_pairs > 0 AND sc >= 2 AS is_inversion FROM z""")
+def score_inv(spark, d):
+    return germline.score_inversion(germline.count_inversion(_some_calls(spark, d), v.short_reads(spark, d), "call_id"))
+
+
+_BND = v.SHORT_READS + ", " + _PLACES + f""", one AS (SELECT call_id, count(*) AS n_reads_1, count(*) FILTER (WHERE pair) AS pairs_1, count(*) FILTER (WHERE NOT is_paired AND form < 2 AND clip >= 20 AND abs(start - p1) <= 100) + count(*) FILTER (WHERE split) AS splits_1,
+        greatest(count(*) FILTER (WHERE pair AND NOT is_reverse AND NOT mate_reverse), count(*) FILTER (WHERE pair AND NOT is_reverse AND mate_reverse), count(*) FILTER (WHERE pair AND is_reverse AND NOT mate_reverse), count(*) FILTER (WHERE pair AND is_reverse AND mate_reverse)) AS dominant
+        FROM (SELECT call_id, p1, sr.*, is_paired AND NOT mate_unmapped AND mate_contig = c2 AND abs(mate_start - p2) <= 5000 AS pair, sa_contig = c2 AND abs(mate_start + 1 - p2) <= 5000 AND sa_mapq >= 20 AS split FROM pl JOIN sr ON sr.contig = c1 AND sr.start < p1 + 5000 AND sr."end" > greatest(0, p1 - 5000) WHERE {_USABLE}) GROUP BY call_id
+    ), two AS (SELECT call_id, count(*) AS n_reads_2, count(*) FILTER (WHERE pair) AS pairs_2, count(*) FILTER (WHERE split) AS splits_2
+        FROM (SELECT call_id, is_paired AND NOT mate_unmapped AND mate_contig = c1 AND abs(mate_start - p1) <= 5000 AS pair, sa_contig = c1 AND abs(mate_start + 1 - p1) <= 5000 AND sa_mapq >= 20 AS split FROM pl JOIN sr ON sr.contig = c2 AND sr.start < p2 + 5000 AND sr."end" > greatest(0, p2 - 5000) WHERE {_USABLE}) GROUP BY call_id
+    ), cnt AS (SELECT call_id, coalesce(n_reads_1, 0) AS n_reads_1, coalesce(pairs_1, 0) AS pairs_1, coalesce(splits_1, 0) AS splits_1, coalesce(dominant, 0) AS dominant, coalesce(n_reads_2, 0) AS n_reads_2, coalesce(pairs_2, 0) AS pairs_2, coalesce(splits_2, 0) AS splits_2
+        FROM pl LEFT JOIN one USING (call_id) LEFT JOIN two USING (call_id)
+    ), z AS (SELECT *, CASE WHEN pairs_1 + pairs_2 >= 5 THEN 6 WHEN pairs_1 + pairs_2 >= 3 THEN 4 WHEN pairs_1 + pairs_2 >= 1 THEN 2 ELSE 0 END + CASE WHEN splits_1 + splits_2 >= 3 THEN 5 WHEN splits_1 + splits_2 >= 2 THEN 3 WHEN splits_1 + splits_2 >= 1 THEN 2 ELSE 0 END
+        + CASE WHEN pairs_1 > 0 AND pairs_2 > 0 THEN 3 ELSE 0 END + CASE WHEN splits_1 > 0 AND splits_2 > 0 THEN 3 ELSE 0 END + CASE WHEN dominant >= 2 AND dominant / nullif(pairs_1, 0) >= 0.7 THEN 2 ELSE 0 END + CASE WHEN n_reads_1 + n_reads_2 >= 20 THEN 1 ELSE 0 END AS sc FROM cnt)"""
+
+
+@query(f"WITH {_BND} SELECT * EXCLUDE (sc), sc AS translocation_score, CASE WHEN sc >= 10 THEN 'high' WHEN sc >= 6 THEN 'medium' WHEN sc >= 3 THEN 'low' ELSE 'not_supported' END AS translocation_level, sc >= 3 AS is_translocation FROM z")
+def score_bnd(spark, d):
+    return germline.score_translocation(germline.count_translocation(_some_calls(spark, d), v.short_reads(spark, d), "call_id"))
+
+
+@query(f"""WITH {v.SHORT_READS}, {_PLACES}, m AS (SELECT call_id, call_id % 40 AS expected, p1, sr.* FROM pl JOIN sr ON sr.contig = c1 AND sr.start < p1 + 500 AND sr."end" > greatest(0, p1 - 500) WHERE {_USABLE} AND (abs(start - p1) <= 100 OR abs("end" - p1) <= 100)
+    ), k AS (SELECT call_id, expected, clip, 'l' AS side FROM m WHERE form = 0 AND clip >= 10 AND start >= p1 - 50 UNION ALL SELECT call_id, expected, clip, 'r' FROM m WHERE form = 1 AND clip >= 10 AND "end" <= p1 + 50
+    ), n AS (SELECT call_id, count(*) FILTER (WHERE side = 'l') AS n_left, count(*) FILTER (WHERE side = 'r') AS n_right, count(*) FILTER (WHERE expected > 10 AND abs(clip - expected) <= greatest(5.0, expected * 0.2::DOUBLE)) AS n_like FROM k GROUP BY call_id
+    ), cnt AS (SELECT call_id, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right, coalesce(n_like, 0) AS n_like FROM pl LEFT JOIN n USING (call_id)
+    ), z AS (SELECT *, CASE WHEN n_left + n_right >= 5 THEN 3 WHEN n_left + n_right >= 2 THEN 2 WHEN n_left + n_right >= 1 THEN 1 ELSE 0 END + CASE WHEN n_left > 0 AND n_right > 0 THEN 2 ELSE 0 END + CASE WHEN n_like >= 2 THEN 2 ELSE 0 END AS sc FROM cnt)
+    SELECT call_id, n_left, n_right, n_like, 0::BIGINT AS n_kmer, 0::BIGINT AS n_tested, sc AS insertion_score, CASE WHEN sc >= 6 THEN 'high' WHEN sc >= 4 THEN 'medium' WHEN sc >= 2 THEN 'low' ELSE 'unsupported' END AS insertion_level, sc >= 2 AS is_insertion FROM z""")
+def score_ins(spark, d):
+    return germline.score_insertion(germline.count_insertion(_some_calls(spark, d), v.short_reads(spark, d), "call_id", c("call_id") % 40))
+
+
+@query(f"""WITH {_CALLS} SELECT call_id, CASE WHEN start_loc < 0 OR end_loc < 0 THEN 'keep' WHEN start_chr = end_chr AND abs(end_loc - start_loc) > 50000 THEN 'keep' WHEN start_chr = end_chr AND breakpoint_notation = '+-' THEN 'deletion'
+    WHEN start_chr = end_chr AND breakpoint_notation = '-+' THEN 'duplication' WHEN start_chr = end_chr AND breakpoint_notation IN ('++', '--') THEN 'inversion' WHEN start_chr <> end_chr THEN 'translocation'
+    WHEN breakpoint_notation = '<INS>' AND n_sequences > 5 THEN 'insertion' ELSE 'unknown' END AS route FROM calls""")
+def germline_router(spark, d):
+    return _calls(spark, d).select("call_id", germline.route().alias("route"))
+
+
+_ORIENT = """CASE WHEN NOT is_reverse AND NOT mate_reverse THEN 'FF' WHEN is_reverse AND mate_reverse THEN 'RR' WHEN NOT is_reverse THEN CASE WHEN start < mate_start THEN 'FR' ELSE 'RF' END WHEN start > mate_start THEN 'RF' ELSE 'FR' END"""
+_DISCORDANT = """is_paired AND NOT mate_unmapped AND NOT is_secondary AND NOT is_supplementary AND (contig <> mate_contig OR abs(template_length) < 500 OR abs(template_length) > 800 OR is_reverse = mate_reverse
+    OR CASE WHEN (is_read1 AND NOT is_reverse) OR (NOT is_read1 AND is_reverse) THEN start >= mate_start ELSE start <= mate_start END)"""
+_ID = "ord, start, mapq, \"end\""
+
+
+@query(f"WITH {v.SHORT_READS} SELECT orientation, overlapping, count(*) AS n FROM (SELECT {_ORIENT} AS orientation, coalesce(is_paired AND NOT mate_unmapped AND contig = mate_contig AND CASE WHEN mate_length IS NOT NULL THEN start < mate_start + mate_length AND mate_start < \"end\" ELSE (mate_start >= start AND mate_start < \"end\") OR (mate_start <= start AND start < mate_start + query_length) END, FALSE) AS overlapping FROM sr) GROUP BY ALL")
+def pair_orientation(spark, d):
+    return v.short_reads(spark, d).select(shortreads.pair_orientation().alias("orientation"), shortreads.is_overlapping().alias("overlapping")).groupBy("orientation", "overlapping").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {v.SHORT_READS} SELECT read_name, start, ord, {_DISCORDANT} AS discordant, is_qcfail OR is_duplicate OR is_secondary OR is_supplementary OR mapq < 20 AS filtered FROM sr")
+def discordant_pairs(spark, d):
+    return v.short_reads(spark, d).select("read_name", "start", "ord", shortreads.is_discordant(500, 800).alias("discordant"), shortreads.filtered(20).alias("filtered"))
+
+
+@query(f"WITH {v.SHORT_READS} SELECT sv_type, count(*) AS n FROM (SELECT CASE WHEN contig <> mate_contig THEN 'TRA' WHEN abs(template_length) > 1000 THEN 'DEL' WHEN is_reverse = mate_reverse THEN 'INV' ELSE 'UNK' END AS sv_type FROM sr) GROUP BY sv_type")
+def pair_sv_type(spark, d):
+    return v.short_reads(spark, d).groupBy(shortreads.pair_type().alias("sv_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {v.SHORT_READS}, k AS (SELECT * FROM sr WHERE is_read1 AND {_DISCORDANT})
+    SELECT ord, start, mapq, contig AS bp1_contig, greatest(0, CASE WHEN is_reverse THEN start ELSE "end" END - 500) AS bp1_begin, least(300000, CASE WHEN is_reverse THEN start ELSE "end" END + 500) AS bp1_end, CASE WHEN is_reverse THEN 'SVBEND_LEFT_OPEN' ELSE 'SVBEND_RIGHT_OPEN' END AS bp1_state,
+        mate_contig AS bp2_contig, greatest(0, CASE WHEN mate_reverse THEN mate_start ELSE mate_start + coalesce(mate_length, query_length) END - 500) AS bp2_begin, least(300000, CASE WHEN mate_reverse THEN mate_start ELSE mate_start + coalesce(mate_length, query_length) END + 500) AS bp2_end,
+        CASE WHEN mate_reverse THEN 'SVBEND_LEFT_OPEN' ELSE 'SVBEND_RIGHT_OPEN' END AS bp2_state, abs(template_length) AS insert_size, {_ORIENT} AS orientation FROM k""")
+def discordant_breakends(spark, d):
+    names = [f"bp{i}_{f}" for i in (1, 2) for f in ("contig", "begin", "end", "state")]
+    return shortreads.discordant_candidates(v.short_reads(spark, d), v.contigs(spark, d), 500, 800).select("ord", "start", "mapq", *names, "insert_size", "orientation")
+
+
+@query(f"""WITH {v.SHORT_READS}, a AS (SELECT *, CASE form WHEN 0 THEN clip ELSE 0 END AS aqs, CASE form WHEN 0 THEN clip + 120 ELSE 120 END AS aqe, CASE form WHEN 1 THEN clip ELSE 0 END AS acr, CAST(substr(sa_contig, 4) AS INTEGER) AS cn FROM sr WHERE sa_contig IS NOT NULL AND sa_mapq >= 20
+    ), b AS (SELECT *, least(aqe, 120) - greatest(aqs, 30) AS shared, greatest(0, greatest(start, mate_start) - least("end", mate_start + 90)) AS apart FROM a)
+    SELECT ord, start, mapq, sa_contig AS split_contig, mate_start AS split_start FROM b WHERE cn <= 22 AND (abs(aqe - 30) <= 10 OR abs(120 - aqs) <= 10 OR (shared <= 20 AND -shared <= 20)) AND (aqe - aqs) + 90 <= 120 + 30 AND (NOT (contig = sa_contig AND apart <= 1000) OR greatest(aqs, acr, 30) >= 8)""")
+def sa_validation(spark, d):
+    return shortreads.split_alignments(v.short_reads(spark, d)).select("ord", "start", "mapq", "split_contig", c("s.ref_start").alias("split_start"))
+
+
+@query(f"""WITH {v.SHORT_READS} SELECT ord, start, mapq, 'DEL' AS evidence_type, greatest(0, start + 60 - 100) AS bp1_begin, least(300000, start + 60 + 100) AS bp1_end, greatest(0, start + 105 - 100) AS bp2_begin, least(300000, start + 105 + 100) AS bp2_end FROM sr WHERE form = 2""")
+def indel_breakends(spark, d):
+    rows = shortreads.indel_candidates(v.short_reads(spark, d), v.contigs(spark, d), c("start"), c("end"), 40)
+    return rows.select("ord", "start", "mapq", "evidence_type", "bp1_begin", "bp1_end", "bp2_begin", "bp2_end")
+
+
+@query(f"""WITH {v.SHORT_READS}, {_PLACES}, w AS (SELECT call_id, 'start' AS side, c1 AS k, greatest(0, p1 - 1000) AS lo, p1 + 1000 AS hi FROM pl UNION ALL SELECT call_id, 'end', c2, greatest(0, p2 - 1000), p2 + 1000 FROM pl
+    ), m AS (SELECT call_id, side, CASE WHEN form < 2 AND clip >= 15 THEN 'clip' WHEN is_paired AND NOT mate_unmapped AND contig <> mate_contig THEN 'discordant' WHEN CAST(substr(sa_contig, 4) AS INTEGER) <= 22 AND sa_mapq >= 0 THEN 'split' END AS evidence
+        FROM w JOIN sr ON sr.contig = k AND start < hi AND "end" > lo WHERE NOT (is_qcfail OR is_duplicate OR is_secondary OR is_supplementary))
+    SELECT call_id, side, evidence, count(*) AS n FROM m WHERE evidence IS NOT NULL GROUP BY ALL""")
+def evidence_reads(spark, d):
+    rows = shortreads.collect_evidence(_some_calls(spark, d), v.short_reads(spark, d), "call_id", "bnd")
+    return rows.where("evidence <> 'mate'").groupBy("call_id", "side", "evidence").agg(F.count("*").alias("n"))
+
+
+# --- similarity and components -----------------------------------------------------------------------------
+
+_EV = """ev AS (SELECT s_suppkey AS k, list_sort(list_distinct(list(struct_pack(s := l_partkey * 100 % 3000, e := l_partkey * 100 % 3000 + CAST(l_quantity AS BIGINT), n := CAST(l_quantity AS BIGINT))) FILTER (WHERE l_linenumber = 1))) AS dels
+    FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey)"""
+
+
+def _events_of_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    t = v.table(spark, d, "lineitem").where("l_linenumber = 1")
+    q = c("l_quantity").cast("bigint")
+    e = F.struct((c("l_partkey") * 100 % 3000).alias("start"), (c("l_partkey") * 100 % 3000 + q).alias("end"), q.alias("len"))
+    return t.groupBy(c("l_suppkey").alias("k")).agg(F.array_sort(F.collect_set(e)).alias("dels"))
+
+
+@query(f"""WITH {_EV}, p AS (SELECT a.k AS a, b.k AS b, len(list_filter(a.dels, lambda x: len(list_filter(b.dels, lambda y: abs(x.s - y.s) <= 50 AND abs(x.e - y.e) <= 50 AND greatest(x.n, y.n) > 0 AND least(x.n, y.n) >= greatest(x.n, y.n) * 0.8::DOUBLE)) > 0)) AS m,
+        len(a.dels) AS na, len(b.dels) AS nb FROM ev a JOIN ev b ON a.k < b.k AND a.k % 10 = b.k % 10)
+    SELECT a, b, round(least(1.0, m / ((na + nb) / 2.0::DOUBLE)), 6) AS similarity FROM p""")
+def cigar_similarity(spark, d):
+    e = _events_of_suppliers(spark, d)
+    a, b = e.select(c("k").alias("a"), c("dels").alias("da")), e.select(c("k").alias("b"), c("dels").alias("db"))
+    none = F.filter(c("da"), lambda _: F.lit(False))
+    pairs = a.join(b, (c("a") % 10 == c("b") % 10) & (c("a") < c("b")))
+    return pairs.select("a", "b", F.round(cigar.similarity(c("da"), none, c("db"), none), 6).alias("similarity"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 97 AS u, l_partkey % 97 AS v FROM lineitem WHERE l_partkey % 50 = 0 AND l_orderkey % 20 = 0
+    ), both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e
+    ), walk AS (SELECT u AS node, u AS seen FROM both_ways UNION SELECT walk.node, b.v FROM walk JOIN both_ways b ON walk.seen = b.u)
+    SELECT node, min(seen) AS root FROM walk GROUP BY node""")
+def connected_components(spark, d):
+    from strandloom.operators.components import components
+
+    e = v.table(spark, d, "lineitem").where("l_partkey % 50 = 0 and l_orderkey % 20 = 0").select((c("l_orderkey") % 97).alias("u"), (c("l_partkey") % 97).alias("v")).distinct()
+    return components(e)
+
+
+# --- variant text ------------------------------------------------------------------------------------------
+
+_ALT1 = """CASE breakpoint_notation WHEN '<INS>' THEN '<INS>' WHEN '++' THEN 'A]' || end_chr || ':' || end_loc || ']' WHEN '+-' THEN 'A[' || end_chr || ':' || end_loc || '[' WHEN '-+' THEN ']' || end_chr || ':' || end_loc || ']A' ELSE '[' || end_chr || ':' || end_loc || '[A' END"""
+_ALT2 = """CASE breakpoint_notation WHEN '++' THEN 'C]' || start_chr || ':' || start_loc || ']' WHEN '+-' THEN ']' || start_chr || ':' || start_loc || ']C' WHEN '-+' THEN 'C[' || start_chr || ':' || start_loc || '[' WHEN '--' THEN '[' || start_chr || ':' || start_loc || '[C' END"""
+
+
+@query(f"WITH {_CALLS} SELECT call_id, {_ALT1} AS alt_1, {_ALT2} AS alt_2 FROM calls")
+def vcf_alt(spark, d):
+    first, second = variants.alt_alleles(F.lit("A"), F.lit("C"))
+    return _calls(spark, d).select("call_id", first.alias("alt_1"), second.alias("alt_2"))
+
+
+@query(f"""WITH {_ANNOTATED}, n AS (SELECT *, row_number() OVER (ORDER BY start_chr, cluster, call_id) - 1 AS count FROM ann
+    ), l AS (SELECT count, 1 AS n, start_chr AS chrom, start_loc AS pos, {_ALT1} AS alt, breakpoint_notation, normal_reads, tumor_reads, sv_length FROM n UNION ALL SELECT count, 2, end_chr, end_loc, {_ALT2}, breakpoint_notation, normal_reads, tumor_reads, sv_length FROM n WHERE breakpoint_notation <> '<INS>')
+    SELECT count, n, chrom || chr(9) || pos || chr(9) || 'ID_' || count || '_' || n || chr(9) || CASE n WHEN 1 THEN 'A' ELSE 'C' END || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' AS line_head,
+        'SVTYPE=' || CASE breakpoint_notation WHEN '<INS>' THEN 'INS' ELSE 'BND' END || ';NORMAL_READ_SUPPORT=' || normal_reads || ';TUMOR_READ_SUPPORT=' || tumor_reads AS info_head, CASE WHEN normal_reads >= 1 THEN '0/0' ELSE '0/1' END AS gt FROM l""")
+def vcf_lines(spark, d):
+    from pyspark.sql import Window
+
+    calls = _annotated(spark, d).withColumns({"start_base": F.lit("A"), "end_base": F.lit("C")})
+    calls = calls.withColumn("count", F.row_number().over(Window.orderBy("start_chr", "cluster", "call_id")) - 1)
+    rows = variants.variant_records(calls)
+    line = variants.variant_lines(rows).withColumn("line_head", F.substring_index("line", "\t", 7))
+    return rows.join(line, ["count", "n"]).select("count", "n", "line_head", F.substring_index("info", ";", 3).alias("info_head"), "gt")
+
+
+@query("""WITH i AS (SELECT event_id, 'SVTYPE=' || event_type || ';END=' || event_id || ';PRECISE;AF=' || (event_id % 7) || ',' || (event_id % 5) AS info FROM events)
+    SELECT event_id, regexp_extract(info, 'SVTYPE=([^;]*)', 1) AS svtype, CAST(regexp_extract(info, 'END=([^;]*)', 1) AS BIGINT) AS end_pos, 'true' AS precise, regexp_extract(info, 'AF=([^;]*)', 1) AS af FROM i""")
+def info_parse(spark, d):
+    e = v.table(spark, d, "events")
+    info = F.concat(F.lit("SVTYPE="), c("event_type"), F.lit(";END="), c("event_id").cast("string"), F.lit(";PRECISE;AF="), (c("event_id") % 7).cast("string"), F.lit(","), (c("event_id") % 5).cast("string"))
+    m = e.select("event_id", text.info_map(info).alias("m"))
+    get = lambda k: F.try_element_at("m", F.lit(k))
+    return m.select("event_id", get("SVTYPE").alias("svtype"), get("END").cast("bigint").alias("end_pos"), get("PRECISE").alias("precise"), get("AF").alias("af"))
+
+
+@query("SELECT 'chr' || (n_nationkey + 1) AS contig, unnest(range(0, 300000, 70000)) AS chunk_start, least(unnest(range(0, 300000, 70000)) + 70000, 300000) AS chunk_end FROM nation WHERE n_nationkey < 24")
+def contig_chunks(spark, d):
+    return text.contig_chunks(v.contigs(spark, d), 70_000)
+
+
+@query(f"""WITH {_CALLS}, n AS (SELECT *, row_number() OVER (ORDER BY start_chr, cluster, call_id) - 1 AS count FROM calls
+    ), own AS (SELECT count AS k, start_chr AS sc, start_loc + count % 4 * 4000 AS sl, end_chr AS ec, end_loc AS el FROM n WHERE count % 2 = 0)
+    SELECT call_id FROM n WHERE NOT EXISTS (SELECT 1 FROM own WHERE k = count AND sc = start_chr AND ec = end_chr AND abs(sl - start_loc) <= 10000 AND abs(el - end_loc) <= 10000)""")
+def contig_antijoin(spark, d):
+    from pyspark.sql import Window
+
+    calls = _calls(spark, d).withColumn("count", F.row_number().over(Window.orderBy("start_chr", "cluster", "call_id")).cast("bigint") - 1)
+    own = calls.where("count % 2 = 0").select(F.concat(F.lit("contig_"), c("count").cast("string"), F.lit("_DEL_0")).alias("read_name"), "start_chr", (c("start_loc") + c("count") % 4 * 4000).alias("start_loc"), "end_chr", "end_loc")
+    return assembly.drop_explained(calls, own).select("call_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN 0.0 WHEN p_size >= 40 THEN 1.0 ELSE (p_size - 10) / 30.0::DOUBLE END AS scaled, coalesce(TRY_CAST(p_size || '.7' AS DOUBLE), 0.0) AS as_float, coalesce(CAST(trunc(TRY_CAST(p_name AS DOUBLE)) AS BIGINT), 0) AS as_int FROM part")
+def lenient_casts(spark, d):
+    t = v.table(spark, d, "part")
+    return t.select("p_partkey", x.scale(c("p_size"), 10.0, 40.0).alias("scaled"), x.as_float(F.concat(c("p_size").cast("string"), F.lit(".7"))).alias("as_float"), x.as_int(c("p_name")).alias("as_int"))
