@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, insertion_like
 from strandloom.operators.clustering import CLUSTER, end_clusters, insert_length_islands, statistics
+from strandloom.operators.stages import settle
 
 GROUP = [*CLUSTER, "end_chr"]
 SAMPLES = ("tumor", "normal")
@@ -76,7 +77,7 @@ def insertion_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """
     like = rows.where(insertion_like(F.col("breakpoint_notation")))
     enough = like.groupBy(*GROUP).agg(F.count("*").alias("__n")).where(F.col("__n") >= config.min_support).drop("__n")
-    numbered = insert_length_islands(like.join(enough, GROUP, "left_semi"), GROUP, config.insert_fraction)
+    numbered = settle(insert_length_islands(like.join(enough, GROUP, "left_semi"), GROUP, config.insert_fraction), "length-islands")
     whole = numbered.groupBy(*GROUP, "length_island").agg(*call_aggregates()).where(_has_support(config))
     merged = whole.where("n_insertions >= 2").withColumn("breakpoint_notation", F.lit(INSERTION))
     few = whole.where("n_insertions < 2").select(*GROUP, "length_island")
@@ -90,7 +91,7 @@ def insertion_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def end_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Calls from rows with two ends: one for each end cluster and notation with support and length."""
-    ends = end_clusters(rows, config)
+    ends = settle(end_clusters(rows, config), "end-clusters")
     keys = [*GROUP, "end_cluster"]
     calls = ends.groupBy(*keys, "breakpoint_notation").agg(*call_aggregates()).where(_has_support(config))
     calls = calls.join(ends.groupBy(*keys).agg(*statistics("end_")), keys)
@@ -109,7 +110,7 @@ def drop_minor_single_ends(calls: DataFrame, keys: list[str]) -> DataFrame:
 
 def call_breakpoints(clustered: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Clustered breakpoints -> consensus calls, one flat row each."""
-    rows = _large_groups(clustered, config)
-    calls = insertion_calls(rows, config).unionByName(end_calls(rows, config))
+    rows = settle(_large_groups(clustered, config), "call-groups")
+    calls = settle(insertion_calls(rows, config).unionByName(end_calls(rows, config)), "raw-calls")
     final = drop_minor_single_ends(calls, [*CLUSTER, "group_end_chr"])
     return final.join(total_reads(clustered), CLUSTER)

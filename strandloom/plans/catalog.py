@@ -11,6 +11,7 @@ from strandloom.config import DEFAULT
 from strandloom.functions import cigar, kmers
 from strandloom.functions import columns as x
 from strandloom.operators import assembly, breakpoints, calling, clustering, coverage, depth, germline, ordered, panel, shortreads, somatic
+from strandloom.operators.stages import settle
 from strandloom.plans import views as v
 from strandloom.sources import text, variants
 
@@ -53,7 +54,7 @@ def _stats(prefix: str = "") -> str:
 
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.start_clusters(v.breakpoints(spark, d))
+    return settle(clustering.start_clusters(v.breakpoints(spark, d)), "clusters")
 
 
 @query(f"""WITH {v.CLUSTERED}
@@ -269,7 +270,7 @@ _DEPTHS = [f"dp_{s}_{p}_{e}" for s in ("tumor", "normal") for p in ("before", "a
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
-    return depth.annotate_depth(_calls(spark, d), _coverage(spark, d))
+    return settle(depth.annotate_depth(settle(_calls(spark, d), "calls"), _coverage(spark, d)), "annotated")
 
 
 @query(f"WITH {_ANNOTATED} SELECT call_id, {', '.join(_DEPTHS)}, hp_tumor_start, hp_tumor_end, hp_normal_start, hp_normal_end FROM ann")
@@ -375,7 +376,7 @@ def depth_threshold(spark, d):
 @query(f"""WITH {_CALLS}, {v.REGIONS}, hit AS (SELECT call_id, min((b.start, b."end")) AS r FROM calls JOIN bed b ON b.contig = calls.start_chr AND calls.start_loc BETWEEN b.start AND b."end" + 1 GROUP BY call_id)
     SELECT call_id, r[1] AS region_start, r[2] AS region_end, r IS NOT NULL AS in_region FROM calls LEFT JOIN hit USING (call_id)""")
 def bed_lookup(spark, d):
-    return somatic.lookup_regions(_calls(spark, d), v.regions(spark, d)).select("call_id", "region_start", "region_end", "in_region")
+    return somatic.lookup_regions(settle(_calls(spark, d), "calls"), v.regions(spark, d)).select("call_id", "region_start", "region_end", "in_region")
 
 
 _STRICT_LOW_SQL = ORACLES["filter_strict_low"].split("SELECT call_id, ")[-1].rsplit(" AS reason", 1)[0]
