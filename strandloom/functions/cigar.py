@@ -15,7 +15,7 @@ MATCH, ON_REFERENCE, ON_QUERY = ("M", "=", "X"), ("M", "D", "=", "X"), ("M", "I"
 def operations(cigar: Column) -> Column:
     """array<struct<len bigint, op string>>"""
     zipped = F.arrays_zip(F.regexp_extract_all(cigar, F.lit(PATTERN), 1).alias("n"), F.regexp_extract_all(cigar, F.lit(PATTERN), 2).alias("o"))
-    return F.transform(zipped, lambda x: F.struct(x["0"].cast("bigint").alias("len"), x["1"].alias("op")))
+    return F.transform(zipped, lambda x: F.struct(x["n"].cast("bigint").alias("len"), x["o"].alias("op")))
 
 
 def total(ops: Column, kinds: tuple[str, ...]) -> Column:

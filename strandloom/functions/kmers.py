@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bases in a piece of a sequence: places in a string are found by walking it, so long ones are cut first.
+PIECE = 512
+
+
+def upper(sequence: Column) -> Column:
+    """Letters a to z in upper case; other characters stay as they are."""
+    return F.translate(sequence, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def kmers(sequence: Column, k: int, distinct: bool = True, amount: str = "N") -> Column:
     """All k-mers of the upper-case sequence without the letter of unknown bases; empty if it is shorter."""
-    upper = F.upper(sequence)
-    places = F.when(F.length(upper) >= k, F.sequence(F.lit(1), F.length(upper) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.transform(places, lambda i: F.substring(upper, i, F.lit(k))), lambda x: ~F.contains(x, F.lit(amount)))
+    letters = upper(sequence)
+    none = F.array().cast("array<int>")
+    starts = F.when(F.length(letters) >= k, F.sequence(F.lit(1), F.length(letters) - (k - 1), F.lit(PIECE))).otherwise(none)
+    pieces = F.transform(starts, lambda i: F.substring(letters, i, F.lit(PIECE + k - 1)))
+    inside = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substring(p, i, F.lit(k)))
+    found = F.filter(F.flatten(F.transform(pieces, inside)), lambda x: ~F.contains(x, F.lit(amount)))
     return F.array_distinct(found) if distinct else found
 
 

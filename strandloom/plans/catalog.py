@@ -505,8 +505,8 @@ def tandem_dups(spark, d):
 # --- k-mers ----------------------------------------------------------------------------------------------
 
 _K = 12
-_REF = f"""ref AS (SELECT DISTINCT item_id, kmer FROM (SELECT item_id, unnest(list_transform(range(1, greatest(length(t) - {_K} + 2, 1)), lambda i: substr(t, i, {_K}))) AS kmer FROM (SELECT item_id, upper(text) AS t FROM benchmark)) WHERE kmer NOT LIKE '%N%')"""
-_READ = f"""rk AS (SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(t) - {_K} + 2, 1)), lambda i: substr(t, i, {_K}))) AS kmer FROM (SELECT upper(text) AS t FROM documents)) WHERE kmer NOT LIKE '%N%' GROUP BY kmer)"""
+_REF = f"""ref AS (SELECT DISTINCT item_id, kmer FROM (SELECT item_id, unnest(list_transform(range(1, greatest(length(t) - {_K} + 2, 1)), lambda i: substr(t, i, {_K}))) AS kmer FROM (SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM benchmark)) WHERE kmer NOT LIKE '%N%')"""
+_READ = f"""rk AS (SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(t) - {_K} + 2, 1)), lambda i: substr(t, i, {_K}))) AS kmer FROM (SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM documents)) WHERE kmer NOT LIKE '%N%' GROUP BY kmer)"""
 
 
 def _reference_kmers(spark: SparkSession, d: str) -> DataFrame:
@@ -543,8 +543,8 @@ def kmer_match_dup(spark, d):
     return kmers.duplication_support(_matched(spark, d), items, ["item_id"])
 
 
-@query("""WITH k AS (SELECT list_distinct(list_filter(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21)), lambda s: NOT contains(s, 'N'))) AS ks FROM (SELECT upper(text) AS t FROM benchmark WHERE item_id = 3))
-    SELECT doc_id, list_has_any(list_filter(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21)), lambda s: NOT contains(s, 'N')), (SELECT ks FROM k)) AS shares FROM (SELECT doc_id, upper(text) AS t FROM documents)""")
+@query("""WITH k AS (SELECT list_distinct(list_filter(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21)), lambda s: NOT contains(s, 'N'))) AS ks FROM (SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM benchmark WHERE item_id = 3))
+    SELECT doc_id, list_has_any(list_filter(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21)), lambda s: NOT contains(s, 'N')), (SELECT ks FROM k)) AS shares FROM (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM documents)""")
 def insertion_kmers(spark, d):
     known = v.table(spark, d, "benchmark").where("item_id = 3").select(kmers.kmers(c("text"), 21).alias("k")).first().k
     return v.table(spark, d, "documents").select("doc_id", kmers.shares_kmer(c("text"), F.array(*[F.lit(k) for k in known]), 21).alias("shares"))
@@ -690,8 +690,8 @@ _INV = v.SHORT_READS + ", " + _PLACES + f""", sp AS (SELECT *, CASE WHEN p2 - le
     ), m AS (SELECT call_id, sr.*, is_paired AND NOT mate_unmapped AND mate_contig = contig AND mate_start BETWEEN lo AND hi AS pair FROM sp JOIN sr ON sr.contig = c1 AND sr.start < hi AND sr."end" > lo WHERE {_USABLE}
     ), inside AS (SELECT call_id, count(*) FILTER (WHERE pair) AS total_pairs, count(*) FILTER (WHERE pair AND is_reverse = mate_reverse) AS same_orientation, count(*) FILTER (WHERE pair AND template_length <> 0) AS n_sized,
         count(*) FILTER (WHERE pair AND template_length <> 0 AND (abs(template_length) > 2000 OR abs(template_length) < 100)) AS n_odd_sizes, count(*) FILTER (WHERE NOT is_reverse) AS n_forward, count(*) FILTER (WHERE is_reverse) AS n_reverse FROM m GROUP BY call_id
-    ), ends AS (SELECT call_id, c1, p1 AS at FROM pl UNION ALL SELECT call_id, c1, p2 FROM pl
-    ), spl AS (SELECT call_id, count(*) AS n_splits FROM ends JOIN sr ON sr.contig = c1 AND sr.start < at + 200 AND sr."end" > greatest(0, at - 200) WHERE mapq >= 20 AND form < 2 AND clip >= 15 AND abs(start - at) <= 100 GROUP BY call_id
+    ), ends AS (SELECT call_id, c1, p1 AS place FROM pl UNION ALL SELECT call_id, c1, p2 FROM pl
+    ), spl AS (SELECT call_id, count(*) AS n_splits FROM ends JOIN sr ON sr.contig = c1 AND sr.start < place + 200 AND sr."end" > greatest(0, place - 200) WHERE mapq >= 20 AND form < 2 AND clip >= 15 AND abs(start - place) <= 100 GROUP BY call_id
     ), cnt AS (SELECT call_id, coalesce(total_pairs, 0) AS total_pairs, coalesce(same_orientation, 0) AS same_orientation, coalesce(n_sized, 0) AS n_sized, coalesce(n_odd_sizes, 0) AS n_odd_sizes, coalesce(n_forward, 0) AS n_forward, coalesce(n_reverse, 0) AS n_reverse,
         coalesce(n_splits, 0) AS n_splits, 0::BIGINT AS n_supplementary FROM pl LEFT JOIN inside USING (call_id) LEFT JOIN spl USING (call_id)
     ), rt AS (SELECT *, same_orientation / nullif(total_pairs, 0) AS same, coalesce(n_odd_sizes / nullif(n_sized, 0), 0) AS odd, coalesce(abs(n_forward - n_reverse) / nullif(n_forward + n_reverse, 0), 0) AS bias FROM cnt
@@ -769,8 +769,8 @@ def discordant_breakends(spark, d):
 
 
 @query(f"""WITH {v.SHORT_READS}, a AS (SELECT *, CASE form WHEN 0 THEN clip ELSE 0 END AS aqs, CASE form WHEN 0 THEN clip + 120 ELSE 120 END AS aqe, CASE form WHEN 1 THEN clip ELSE 0 END AS acr, CAST(substr(sa_contig, 4) AS INTEGER) AS cn FROM sr WHERE sa_contig IS NOT NULL AND sa_mapq >= 20
-    ), b AS (SELECT *, least(aqe, 120) - greatest(aqs, 30) AS shared, greatest(0, greatest(start, mate_start) - least("end", mate_start + 90)) AS apart FROM a)
-    SELECT ord, start, mapq, sa_contig AS split_contig, mate_start AS split_start FROM b WHERE cn <= 22 AND (abs(aqe - 30) <= 10 OR abs(120 - aqs) <= 10 OR (shared <= 20 AND -shared <= 20)) AND (aqe - aqs) + 90 <= 120 + 30 AND (NOT (contig = sa_contig AND apart <= 1000) OR greatest(aqs, acr, 30) >= 8)""")
+    ), b AS (SELECT *, least(aqe, 30) - greatest(aqs, 0) AS shared, greatest(0, greatest(start, mate_start) - least("end", mate_start + 30)) AS apart FROM a)
+    SELECT ord, start, mapq, sa_contig AS split_contig, mate_start AS split_start FROM b WHERE cn <= 22 AND (abs(aqe - 0) <= 10 OR abs(30 - aqs) <= 10 OR (shared <= 20 AND -shared <= 20)) AND (aqe - aqs) + 30 <= 120 + 30 AND (NOT (contig = sa_contig AND apart <= 1000) OR greatest(aqs, acr, 90) >= 8)""")
 def sa_validation(spark, d):
     return shortreads.split_alignments(v.short_reads(spark, d)).select("ord", "start", "mapq", "split_contig", c("s.ref_start").alias("split_start"))
 

@@ -104,7 +104,7 @@ def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.when(c("l_orderkey") % 3 == 2, 165).otherwise(120)
     mate = F.when(c("l_orderkey") % 7 == 0, _contig(c("l_suppkey") + 1)).otherwise(_contig(c("l_suppkey")))
     mate_start = start + F.floor(c("l_extendedprice") / 100) * F.when(c("l_linenumber") % 2 == 0, -1).otherwise(1)
-    sa = F.when(c("l_partkey") % 5 == 0, F.concat_ws(",", mate, (mate_start + 1).cast("string"), F.lit("+"), F.lit("30S90M"), (q % 60).cast("string"), F.lit("0")))
+    sa = F.when(c("l_partkey") % 5 == 0, F.concat_ws(",", mate, (mate_start + 1).cast("string"), F.lit("+"), F.lit("30M90S"), (q % 60).cast("string"), F.lit("0")))
     return t.select(
         F.concat(F.lit("s"), c("l_orderkey").cast("string")).alias("read_name"), _contig(c("l_suppkey")).alias("contig"), start.cast("bigint").alias("start"), (start + span).cast("bigint").alias("end"),
         (10 + q).cast("int").alias("mapq"), text.alias("cigar"), mate.alias("mate_contig"), mate_start.cast("bigint").alias("mate_start"), (mate_start - start).cast("bigint").alias("template_length"),
