@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import filesystem, mixed, shared_path, short_batches, text_slices, word_hashes
+from strandloom.llm.common import filesystem, mixed, release, shared_path, short_batches, text_slices, word_hashes
 
 WINDOW, K = 10, 5
 SPAN = WINDOW - K + 1
@@ -243,6 +243,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", in
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield results(batch, shared.value)
+        release()
 
     names = [f.split()[0] for f in RESULT.split(", ")]
     out = docs.drop(*names, "contaminated").withColumn("__hit", scan(F.col(text)))

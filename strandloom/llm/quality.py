@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import crc_bucket, labelled_sample, materialize, segment_sums, short_batches, text_slices
+from strandloom.llm.common import crc_bucket, labelled_sample, materialize, release, segment_sums, short_batches, text_slices
 
 PER_CLASS, TRAIN_BYTES = 4000, 60_000
 FEATURES, BANDWIDTH, PENALTY, SEED = 192, 3.0, 1e-3, 20240229
@@ -151,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, lab
     def stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(list(column_statistics(batch)), pa.list_(pa.float64()))
+        release()
 
     rows = materialize(sample.select("label", stats(F.col("text")).alias("x")), "quality-sample")
     sums = rows.select("label", *[F.col("x")[i].alias(f"x{i}") for i in range(width)]).agg(
@@ -201,6 +202,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(shared.value.scores(column_statistics(batch)), pa.float64())
+        release()
 
     out = docs.withColumn("score", quality(F.col(text)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialize, short_batches
+from strandloom.llm.common import materialize, release, short_batches
 from strandloom.llm.components import connected_components
 
 DISTANCE = 3
@@ -73,6 +73,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
         for batch in batches:
             found = [fingerprint(x) for x in batch.cast(pa.binary()).to_pylist()]
             yield pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
+        release()
 
     return docs.withColumn(name, simhash(F.col(text)))
 
@@ -234,6 +235,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             held = len(keys[0])
     if keys:
         yield flush(True)
+    release()
 
 
 def links(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

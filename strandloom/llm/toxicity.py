@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import crc_bucket, labelled_sample, short_batches, text_slices
+from strandloom.llm.common import crc_bucket, labelled_sample, release, short_batches, text_slices
 
 ORDERS = (4, 5, 6, 7)
 #: The most labelled documents of each class that training reads, and the longest of them.
@@ -197,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, lab
     def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "label"])
         model = fit(list(pdf["text"]), pdf["label"].to_numpy())
+        release()
         return pd.DataFrame({"hash": np.append(model.hashes.view(np.int64), 0), "weight": np.append(model.weights, model.intercept), "is_intercept": [False] * len(model.hashes) + [True]})
 
     rows = sample.groupBy(F.lit(1).alias("all")).applyInPandas(fit_group, "hash bigint, weight double, is_intercept boolean").toPandas()
@@ -219,6 +220,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         own = Model(*shared.value)
         for batch in batches:
             yield pa.array(own.scores(batch), pa.float64())
+        release()
 
     out = docs.withColumn("score", toxic(F.col(text)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
