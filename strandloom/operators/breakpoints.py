@@ -55,7 +55,7 @@ def split_alignments(reads: DataFrame, least_mapq: Column | int) -> DataFrame:
     """One row for each alignment in the SA tag with mapping quality above the limit on a known contig."""
     part = F.split(F.col("sa_part"), ",")
     rows = reads.select("read_name", "sample", F.explode(F.filter(F.split("sa", ";"), lambda x: x != "")).alias("sa_part"))
-    rows = rows.select("read_name", "sample", part[0].alias("contig"), part[1].try_cast("bigint").alias("ref_start"), (part[2] == "-").alias("is_reverse"), part[3].alias("cigar"), part[4].try_cast("int").alias("mapq"))
+    rows = rows.select("read_name", "sample", F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).try_cast("bigint").alias("ref_start"), (F.get(part, F.lit(2)) == "-").alias("is_reverse"), F.get(part, F.lit(3)).alias("cigar"), F.get(part, F.lit(4)).try_cast("int").alias("mapq"))
     return rows.where((F.col("mapq") > least_mapq) & (contig_ordinal(F.col("contig")) > 0))
 
 

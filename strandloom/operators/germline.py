@@ -291,7 +291,7 @@ def score_inversion(rows: DataFrame) -> DataFrame:
 def _to_partner(contig: Column, at: Column, config: Config) -> Column:
     """Number of alignments in the SA tag near the partner end, mapped well enough."""
     parts = F.filter(F.split(F.coalesce("sa", F.lit("")), ";"), lambda x: x != "")
-    near = lambda x: (F.split(x, ",")[0] == contig) & (F.abs(F.split(x, ",")[1].try_cast("bigint") - at) <= config.translocation_window) & (F.split(x, ",")[4].try_cast("int") >= config.min_read_mapq)
+    near = lambda x: (F.get(F.split(x, ","), F.lit(0)) == contig) & (F.abs(F.get(F.split(x, ","), F.lit(1)).try_cast("bigint") - at) <= config.translocation_window) & (F.get(F.split(x, ","), F.lit(4)).try_cast("int") >= config.min_read_mapq)
     return F.size(F.filter(parts, lambda x: (F.size(F.split(x, ",")) >= 6) & F.coalesce(near(x), F.lit(False))))
 
 

@@ -89,7 +89,7 @@ def split_alignments(reads: DataFrame, least_mapq: int = 20, contigs: list[str]
     part = F.split("sa_part", ",")
     rows = reads.where("sa is not null").withColumn("a", alignment())
     rows = rows.withColumn("sa_part", F.explode(F.filter(F.split("sa", ";"), lambda x: x != "")))
-    rows = rows.withColumns({"split_contig": part[0], "split_reverse": part[2] == "-", "split_mapq": part[4].try_cast("int"), "s": cigar.summary(part[3], part[1].try_cast("bigint") - 1, skips=True)})
+    rows = rows.withColumns({"split_contig": F.get(part, F.lit(0)), "split_reverse": F.get(part, F.lit(2)) == "-", "split_mapq": F.get(part, F.lit(4)).try_cast("int"), "s": cigar.summary(F.get(part, F.lit(3)), F.get(part, F.lit(1)).try_cast("bigint") - 1, skips=True)})
     return rows.where(c("split_contig").isin(contigs) & (c("split_mapq") >= least_mapq) & is_valid_split()).drop("sa_part")
 
 
@@ -244,7 +244,7 @@ def clipped(least: int = 15) -> Column:
 def has_split(least_mapq: int = 20) -> Column:
     """Whether the SA tag names an alignment on a known contig that maps well (without the read-level checks)."""
     parts = F.filter(F.split(F.coalesce("sa", F.lit("")), ";"), lambda x: x != "")
-    return F.exists(parts, lambda x: F.split(x, ",")[0].isin(CONTIGS) & (F.split(x, ",")[4].try_cast("int") >= least_mapq))
+    return F.exists(parts, lambda x: F.get(F.split(x, ","), F.lit(0)).isin(CONTIGS) & (F.get(F.split(x, ","), F.lit(4)).try_cast("int") >= least_mapq))
 
 
 def collect_evidence(calls: DataFrame, reads: DataFrame, key: str, kind: str, margin: int = 1000, least_mapq: int = 0, least_size: int = 750, most_size: int = 1_000_000) -> DataFrame:

@@ -77,8 +77,8 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     part = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#")).where(F.size(part) >= 8)
     names = ["chrom", "pos", "id", "ref", "alt", "qual", "filter"]
-    fixed = [part[i].alias(n) if n != "pos" else part[i].cast("bigint").alias(n) for i, n in enumerate(names)]
-    return rows.select(*fixed, info_map(part[7]).alias("info"), part[7].alias("info_text"), F.try_element_at(part, F.lit(9)).alias("format"), F.try_element_at(part, F.lit(10)).alias("sample"))
+    fixed = [F.get(part, F.lit(i)).alias(n) if n != "pos" else F.get(part, F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(names)]
+    return rows.select(*fixed, info_map(F.get(part, F.lit(7))).alias("info"), F.get(part, F.lit(7)).alias("info_text"), F.try_element_at(part, F.lit(9)).alias("format"), F.try_element_at(part, F.lit(10)).alias("sample"))
 
 
 def sample_names(spark: SparkSession, path: str) -> list[str]:
@@ -109,8 +109,8 @@ def shape_features(rows: DataFrame) -> DataFrame:
     pairs = [f"INFO_{s}_{f}" for s in ("TUMOR", "NORMAL") for f in ("DP_BEFORE", "DP_AT", "DP_AFTER", "AF")]
     for name in (p for p in pairs if p in rows.columns):
         parts = F.split(F.when(F.col(name) != "", F.col(name)), ",")
-        first = F.coalesce(parts[0], F.lit("0"))
-        second = F.when(F.size(parts) > 1, F.when(parts[1] != "", parts[1]))
+        first = F.coalesce(F.get(parts, F.lit(0)), F.lit("0"))
+        second = F.when(F.size(parts) > 1, F.when(F.get(parts, F.lit(1)) != "", F.get(parts, F.lit(1))))
         clean = lambda x: F.when(x.isin("inf", "-inf"), F.lit("-1")).otherwise(x)
         out |= {f"{name[5:]}_0": clean(first), f"{name[5:]}_1": clean(F.coalesce(second, first))}
     for end in ("ORIGIN", "END"):
@@ -132,5 +132,5 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     names = ["cluster_size int", "mean_pos double", "std_dev double", "mean_quality double", "support_reads_tumor int", "support_reads_normal int", "strand_ratio_tumor double", "strand_ratio_normal double"]
     part = F.split(F.trim("value"), "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#")).where(F.size(part) >= 11)
-    typed = [part[i + 3].cast(n.split()[1]).alias(n.split()[0]) for i, n in enumerate(names)]
-    return rows.select(part[0].alias("contig"), part[1].cast("bigint").alias("start"), part[2].cast("bigint").alias("end"), *typed)
+    typed = [F.get(part, F.lit(i + 3)).cast(n.split()[1]).alias(n.split()[0]) for i, n in enumerate(names)]
+    return rows.select(F.get(part, F.lit(0)).alias("contig"), F.get(part, F.lit(1)).cast("bigint").alias("start"), F.get(part, F.lit(2)).cast("bigint").alias("end"), *typed)
