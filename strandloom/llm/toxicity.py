@@ -35,6 +35,8 @@ THRESHOLD = 0.5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _BITMAP_BITS = 22
+#: The sample's n-grams are counted in so many parts (as a power of 2), to bound memory.
+_PART_BITS = 3
 
 
 def _lower_table() -> np.ndarray:
@@ -133,6 +135,19 @@ def _document_grams(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _frequencies(docs: list[np.ndarray], y: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of one part of the hash space that enough documents hold, and in how many of each class."""
+    low, high = np.uint64(part << (64 - _PART_BITS)), np.uint64((part + 1 << (64 - _PART_BITS)) - 1)
+    cut = [d[np.searchsorted(d, low) : np.searchsorted(d, high, side="right")] for d in docs]
+    side = [np.unique(np.concatenate([np.zeros(0, np.uint64), *[d for d, t in zip(cut, y, strict=True) if t == k]]), return_counts=True) for k in (0, 1)]
+    every = np.union1d(side[0][0], side[1][0])
+    df = np.zeros((2, len(every)))
+    for k, (found, n) in enumerate(side):
+        df[k, np.searchsorted(every, found)] = n
+    often = df.sum(0) >= LEAST_DOCS
+    return every[often], df[:, often]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent for balanced, L2-penalised logistic regression."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
@@ -163,15 +178,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
         return Model(none, np.zeros(0), float(np.log(share / (1 - share))))
     docs = _document_grams(texts)
-    side = [np.concatenate([d for d, t in zip(docs, y, strict=True) if t == k]) for k in (0, 1)]
-    (clean, n_clean), (toxic, n_toxic) = (np.unique(s, return_counts=True) for s in side)
-    del side
-    every = np.union1d(clean, toxic)
-    df = np.zeros((2, len(every)))
-    df[0, np.searchsorted(every, clean)] = n_clean
-    df[1, np.searchsorted(every, toxic)] = n_toxic
-    often = df.sum(0) >= LEAST_DOCS
-    every, df = every[often], df[:, often]
+    counted = [_frequencies(docs, y, part) for part in range(1 << _PART_BITS)]
+    every, df = np.concatenate([c[0] for c in counted]), np.concatenate([c[1] for c in counted], axis=1)
     if not len(every):
         return Model(none, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
     size = np.array([(y == 0).sum(), (y == 1).sum()], float)
