@@ -33,6 +33,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _r6(value):
+    """Six decimals, half up, by the same arithmetic as the SQL: rounding functions differ on ties."""
+    return F.floor((c(value) if isinstance(value, str) else value) * 1_000_000 + F.lit(0.5)) / F.lit(1_000_000.0)
+
+
 def _r3(e: str) -> str:
     return f"floor(({e}) * 1000 + 0.5) / 1000.0"
 
@@ -553,7 +558,7 @@ def insertion_kmers(spark, d):
 # --- depth evidence --------------------------------------------------------------------------------------
 
 _BINS = """bins AS (SELECT l_suppkey AS call_id, l_partkey % 60 AS bin, CAST(l_partkey % 60 * 10 AS BIGINT) AS mid, CASE WHEN l_partkey % 60 < 20 THEN 'up' WHEN l_partkey % 60 < 40 THEN 'target' ELSE 'down' END AS region,
-    CAST(sum(CAST(l_quantity AS BIGINT) * CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 60 BETWEEN 20 AND 39 THEN 1 ELSE 3 END) AS DOUBLE) / 10 AS cov FROM lineitem GROUP BY ALL)"""
+    CAST(sum(CAST(l_quantity AS BIGINT) * CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 60 BETWEEN 20 AND 39 THEN 1 ELSE 3 END) AS DOUBLE) / 8 AS cov FROM lineitem GROUP BY ALL)"""
 _G = 30.0
 
 
@@ -562,7 +567,7 @@ def _bins(spark: SparkSession, d: str) -> DataFrame:
     bin_ = c("l_partkey") % 60
     factor = F.when((c("l_suppkey") % 3 == 0) & bin_.between(20, 39), 1).otherwise(3)
     region = F.when(bin_ < 20, "up").when(bin_ < 40, "target").otherwise("down")
-    return t.groupBy(c("l_suppkey").alias("call_id"), bin_.alias("bin"), (bin_ * 10).alias("mid"), region.alias("region")).agg((F.sum(c("l_quantity").cast("bigint") * factor).cast("double") / 10).alias("cov"))
+    return t.groupBy(c("l_suppkey").alias("call_id"), bin_.alias("bin"), (bin_ * 10).alias("mid"), region.alias("region")).agg((F.sum(c("l_quantity").cast("bigint") * factor).cast("double") / 8).alias("cov"))
 
 
 _DSTATS = _BINS + f""", d0 AS (SELECT call_id, count(*) FILTER (WHERE region = 'target') AS n_target, coalesce(avg(cov) FILTER (WHERE region = 'target'), 0.0) AS target_mean, coalesce(median(cov) FILTER (WHERE region = 'target'), 0.0) AS target_median,
@@ -575,19 +580,15 @@ _DSTATS = _BINS + f""", d0 AS (SELECT call_id, count(*) FILTER (WHERE region = '
         CASE WHEN n_target > 0 THEN (target_mean - all_mean) / nullif(all_std, 0) ELSE 0.0 END AS mean_z FROM d0)"""
 
 
-def _round(e: str, n: int = 6) -> str:
-    return f"round({e}, {n})"
-
-
 @query(f"WITH {_BINS} SELECT * FROM bins")
 def binned_coverage(spark, d):
     return _bins(spark, d)
 
 
-@query(f"WITH {_DSTATS} SELECT call_id, n_target, n_flank, {', '.join(f'round({x}, 6) AS {x}' for x in ('target_mean', 'target_median', 'target_std', 'flank_mean', 'flank_std', 'global_ratio', 'flank_ratio', 't_global', 't_flank', 'mean_z'))} FROM ds")
+@query(f"WITH {_DSTATS} SELECT call_id, n_target, n_flank, {', '.join(f'floor({x} * 1000000 + 0.5) / 1000000.0 AS {x}' for x in ('target_mean', 'target_median', 'target_std', 'flank_mean', 'flank_std', 'global_ratio', 'flank_ratio', 't_global', 't_flank', 'mean_z'))} FROM ds")
 def coverage_ttest(spark, d):
     rows = germline.depth_statistics(_bins(spark, d), "call_id", _G)
-    return rows.select("call_id", "n_target", "n_flank", *[F.round(n, 6).alias(n) for n in ("target_mean", "target_median", "target_std", "flank_mean", "flank_std", "global_ratio", "flank_ratio", "t_global", "t_flank", "mean_z")])
+    return rows.select("call_id", "n_target", "n_flank", *[_r6(n).alias(n) for n in ("target_mean", "target_median", "target_std", "flank_mean", "flank_std", "global_ratio", "flank_ratio", "t_global", "t_flank", "mean_z")])
 
 
 @query()
@@ -596,9 +597,9 @@ def coverage_pvalues(spark, d):
     return rows.select("call_id", "p_global", "p_flank")
 
 
-@query(f"WITH {_BINS} SELECT call_id, bin, round((cov - avg(cov) OVER w) / nullif(stddev_pop(cov) OVER w, 0), 6) AS z FROM bins WINDOW w AS (PARTITION BY call_id)")
+@query(f"WITH {_BINS} SELECT call_id, bin, floor((cov - avg(cov) OVER w) / nullif(stddev_pop(cov) OVER w, 0) * 1000000 + 0.5) / 1000000.0 AS z FROM bins WINDOW w AS (PARTITION BY call_id)")
 def coverage_zscore(spark, d):
-    return germline.z_scores(_bins(spark, d), "call_id").select("call_id", "bin", F.round("z", 6).alias("z"))
+    return germline.z_scores(_bins(spark, d), "call_id").select("call_id", "bin", _r6("z").alias("z"))
 
 
 _GRAD = _BINS + """, tb AS (SELECT call_id, min(bin) AS lo, max(bin) AS hi, count(*) AS n, avg(cov) AS t FROM bins WHERE region = 'target' GROUP BY call_id
@@ -608,20 +609,20 @@ _GRADIENT_DEL = "CASE WHEN n < 3 THEN 'insufficient_data' WHEN a < 0.7 AND b > 1
 _GRADIENT_DUP = "CASE WHEN n < 3 THEN 'insufficient_data' WHEN a > 1.3 AND r > 1.3 THEN 'sharp_elevation_pattern' WHEN a > 1.2 AND r > 1.2 THEN 'moderate_elevation_pattern' WHEN a BETWEEN 0.8 AND 1.2 AND r BETWEEN 0.8 AND 1.2 THEN 'smooth_transition' ELSE 'irregular' END"
 
 
-@query(f"WITH {_GRAD} SELECT call_id, round(a, 6) AS drop_ratio, round(b, 6) AS recovery_ratio, {_GRADIENT_DEL} AS gradient_del FROM g")
+@query(f"WITH {_GRAD} SELECT call_id, floor(a * 1000000 + 0.5) / 1000000.0 AS drop_ratio, floor(b * 1000000 + 0.5) / 1000000.0 AS recovery_ratio, {_GRADIENT_DEL} AS gradient_del FROM g")
 def gradient_del(spark, d):
-    return germline.gradients(_bins(spark, d), "call_id").select("call_id", F.round("drop_ratio", 6).alias("drop_ratio"), F.round("recovery_ratio", 6).alias("recovery_ratio"), "gradient_del")
+    return germline.gradients(_bins(spark, d), "call_id").select("call_id", _r6("drop_ratio").alias("drop_ratio"), _r6("recovery_ratio").alias("recovery_ratio"), "gradient_del")
 
 
-@query(f"WITH {_GRAD} SELECT call_id, round(a, 6) AS rise_pre, round(r, 6) AS rise_post, {_GRADIENT_DUP} AS gradient_dup FROM g")
+@query(f"WITH {_GRAD} SELECT call_id, floor(a * 1000000 + 0.5) / 1000000.0 AS rise_pre, floor(r * 1000000 + 0.5) / 1000000.0 AS rise_post, {_GRADIENT_DUP} AS gradient_dup FROM g")
 def gradient_dup(spark, d):
-    return germline.gradients(_bins(spark, d), "call_id").select("call_id", F.round("rise_pre", 6).alias("rise_pre"), F.round("rise_post", 6).alias("rise_post"), "gradient_dup")
+    return germline.gradients(_bins(spark, d), "call_id").select("call_id", _r6("rise_pre").alias("rise_pre"), _r6("rise_post").alias("rise_post"), "gradient_dup")
 
 
 @query(f"""WITH {_BINS}, w AS (SELECT call_id, bin, mid AS first_mid, avg(cov) OVER f AS window_mean, last_value(mid) OVER f AS last_mid, count(*) OVER f AS n FROM bins WHERE region = 'target' WINDOW f AS (PARTITION BY call_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
-    SELECT call_id, first_mid, last_mid, round(window_mean, 6) AS window_mean FROM w WHERE n = 5 QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY window_mean, bin) = 1""")
+    SELECT call_id, first_mid, last_mid, floor(window_mean * 1000000 + 0.5) / 1000000.0 AS window_mean FROM w WHERE n = 5 QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY window_mean, bin) = 1""")
 def min_window(spark, d):
-    return germline.minimum_window(_bins(spark, d), "call_id").select("call_id", "first_mid", "last_mid", F.round("window_mean", 6).alias("window_mean"))
+    return germline.minimum_window(_bins(spark, d), "call_id").select("call_id", "first_mid", "last_mid", _r6("window_mean").alias("window_mean"))
 
 
 @query(f"""WITH {_DSTATS} SELECT call_id, concat_ws(',', CASE WHEN flank_mean / {_G} > 2 THEN 'high_flanking_coverage:high' WHEN flank_mean / {_G} > 1.5 THEN 'high_flanking_coverage:medium' END,
@@ -805,13 +806,13 @@ def _events_of_suppliers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_EV}, p AS (SELECT a.k AS a, b.k AS b, len(list_filter(a.dels, lambda x: len(list_filter(b.dels, lambda y: abs(x.s - y.s) <= 50 AND abs(x.e - y.e) <= 50 AND greatest(x.n, y.n) > 0 AND least(x.n, y.n) >= greatest(x.n, y.n) * 0.8::DOUBLE)) > 0)) AS m,
         len(a.dels) AS na, len(b.dels) AS nb FROM ev a JOIN ev b ON a.k < b.k AND a.k % 10 = b.k % 10)
-    SELECT a, b, round(least(1.0, m / ((na + nb) / 2.0::DOUBLE)), 6) AS similarity FROM p""")
+    SELECT a, b, floor(least(1.0, m / ((na + nb) / 2.0::DOUBLE)) * 1000000 + 0.5) / 1000000.0 AS similarity FROM p""")
 def cigar_similarity(spark, d):
     e = _events_of_suppliers(spark, d)
     a, b = e.select(c("k").alias("a"), c("dels").alias("da")), e.select(c("k").alias("b"), c("dels").alias("db"))
     none = F.filter(c("da"), lambda _: F.lit(False))
     pairs = a.join(b, (c("a") % 10 == c("b") % 10) & (c("a") < c("b")))
-    return pairs.select("a", "b", F.round(cigar.similarity(c("da"), none, c("db"), none), 6).alias("similarity"))
+    return pairs.select("a", "b", _r6(cigar.similarity(c("da"), none, c("db"), none)).alias("similarity"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 97 AS u, l_partkey % 97 AS v FROM lineitem WHERE l_partkey % 50 = 0 AND l_orderkey % 20 = 0
