@@ -217,4 +217,21 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         WHERE rank <= 20
     """,
+    "op10_decontaminate": r"""
+        WITH items AS (
+            SELECT * FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+                           FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(words) > 0
+        ), cut AS (SELECT item_id, words, least(len(words), 10) AS m, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i FROM items
+        ), windows AS (SELECT DISTINCT item_id, m, array_to_string(words[i:i + m - 1], ' ') AS win FROM cut
+        ), docs AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), places AS (SELECT row, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM windows)
+        ), hits AS (SELECT row, i, p.m, item_id FROM (SELECT row, i, m, array_to_string(words[i:i + m - 1], ' ') AS win FROM places) p JOIN windows w ON p.m = w.m AND p.win = w.win
+        ), hit AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS place FROM hits) GROUP BY row
+        ), ids AS (SELECT row, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS digest FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY row)
+        SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit USING (row) LEFT JOIN ids USING (row)
+    """,
 }
