@@ -1,10 +1,11 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints are 64-bit SimHashes of word shingles. Those within DISTANCE differing bits are linked, and
-documents are grouped by the connected components of the links.
+Fingerprints are 64-bit SimHashes of word shingles. Those within a distance (DISTANCE differing bits, unless
+given) are linked, and documents are grouped by the connected components of the links.
 
 The index: two fingerprints within three bits agree on at least one of four blocks of bits, so the top
-nodes of the hierarchy are the (block, value) groups. In a group the remaining bits are sorted by Gray
+nodes of the hierarchy are the (block, value) groups; for more bits they are those of two of distance + 2
+blocks. In a group the remaining bits are sorted by Gray
 rank, which puts fingerprints that share long bit patterns side by side; runs of them form nodes that keep
 the bits on which all members agree, and nodes of nodes above them. A pair of nodes whose differences on
 commonly agreed bits exceed the distance is pruned with everything below it; so is a pair whose members
@@ -23,6 +24,7 @@ repeated rows are rows of one component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -85,34 +87,44 @@ def gray_rank(bits: Column) -> Column:
     return bits
 
 
-def _blocks(rows: DataFrame, width: int) -> DataFrame:
-    """(key, fp, bits) -> four rows with one of four blocks of the lowest width bits moved from bits to key."""
-    size = -(-width // 4)
-    parts, high = [], width
-    while high > 0:
-        low = max(0, high - size)
-        bits = F.col("bits")
-        above = F.shiftleft(F.shiftrightunsigned(bits, high), low) if high < 64 else F.lit(0).cast("bigint")
-        below = bits.bitwiseAND(F.lit((1 << low) - 1).cast("bigint"))
-        value = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
-        parts.append(F.struct(F.xxhash64("key", F.lit(low), value).alias("key"), "fp", above.bitwiseOR(below).alias("bits")))
-        high = low
+def _blocks(rows: DataFrame, width: int, count: int, pick: int) -> DataFrame:
+    """(key, fp, bits) -> a row for each choice of pick of count blocks of the lowest width bits, moved from bits to key."""
+    size = -(-width // count)
+    cuts = [(max(0, high - size), high) for high in range(width, 0, -size)]
+    bits = F.col("bits")
+    parts = []
+    for chosen in combinations(range(len(cuts)), pick):
+        value = [F.shiftrightunsigned(bits, cuts[i][0]).bitwiseAND(F.lit((1 << (cuts[i][1] - cuts[i][0])) - 1).cast("bigint")) for i in chosen]
+        rest, at = F.lit(0).cast("bigint"), 0
+        for i in reversed([i for i in range(len(cuts)) if i not in chosen]):  # the other blocks close up
+            low, high = cuts[i]
+            block = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
+            rest = rest.bitwiseOR(F.shiftleft(block, at))
+            at += high - low
+        parts.append(F.struct(F.xxhash64("key", *[F.lit(i) for i in chosen], *value).alias("key"), "fp", rest.alias("bits")))
     return rows.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
 
 
-def grouped(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(fp) -> (key, fp, bits): the top nodes of the index; those of more than group_rows rows are dealt again."""
-    rows = _blocks(fps.select(F.lit(0).cast("bigint").alias("key"), "fp", F.col("fp").alias("bits")), 64)
-    done, width = None, 48
+def grouped(fps: DataFrame, group_rows: int = GROUP_ROWS, distance: int = DISTANCE) -> DataFrame:
+    """(fp) -> (key, fp, bits): the top nodes of the index; those of more than group_rows rows are dealt again.
+
+    Of distance + p blocks, p at least are equal in any two fingerprints within distance. One block is
+    long enough a key for three bits; more take two of distance + 2 blocks.
+    """
+    pick = 1 if distance <= 3 else 2
+    width = 64
+    rows = _blocks(fps.select(F.lit(0).cast("bigint").alias("key"), "fp", F.col("fp").alias("bits")), width, distance + pick, pick)
+    width -= pick * -(-width // (distance + pick))
+    done = None
     for level in range(1, LEVELS):
         hot = materialize(rows.groupBy("key").count().where(F.col("count") > group_rows).select(F.col("key").alias("hot")), "simhash-hot")
-        if not hot.take(1):
+        if not hot.take(1) or width < 2 * (distance + 1):
             break
         rows = materialize(rows.join(hot, F.col("key") == F.col("hot"), "left"), f"simhash-level-{level}")
         calm = rows.where("hot is null").drop("hot")
         done = calm if done is None else done.unionByName(calm)
-        rows = _blocks(rows.where("hot is not null").drop("hot"), width)
-        width -= -(-width // 4)
+        rows = _blocks(rows.where("hot is not null").drop("hot"), width, distance + 1, 1)
+        width -= -(-width // (distance + 1))
     return rows if done is None else done.unionByName(rows)
 
 
@@ -213,7 +225,7 @@ def link(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> np.ndarra
     return label
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     keys: list[np.ndarray] = []
     fps: list[np.ndarray] = []
 
@@ -221,7 +233,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         key, fp = np.concatenate(keys), np.concatenate(fps)
         cut = len(key) if last else int(np.searchsorted(key, key[-1]))
         keys[:], fps[:] = [key[cut:]], [fp[cut:]]
-        label = link(key[:cut], fp[:cut].view(np.uint64))
+        label = link(key[:cut], fp[:cut].view(np.uint64), distance)
         moved = np.flatnonzero(label != np.arange(cut))
         return pa.RecordBatch.from_pydict({"u": fp[moved], "v": fp[label[moved]]})
 
@@ -238,11 +250,11 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     release()
 
 
-def links(fps: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def links(fps: DataFrame, group_rows: int = GROUP_ROWS, distance: int = DISTANCE) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (u, v) that connect all that can reach one another."""
-    rows = grouped(fps, group_rows).select("key", "fp", gray_rank(F.col("bits")).alias("rank"))
+    rows = grouped(fps, group_rows, distance).select("key", "fp", gray_rank(F.col("bits")).alias("rank"))
     ordered = rows.repartition("key").sortWithinPartitions("key", F.col("rank").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")))
-    return ordered.select("key", "fp").mapInArrow(_link_batches, "u bigint, v bigint")
+    return ordered.select("key", "fp").mapInArrow(lambda batches: _link_batches(batches, distance), "u bigint, v bigint")
 
 
 def _row_key(doc_id: Column, text: Column) -> list[Column]:
@@ -250,12 +262,12 @@ def _row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("row_id"), F.xxhash64(text.isNull(), text).alias("row_text")]
 
 
-def _components(docs: DataFrame, text: str, group_rows: int) -> DataFrame:
+def _components(docs: DataFrame, text: str, group_rows: int, distance: int) -> DataFrame:
     """(doc_id, row_id, row_text, fp, root, component_id) for every row of docs."""
     tagged = docs.select("doc_id", *_row_key(F.col("doc_id"), F.col(text)), F.col(text).alias("text"))
     rows = materialize(with_fingerprint(tagged).drop("text"), "simhash-rows")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
-    roots = connected_components(links(fps.select("fp"), group_rows), "simhash-edges")
+    roots = connected_components(links(fps.select("fp"), group_rows, distance), "simhash-edges")
     member = materialize(roots.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "least"), "simhash-members")
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
     found = member.join(ids, "root").select(F.col("fp").alias("linked"), "root", "component_id")
@@ -265,19 +277,19 @@ def _components(docs: DataFrame, text: str, group_rows: int) -> DataFrame:
     return rows.join(materialize(component, "simhash-components"), "fp")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", group_rows: int = GROUP_ROWS, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
-    return _components(docs, text, group_rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _components(docs, text, group_rows, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each near-duplicate group: that of the smallest doc_id, nulls last.
 
     If rows with different texts share that id, the one with the smallest hash of its text stays; of rows
     that are repeated whole, one. Documents are shuffled once, by id and text (again, if rows are repeated whole).
     """
     columns = docs.columns
-    rows = _components(docs, text, GROUP_ROWS)
+    rows = _components(docs, text, GROUP_ROWS, distance)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "row_id", "row_text")
     alike = rows.groupBy("root", first.alias("r")).agg(F.count("*").alias("n"))
     kept = alike.groupBy("root").agg(F.min(F.struct("r", "n")).alias("k"))

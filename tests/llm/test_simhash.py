@@ -19,7 +19,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fps):
+def brute_components(fps, distance=3):
     """Smallest reachable position for each fingerprint."""
     root = list(range(len(fps)))
 
@@ -30,7 +30,7 @@ def brute_components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(fps))]
@@ -53,13 +53,13 @@ def test_fingerprint_matches_brute_force():
         assert simhash.fingerprint(None if t is None else t.encode()) == brute_fingerprint(t), t
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 8])
-def test_links_lose_no_component(spark, group_rows):
-    fps = near_values(400, 4)
+@pytest.mark.parametrize(("group_rows", "distance"), [(20_000, 3), (8, 3), (20_000, 6), (8, 6), (8, 5)])
+def test_links_lose_no_component(spark, group_rows, distance):
+    fps = near_values(400, 4, most=6 if distance == 3 else 11)
     df = spark.createDataFrame([(int(np.array(f, np.uint64).view(np.int64)),) for f in fps], "fp bigint").repartition(3)
-    found = {r.node: r.root for r in connected_components(simhash.links(df, group_rows)).collect()}
+    found = {r.node: r.root for r in connected_components(simhash.links(df, group_rows, distance)).collect()}
     signed = [int(np.array(f, np.uint64).view(np.int64)) for f in fps]
-    want = brute_components(fps)
+    want = brute_components(fps, distance)
     groups = lambda roots: {tuple(sorted(i for i in range(len(fps)) if roots[i] == k)) for k in set(roots)}
     assert groups([found.get(x, x) for x in signed]) == groups(want)
 
