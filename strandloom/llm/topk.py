@@ -188,14 +188,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
 
     candidates = blocks(used, BLOCK, GROUP_BLOCKS, "topk-blocks")
     queries = blocks(used.where("is_query").dropDuplicates(["vec_id", "v"]), QUERIES, 1, "topk-queries")
-    groups = sorted(r.part for r in candidates.select("part").distinct().collect())
-    if not groups:
-        groups = [0]
-    every = F.explode(F.lit(groups)).alias("part")
+    ends = candidates.agg(F.min("part").alias("lo"), F.max("part").alias("hi")).first()
+    first, last = (ends.lo, ends.hi) if ends.lo is not None else (0, 0)
+    every = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("part")
     asked = queries.select(F.struct(F.col("part").alias("a"), F.col("k").alias("b")).alias("block"), "ids", "values")
     units = asked.select("block", every)
-    seed = candidates.where((F.col("part") == groups[0]) & (F.col("k") == 0)).select("ids", "values")
-    seeds = seed.select("ids", "values", F.explode(F.lit(groups)).alias("part")).where(F.col("part") != groups[0])
+    seed = candidates.where((F.col("part") == first) & (F.col("k") == 0)).select("ids", "values")
+    seeds = seed.select("ids", "values", every).where(F.col("part") != first)
     rows = asked.select("block", every, F.lit(-2).alias("k"), "ids", "values")
     rows = rows.unionByName(units.join(seeds, "part").select("block", "part", F.lit(-1).alias("k"), "ids", "values"))
     rows = rows.unionByName(units.join(candidates, "part").select("block", "part", "k", "ids", "values"))
