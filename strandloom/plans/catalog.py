@@ -499,12 +499,11 @@ _TANDEM = """SELECT a.sample, a.read_name, least(a.mapq, b.mapq) AS mapq, a.cont
     CASE WHEN a.is_primary THEN 'start' ELSE 'end' END AS phased_end FROM {t} a JOIN {t} b ON {on} AND a.is_reverse = b.is_reverse AND a.ord < b.ord AND least(a.ref_end, b.ref_end) - greatest(a.ref_start, b.ref_start) >= 30"""
 
 
-@query(f"WITH {v.ALIGNMENTS}, m AS (SELECT * REPLACE (contig AS read_name, ref_start % 50000 AS ref_start, ref_start % 50000 + 400 AS ref_end), row_number() OVER () AS z FROM al WHERE ord <= 2) " + _TANDEM.format(t="m", on="a.read_name = b.read_name AND a.contig = b.contig"))
+@query(f"WITH {v.ALIGNMENTS}, m AS (SELECT * REPLACE ('chr1' AS contig, ref_start % 2000 AS ref_start, ref_start % 2000 + 400 AS ref_end) FROM al) " + _TANDEM.format(t="m", on="a.read_name = b.read_name AND a.contig = b.contig"))
 def tandem_dups(spark, d):
-    # alignments of a contig, brought closer together, stand for those of one read
-    rows = v.alignments(spark, d).where("ord <= 2").withColumn("read_name", c("contig"))
-    rows = rows.withColumn("ref_start", c("ref_start") % 50_000).withColumn("ref_end", c("ref_start") + 400)
-    return breakpoints.tandem_duplications(rows)
+    # the alignments of a read are brought to one stretch, so that many of them overlap
+    rows = v.alignments(spark, d).withColumn("contig", F.lit("chr1")).withColumn("ref_start", c("ref_start") % 2000)
+    return breakpoints.tandem_duplications(rows.withColumn("ref_end", c("ref_start") + 400))
 
 
 # --- k-mers ----------------------------------------------------------------------------------------------
@@ -548,11 +547,16 @@ def kmer_match_dup(spark, d):
     return kmers.duplication_support(_matched(spark, d), items, ["item_id"])
 
 
-@query("""WITH k AS (SELECT list_distinct(list_filter(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21)), lambda s: NOT contains(s, 'N'))) AS ks FROM (SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM benchmark WHERE item_id = 3))
-    SELECT doc_id, list_has_any(list_filter(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21)), lambda s: NOT contains(s, 'N')), (SELECT ks FROM k)) AS shares FROM (SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM documents)""")
+_LONG = "unnest(list_transform(range(1, greatest(length(t) - 21 + 2, 1)), lambda i: substr(t, i, 21))) AS kmer"
+_LETTERS = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT kmer FROM (SELECT {_LONG} FROM (SELECT {_LETTERS} AS t FROM benchmark)) WHERE kmer NOT LIKE '%N%')
+    SELECT doc_id, count(DISTINCT kmer) AS n_shared FROM (SELECT doc_id, {_LONG} FROM (SELECT doc_id, {_LETTERS} AS t FROM documents)) JOIN k USING (kmer) GROUP BY doc_id""")
 def insertion_kmers(spark, d):
-    known = v.table(spark, d, "benchmark").where("item_id = 3").select(kmers.kmers(c("text"), 21).alias("k")).first().k
-    return v.table(spark, d, "documents").select("doc_id", kmers.shares_kmer(c("text"), F.array(*[F.lit(k) for k in known]), 21).alias("shares"))
+    known = kmers.reference_kmers(v.table(spark, d, "benchmark"), [], "text", DEFAULT.k_insert)
+    found = kmers.reference_kmers(v.table(spark, d, "documents"), ["doc_id"], "text", DEFAULT.k_insert)
+    return found.join(known, "kmer").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
 
 
 # --- depth evidence --------------------------------------------------------------------------------------
@@ -793,37 +797,31 @@ def evidence_reads(spark, d):
 
 # --- similarity and components -----------------------------------------------------------------------------
 
-_EV = """ev AS (SELECT s_suppkey AS k, list_sort(list_distinct(list(struct_pack(s := l_partkey * 100 % 3000, e := l_partkey * 100 % 3000 + CAST(l_quantity AS BIGINT), n := CAST(l_quantity AS BIGINT))) FILTER (WHERE l_linenumber = 1))) AS dels
-    FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey)"""
-
-
-def _events_of_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    t = v.table(spark, d, "lineitem").where("l_linenumber = 1")
-    q = c("l_quantity").cast("bigint")
-    e = F.struct((c("l_partkey") * 100 % 3000).alias("start"), (c("l_partkey") * 100 % 3000 + q).alias("end"), q.alias("len"))
-    return t.groupBy(c("l_suppkey").alias("k")).agg(F.array_sort(F.collect_set(e)).alias("dels"))
+_EV = """ev AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(struct_pack(s := l_partkey * 100 % 3000, e := l_partkey * 100 % 3000 + CAST(l_quantity AS BIGINT), n := CAST(l_quantity AS BIGINT))))) AS dels
+    FROM lineitem GROUP BY l_orderkey)"""
 
 
 @query(f"""WITH {_EV}, p AS (SELECT a.k AS a, b.k AS b, len(list_filter(a.dels, lambda x: len(list_filter(b.dels, lambda y: abs(x.s - y.s) <= 50 AND abs(x.e - y.e) <= 50 AND greatest(x.n, y.n) > 0 AND least(x.n, y.n) >= greatest(x.n, y.n) * 0.8::DOUBLE)) > 0)) AS m,
-        len(a.dels) AS na, len(b.dels) AS nb FROM ev a JOIN ev b ON a.k < b.k AND a.k % 10 = b.k % 10)
+        len(a.dels) AS na, len(b.dels) AS nb FROM ev a JOIN ev b ON a.k // 8 = b.k // 8 AND a.k < b.k)
     SELECT a, b, floor(least(1.0, m / ((na + nb) / 2.0::DOUBLE)) * 1000000 + 0.5) / 1000000.0 AS similarity FROM p""")
 def cigar_similarity(spark, d):
-    e = _events_of_suppliers(spark, d)
-    a, b = e.select(c("k").alias("a"), c("dels").alias("da")), e.select(c("k").alias("b"), c("dels").alias("db"))
+    # an order stands for a read with its lines as deletions, eight neighbours for a cluster
+    q = c("l_quantity").cast("bigint")
+    event = F.struct((c("l_partkey") * 100 % 3000).alias("start"), (c("l_partkey") * 100 % 3000 + q).alias("end"), q.alias("len"))
+    e = v.table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set(event)).alias("dels")).withColumn("cluster", F.floor(c("k") / 8))
+    a, b = e.select("cluster", c("k").alias("a"), c("dels").alias("da")), e.select("cluster", c("k").alias("b"), c("dels").alias("db"))
     none = F.filter(c("da"), lambda _: F.lit(False))
-    pairs = a.join(b, (c("a") % 10 == c("b") % 10) & (c("a") < c("b")))
-    return pairs.select("a", "b", _r6(cigar.similarity(c("da"), none, c("db"), none)).alias("similarity"))
+    return a.join(b, "cluster").where("a < b").select("a", "b", _r6(cigar.similarity(c("da"), none, c("db"), none)).alias("similarity"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 97 AS u, l_partkey % 97 AS v FROM lineitem WHERE l_partkey % 50 = 0 AND l_orderkey % 20 = 0
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS u, o_orderkey + o_custkey % 2 AS v FROM orders
     ), both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e
     ), walk AS (SELECT u AS node, u AS seen FROM both_ways UNION SELECT walk.node, b.v FROM walk JOIN both_ways b ON walk.seen = b.u)
     SELECT node, min(seen) AS root FROM walk GROUP BY node""")
 def connected_components(spark, d):
     from strandloom.operators.components import components
 
-    e = v.table(spark, d, "lineitem").where("l_partkey % 50 = 0 and l_orderkey % 20 = 0").select((c("l_orderkey") % 97).alias("u"), (c("l_partkey") % 97).alias("v")).distinct()
-    return components(e)
+    return components(v.table(spark, d, "orders").select(c("o_orderkey").alias("u"), (c("o_orderkey") + c("o_custkey") % 2).alias("v")).distinct())
 
 
 # --- variant text ------------------------------------------------------------------------------------------
@@ -862,7 +860,7 @@ def info_parse(spark, d):
     return m.select("event_id", get("SVTYPE").alias("svtype"), get("END").cast("bigint").alias("end_pos"), get("PRECISE").alias("precise"), get("AF").alias("af"))
 
 
-@query("SELECT 'chr' || (n_nationkey + 1) AS contig, unnest(range(0, 300000, 70000)) AS chunk_start, least(unnest(range(0, 300000, 70000)) + 70000, 300000) AS chunk_end FROM nation WHERE n_nationkey < 24")
+@query("SELECT contig, unnest(range(0, 300000, 70000)) AS chunk_start, least(unnest(range(0, 300000, 70000)) + 70000, 300000) AS chunk_end FROM (SELECT DISTINCT 'chr' || (n_nationkey % 24 + 1) AS contig FROM nation)")
 def contig_chunks(spark, d):
     return text.contig_chunks(v.contigs(spark, d), 70_000)
 

@@ -128,9 +128,9 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(contig, length) of the views, from the first rows of nation."""
-    t = table(spark, sf_dir, "nation").where(c("n_nationkey") < N_CONTIGS)
-    return t.select(_contig(c("n_nationkey")).alias("contig"), F.lit(CONTIG_LENGTH).cast("bigint").alias("length"))
+    """(contig, length) of the views, one for each remainder of nation's keys."""
+    rows = table(spark, sf_dir, "nation").select(_contig(c("n_nationkey")).alias("contig"), F.lit(CONTIG_LENGTH).cast("bigint").alias("length"))
+    return rows.distinct()
 
 
 # --- the same in SQL ---------------------------------------------------------------------------------------
