@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
+from strandloom.operators.ordered import interval_join
 
+#: Bins in a step of the join with runs of depth.
+RUN_WIDTH = 1000
 SAMPLES, PLACES, ENDS = ("tumor", "normal"), ("before", "at", "after"), ("start", "end")
 
 
@@ -18,17 +21,25 @@ def allele_fraction(support: Column, depth: Column) -> Column:
 def annotate_depth(calls: DataFrame, coverage: DataFrame, contigs: DataFrame | None = None, config: Config = DEFAULT, key: str = "call_id") -> DataFrame:
     """calls with dp_<sample>_<place>_<end> (all haplotypes), hp_<sample>_<end> ('1,2,none' at the bin) and af_<sample>_<end>.
 
-    The bin of an end is clamped to the contig where contigs (contig, length) are given; bins beyond an
-    end of the contig count 0.
+    coverage has bins (coverage.binned_coverage), or runs of equal depth (coverage.coverage_by_deltas): those
+    are two rows a read instead of one for each bin it touches. The bin of an end is clamped to the contig
+    where contigs (contig, length) are given; bins beyond an end of the contig count 0.
     """
     ends = calls.select(key, F.explode(F.array(*[F.struct(F.lit(e).alias("end_name"), F.col(f"{e}_chr").alias("contig"), F.col(f"{e}_loc").alias("loc")) for e in ENDS])).alias("e")).select(key, "e.*")
     centre = F.greatest(F.lit(0), F.floor(F.col("loc") / config.coverage_bin)).cast("bigint")
     if contigs is not None:
         ends = ends.join(contigs.select("contig", F.floor(F.col("length") / config.coverage_bin).alias("__last")), "contig", "left")
         centre = F.least(centre, F.coalesce("__last", centre)).cast("bigint")
+    else:
+        ends = ends.withColumn("__last", F.lit(None).cast("bigint"))
     places = F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.lit(i - 1).alias("shift")) for i, p in enumerate(PLACES)]))
-    asked = ends.withColumn("centre", centre).withColumn("p", places).select(key, "end_name", "contig", F.col("p.place").alias("place"), (F.col("centre") + F.col("p.shift")).alias("bin"))
-    met = asked.join(coverage, ["contig", "bin"])
+    asked = ends.withColumn("centre", centre).withColumn("p", places).select(key, "end_name", "contig", F.col("p.place").alias("place"), (F.col("centre") + F.col("p.shift")).alias("bin"), "__last")
+    asked = asked.where((F.col("bin") >= 0) & (F.col("__last").isNull() | (F.col("bin") <= F.col("__last")))).drop("__last")
+    if "next_bin" in coverage.columns:
+        runs = coverage.select(F.col("contig").alias("__contig"), "sample", "haplotype", F.col("bin").alias("__first"), "next_bin", "depth")
+        met = interval_join(asked, runs, [("contig", "__contig")], F.col("bin"), F.col("__first"), F.col("next_bin") - 1, RUN_WIDTH)
+    else:
+        met = asked.join(coverage, ["contig", "bin"])
     depth = lambda s, p, e: F.sum(F.when((F.col("sample") == s) & (F.col("place") == p) & (F.col("end_name") == e), F.col("depth")))
     by_hp = lambda s, e, hp: F.coalesce(F.sum(F.when((F.col("sample") == s) & (F.col("place") == "at") & (F.col("end_name") == e) & F.col("haplotype").eqNullSafe(hp), F.col("depth"))), F.lit(0))
     totals = [depth(s, p, e).cast("bigint").alias(f"dp_{s}_{p}_{e}") for s in SAMPLES for p in PLACES for e in ENDS]

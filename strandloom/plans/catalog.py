@@ -275,7 +275,7 @@ _DEPTHS = [f"dp_{s}_{p}_{e}" for s in ("tumor", "normal") for p in ("before", "a
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
-    return settle(depth.annotate_depth(settle(_calls(spark, d), "calls"), _coverage(spark, d)), "annotated")
+    return settle(depth.annotate_depth(settle(_calls(spark, d), "calls"), coverage.coverage_by_deltas(v.reads(spark, d), DEFAULT.coverage_bin)), "annotated")
 
 
 @query(f"WITH {_ANNOTATED} SELECT call_id, {', '.join(_DEPTHS)}, hp_tumor_start, hp_tumor_end, hp_normal_start, hp_normal_end FROM ann")

@@ -49,7 +49,7 @@ def call(reads: DataFrame, contigs: DataFrame, config: Config = DEFAULT) -> tupl
     used = breakpoints.phasing(reads)
     if config.platform == "HIFI":
         used = used.where(~F.col("is_secondary"))
-    covered = coverage.binned_coverage(used, config.coverage_bin, contigs)
+    covered = coverage.coverage_by_deltas(used, config.coverage_bin)
     genome = contigs.agg(F.sum("length").alias("n")).first().n or 1
     return settle(depth.annotate_depth(calls, covered, contigs, config, key="count"), "annotated"), coverage.genome_coverage(used, genome)
 
