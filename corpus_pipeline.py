@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, mixing, quality, simhash, toxicity
+from strandloom.llm import decontaminate, mixing, near_copies, quality, toxicity
 from strandloom.llm.common import materialize, table
 
-#: Differing bits of fingerprints of near copies.
+#: Differing bits of fingerprints of near copies: a rule that the tests compare with; the stage does not use it.
 COPY_BITS = 6
 
 
@@ -31,12 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: fingerprints within COPY_BITS bits.
-
-    Of pairs that share four fifths of their five-word shingles, six bits find most (three bits about half),
-    and they link hardly any pair that shares less than half.
-    """
-    return simhash.keep_one(docs, distance=COPY_BITS)
+    """One document of each group of near copies: links of five-word shingle similarity 0.8 and more, tested exactly."""
+    return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

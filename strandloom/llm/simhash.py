@@ -257,14 +257,14 @@ def links(fps: DataFrame, group_rows: int = GROUP_ROWS, distance: int = DISTANCE
     return ordered.select("key", "fp").mapInArrow(lambda batches: _link_batches(batches, distance), "u bigint, v bigint")
 
 
-def _row_key(doc_id: Column, text: Column) -> list[Column]:
+def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two columns, never null, that tell rows apart by id and text."""
     return [F.coalesce(doc_id.cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("row_id"), F.xxhash64(text.isNull(), text).alias("row_text")]
 
 
 def _components(docs: DataFrame, text: str, group_rows: int, distance: int) -> DataFrame:
     """(doc_id, row_id, row_text, fp, root, component_id) for every row of docs."""
-    tagged = docs.select("doc_id", *_row_key(F.col("doc_id"), F.col(text)), F.col(text).alias("text"))
+    tagged = docs.select("doc_id", *row_key(F.col("doc_id"), F.col(text)), F.col(text).alias("text"))
     rows = materialize(with_fingerprint(tagged).drop("text"), "simhash-rows")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
     roots = connected_components(links(fps.select("fp"), group_rows, distance), "simhash-edges")
@@ -288,13 +288,18 @@ def keep_one(docs: DataFrame, text: str = "text", distance: int = DISTANCE) -> D
     If rows with different texts share that id, the one with the smallest hash of its text stays; of rows
     that are repeated whole, one. Documents are shuffled once, by id and text (again, if rows are repeated whole).
     """
+    rows = _components(docs, text, GROUP_ROWS, distance).withColumn("no_id", F.col("doc_id").isNull())
+    return keep_first(docs, rows, text)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that keep_one keeps; rows: (no_id, row_id, row_text, root) of each row."""
     columns = docs.columns
-    rows = _components(docs, text, GROUP_ROWS, distance)
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "row_id", "row_text")
+    first = F.struct("no_id", "row_id", "row_text")
     alike = rows.groupBy("root", first.alias("r")).agg(F.count("*").alias("n"))
     kept = alike.groupBy("root").agg(F.min(F.struct("r", "n")).alias("k"))
     kept = materialize(kept.select(F.col("k.r.row_id").alias("__row_id"), F.col("k.r.row_text").alias("__row_text"), F.col("k.n").alias("n")), "simhash-kept")
-    keys = dict(zip(("__row_id", "__row_text"), _row_key(F.col("doc_id"), F.col(text)), strict=True))
+    keys = dict(zip(("__row_id", "__row_text"), row_key(F.col("doc_id"), F.col(text)), strict=True))
     held = docs.withColumns(keys)
 
     def matching(chosen: DataFrame) -> DataFrame:
