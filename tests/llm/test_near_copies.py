@@ -1,7 +1,10 @@
+import random
 import re
 
 import corpus_pipeline as cp
 
+from strandloom.llm import near_copies
+
 SCHEMA = "doc_id bigint, text string, score int"
 
 
@@ -50,3 +53,25 @@ def test_defined_cases(spark):
     rows = [(4, None), (5, ""), (6, " \n"), (7, "one two"), (8, "One  two"), (9, "two one"), (10, "one two"), (10, "one two")]
     assert kept(spark, rows) == [4, 7, 9]
     assert kept(spark, []) == []
+
+
+def test_all_near_copies_are_found(spark, sf_dir):
+    # 6 and 145 are seven bits apart, 1 and 177 eleven
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = brute_kept(rows)
+    assert kept(spark, rows) == want and not {145, 177} & set(want)
+
+
+def test_large_group_of_copies(spark):
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for d in range(90):
+        words = list(base)
+        for place in r.sample(range(120), r.choice([0, 1, 2, 3, 5])):
+            words[place] = f"x{d}"
+        rows.append((d, " ".join(words)))
+    assert len(rows) > 2 * near_copies.SMALL
+    want = brute_kept(rows)
+    assert 1 < len(want) < len(rows) / 2
+    assert kept(spark, rows) == want
