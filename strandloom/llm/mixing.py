@@ -4,7 +4,7 @@ A source with share w of the mix and n of the N documents has the mean repetitio
 Each document draws its number of copies by inverting the Poisson distribution of that mean at a uniform
 number hashed from the seed and the document, so the draw does not depend on partitioning or on lost and
 repeated tasks. Means above SPLIT are drawn as sums of independent parts of at most SPLIT. Copies are
-dealt to partitions and sorted by a hash of seed, document and copy: a global shuffle.
+dealt to partitions by range and sorted by a hash of seed, document and copy: a global shuffle.
 
 The table of rates has one row a source. It is broadcast if it has at most BROADCAST_SOURCES rows; else
 documents and rates are joined by source and a salt, so that a hot source is spread over SALTS tasks.
@@ -91,4 +91,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs:
     n = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, part: a + draw(part))
     copies = joined.withColumn("__n", n).where("__n > 0").select(*columns, "__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("__key"), F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return copies.withColumn("mix_order", order).drop("__key").repartition("mix_order").sortWithinPartitions("mix_order")
+    # mix_order is even in [0, 2^60): equal ranges of it are equal shares, and no sample is needed to cut them
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.shiftright(F.shiftright("mix_order", 30) * F.lit(n_parts).cast("bigint"), 30).cast("int")
+    return copies.withColumn("mix_order", order).drop("__key").repartitionById(n_parts, part).sortWithinPartitions("mix_order")

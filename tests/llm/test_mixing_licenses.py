@@ -38,6 +38,14 @@ def test_large_means_and_salted_join(spark, monkeypatch):
     assert plain.exceptAll(salted).count() == 0 and plain.count() == salted.count()
 
 
+def test_rows_come_in_the_order_of_mix_order(spark):
+    docs = spark.createDataFrame([(i, "t", "s", 0) for i in range(3000)], DOCS)
+    mixed = mixing.mix(docs)
+    assert mixed.rdd.getNumPartitions() > 1
+    got = [r.mix_order for r in mixed.collect()]
+    assert got == sorted(got) and len(got) > 2000
+
+
 def test_mixing_defined_cases(spark):
     docs = spark.createDataFrame([(None, None, None, 1), (None, "x", None, 1), (3, "", "s", 1), (3, "", "s", 1)] * 50, DOCS)
     per_row = mixing.mix(docs, epochs=3.0).groupBy("doc_id", "text").count().collect()
