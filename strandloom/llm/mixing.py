@@ -10,13 +10,16 @@ The table of rates has one row a source. It is broadcast if it has at most BROAD
 documents and rates are joined by source and a salt, so that a hot source is spread over SALTS tasks.
 
 Defined cases: a null source is a source of its own (its weight is under the key None); sources without a
-weight get none and leave the mix; rows that repeat an id draw the same number of copies each; rows
-without an id are seeded by their text.
+weight get none and leave the mix; weights given twice for a source add up, weights of sources that the
+documents do not have count for nothing; rows that repeat an id draw the same number of copies each; rows
+without an id are seeded by their text. Copies of a row stream out one at a time, however many there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import materialize
@@ -50,16 +53,23 @@ def poisson_cdf(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]
 
 
-def rates(docs: DataFrame, weights: dict[str | None, float] | None, epochs: float, source: str) -> DataFrame:
+def weight_table(spark: SparkSession, weights: dict[str | None, float]) -> DataFrame:
+    """(source, weight) of a dict, read by the JVM from one JSON literal: any number of sources, no Python on executors."""
+    text = json.dumps([{"source": k, "weight": float(v)} for k, v in weights.items()])
+    rows = F.explode(F.from_json(F.lit(text), "array<struct<source:string,weight:double>>")).alias("r")
+    return spark.range(1).select(rows).select("r.*")
+
+
+def rates(docs: DataFrame, weights: DataFrame | dict[str | None, float] | None, epochs: float, source: str) -> DataFrame:
     """(source, rate, parts, cdf): the mean of each source, and the distribution of one part of it."""
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
-        weight = F.pow(F.col("n").cast("double"), F.lit(ALPHA))
+        weighed = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(ALPHA)))
     else:
-        weight = F.lit(0.0)
-        for name, value in weights.items():
-            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
-    weighed = materialize(counts.withColumn("weight", weight), "mixing-sources")
+        given = weight_table(docs.sparkSession, weights) if isinstance(weights, dict) else weights
+        given = given.groupBy(F.col("source").alias("given")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+        weighed = counts.join(given, F.col("source").eqNullSafe(F.col("given")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    weighed = materialize(weighed, "mixing-sources")
     total = weighed.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
     if not total.n or not total.weight:
         return weighed.where("false").select("source", F.lit(0.0).alias("rate"), F.lit(1).alias("parts"), F.array(F.lit(1.0)).alias("cdf"))
@@ -69,11 +79,11 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, epochs: floa
     return out.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts")))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = 20240501, source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = 20240501, source: str = "source", text: str = "text") -> DataFrame:
     """docs replicated to the target weights, with copy (from 1) and mix_order, in the order of mix_order.
 
-    weights: source -> share of the mix, in any unit; by default sources count with their size to the power
-    ALPHA. epochs: expected documents of the result, in multiples of the input's. Input columns named copy
+    weights: source -> share of the mix, in any unit, as a dict or as a table (source, weight); by default
+    sources count with their size to the power ALPHA. epochs: expected documents of the result, in multiples of the input's. Input columns named copy
     or mix_order are replaced.
     """
     columns = [c for c in docs.columns if c not in ("copy", "mix_order")]
@@ -87,9 +97,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs:
         salted = table.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         held = held.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
         joined = held.join(salted, same & (F.col("__salt") == F.col("__salt_r")))
-    draw = lambda part: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.lit("copies"), F.col("__key"), part)))
-    n = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, part: a + draw(part))
-    copies = joined.withColumn("__n", n).where("__n > 0").select(*columns, "__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda part: uniform(F.lit(seed), F.lit("copies"), F.col("__key"), part))
+    n = F.aggregate(F.col("__drawn"), F.lit(0), lambda a, u: a + F.size(F.filter("cdf", lambda c: c <= u)))
+    copies = joined.withColumn("__drawn", drawn).withColumn("__n", n).where("__n > 0").select(*columns, "__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("__key"), F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
     # mix_order is even in [0, 2^60): equal ranges of it are equal shares, and no sample is needed to cut them
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

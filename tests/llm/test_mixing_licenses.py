@@ -38,6 +38,16 @@ def test_large_means_and_salted_join(spark, monkeypatch):
     assert plain.exceptAll(salted).count() == 0 and plain.count() == salted.count()
 
 
+def test_thousands_of_weights(spark):
+    docs = spark.createDataFrame([(i, "t" * (40_000 if i == 7 else 1), f"s{i % 5000}", 0) for i in range(10_000)], DOCS)
+    weights = {f"s{i}": 1.0 if i < 2500 else 0.0 for i in range(5000)} | {"absent": 5.0}
+    mixed = mixing.mix(docs, weights)
+    n, other = mixed.count(), mixed.where("cast(substring(source, 2) as int) >= 2500").count()
+    assert other == 0 and abs(n / 10_000 - 1) < 0.05
+    table = spark.createDataFrame([(k, v / 2) for k, v in weights.items()] * 2, "source string, weight double")
+    assert sorted(mixing.mix(docs, table).select("doc_id", "copy").collect()) == sorted(mixed.select("doc_id", "copy").collect())
+
+
 def test_rows_come_in_the_order_of_mix_order(spark):
     docs = spark.createDataFrame([(i, "t", "s", 0) for i in range(3000)], DOCS)
     mixed = mixing.mix(docs)
