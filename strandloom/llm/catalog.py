@@ -161,7 +161,7 @@ ORACLES: dict[str, str] = {
     """,
     "op4_url_filters": r"""
         WITH hosts AS (
-            SELECT page_id, url, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host,
+            SELECT page_id, url, rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.') AS host,
                    regexp_extract(url, '^[a-z]+://[^/]*/([^/?#]+)', 1) AS level,
                    string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/') AS path,
                    CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS fetched
@@ -182,7 +182,7 @@ ORACLES: dict[str, str] = {
         ), labels AS (SELECT *, string_split(host, '.') AS l, list_filter(path, lambda x: x <> '') AS s FROM hosts WHERE host <> ''
         ), asked AS (
             SELECT page_id, url, fetched, 'domain' AS kind, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.'))) AS pattern FROM labels
-            UNION SELECT page_id, url, fetched, 'prefix', unnest(list_transform(range(0, least(len(s), 8) + 1), lambda i: array_to_string([host] || s[1:i], '/'))) FROM labels
+            UNION SELECT page_id, url, fetched, 'prefix', unnest(list_transform(range(0, len(s) + 1), lambda i: array_to_string([host] || s[1:i], '/'))) FROM labels
         ), latest AS (
             SELECT a.page_id, a.url, a.fetched, a.kind, a.pattern, arg_max(e.action, CAST(e.at AS VARCHAR) || e.action) AS action
             FROM asked a JOIN entries e ON a.kind = e.kind AND a.pattern = e.pattern AND e.at <= a.fetched

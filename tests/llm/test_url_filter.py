@@ -13,10 +13,10 @@ LIST = "kind string, pattern string, action string, at date"
 def covers(kind, pattern, url):
     rest = url.split("://", 1)[1]
     host, _, path = rest.partition("/")
-    host = host.lower()
+    host = host.lower().rstrip(".")
     if kind == "domain":
         return host == pattern or host.endswith("." + pattern)
-    steps = [s for s in path.split("?")[0].split("#")[0].split("/") if s][: url_filter.LEVELS]
+    steps = [s for s in path.split("?")[0].split("#")[0].split("/") if s]
     return pattern in {"/".join([host, *steps[:i]]) for i in range(len(steps) + 1)}
 
 
@@ -54,3 +54,33 @@ def test_empty_tables(spark):
     assert [r.blocked for r in url_filter.filter_urls(captures, entries.limit(0)).collect()] == [False]
     assert url_filter.filter_urls(captures.limit(0), entries).count() == 0
     assert [r.blocked for r in url_filter.filter_urls(captures, entries).collect()] == [True]
+
+
+def blocked(spark, urls, entries):
+    captures = spark.createDataFrame([(i, u, DAY0 + dt.timedelta(9), "") for i, u in enumerate(urls)], SCHEMA)
+    rows = url_filter.filter_urls(captures, spark.createDataFrame([(k, p, "add", DAY0) for k, p in entries], LIST)).collect()
+    return [r.blocked for r in sorted(rows, key=lambda r: r.page_id)]
+
+
+def test_patterns_of_any_depth(spark):
+    steps = [f"s{i}" for i in range(14)]
+    deep = "a.com/" + "/".join(steps[:12])
+    urls = [f"https://a.com/{'/'.join(steps)}?x", f"https://a.com/{'/'.join(steps[:12])}", f"https://a.com/{'/'.join(steps[:11])}", "https://a.com/" + "z/" * 20_000]
+    assert blocked(spark, urls, [("prefix", deep)]) == [True, True, False, False]
+    host = ".".join(steps) + ".org"
+    assert blocked(spark, [f"http://x.{host}/", f"http://{host}", "http://" + "y." * 5000 + "org/"], [("domain", host)]) == [True, True, False]
+
+
+def test_case_and_root_dot(spark):
+    urls = ["http://A.com./P//q", "http://a.com/p/q", "http://a.com.:80/P/q?r"]
+    assert blocked(spark, urls, [("domain", "A.COM.")]) == [True, True, True]
+    assert blocked(spark, urls, [("prefix", "A.com/P/q/")]) == [True, False, True]
+    assert blocked(spark, urls, [("prefix", "/p"), ("domain", "."), ("host", "a.com")]) == [False, False, False]
+
+
+def test_timestamps_within_a_day(spark):
+    at = lambda h, m=0: dt.datetime(2024, 3, 1, h, m)
+    captures = spark.createDataFrame([(h, "http://a.com/", at(h)) for h in (1, 3, 4, 6, 8)], "page_id bigint, url string, fetched timestamp")
+    entries = spark.createDataFrame([("domain", "a.com", "add", at(3)), ("domain", "a.com", "remove", at(5, 30)), ("domain", "a.com", "add", at(8))], LIST.replace("date", "timestamp"))
+    rows = url_filter.filter_urls(captures, entries).collect()
+    assert {r.page_id for r in rows if r.blocked} == {3, 4, 8}
