@@ -1,21 +1,27 @@
-"""Near copies by exact similarity of word shingles: a prefix-filtered set join.
+"""Near copies: SimHash links, tested on the whole sets of shingles and completed by a prefix-filtered set join.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of at least 4/5; groups
 are the connected components of these links. All links count that the rule demands: the candidates are complete,
 and each is tested on the whole sets.
 
-Candidates: with the shingles of a set in one global order, two sets of that similarity share a shingle among the
-first n - ceil(4n/5) + 1 of each. The order is by rarity (number of sets with the shingle, then its hash), so a
+First candidates: SimHash fingerprints of the sets within DISTANCE bits, from the Gray-order index of simhash.py.
+They join most members of large groups at a cost in proportion to their number. Fingerprints alone cannot give all
+pairs of that similarity (at 0.8 they differ by nine bits on average), so the rest of the candidates follows.
+
+Other candidates: with the shingles of a set in one global order, two sets of that similarity share a shingle among
+the first n - ceil(4n/5) + 1 of each. The order is by rarity (number of sets with the shingle, then its hash), so a
 shingle that no other set has takes up a place and needs no group, and common lines come last. Pairs in a shingle's
-group are left out if their sizes or the places of the shingle in both exclude the similarity.
+group are left out if they are in one component by then, or if their sizes or the places of the shingle in both
+exclude the similarity.
 
 Before that, most texts are left out by a part of their sets. The part has the first n - ceil(4n/5) + k shingles by
 hash alone, k a fifth of the set; two sets of that similarity share at least the smaller k of these, so a set of whose
 part fewer than the least k of a similar set are shared with any other set has no near copy.
 
-Large groups: those of more than SMALL sets meet a few common members first, then some more, and last all members
-that are not in one component by then; pairs within a component need no test. So a group of thousands of near
-copies takes a number of tests in proportion to its size, and no link that joins components is lost.
+Large groups of a shingle: those of more than SMALL sets meet one common member first, then some more, and last all
+members that are not in one component by then; pairs within a component need no test. So a group of thousands of near
+copies takes a number of tests in proportion to its size, and no link that joins components is lost. A task streams
+through such a group and holds only the common members.
 
 Defined cases: words are what white space separates, A-Z taken as a-z; texts of fewer words than a shingle are one
 shingle; null, empty and blank texts are one group; equal sets are one node of everything above.
@@ -32,15 +38,19 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import MIX_A, MIX_B, materialize, mixed, release, short_batches, text_slices, word_hashes
 from strandloom.llm.components import connected_components
-from strandloom.llm.simhash import keep_first, row_key
+from strandloom.llm.simhash import keep_first, links, row_key
 
 SHINGLE = 5
+#: Differing bits of the SimHash fingerprints that make first candidates.
+DISTANCE = 6
 SMALL = 16
 #: Nodes whose ids are broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 2_000_000
 #: Common members that all of a large group meet in each round; None: all meet all.
-ROUNDS = (8, 32, None)
+ROUNDS = (1, 8, 32, None)
 _BUCKETS = 4096
+#: Rows that a task takes at a time when it pairs the members of groups.
+_ROWS = 200_000
 _WORD = np.ones(256, np.bool_)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 
@@ -68,6 +78,18 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return h, np.concatenate([[0], np.cumsum(np.bincount(own, minlength=n))]).astype(np.int64)
 
 
+def fingerprints(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash of each set of shingle hashes: a bit is 1 if set in over half of them; 0 for an empty set."""
+    size = np.diff(ends)
+    out = np.zeros(len(size), np.uint64)
+    have = np.flatnonzero(size)
+    if len(have):
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts = np.add.reduceat(bits, ends[:-1][have], axis=0, dtype=np.int64)
+        out[have] = np.packbits(counts * 2 > size[have, None], axis=1).view(">u8").ravel()
+    return out
+
+
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offsets in text_slices(batch.column("text").cast(pa.string())):
@@ -75,7 +97,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h), dtype=np.uint64)])
             node = mixed(total[ends[1:]] - total[ends[:-1]] + np.diff(ends).astype(np.uint64))
             sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("row_id")[a:b], batch.column("row_text")[a:b], batch.column("no_id")[a:b], pa.array(node.view(np.int64)), sets], ["row_id", "row_text", "no_id", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id")[a:b], batch.column("row_text")[a:b], batch.column("no_id")[a:b], pa.array(node.view(np.int64)), sets, pa.array(fingerprints(h, ends).view(np.int64))], ["row_id", "row_text", "no_id", "node", "shingles", "fp"])
     release()
 
 
@@ -177,11 +199,11 @@ def _shared(rows: DataFrame, part: bool) -> DataFrame:
 
 
 def suspects(rows: DataFrame) -> DataFrame:
-    """(node, shingles), nodes repeated or not -> the same, once for each node that can have near copies."""
+    """(node, shingles, fp), nodes repeated or not -> the same, once for each node that can have near copies."""
     nodes = materialize(_shared(rows, True).mapInArrow(_suspect_batches, "node bigint"), "copies-suspects")
     if nodes.count() <= BROADCAST_NODES:
         nodes = F.broadcast(nodes)
-    return materialize(rows.select("node", "shingles").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "copies-sets")
+    return materialize(rows.select("node", "shingles", "fp").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "copies-sets")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -189,49 +211,61 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return _shared(sets, False).mapInArrow(_prefix_batches, "key bigint, node bigint, n bigint, place bigint")
 
 
-def _pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, hubs: int | None) -> np.ndarray:
-    """Of one group: places of pairs that can be similar and are not in one component."""
-    found = []
-    for i in range(len(node) - 1 if hubs is None or len(node) <= SMALL else min(hubs, len(node) - 1)):
-        j = slice(i + 1, None)
-        fits = (root[j] != root[i]) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))
-        fits &= 9 * np.minimum(n[j] - place[j], n[i] - place[i]) >= 4 * (n[j] + n[i])
-        other = np.flatnonzero(fits) + i + 1
-        if len(other):
-            found.append(np.stack([np.full(len(other), i), other]))
-    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+def _fits(i: np.ndarray, j: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which pairs of rows can be similar and are not in one component."""
+    fits = (root[j] != root[i]) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))
+    return fits & (9 * np.minimum(n[j] - place[j], n[i] - place[i]) >= 4 * (n[j] + n[i]))
+
+
+def pairs_of(table: np.ndarray, hubs: int | None) -> np.ndarray:
+    """Rows (key, node, root, n, place) sorted by key and node -> pairs of nodes that can be similar, as two rows."""
+    key, node, root, n, place = table
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    start, size = np.repeat(first, size), np.repeat(size, size)
+    at = np.arange(len(key)) - start
+    all_meet = np.ones(len(key), np.bool_) if hubs is None else size <= SMALL
+    found = [np.zeros((2, 0), np.int64)]
+    step, i = 1, np.flatnonzero(all_meet & (at + 1 < size))
+    while len(i):
+        good = _fits(i, i + step, root, n, place)
+        found.append(node[np.stack([i[good], i[good] + step])])
+        step += 1
+        i = i[at[i] + step < size[i]]
+    for hub in range(hubs or 0):
+        j = np.flatnonzero(~all_meet & (at > hub))
+        i = start[j] + hub
+        good = _fits(i, j, root, n, place)
+        found.append(node[np.stack([i[good], j[good]])])
+    return np.concatenate(found, axis=1)
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch], hubs: int | None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and node -> distinct (u, v), as far as they come together."""
-    rest = None
-    ready: list[np.ndarray] = []
+    held: list[np.ndarray] = []
 
-    def flush() -> pa.RecordBatch:
-        u, v = np.unique(np.concatenate(ready, axis=1), axis=1) if ready else np.zeros((2, 0), np.int64)
-        ready.clear()
+    def flush(last: bool) -> pa.RecordBatch:
+        table = np.concatenate([np.zeros((5, 0), np.int64), *held], axis=1)
+        open_ = 0 if last or not table.shape[1] else table.shape[1] - int(np.argmax(table[0] == table[0][-1]))
+        done = table.shape[1] - open_
+        if hubs is not None and open_ > max(SMALL, hubs):
+            # the last group goes on: of a large one, its common members are all that the rest needs
+            done = table.shape[1]
+            rest = table[:, done - open_ : done - open_ + hubs]
+        else:
+            rest = table[:, done:]
+        held[:] = [rest]
+        u, v = np.unique(pairs_of(table[:, :done], hubs), axis=1) if done else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_pydict({"u": u, "v": v})
 
-    def groups(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate([[True], table[0][1:] != table[0][:-1]]))
-        for a, b in zip(first, np.append(first[1:], table.shape[1]), strict=True):
-            if b - a > 1:
-                i, j = _pairs(*table[1:, a:b], hubs)
-                if len(i):
-                    ready.append(table[1, a:b][np.stack([i, j])])
-                    if sum(x.shape[1] for x in ready) >= 2_000_000:
-                        yield flush()
-
+    new = 0
     for batch in batches:
-        table = np.stack([batch.column(c).to_numpy() for c in ("key", "node", "root", "n", "place")])
-        table = table if rest is None else np.concatenate([rest, table], axis=1)
-        cut = int(np.argmax(table[0] == table[0][-1])) if table.shape[1] else 0
-        if cut:
-            yield from groups(table[:, :cut])
-        rest = table[:, cut:]
-    if rest is not None and rest.shape[1]:
-        yield from groups(rest)
-    yield flush()
+        held.append(np.stack([batch.column(c).to_numpy() for c in ("key", "node", "root", "n", "place")]))
+        new += batch.num_rows
+        if new >= _ROWS:
+            yield flush(False)
+            new = 0
+    yield flush(True)
     release()
 
 
@@ -243,25 +277,36 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def simhash_links(sets: DataFrame) -> DataFrame:
+    """(node, shingles, fp) -> links (u, v) that the SimHash index proposes and the whole sets confirm."""
+    fps = materialize(sets.groupBy("fp").agg(F.min("node").alias("first")), "copies-fps")
+    near = links(fps.select("fp"), distance=DISTANCE)
+    left = fps.select(F.col("fp").alias("u"), F.col("first").alias("a"))
+    right = fps.select(F.col("fp").alias("v"), F.col("first").alias("b"))
+    proposed = near.join(left, "u").join(right, "v").select("a", "b")
+    equal = sets.select("fp", "node").join(fps, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = proposed.unionByName(equal).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    return _similar(materialize(pairs, "copies-proposed"), sets)
+
+
 def roots(rows: DataFrame) -> DataFrame:
-    """(node, shingles), nodes repeated or not -> (node, root) of all nodes that have a near copy."""
+    """(node, shingles, fp), nodes repeated or not -> (node, root) of all nodes that have a near copy."""
     sets = suspects(rows)
     held = materialize(prefixes(sets), "copies-prefixes")
-    found = held.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    asked = held.withColumn("root", F.col("node"))
-    for hubs in ROUNDS:
-        dealt = asked.select("key", "node", "root", "n", "place").repartition("key").sortWithinPartitions("key", "node")
+    found = materialize(simhash_links(sets), "copies-simhash")
+    linked = materialize(connected_components(found, "copies-edges"), "copies-roots")
+    for round_, hubs in enumerate(ROUNDS):
+        asked = held.join(linked.select("node", F.col("root").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node")).select("key", "node", "root", "n", "place")
+        if round_:
+            # groups of a few members are done; so are those of a single component
+            open_ = asked.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("size") > SMALL) & (F.col("lo") < F.col("hi")))
+            asked = materialize(asked.join(open_.select("k"), F.col("key") == F.col("k"), "left_semi"), "copies-open")
+            if not asked.take(1):
+                break
+        dealt = asked.repartition("key").sortWithinPartitions("key", "node")
         pairs = dealt.mapInArrow(lambda batches, hubs=hubs: _pair_batches(batches, hubs), "u bigint, v bigint").distinct()
         found = materialize(found.unionByName(_similar(materialize(pairs, "copies-pairs"), sets)), "copies-links")
         linked = materialize(connected_components(found, "copies-edges"), "copies-roots")
-        if hubs is None:
-            break
-        # smaller groups are done; so are those of a single component
-        named = held.join(linked.select("node", F.col("root").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node"))
-        open_ = named.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("size") > SMALL) & (F.col("lo") < F.col("hi")))
-        asked = materialize(named.join(open_.select("k"), F.col("key") == F.col("k"), "left_semi"), "copies-open")
-        if not asked.take(1):
-            break
     return linked
 
 
@@ -269,7 +314,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one row of each group of near copies, chosen like simhash.keep_one."""
     short_batches(docs.sparkSession)
     tagged = docs.select(*row_key(F.col("doc_id"), F.col(text)), F.col("doc_id").isNull().alias("no_id"), F.col(text).cast("string").alias("text"))
-    rows = materialize(tagged.mapInArrow(_set_batches, "row_id bigint, row_text bigint, no_id boolean, node bigint, shingles array<bigint>"), "copies-rows")
+    rows = materialize(tagged.mapInArrow(_set_batches, "row_id bigint, row_text bigint, no_id boolean, node bigint, shingles array<bigint>, fp bigint"), "copies-rows")
     named = roots(rows).select("node", F.col("root").alias("r"))
-    rows = rows.drop("shingles").join(named, "node", "left").withColumn("root", F.coalesce("r", "node"))
+    rows = rows.drop("shingles", "fp").join(named, "node", "left").withColumn("root", F.coalesce("r", "node"))
     return keep_first(docs, rows, text)

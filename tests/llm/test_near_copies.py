@@ -2,6 +2,8 @@ import random
 import re
 
 import corpus_pipeline as cp
+import numpy as np
+import pyarrow as pa
 
 from strandloom.llm import near_copies
 
@@ -75,3 +77,47 @@ def test_large_group_of_copies(spark):
     want = brute_kept(rows)
     assert 1 < len(want) < len(rows) / 2
     assert kept(spark, rows) == want
+
+
+def test_fingerprints_are_majorities_of_bits():
+    r = np.random.default_rng(5)
+    h, ends = r.integers(0, 2**64, 40, dtype=np.uint64), np.array([0, 1, 1, 8, 40])
+    for got, a, b in zip(near_copies.fingerprints(h, ends), ends[:-1], ends[1:]):
+        want = sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in h[a:b]) > b - a)
+        assert int(got) == want
+
+
+def test_simhash_links_are_confirmed_links(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    column = pa.array([t for _, t in rows], pa.string())
+    sets = [set(h[a:b].tolist()) for _, _, raw, at in near_copies.text_slices(column) for h, ends in [near_copies.shingle_sets(raw, at)] for a, b in zip(ends[:-1], ends[1:])]
+    by_node = {i: s for i, s in enumerate(sets) if s}
+    table = pa.table({"node": list(by_node), "shingles": [sorted(np.array(sorted(s), np.uint64).view(np.int64).tolist()) for s in by_node.values()], "fp": near_copies.fingerprints(np.concatenate([np.array(sorted(s), np.uint64) for s in by_node.values()]), np.cumsum([0, *map(len, by_node.values())])).view(np.int64)})
+    found = near_copies.simhash_links(spark.createDataFrame(table.to_pandas(), "node bigint, shingles array<bigint>, fp bigint")).collect()
+    assert found and all(5 * len(by_node[r.u] & by_node[r.v]) >= 4 * len(by_node[r.u] | by_node[r.v]) for r in found)
+
+
+def test_streamed_groups_join_the_same(monkeypatch):
+    r = np.random.default_rng(2)
+    key = np.sort(np.concatenate([r.integers(0, 9, 60), np.full(300, 4)]))
+    table = np.stack([key, np.arange(360), np.arange(360), np.full(360, 10), np.zeros(360, int)]).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in table], ["key", "node", "root", "n", "place"])
+    parts = [batch.slice(i, 7) for i in range(0, 360, 7)]
+
+    def joined(batches, hubs):
+        label = np.arange(360)
+        for b in near_copies._pair_batches(iter(batches), hubs):
+            near_copies_unite(label, b.column("u").to_numpy(), b.column("v").to_numpy())
+        return label.tolist()
+
+    want = [int(np.flatnonzero(key == k)[0]) for k in key]
+    for rows in (1, 20, 10**6):
+        monkeypatch.setattr(near_copies, "_ROWS", rows)
+        for hubs in (1, 8, None):
+            assert joined(parts, hubs) == want
+
+
+def near_copies_unite(label, u, v):
+    for a, b in zip(u, v):
+        a, b = label[a], label[b]
+        label[label == max(a, b)] = min(a, b)

@@ -2,7 +2,7 @@ import corpus_pipeline as cp
 
 from strandloom.llm import mixing
 from tests.llm.test_decontaminate import brute
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute_kept
 
 
 def test_stages_against_brute_force(spark):
@@ -24,9 +24,7 @@ def test_stages_against_brute_force(spark):
         right = [(r.doc_id in kept) == (labels[r.doc_id][label] == good) for r in before if r.doc_id in labels]
         assert sum(right) / len(right) > 0.95
     before, after = seen["near_duplicates"]
-    order = sorted(before, key=lambda r: r.doc_id)
-    roots = brute_components([brute_fingerprint(r.text) for r in order], cp.COPY_BITS)
-    assert {r.doc_id for r in after} == {order[i].doc_id for i in set(roots)}
+    assert sorted(r.doc_id for r in after) == brute_kept(sorted((r.doc_id, r.text) for r in before))
     before, after = seen["decontamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert {r.doc_id for r in after} == {r.doc_id for r in before if not brute(r.text, items)[4]}
