@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from strandloom.llm import decontaminate, mixing, near_copies, quality, toxicity
 from strandloom.llm.common import materialize, table
 
-#: Differing bits of fingerprints of near copies: a rule that the tests compare with; the stage does not use it.
-COPY_BITS = 6
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality is at least quality.THRESHOLD."""
@@ -31,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: links of five-word shingle similarity 0.8 and more, tested exactly."""
+    """One document of each group of near copies: SimHash links, confirmed and completed to all of five-word similarity 0.8."""
     return near_copies.keep_one(docs)
 
 
