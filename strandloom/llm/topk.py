@@ -2,19 +2,21 @@
 
 Vectors are cut into groups of blocks by descending length. A group is searched for a block of queries in
 that order: a vector is passed over when the product of lengths cannot reach the query's k-th best score
-so far, or when the partial sum over the first rotated dimensions plus the Cauchy-Schwarz bound of the
-residuals cannot. The rotation is that of the singular vectors of all vectors (from their Gram matrix,
-summed over partitions), so the first dimensions carry most of the sums. Every group first looks at the
-block of the longest vectors, which gives each query a threshold to start from. What passes is scored
-exactly, in integers.
+so far, or when a partial sum over the first rotated dimensions plus the Cauchy-Schwarz bound of the
+residuals cannot; there are two such sums, the longer for what the shorter leaves open. The rotation is that
+of the singular vectors (from a Gram matrix, fitted on about ROTATION_ROWS vectors; it has no effect on the
+results), so the first dimensions carry most of the sums. What passes is scored exactly, in integers.
 
-Queries form blocks of their own, and each (query block, group) is one unit of work that sends on at most
-k rows a query; no task or driver holds all vectors.
+Every query first meets the block of the longest vectors, which gives it a threshold, and with it the least
+length that a vector needs to reach it. Queries are sorted by that length into blocks of their own, and a
+block of vectors is sent to a block of queries only if its longest is long enough. Each (query block, group)
+is one unit of work that sends on at most k rows a query; no task or driver holds all vectors.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take
 no part; shorter vectors count as padded with zeros; all rows with the query's id are its own; a query row
-that is repeated whole is answered once, while repeated candidate rows each take a rank; scores beyond the
-long range stay at its ends. More columns of the input are left out.
+that is repeated whole is answered once, rows with one id and different vectors are queries of their own,
+each with its ranks; repeated candidate rows each take a rank; scores beyond the long range stay at its ends.
+More columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -31,8 +33,14 @@ from strandloom.llm.common import materialize
 
 K = 20
 BLOCK, GROUP_BLOCKS, QUERIES = 2048, 8, 1024
-#: Dimensions beyond which no rotation is fitted: its matrix has the square of them.
-ROTATED = 1024
+#: Numbers in a block at most (but for 64 rows), whatever the dimensions.
+BLOCK_CELLS = 1 << 22
+#: Vectors that the rotation is fitted on, about; all, if there are fewer.
+ROTATION_ROWS = 100_000
+#: Cells of all Gram matrices in flight; the partial sums run over one dimension in HEAD.
+GRAM_CELLS, HEAD = 1 << 24, 4
+#: Relative error allowed in bounds.
+SLACK = 1e-6
 EXACT = 2.0**52
 _LONG = 2**63
 
@@ -52,70 +60,89 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def rotation(vectors: DataFrame, dims: int) -> np.ndarray | None:
-    """Right singular vectors of all vectors, by falling singular value; None for too many dimensions."""
-    if not 1 < dims <= ROTATED:
+def rotation(vectors: DataFrame, dims: int, head: int, n: int) -> np.ndarray | None:
+    """Leading right singular vectors by falling singular value, fitted on all of n vectors or on about ROTATION_ROWS.
+
+    Any orthogonal directions give right results; those of the sample only decide how early the sums can stop.
+    Each of a few tasks sends one Gram matrix.
+    """
+    if dims < 2:
         return None
+    sample = vectors.select("vec_id", "v")
+    if n > ROTATION_ROWS:
+        sample = sample.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < F.lit(int(ROTATION_ROWS / n * (1 << 40))))
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
         for batch in batches:
             m = _matrix(batch.column("v"), dims).astype(float)
             total += m.T @ m
-        yield pa.RecordBatch.from_pydict({"g": pa.array([total.ravel()], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({"g": pa.array([total.tobytes()], pa.binary())})
 
-    total = np.zeros(dims * dims)
-    for row in vectors.select("v").mapInArrow(gram, "g array<double>").toLocalIterator():
-        total += np.asarray(row.g)
+    tasks = int(min(8, max(1, GRAM_CELLS // dims**2)))
+    total = np.zeros((dims, dims))
+    for row in sample.repartition(tasks, "vec_id").mapInArrow(gram, "g binary").toLocalIterator(prefetchPartitions=True):
+        total += np.frombuffer(row.g).reshape(dims, dims)
     if not np.isfinite(total).all():
         return None
-    _, basis = np.linalg.eigh(total.reshape(dims, dims))
-    return np.ascontiguousarray(basis[:, ::-1])
+    _, basis = np.linalg.eigh(total)
+    return np.ascontiguousarray(basis[:, ::-1][:, :head])
 
 
-def _pack(rows_a_block: int, dims: int):
-    """Rows (vec_id, v) in order -> blocks (part, k, ids, values) of at most rows_a_block rows."""
+def _pack(rows_a_block: int, dims: int, edge: str, scalars: dict[str, type]):
+    """Rows in order -> blocks of at most rows_a_block rows: (part, k, lo, hi, values, and the scalars as bytes).
+
+    lo and hi: least and greatest edge of the rows.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
+        held: dict[str, list[np.ndarray]] = {c: [] for c in (edge, *scalars, "v")}
 
         def block(n: int) -> pa.RecordBatch:
-            all_ids, all_rows = np.concatenate(ids), np.concatenate(rows)
-            ids[:], rows[:] = [all_ids[n:]], [all_rows[n:]]
-            return pa.RecordBatch.from_pydict({"part": [part], "k": [k], "ids": [all_ids[:n].tobytes()], "values": [all_rows[:n].tobytes()]}, pa.schema([("part", pa.int32()), ("k", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())]))
-
-        held = 0
+            whole = {c: np.concatenate(x) for c, x in held.items()}
+            for c, x in whole.items():
+                held[c][:] = [x[n:]]
+            edges = whole[edge][:n]
+            out = {"part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int32()), "lo": [float(edges.min())], "hi": [float(edges.max())], "values": pa.array([whole["v"][:n].tobytes()], pa.binary())}
+            return pa.RecordBatch.from_pydict(out | {c: pa.array([whole[c][:n].astype(t).tobytes()], pa.binary()) for c, t in scalars.items()})
+
+        rows = 0
         for batch in batches:
-            ids.append(batch.column("vec_id").to_numpy())
-            rows.append(_matrix(batch.column("v"), dims))
-            held += batch.num_rows
-            while held >= rows_a_block:
+            for c in held:
+                held[c].append(_matrix(batch.column("v"), dims) if c == "v" else batch.column(c).to_numpy())
+            rows += batch.num_rows
+            while rows >= rows_a_block:
                 yield block(rows_a_block)
-                held -= rows_a_block
+                rows -= rows_a_block
                 k += 1
-        if held:
-            yield block(held)
+        if rows:
+            yield block(rows)
 
     return pack
 
 
 class _Search:
-    """Best scores of one block of queries."""
+    """Best scores of one block of queries; threshold: scores that k candidates are known to reach."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray, basis: np.ndarray | None, k: int):
-        self.ids, self.q, self.k, self.basis = ids, values, k, basis
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, values: np.ndarray, basis: np.ndarray | None, k: int, threshold: np.ndarray | None = None):
+        self.ids, self.keys, self.q, self.k, self.basis = ids, keys, values, k, basis
         self.qf = values.astype(float)
         self.norm = np.linalg.norm(self.qf, axis=1)
-        dims = values.shape[1]
-        self.first = max(1, dims // 4)
-        turned = self.qf if basis is None else self.qf @ basis
-        self.head = turned[:, : self.first]
-        self.rest = np.linalg.norm(turned[:, self.first :], axis=1)
+        self.head = self._turned(self.qf)
+        width = self.head.shape[1]
+        self.cuts = sorted({max(1, width // 4), width})
+        self.rest = [self._rest(self.norm, self.head, c) for c in self.cuts]
         n = len(ids)
-        self.threshold = np.full(n, -np.inf)
-        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.bool_))] * n
+        self.threshold = np.full(n, -np.inf) if threshold is None else threshold.copy()
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
+
+    def _turned(self, x: np.ndarray) -> np.ndarray:
+        return x[:, : max(1, x.shape[1] // HEAD)] if self.basis is None else x @ self.basis
+
+    @staticmethod
+    def _rest(norm: np.ndarray, head: np.ndarray, cut: int) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, norm**2 - np.einsum("ij,ij->i", head[:, :cut], head[:, :cut])))
 
     def _exact(self, values: np.ndarray) -> np.ndarray:
         top = self.norm.max(initial=0) * np.linalg.norm(values.astype(float), axis=1).max(initial=0)
@@ -124,43 +151,45 @@ class _Search:
         wide = self.q.astype(object) @ values.astype(object).T
         return np.clip(wide, -_LONG, _LONG - 1).astype(np.int64)
 
-    def add(self, ids: np.ndarray, values: np.ndarray, own: bool) -> None:
-        """Search a block of vectors sorted by falling length; own: whether its rows count as results."""
+    def add(self, ids: np.ndarray, values: np.ndarray) -> None:
+        """Search a block of vectors."""
         vf = values.astype(float)
         norm = np.linalg.norm(vf, axis=1)
-        turned = vf if self.basis is None else vf @ self.basis
-        rest = np.linalg.norm(turned[:, self.first :], axis=1)
-        whole = np.outer(self.norm, norm)
-        slack = 1e-9 * whole + 1e-6
-        bound = np.minimum(whole, self.head @ turned[:, : self.first].T + np.outer(self.rest, rest))
-        open_ = bound + slack >= self.threshold[:, None]
-        open_ &= self.ids[:, None] != ids[None, :]
+        # a product of lengths that no query can use ends the block before any sum
+        reach = (1 + SLACK) * np.outer(self.norm, norm) + 1e-6
+        open_ = (reach >= self.threshold[:, None]) & (self.ids[:, None] != ids[None, :])
         columns = np.flatnonzero(open_.any(axis=0))
         if not len(columns):
             return
+        head = self._turned(vf[columns])
+        for cut, rest in zip(self.cuts, self.rest, strict=True):
+            sums = self.head[:, :cut] @ head[:, :cut].T + np.outer(rest, self._rest(norm[columns], head, cut))
+            open_ = open_[:, columns] if open_.shape[1] != len(columns) else open_
+            open_ &= sums + SLACK * np.outer(self.norm, norm[columns]) + 1e-6 >= self.threshold[:, None]
+            some = np.flatnonzero(open_.any(axis=0))
+            if not len(some):
+                return
+            columns, head, open_ = columns[some], head[some], open_[:, some]
         scores = self._exact(values[columns])
-        ids, open_ = ids[columns], open_[:, columns]
+        ids = ids[columns]
+        open_ &= scores >= self.threshold[:, None]
         for i in np.flatnonzero(open_.any(axis=1)):
             at = np.flatnonzero(open_[i])
             s = scores[i, at]
             if len(s) > self.k:
                 at = at[s >= np.partition(s, len(s) - self.k)[len(s) - self.k]]
                 s = scores[i, at]
-            was_ids, was_scores, was_own = self.best[i]
+            was_ids, was_scores = self.best[i]
             all_ids, all_scores = np.concatenate([was_ids, ids[at]]), np.concatenate([was_scores, s])
-            all_own = np.concatenate([was_own, np.full(len(at), own)])
             order = np.lexsort((all_ids, ~all_scores))[: self.k]
-            self.best[i] = all_ids[order], all_scores[order], all_own[order]
+            self.best[i] = all_ids[order], all_scores[order]
             if len(order) == self.k:
-                self.threshold[i] = float(all_scores[order[-1]])
+                self.threshold[i] = max(self.threshold[i], float(all_scores[order[-1]]))
 
     def rows(self) -> pa.RecordBatch:
-        query, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for q, (i, s, own) in zip(self.ids, self.best, strict=True):
-            query.append(np.full(int(own.sum()), q))
-            ids.append(i[own])
-            scores.append(s[own])
-        return pa.RecordBatch.from_pydict({"query_id": np.concatenate(query), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+        n = [len(i) for i, _ in self.best]
+        flat = lambda j: np.concatenate([np.zeros(0, np.int64), *[b[j] for b in self.best]])
+        return pa.RecordBatch.from_pydict({"query_id": np.repeat(self.ids, n), "query_key": np.repeat(self.keys, n), "vec_id": flat(0), "score": flat(1)})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -176,47 +205,66 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
     used = materialize(used.withColumn("length", length), "topk-vectors")
     shape = used.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims"), F.count_if("is_query").alias("q")).first()
     dims = max(1, shape.dims)
-    basis = spark.sparkContext.broadcast(rotation(used, dims))
-    blocks_schema = "part int, k int, ids binary, values binary"
-    by_length = [F.col("length").desc(), F.col("vec_id")]
-
-    def blocks(rows: DataFrame, size: int, blocks_a_part: int, name: str) -> DataFrame:
-        n = shape.q if size == QUERIES else shape.n
-        parts = max(1, -(-n // (size * blocks_a_part)))
-        ordered = rows.select("vec_id", "v", "length").repartitionByRange(parts, *by_length).sortWithinPartitions(*by_length)
-        return materialize(ordered.select("vec_id", "v").mapInArrow(_pack(size, dims), blocks_schema), name)
-
-    candidates = blocks(used, BLOCK, GROUP_BLOCKS, "topk-blocks")
-    queries = blocks(used.where("is_query").dropDuplicates(["vec_id", "v"]), QUERIES, 1, "topk-queries")
-    ends = candidates.agg(F.min("part").alias("lo"), F.max("part").alias("hi")).first()
-    first, last = (ends.lo, ends.hi) if ends.lo is not None else (0, 0)
-    every = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("part")
-    asked = queries.select(F.struct(F.col("part").alias("a"), F.col("k").alias("b")).alias("block"), "ids", "values")
-    units = asked.select("block", every)
-    seed = candidates.where((F.col("part") == first) & (F.col("k") == 0)).select("ids", "values")
-    seeds = seed.select("ids", "values", every).where(F.col("part") != first)
-    rows = asked.select("block", every, F.lit(-2).alias("k"), "ids", "values")
-    rows = rows.unionByName(units.join(seeds, "part").select("block", "part", F.lit(-1).alias("k"), "ids", "values"))
-    rows = rows.unionByName(units.join(candidates, "part").select("block", "part", "k", "ids", "values"))
+    basis = spark.sparkContext.broadcast(rotation(used, dims, max(1, dims // HEAD), shape.n))
+    block_rows, query_rows = (max(64, min(most, BLOCK_CELLS // dims)) for most in (BLOCK, QUERIES))
+
+    def blocks(rows: DataFrame, size: int, blocks_a_part: int, n: int, edge: str, scalars: dict[str, type], name: str) -> DataFrame:
+        order = [F.col(edge).desc(), F.col("vec_id")]
+        ordered = rows.repartitionByRange(max(1, -(-n // (size * blocks_a_part))), *order).sortWithinPartitions(*order)
+        schema = "part int, k int, lo double, hi double, values binary, " + ", ".join(f"{c} binary" for c in scalars)
+        return materialize(ordered.mapInArrow(_pack(size, dims, edge, scalars), schema), name)
+
+    candidates = blocks(used.select("vec_id", "v", "length"), block_rows, GROUP_BLOCKS, shape.n, "length", {"vec_id": np.int64}, "topk-blocks")
+    # the block of the longest vectors: one row of at most BLOCK_CELLS numbers
+    longest = candidates.orderBy("part", "k").select("vec_id", "values").first()
+    seed = spark.sparkContext.broadcast((bytes(longest.vec_id), bytes(longest["values"])) if longest else (b"", b""))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.frombuffer(seed.value[0], np.int64)
+        values = np.frombuffer(seed.value[1], np.int64).reshape(len(ids), dims)
+        for batch in batches:
+            for at in range(0, batch.num_rows, query_rows):
+                part = batch.slice(at, query_rows)
+                search = _Search(part.column("vec_id").to_numpy(), part.column("key").to_numpy(), _matrix(part.column("v"), dims), basis.value, k)
+                search.add(ids, values)
+                known = np.maximum(search.threshold, 0.0)
+                reach = np.divide(known, search.norm, out=np.zeros(len(known)), where=search.norm > 0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(search.threshold), pa.array(reach)], [*part.schema.names, "known", "reach"])
+
+    asked = used.where("is_query").dropDuplicates(["vec_id", "v"]).select("vec_id", F.xxhash64("v").alias("key"), "v")
+    begun = asked.mapInArrow(start, "vec_id bigint, key bigint, v array<bigint>, known double, reach double")
+    scalars = {"vec_id": np.int64, "key": np.int64, "known": np.float64}
+    queries = blocks(materialize(begun, "topk-begun"), query_rows, 1, shape.q, "reach", scalars, "topk-queries")
+    queries = queries.select(F.struct(F.col("part").alias("a"), F.col("k").alias("b")).alias("block"), "lo", "values", *scalars)
+    # only vectors as long as the least reach of a block of queries meet it: others are not sent
+    tops = candidates.groupBy("part").agg(F.max("hi").alias("top"))
+    parts = tops.agg(F.min("part").alias("lo"), F.max("part").alias("hi")).first()
+    first, last = (parts.lo, parts.hi) if parts.lo is not None else (0, 0)
+    long_enough = lambda top: F.col(top) * (1 + SLACK) + 1e-6 >= F.col("lo")
+    units = queries.select("block", "lo", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("part"))
+    units = materialize(units.join(tops, "part").where(long_enough("top")).select("block", "lo", "part"), "topk-units")
+    rows = units.select("block", "part").join(queries.drop("lo"), "block").select("block", "part", F.lit(-1).alias("k"), "vec_id", "key", "known", "values")
+    none = F.lit(None).cast("binary")
+    met = units.join(candidates.drop("lo"), "part").where(long_enough("hi"))
+    rows = rows.unionByName(met.select("block", "part", "k", "vec_id", none.alias("key"), none.alias("known"), "values"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at = None, None
+        now = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                unit = (batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), batch.column("part")[i].as_py())
-                kind = batch.column("k")[i].as_py()
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                values = np.frombuffer(batch.column("values")[i].as_py(), np.int64).reshape(len(ids), dims)
-                if unit != at:
+            for row in range(batch.num_rows):
+                value = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
+                ids = np.frombuffer(value("vec_id"), np.int64)
+                values = np.frombuffer(value("values"), np.int64).reshape(len(ids), dims)
+                if value("k") < 0:
                     if now is not None:
                         yield now.rows()
-                    now, at = _Search(ids, values, basis.value, k), unit
+                    now = _Search(ids, np.frombuffer(value("key"), np.int64), values, basis.value, k, np.frombuffer(value("known"), np.float64))
                 else:
-                    now.add(ids, values, kind >= 0)
+                    now.add(ids, values)
         if now is not None:
             yield now.rows()
 
-    dealt = rows.repartition("block", "part").sortWithinPartitions("block", "part", "k").select("block.a", "block.b", "part", "k", "ids", "values")
-    found = dealt.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    dealt = rows.repartition("block", "part").sortWithinPartitions("block", "part", "k").select("k", "vec_id", "key", "known", "values")
+    found = dealt.mapInArrow(search, "query_id bigint, query_key bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -44,3 +44,38 @@ def test_driver_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()}
     assert got == brute([(r.vec_id, r.embedding) for r in df.collect()])
+
+
+def test_wide_vectors_are_rotated(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "ROTATION_ROWS", 60)
+    r = np.random.default_rng(4)
+    basis = r.normal(size=(3, 1536))
+    rows = [(i, [float(x) for x in r.normal(size=3) @ basis * r.exponential()]) for i in range(200)]
+    turned = []
+    fit = topk.rotation
+    monkeypatch.setattr(topk, "rotation", lambda *a: turned.append(fit(*a)) or turned[0])
+    _, got = run(spark, rows)
+    assert got == brute(rows) and turned[0].shape == (1536, 384)
+
+
+def test_short_vectors_are_not_sent(spark, monkeypatch):
+    """Blocks that no query can use are left out of the shuffle, and a block is left after its first sums."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 1)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(size=8) * (100 if i < 100 else 0.1)]) for i in range(1200)]
+    held = {}
+    keep = topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda df, name: held.setdefault(name, keep(df, name)))
+    _, got = run(spark, rows)
+    assert got == brute(rows)
+    assert held["topk-units"].count() < held["topk-queries"].count() * held["topk-blocks"].count() / 2
+
+
+def test_one_id_with_two_vectors_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], 1, 5), (0, [0.0, 1.0], 1, 5), *[(i, [float(i), float(-i)], 1, 5) for i in range(1, 30)]]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int, rank int")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()]
+    assert sorted(g[1] for g in got) == sorted([*range(1, 21)] * 2)
+    assert {(g[2], g[3]) for g in got} == {(i, 4096 * i) for i in range(10, 30)} | {(i, -4096 * i) for i in range(1, 21)}
