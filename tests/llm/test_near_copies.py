@@ -92,8 +92,10 @@ def test_simhash_links_are_confirmed_links(spark, sf_dir):
     column = pa.array([t for _, t in rows], pa.string())
     sets = [set(h[a:b].tolist()) for _, _, raw, at in near_copies.text_slices(column) for h, ends in [near_copies.shingle_sets(raw, at)] for a, b in zip(ends[:-1], ends[1:])]
     by_node = {i: s for i, s in enumerate(sets) if s}
-    table = pa.table({"node": list(by_node), "shingles": [sorted(np.array(sorted(s), np.uint64).view(np.int64).tolist()) for s in by_node.values()], "fp": near_copies.fingerprints(np.concatenate([np.array(sorted(s), np.uint64) for s in by_node.values()]), np.cumsum([0, *map(len, by_node.values())])).view(np.int64)})
-    found = near_copies.simhash_links(spark.createDataFrame(table.to_pandas(), "node bigint, shingles array<bigint>, fp bigint")).collect()
+    h = [np.array(sorted(s), np.uint64) for s in by_node.values()]
+    fp = near_copies.fingerprints(np.concatenate(h), np.cumsum([0, *map(len, h)])).view(np.int64)
+    table = spark.createDataFrame([(i, x.view(np.int64).tolist(), int(f)) for i, x, f in zip(by_node, h, fp)], "node bigint, shingles array<bigint>, fp bigint")
+    found = near_copies.simhash_links(table).collect()
     assert found and all(5 * len(by_node[r.u] & by_node[r.v]) >= 4 * len(by_node[r.u] | by_node[r.v]) for r in found)
 
 
