@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 
-from strandloom.llm.decontaminate import WINDOW, find_contamination
+from strandloom.llm.decontaminate import WINDOW, Index, find_contamination, results
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -71,3 +73,38 @@ def test_driver_tables(spark, sf):
     assert any(r.contaminated for r in rows)
     for r in rows:
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(r.text, known)
+
+
+def test_repeated_words_take_no_longer():
+    docs = pa.array(["same " * 100_000, "x " + "one two " * 40_000])
+    index = [Index([1, 2, 3], ["same " * 1000, "one two " * 300, "two one " * 300])]
+    start = time.monotonic()
+    (got,) = results([docs], index)
+    assert time.monotonic() - start < 10
+    assert [(r["n_words"], r["n_hit"], r["n_items"]) for r in got.to_pylist()] == [(100_000, 100_000, 1), (80_001, 80_000, 2)]
+
+
+def test_an_item_set_is_expanded_once():
+    """A passage that thousands of items share: each document meets the set once, and names every item."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    index = [Index(list(range(5000)), [passage] * 5000)]
+    start = time.monotonic()
+    (got,) = results([pa.array([f"a {passage} b"] * 20)], index)
+    assert time.monotonic() - start < 10
+    assert {(r["n_hit"], r["n_items"]) for r in got.to_pylist()} == {(60, 5000)}
+
+
+def test_parts_are_loaded_once_a_chunk():
+    docs = pa.array([" ".join(f"w{(i * j) % 97}" for j in range(40)) for i in range(50)])
+    items = [" ".join(f"w{(i * j) % 97}" for j in range(5, 25)) for i in range(30)]
+    loads = []
+
+    class Parts:
+        def __iter__(self):
+            for i in range(0, 30, 10):
+                loads.append(i)
+                yield Index(list(range(i, i + 10)), items[i : i + 10])
+
+    whole = results([docs], [Index(list(range(30)), items)])
+    assert pa.concat_arrays(results([docs[:20], docs[20:], docs[:0]], Parts())).equals(whole[0])
+    assert len(loads) == 3
