@@ -13,8 +13,8 @@ are known to be in one component already. Only links that join components leave
 linear in the input, also in groups of thousands of near copies, and no component is lost.
 
 A top group with more than GROUP_ROWS fingerprints is dealt to finer groups by the same argument on its
-remaining bits, down to LEVELS levels, so no task needs a whole hot group. Equal fingerprints are one node
-of everything above, however many documents have them.
+remaining bits, again and again until it fits or too few bits are left for as many fingerprints, so no task
+needs a whole hot group. Equal fingerprints are one node of everything above, however many documents have them.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; texts of
 fewer words than a shingle are one shingle; a null doc_id never is a component's id unless all are null;
@@ -38,7 +38,6 @@ DISTANCE = 3
 SHINGLE = 3
 SEED = 42
 GROUP_ROWS = 20_000
-LEVELS = 3
 _LEAF, _FAN, _STEP, _BATCH_ROWS = 8, 4, 400_000, 200_000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
@@ -115,10 +114,11 @@ def grouped(fps: DataFrame, group_rows: int = GROUP_ROWS, distance: int = DISTAN
     width = 64
     rows = _blocks(fps.select(F.lit(0).cast("bigint").alias("key"), "fp", F.col("fp").alias("bits")), width, distance + pick, pick)
     width -= pick * -(-width // (distance + pick))
-    done = None
-    for level in range(1, LEVELS):
+    done, level = None, 0
+    while width >= 2 * (distance + 1) and group_rows < 1 << width:
+        level += 1
         hot = materialize(rows.groupBy("key").count().where(F.col("count") > group_rows).select(F.col("key").alias("hot")), "simhash-hot")
-        if not hot.take(1) or width < 2 * (distance + 1):
+        if not hot.take(1):
             break
         rows = materialize(rows.join(hot, F.col("key") == F.col("hot"), "left"), f"simhash-level-{level}")
         calm = rows.where("hot is null").drop("hot")
@@ -237,14 +237,15 @@ def _link_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
         moved = np.flatnonzero(label != np.arange(cut))
         return pa.RecordBatch.from_pydict({"u": fp[moved], "v": fp[label[moved]]})
 
-    held = 0
+    held, enough = 0, _BATCH_ROWS
     for batch in batches:
         keys.append(batch.column("key").to_numpy())
         fps.append(batch.column("fp").to_numpy())
         held += batch.num_rows
-        if held >= _BATCH_ROWS:
+        if held >= enough:
             yield flush(False)
             held = len(keys[0])
+            enough = max(_BATCH_ROWS, 2 * held)  # a group that goes on is put together again only when it has doubled
     if keys:
         yield flush(True)
     release()
