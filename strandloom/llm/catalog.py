@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import table
+from strandloom.llm.license_sql import LICENSE_SQL
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,36 +110,6 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-def _license_sql() -> str:
-    """The canonical form and its digests, restated in SQL."""
-    from strandloom.llm import licenses
-
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-
-    def form(text: str) -> str:
-        out = f"regexp_replace(lower(coalesce({text}, '')), {quote(licenses.COPYRIGHT_LINE)}, chr(10), 'g')"
-        out = f"' ' || regexp_replace(regexp_replace({out}, {quote(licenses.NO_WORD)}, ' ', 'g'), ' ?\\n ?', ' ' || chr(10) || ' ', 'g') || ' '"
-        for was, now in licenses.SPELLINGS.items():
-            out = f"replace({out}, ' {was} ', ' {now} ')"
-        return out
-
-    digest = "CASE WHEN trim(regexp_replace(form, '[ \\n]+', ' ', 'g')) <> '' THEN md5(trim(regexp_replace(form, '[ \\n]+', ' ', 'g'))) END"
-    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in licenses.KNOWN)
-    return f"""
-        WITH known AS (
-            SELECT digest, min(license_id) AS license_id
-            FROM (SELECT license_id, {digest} AS digest FROM (SELECT license_id, {form("text")} AS form FROM (VALUES {values}) AS t(license_id, text)))
-            GROUP BY digest
-        ), forms AS (SELECT row_number() OVER () AS row, doc_id, {form("text")} AS form FROM documents
-        ), lines AS (SELECT row, md5(trim(unnest(string_split(form, chr(10))))) AS digest FROM forms
-        ), notices AS (
-            SELECT row, string_agg(license_id, ',' ORDER BY license_id) AS ids
-            FROM (SELECT DISTINCT row, license_id FROM lines JOIN known USING (digest)) GROUP BY row
-        ), digests AS (SELECT row, doc_id, {digest} AS text_digest FROM forms)
-        SELECT doc_id, text_digest, license_id, coalesce(ids, '') AS notice_ids
-        FROM digests LEFT JOIN known ON text_digest = digest LEFT JOIN notices USING (row)
-    """
-
 
 ORACLES: dict[str, str] = {
     "op2_mixing": """
@@ -191,7 +162,7 @@ ORACLES: dict[str, str] = {
         SELECT h.page_id, h.url, h.fetched, coalesce(n, 0) AS n_matches, matched, coalesce(n, 0) > 0 AS blocked
         FROM hosts h LEFT JOIN hits USING (page_id, url, fetched)
     """,
-    "op5_licenses": _license_sql(),
+    "op5_licenses": LICENSE_SQL,
     "op7_warc": """
         WITH payloads AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

@@ -1,43 +1,45 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is brought to a canonical form: lower case, copyright lines removed, punctuation and white space
-reduced to single spaces, equivalent spellings made equal. The digest of the whole form is joined with the
-digests of known licences; the same is done for each line, which finds one-line notices in other texts.
-The table of known texts is a constant of this module or a given list of at most MOST_KNOWN texts, hence
-the broadcast.
+A text is brought to a canonical form: copyright notices removed, lower case, letters and digits only, equivalent
+spellings made equal. White space and punctuation are gone, so neither the width of lines nor comment signs matter.
+The digest of the whole form is joined with the digests of known licences; each line's form is looked up among
+those of one-line notices, which finds these in other texts. Known texts are constants of this module or a given
+list of at most MOST_KNOWN texts, hence the broadcast; the digests of long licences are given as such.
+
+A line is a copyright notice if it begins, after comment signs, with the word copyright and a sign, year or
+placeholder, with a name and what names end in, with (c) and a year, with the sign alone, or with "all rights
+reserved". Other lines that begin with the word are text of the licence.
 
 Defined cases: null, empty and punctuation-only texts have an empty form, digest null and match nothing;
-repeated rows match alike.
+repeated rows match alike; without known texts nothing matches.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_KNOWN = 1000
+#: The longest canonical form of a one-line notice.
+LINE = 200
 
-# Spellings that licence matching holds equal, British or variant to American.
+# Spellings that licence matching holds equal, British or variant to American, without spaces.
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
     "analogue": "analog",
-    "authorisation": "authorization",
-    "authorised": "authorized",
+    "authoris": "authoriz",
     "centre": "center",
-    "copyright holder": "copyright owner",
-    "copyright holders": "copyright owners",
+    "copyrightholder": "copyrightowner",
     "favour": "favor",
-    "fulfil": "fulfill",
-    "initialise": "initialize",
+    "fulfill": "fulfil",
+    "initialis": "initializ",
     "licence": "license",
-    "licenced": "licensed",
-    "licences": "licenses",
-    "noncommercial": "non commercial",
-    "organisation": "organization",
-    "per cent": "percent",
-    "sub license": "sublicense",
+    "merchantibility": "merchantability",
+    "organis": "organiz",
     "whilst": "while",
-    "wilful": "willful",
+    "willful": "wilful",
 }
 
 # Known licences, whole texts without their copyright lines, and one-line notices.
@@ -45,15 +47,44 @@ _GRANT = "Permission is hereby granted, free of charge, to any person obtaining
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 _ZERO_BSD = _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
 _ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
-KNOWN = [
-    ("MIT", _GRANT),
-    ("MIT", "MIT License\n\n" + _GRANT),
-    ("MIT", "The MIT License (MIT)\n\n" + _GRANT),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n\n" + _ISC),
-    ("0BSD", _ZERO_BSD),
-    ("Zlib", _ZLIB),
-    ("Zlib", "zlib License\n\n" + _ZLIB),
+_DISCLAIMER = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = " {1}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = " {2}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " {3}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BOOST = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT_0 = _GRANT.replace(", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")
+_TITLES = {
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)", "(The MIT License)"],
+    "MIT-0": ["", "MIT No Attribution"],
+    "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["", "BSD Zero Clause License", "Zero-Clause BSD"],
+    "Zlib": ["", "zlib License", "The zlib License"],
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The BSD 3-Clause License", "BSD License"],
+    "Unlicense": ["", "The Unlicense"],
+    "BSL-1.0": ["", "Boost Software License - Version 1.0 - August 17th, 2003"],
+}
+
+
+def _marked(text: str) -> list[str]:
+    """A text with list numbers, and with bare points, at the places {1}, {2}, ..."""
+    return [text.format("", *[f"{i}. " for i in range(1, 4)]), text.format(*[""] * 4)]
+
+
+_SHORT = [
+    ("MIT", [_GRANT]),
+    ("MIT-0", [_MIT_0]),
+    ("ISC", [_ISC, _ISC.replace("and/or", "and"), _ISC.replace("SPECIAL, DIRECT", "DIRECT"), _ISC.replace("and/or", "or")]),
+    ("0BSD", [_ZERO_BSD]),
+    ("Zlib", [_ZLIB]),
+    ("BSD-2-Clause", _marked(_BSD + _BSD_1 + _BSD_2 + _DISCLAIMER)),
+    ("BSD-3-Clause", _marked(_BSD + _BSD_1 + _BSD_2 + _BSD_3 + _DISCLAIMER)),
+    ("Unlicense", [_UNLICENSE, _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>", _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"]),
+    ("BSL-1.0", [_BOOST]),
+]
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -62,47 +93,107 @@ KNOWN = [
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
     ("MIT", "Released under the MIT License."),
 ]
+KNOWN = [(i, f"{title}\n\n{text}") for i, texts in _SHORT for text in texts for title in _TITLES[i]] + NOTICES
+
+# Digests of the canonical forms of long licences, whole as published and, where two stand for one
+# licence, without the appendix on how to apply it. tests/llm/test_licenses.py forms them again from the texts.
+LONG: list[tuple[str, str]] = [
+    ("Apache-2.0", "d4f93b2dc3cd79eb7a003005510f4d87"),
+    ("Apache-2.0", "d34c325659ec2d17c02816c5b2b931b2"),
+    ("Apache-2.0", "eb66ab19e5190d0ceb08453ce1057914"),
+    ("Artistic-1.0-Perl", "164490624f060a0970a2312efb6a50da"),
+    ("CC0-1.0", "c50672af8a1a16bc61170ece7fa5bd88"),
+    ("GFDL-1.2-only", "1dc928922abdc779713cc986757f779c"),
+    ("GFDL-1.3-only", "982be206076b770de11327d583f17eb9"),
+    ("GPL-1.0-only", "ba6a338ed187b4b98612676b1bb23761"),
+    ("GPL-1.0-only", "ffc2b77e6d08514cd11158bb9da22146"),
+    ("GPL-1.0-only", "7d5a06df9531ee3d1bb955f9e4458088"),
+    ("GPL-2.0-only", "08822ac541d390ed9068f320482bcb79"),
+    ("GPL-2.0-only", "ec393342e130f557637181533e7a1286"),
+    ("GPL-2.0-only", "d70aea05e218d502f9928315724fe042"),
+    ("GPL-3.0-only", "0174b160fd3801e04be8c458ec5eee9a"),
+    ("GPL-3.0-only", "2fdd5d2e4dbac4f1000f2541c8f8bb1c"),
+    ("GPL-3.0-only", "c1aa2b6297e433284e337f88c4066293"),
+    ("LGPL-2.0-only", "fcf6784178b91eab924a881207f97f2e"),
+    ("LGPL-2.0-only", "8e2aed0597be0d9c8d157669be26a3e6"),
+    ("LGPL-2.0-only", "4a321345a04593a7fee73c736a2b0d01"),
+    ("LGPL-2.1-only", "25e027d03e07d9141ceb79fe599507ad"),
+    ("LGPL-2.1-only", "10d1d86274204a890649689e6a60b8b7"),
+    ("LGPL-2.1-only", "c4fcf064f8711c2eeeb1c347ce8da2c6"),
+    ("LGPL-3.0-only", "3dc77fe01fad042db24b945c344d4eed"),
+    ("MPL-1.1", "916b4efd26bae07f153142c30fe8a90b"),
+    ("MPL-2.0", "16460510b00814a71821aed7224f44d2"),
+]
 
-COPYRIGHT_LINE = r"(^|\n)[ \t/*#;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = (
+    r"\n[ \t/*#;>%.-]*(?:"
+    r"(?i:copyright)[ \t]*(?:\((?i:c)\)|©|:|<|\[|\{|[0-9]{4})"
+    r"|(?i:copyright)[ \t]+(?:[Tt]he[ \t]+)?[A-Z][A-Za-z.]*[a-z][^\n]*(?i:contributors|authors|developers|foundation|inc[.]|all rights reserved)"
+    r"|\((?i:c)\)[ \t]*(?:(?i:copyright)[ \t]*)?[0-9]{4}"
+    r"|©"
+    r"|(?i:all rights reserved)"
+    r")[^\n]*"
+)
+#: In a whole form: the clause of the BSD licences that names the owner.
+OWNER_NAME = r"neitherthenameof[\p{L}\p{N}]{1,120}?northenames"
 NO_WORD = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
-    """Canonical form with the line breaks left in; each line is between spaces."""
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
-    out = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(low, NO_WORD, " "), " ?\n ?", " \n "), F.lit(" "))
+    """Canonical form with the line breaks left in."""
+    out = F.regexp_replace(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    return F.regexp_replace(F.lower(out), NO_WORD, "")
+
+
+def _spelled(form: Column) -> Column:
     for was, now in SPELLINGS.items():
-        if was != now:
-            out = F.replace(out, F.lit(f" {was} "), F.lit(f" {now} "))
-    return out
+        form = F.replace(form, F.lit(was), F.lit(now))
+    return form
+
+
+def whole(lines: Column) -> Column:
+    """The form of a whole text: its lines' forms without breaks, in one spelling."""
+    return F.regexp_replace(_spelled(F.replace(lines, F.lit("\n"), F.lit(""))), OWNER_NAME, "neitherthenameofnorthenames")
 
 
 def digest(form: Column) -> Column:
-    """MD5 of a form with its white space reduced; null for an empty one."""
-    short = F.trim(F.regexp_replace(form, r"[ \n]+", " "))
-    return F.when(short != "", F.md5(short.cast("binary")))
+    """MD5 of a whole form; null for an empty one."""
+    return F.when(form != "", F.md5(form.cast("binary")))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    if len(known) > MOST_KNOWN:
+def known_digests(spark: SparkSession, known: list[tuple[str, str]], digests: list[tuple[str, str]] = ()) -> DataFrame:
+    """(license_id, form, digest) of known texts, read by the JVM from JSON literals; given digests have no form."""
+    if len(known) + len(digests) > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known licences")
-    texts = spark.createDataFrame(known, "license_id string, text string")
-    return texts.select("license_id", digest(canonical_lines(F.col("text"))).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    kind = "array<struct<license_id:string,value:string>>"
+    given = lambda rows: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"license_id": i, "value": v} for i, v in rows])), kind)).alias("r"))
+    texts = given(known).select("r.license_id", whole(canonical_lines(F.col("r.value"))).alias("form")).where("form <> ''").withColumn("digest", digest(F.col("form")))
+    every = texts.unionByName(given(digests).select("r.license_id", F.lit(None).cast("string").alias("form"), F.col("r.value").alias("digest")))
+    return every.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.first("form").alias("form"))
 
 
-def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, text: str = "text", digests: list[tuple[str, str]] | None = None) -> DataFrame:
     """docs with text_digest, license_id (of the entire text, or null) and notice_ids (of single lines).
 
-    notice_ids holds the distinct ids, sorted and joined by commas; it is empty if there are none. Input
-    columns of these names are replaced.
+    known: (license_id, text); digests: (license_id, digest of the canonical form), by default LONG if known is
+    KNOWN. notice_ids holds the distinct ids, sorted and joined by commas; it is empty if there are none. Input
+    columns of the result's names are replaced.
     """
     spark = docs.sparkSession
     names = ("text_digest", "license_id", "notice_ids")
-    table = known_digests(spark, known)
-    by_digest = [F.lit(x) for r in table.collect() for x in (r.digest, r.license_id)]  # at most MOST_KNOWN rows
-    form = docs.drop(*names).withColumn("__form", canonical_lines(F.col(text)))
-    lines = F.transform(F.array_distinct(F.split("__form", "\n")), lambda x: F.md5(F.trim(x).cast("binary")))
-    found = F.transform(lines, lambda d: F.try_element_at(F.create_map(*by_digest), d)) if by_digest else F.array().cast("array<string>")
-    ids = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-    scanned = form.withColumn("text_digest", digest(F.col("__form"))).withColumn("notice_ids", F.array_join(ids, ","))
-    return scanned.join(F.broadcast(table.withColumnRenamed("digest", "__digest")), F.col("text_digest") == F.col("__digest"), "left").drop("__form", "__digest")
+    digests = digests if digests is not None else LONG if known is KNOWN else []
+    rows = known_digests(spark, known, digests).collect()  # at most MOST_KNOWN
+    form = docs.drop(*names).withColumn("__lines", canonical_lines(F.col(text)))
+    ids_of = {r.form: r.license_id for r in rows if r.form and len(r.form) <= LINE}
+    # hashed membership first: few lines are as short as a notice, and hardly any is one
+    short = F.filter(F.split("__lines", "\n"), lambda x: (F.length(x) <= LINE) & (x != ""))
+    spelled = F.transform(short, _spelled)
+    if ids_of:
+        found = F.filter(spelled, lambda x: x.isin(list(ids_of)))
+        each = F.create_map(*[F.lit(x) for pair in ids_of.items() for x in pair])
+        ids = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.try_element_at(each, x))))
+    else:
+        ids = F.array().cast("array<string>")
+    table = known_digests(spark, known, digests).select(F.col("digest").alias("__digest"), "license_id")
+    scanned = form.withColumn("text_digest", digest(whole(F.col("__lines")))).withColumn("notice_ids", F.array_join(ids, ","))
+    return scanned.join(F.broadcast(table), F.col("text_digest") == F.col("__digest"), "left").drop("__lines", "__digest")
