@@ -3,9 +3,10 @@
 Statistics are shares and lengths computed from the bytes of a whole text. They are standardised, mapped by
 random Fourier features that approximate a Gaussian kernel, and fitted to the labels by ridge regression
 whose normal equations are summed over partitions: each task sends one FEATURES x FEATURES matrix at most.
-The raw scores of the sample are then made monotone in the observed share of good labels (pool adjacent
-violators). Training takes a bounded, documented sample (PER_CLASS of each class, each text of at most
-TRAIN_BYTES bytes).
+Raw scores are then made monotone in the observed share of good labels (pool adjacent violators), over scores
+that rows of the sample get from the equations of the other FOLDS - 1 folds, so calibration sees no row that its
+weights were fitted on; rows count so that the classes have the shares of all labels. Training takes a bounded,
+documented sample (PER_CLASS of each class, each text of at most TRAIN_BYTES bytes).
 
 Defined cases: null and empty texts have all statistics zero and are scored like any other; repeated rows
 score alike; without labelled rows of both classes the score is the share of good labels (1 if none).
@@ -25,6 +26,7 @@ from strandloom.llm.common import crc_bucket, labelled_sample, materialize, rele
 
 PER_CLASS, TRAIN_BYTES = 4000, 60_000
 FEATURES, BANDWIDTH, PENALTY, SEED = 192, 3.0, 1e-3, 20240229
+FOLDS = 4
 THRESHOLD = 0.7
 
 UPPER, LOWER, DIGIT, SPACE, LINE, STOP, COMMA, OTHER, WIDE, TAIL = range(10)
@@ -125,13 +127,14 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.knots, self.levels), 0.0, 1.0)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots and non-decreasing levels to interpolate between."""
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order].astype(float)
+    weight = np.ones(len(x)) if weight is None else weight[order]
     blocks: list[list[float]] = []  # mean, weight, least x, greatest x
-    for a, b in zip(x, y, strict=True):
-        blocks.append([b, 1.0, a, a])
+    for a, b, c in zip(x, y, weight, strict=True):
+        blocks.append([b, c, a, a])
         while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
             m, n, _, hi = blocks.pop()
             p = blocks[-1]
@@ -140,6 +143,11 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots, np.repeat([b[0] for b in blocks], 2)
 
 
+def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ridge weights of summed normal equations."""
+    return np.linalg.solve(a + PENALTY / FEATURES * np.eye(len(b)), b)
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, label: str = "quality") -> Model:
     """Train on labelled rows for which allowed (an expression on labels) holds."""
     spark = docs.sparkSession
@@ -153,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, lab
             yield pa.array(list(column_statistics(batch)), pa.list_(pa.float64()))
         release()
 
-    rows = materialize(sample.select("label", stats(F.col("text")).alias("x")), "quality-sample")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    rows = materialize(sample.select("label", fold.alias("fold"), stats(F.col("text")).alias("x")), "quality-sample")
     sums = rows.select("label", *[F.col("x")[i].alias(f"x{i}") for i in range(width)]).agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum("label"), F.lit(0)).alias("good"),
@@ -169,27 +178,35 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, lab
     weight = {1: 0.5 / sums.good, 0: 0.5 / (sums.n - sums.good)}  # classes count alike
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
+        a, b = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1)), np.zeros((FOLDS, FEATURES + 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.stack(batch.column("x").to_numpy(zero_copy_only=False))
-            y = batch.column("label").to_numpy(zero_copy_only=False)
+            y, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "fold"))
             z, w = bare.features(x), np.where(y > 0, weight[1], weight[0])
-            a += (z * w[:, None]).T @ z
-            b += (z * w[:, None]).T @ y
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a.ravel()], pa.list_(pa.float64())), "b": pa.array([b], pa.list_(pa.float64()))})
-
-    parts = rows.mapInArrow(equations, "a array<double>, b array<double>").toLocalIterator()
-    a, b = np.zeros((FEATURES + 1) ** 2), np.zeros(FEATURES + 1)
+            for k in range(FOLDS):
+                of = own == k
+                a[k] += (z[of] * w[of, None]).T @ z[of]
+                b[k] += (z[of] * w[of, None]).T @ y[of]
+        yield pa.RecordBatch.from_pydict({"fold": pa.array(range(FOLDS), pa.int32()), "a": pa.array(list(a.reshape(FOLDS, -1)), pa.list_(pa.float64())), "b": pa.array(list(b), pa.list_(pa.float64()))})
+
+    # a bounded sample: few partitions
+    parts = rows.mapInArrow(equations, "fold int, a array<double>, b array<double>").toLocalIterator()
+    a, b = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1)), np.zeros((FOLDS, FEATURES + 1))
     for part in parts:
-        a += np.asarray(part.a)
-        b += np.asarray(part.b)
-    weights = np.linalg.solve(a.reshape(FEATURES + 1, -1) + PENALTY / FEATURES * np.eye(FEATURES + 1), b)
-    fitted = Model(mean, scale, weights, empty, empty)
+        a[part.fold] += np.asarray(part.a).reshape(FEATURES + 1, -1)
+        b[part.fold] += np.asarray(part.b)
     sample_rows = rows.toPandas()  # at most 2 * PER_CLASS rows
-    knots, levels = isotonic(fitted.raw(np.stack(sample_rows["x"])), sample_rows["label"].to_numpy())
-    return Model(mean, scale, weights, knots, levels)
+    x, y, own = np.stack(sample_rows["x"]), sample_rows["label"].to_numpy(), sample_rows["fold"].to_numpy()
+    raw = np.zeros(len(y))
+    for k in range(FOLDS):
+        other = Model(mean, scale, solve(a.sum(0) - a[k], b.sum(0) - b[k]), empty, empty)
+        raw[own == k] = other.raw(x[own == k])
+    named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if allowed is None else allowed))
+    total = {r.label: r.n for r in named.groupBy(F.col(label).cast("int").alias("label")).agg(F.countDistinct("doc_id").alias("n")).collect()}
+    knots, levels = isotonic(raw, y, np.where(y > 0, total[1] / sums.good, total[0] / (sums.n - sums.good)))
+    return Model(mean, scale, solve(a.sum(0), b.sum(0)), knots, levels)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
