@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Bases in a piece of a sequence: places in a string are found by walking it, so long ones are cut first.
-PIECE = 512
+#: Bases in the small and in the large pieces of a sequence: places in a string are found by walking it, so long ones are cut first.
+PIECE, LONG = 128, 16_384
+#: Distinct k-mers that are broadcast at most.
+BROADCAST_KMERS = 1_000_000
 
 
 def upper(sequence: Column) -> Column:
@@ -15,30 +19,77 @@ def upper(sequence: Column) -> Column:
     return F.translate(sequence, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _pieces(letters: Column, size: int, k: int) -> Column:
+    """A sequence cut to pieces that start every size letters and overlap by k - 1."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(letters) - (k - 1)), F.lit(size))
+    return F.transform(starts, lambda i: F.substring(letters, i, F.lit(size + k - 1)))
+
+
 def kmers(sequence: Column, k: int, distinct: bool = True, amount: str = "N") -> Column:
     """All k-mers of the upper-case sequence without the letter of unknown bases; empty if it is shorter."""
-    letters = upper(sequence)
-    none = F.array().cast("array<int>")
-    starts = F.when(F.length(letters) >= k, F.sequence(F.lit(1), F.length(letters) - (k - 1), F.lit(PIECE))).otherwise(none)
-    pieces = F.transform(starts, lambda i: F.substring(letters, i, F.lit(PIECE + k - 1)))
-    inside = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substring(p, i, F.lit(k)))
-    found = F.filter(F.flatten(F.transform(pieces, inside)), lambda x: ~F.contains(x, F.lit(amount)))
+
+    def inside(p: Column) -> Column:
+        places = F.when(F.length(p) >= k, F.sequence(F.lit(1), F.length(p) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        every = F.transform(places, lambda i: F.substring(p, i, F.lit(k)))
+        return F.when(F.contains(p, F.lit(amount)), F.filter(every, lambda x: ~F.contains(x, F.lit(amount)))).otherwise(every)
+
+    def cut(letters: Column) -> Column:
+        return F.flatten(F.transform(_pieces(letters, LONG, k), lambda p: F.flatten(F.transform(_pieces(p, PIECE, k), inside))))
+
+    found = F.coalesce(_once(upper(sequence), cut), F.array().cast("array<string>"))
     return F.array_distinct(found) if distinct else found
 
 
+def kmer_rows(rows: DataFrame, keys: list[str], sequence: str, k: int, amount: str = "N") -> DataFrame:
+    """(keys, kmer): a row for each occurrence in a group's sequences, cut in generated code."""
+    letters = rows.select(*keys, upper(F.col(sequence)).alias("__letters")).where(F.length("__letters") >= k)
+    long_ = letters.select(*keys, F.explode(_pieces(F.col("__letters"), LONG, k)).alias("__long"))
+    short = long_.select(*keys, F.explode(_pieces(F.col("__long"), PIECE, k)).alias("__piece")).where(F.length("__piece") >= k)
+    # in a piece of single-byte letters a place in bytes is the place in letters, and nothing is walked
+    single = F.when(F.octet_length("__piece") == F.length("__piece"), F.col("__piece").cast("binary"))
+    placed = short.withColumn("__bytes", single).select(*keys, "__piece", "__bytes", F.explode(F.sequence(F.lit(1), F.length("__piece") - (k - 1))).alias("__at"))
+    cut = lambda piece: F.substring(F.col(piece), F.col("__at"), F.lit(k)).cast("string")
+    out = placed.select(*keys, F.when(F.col("__bytes").isNotNull(), cut("__bytes")).otherwise(cut("__piece")).alias("kmer"))
+    return out.where(~F.contains("kmer", F.lit(amount)))
+
+
 def shares_kmer(a: Column, b_kmers: Column, k: int) -> Column:
     """Whether a sequence has one of the k-mers."""
     return F.coalesce(F.arrays_overlap(kmers(a, k), b_kmers), F.lit(False))
 
 
-def kmer_counts(rows: DataFrame, keys: list[str], sequence: str, k: int) -> DataFrame:
-    """(keys, kmer, n): occurrences over all sequences of a group."""
-    return rows.select(*keys, F.explode(kmers(F.col(sequence), k, distinct=False)).alias("kmer")).groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+def kmer_counts(rows: DataFrame, keys: list[str], sequence: str, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(keys, kmer, n): occurrences over all sequences of a group.
+
+    wanted (keys, kmer): only these are counted. They are met before the shuffle if there are at most
+    BROADCAST_KMERS, else the occurrences of each task are added up first.
+    """
+    found = kmer_rows(rows, keys, sequence, k)
+    if wanted is None:
+        return found.groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+    wanted = wanted.select(*keys, "kmer").distinct()
+    if wanted.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS:
+        return found.join(F.broadcast(wanted), [*keys, "kmer"], "left_semi").groupBy(*keys, "kmer").agg(F.count("*").alias("n"))
+    return found.groupBy(*keys, "kmer").agg(F.count("*").alias("n")).join(wanted, [*keys, "kmer"], "left_semi")
 
 
 def reference_kmers(rows: DataFrame, keys: list[str], sequence: str, k: int) -> DataFrame:
     """(keys, kmer): distinct k-mers of a group's sequences."""
-    return rows.select(*keys, F.explode(kmers(F.col(sequence), k)).alias("kmer")).distinct()
+    return kmer_rows(rows, keys, sequence, k).distinct()
+
+
+def shared_kmers(rows: DataFrame, keys: list[str], sequence: str, known: DataFrame, k: int) -> DataFrame:
+    """(keys, n_shared): how many of the known k-mers (kmer) a group's sequences have; groups without any are left out."""
+    known = known.select("kmer").distinct()
+    if known.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS:
+        known = F.broadcast(known)
+    found = kmer_rows(rows, keys, sequence, k).join(known, "kmer", "left_semi")
+    return found.distinct().groupBy(*keys).agg(F.count("*").alias("n_shared"))
 
 
 def match(reference: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from strandloom.functions import cigar, kmers
 from strandloom.functions.columns import INSERTION, points
 from strandloom.functions.tests import p_value
 from strandloom.operators.ordered import overlap_join
+from strandloom.operators.stages import settle
 
 c = F.col
 
@@ -227,7 +228,8 @@ def kmer_evidence(calls: DataFrame, reads: DataFrame, reference: DataFrame, key:
     met = near_reads(calls, reads.where(informative(reads)), key, low - config.read_margin, high + config.read_margin)
     met = met.select(c("call_key").alias(key), "seq")
     n = met.groupBy(key).agg(F.count("*").alias("n_reads"))
-    matched = kmers.match(kmers.reference_kmers(reference, [key], "sequence", config.k), kmers.kmer_counts(met, [key], "seq", config.k), [key])
+    known = settle(kmers.reference_kmers(reference, [key], "sequence", config.k), "reference-kmers")
+    matched = kmers.match(known, kmers.kmer_counts(met, [key], "seq", config.k, known), [key])
     deletion = kmers.deletion_support(matched, [key]).select(key, c("is_match").alias("kmer_deletion"))
     duplication = kmers.duplication_support(matched, n, [key]).select(key, c("is_match").alias("kmer_duplication"))
     out = calls.select(key).join(n, key, "left").join(deletion, key, "left").join(duplication, key, "left")

@@ -225,7 +225,9 @@ def coverage_bins(spark, d):
 
 @query(f"WITH {_COV} SELECT sample, contig, haplotype, count(*) AS n_bins, CAST(sum(depth) AS BIGINT) AS total, max(depth) AS deepest FROM cov GROUP BY ALL")
 def coverage_by_hp(spark, d):
-    return _coverage(spark, d).groupBy("sample", "contig", "haplotype").agg(F.count("*").alias("n_bins"), F.sum("depth").alias("total"), F.max("depth").alias("deepest"))
+    runs = coverage.coverage_by_deltas(v.reads(spark, d), DEFAULT.coverage_bin)
+    wide = c("next_bin") - c("bin")
+    return runs.groupBy("sample", "contig", "haplotype").agg(F.sum(wide).alias("n_bins"), F.sum(c("depth") * wide).alias("total"), F.max("depth").alias("deepest"))
 
 
 @query(f"WITH {_COV} SELECT sample, contig, haplotype, bin, depth FROM cov")
@@ -508,7 +510,7 @@ def tandem_dups(spark, d):
 
 # --- k-mers ----------------------------------------------------------------------------------------------
 
-_K = 12
+_K = DEFAULT.k
 _REF = f"""ref AS (SELECT DISTINCT item_id, kmer FROM (SELECT item_id, unnest(list_transform(range(1, greatest(length(t) - {_K} + 2, 1)), lambda i: substr(t, i, {_K}))) AS kmer FROM (SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM benchmark)) WHERE kmer NOT LIKE '%N%')"""
 _READ = f"""rk AS (SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(t) - {_K} + 2, 1)), lambda i: substr(t, i, {_K}))) AS kmer FROM (SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS t FROM documents)) WHERE kmer NOT LIKE '%N%' GROUP BY kmer)"""
 
@@ -518,8 +520,9 @@ def _reference_kmers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
-    counts = kmers.kmer_counts(v.table(spark, d, "documents"), [], "text", _K)
-    return _reference_kmers(spark, d).join(counts, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    known = settle(_reference_kmers(spark, d), "reference-kmers")
+    counts = kmers.kmer_counts(v.table(spark, d, "documents"), [], "text", _K, known.select("kmer"))
+    return known.join(counts, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
 @query(f"WITH {_REF} SELECT item_id, count(*) AS n_kmers, min(kmer) AS first_kmer FROM ref GROUP BY item_id")
@@ -555,8 +558,7 @@ _LETTERS = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTU
     SELECT doc_id, count(DISTINCT kmer) AS n_shared FROM (SELECT doc_id, {_LONG} FROM (SELECT doc_id, {_LETTERS} AS t FROM documents)) JOIN k USING (kmer) GROUP BY doc_id""")
 def insertion_kmers(spark, d):
     known = kmers.reference_kmers(v.table(spark, d, "benchmark"), [], "text", DEFAULT.k_insert)
-    found = kmers.reference_kmers(v.table(spark, d, "documents"), ["doc_id"], "text", DEFAULT.k_insert)
-    return found.join(known, "kmer").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+    return kmers.shared_kmers(v.table(spark, d, "documents"), ["doc_id"], "text", known, DEFAULT.k_insert)
 
 
 # --- depth evidence --------------------------------------------------------------------------------------
