@@ -36,7 +36,9 @@ def start_clusters(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFram
 
 def supported(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows of the groups that have at least so many distinct read names."""
-    enough = rows.groupBy(*keys).agg(F.count_distinct("read_name").alias("__reads")).where(F.col("__reads") >= least).drop("__reads")
+    # two different names are the smallest and the greatest: no set of names is needed
+    n = F.when(F.min("read_name") < F.max("read_name"), 2).otherwise(F.count("read_name").cast("boolean").cast("int")) if least <= 2 else F.count_distinct("read_name")
+    enough = rows.groupBy(*keys).agg(n.alias("__reads")).where(F.col("__reads") >= least).drop("__reads")
     return rows.join(enough, keys, "left_semi")
 
 

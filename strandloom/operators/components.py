@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.stages import settle
+
 ROUNDS = 40
 
 
@@ -13,20 +15,22 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) -> (node, root): every node with the smallest it can reach.
 
     Each round takes the smallest label among a node's neighbours and that label's own; rounds are written to
-    the checkpoint folder where one is set, else to the cache.
+    the shared folder.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
     labels = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node"))
-    keep = (lambda x: x.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda x: x.cache())
-    both, labels = keep(both), keep(labels)
+    both, labels = settle(both, "component-edges"), settle(labels, "component-labels")
+    last = None
     for _ in range(ROUNDS):
         offered = both.join(labels, F.col("u") == F.col("node")).groupBy(F.col("v").alias("n")).agg(F.min("root").alias("m"))
         near = labels.join(offered, F.col("node") == F.col("n"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("r"))
         jump = labels.select(F.col("node").alias("r"), F.col("root").alias("up"))
-        moved = keep(near.join(jump, "r").select("node", F.least("r", "up").alias("root")))
-        if moved.exceptAll(labels).isEmpty():
-            return moved
-        labels = moved
+        moved = settle(near.join(jump, "r").select("node", F.least("r", "up").alias("root"), (F.col("r") > F.least("r", "up")).alias("__on")), "component-labels")
+        state = moved.agg(F.count_if("__on").alias("on"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")).alias("sum")).first()
+        labels = moved.drop("__on")
+        if tuple(state) == last and not state.on:
+            return labels
+        last = tuple(state)
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 

@@ -37,6 +37,8 @@ def read_samples(spark: SparkSession, inputs: Inputs) -> DataFrame:
 
 def call(reads: DataFrame, contigs: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Reads -> (calls with local depths and allele fractions, coverage of each sample's genome)."""
+    # alignment files are decoded once: every later branch reads only the columns that it needs
+    reads = settle(reads, "reads")
     found = breakpoints.extract_breakpoints(reads, config)
     # a total order of the breakpoints at one place, whatever the partitions
     ord_ = F.xxhash64("sample", "read_name", "end_chr", "end_loc", "breakpoint_notation", "insert_length")
@@ -57,7 +59,7 @@ def call(reads: DataFrame, contigs: DataFrame, config: Config = DEFAULT) -> tupl
 def run(spark: SparkSession, inputs: Inputs, config: Config = DEFAULT) -> DataFrame:
     """Write the files of the analysis under inputs.output and return the final calls."""
     contigs = text.known_contigs(text.contig_index(spark, inputs.reference + ".fai"))
-    chunks = settle(text.sequence_chunks(spark, inputs.reference), "reference")
+    chunks = settle(text.indexed_chunks(spark, inputs.reference, CONTIGS), "reference")
     calls, genome = call(read_samples(spark, inputs), contigs, config)
     based = text.bases_at(text.bases_at(calls, chunks, "start_chr", "start_loc", "start_base"), chunks, "end_chr", "end_loc", "end_base")
     based = settle(based, "based")

@@ -14,6 +14,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 OPERATIONS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 FLAGS = {"is_paired": 0x1, "is_unmapped": 0x4, "mate_unmapped": 0x8, "is_reverse": 0x10, "mate_reverse": 0x20, "is_read1": 0x40, "is_secondary": 0x100, "is_qcfail": 0x200, "is_duplicate": 0x400, "is_supplementary": 0x800}
 TAG_SIZES = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+#: A base is four bits, so a hexadecimal digit; qualities are written from 33 on.
+_LETTERS, _SHIFTED = str.maketrans("0123456789abcdef", BASES), bytes((i + 33) & 0xFF for i in range(256))
 _ON_REFERENCE, _ON_QUERY = {0, 2, 3, 7, 8}, {0, 1, 4, 7, 8}
 
 SCHEMA = (
@@ -80,14 +82,19 @@ class Blocks:
         return True
 
     def read(self, n: int) -> bytes:
-        out = b""
-        while n > len(out):
+        out = self.data[self.place : self.place + n]
+        self.place += len(out)
+        if len(out) == n:
+            return out
+        parts, left = [out], n - len(out)
+        while left:
             if self.place >= len(self.data) and not self._load():
-                return out
-            part = self.data[self.place : self.place + n - len(out)]
+                break
+            part = self.data[self.place : self.place + left]
             self.place += len(part)
-            out += part
-        return out
+            left -= len(part)
+            parts.append(part)
+        return b"".join(parts)
 
     def tell(self) -> tuple[int, int]:
         """Block and place in it of the next byte."""
@@ -149,9 +156,9 @@ def decode(data: bytes, contigs: list[tuple[str, int]], with_bases: bool = True)
         "qual": None,
     }
     if with_bases and n_seq:
-        row["seq"] = "".join(BASES[b >> 4] + BASES[b & 15] for b in data[at : at + n_packed])[:n_seq]
+        row["seq"] = data[at : at + n_packed].hex().translate(_LETTERS)[:n_seq]
         qualities = data[at + n_packed : at + n_packed + n_seq]
-        row["qual"] = None if qualities[:1] == b"\xff" else bytes(q + 33 for q in qualities).decode("latin-1")
+        row["qual"] = None if qualities[:1] == b"\xff" else qualities.translate(_SHIFTED).decode("latin-1")
     tags = _tags(data[at + n_packed + n_seq :])
     row |= {"hp": tags.get("HP"), "ps": tags.get("PS"), "sa": tags.get("SA"), "mc": tags.get("MC")}
     return row | {name: bool(flag & bit) for name, bit in FLAGS.items()}

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.config import CONTIGS
+from strandloom.sources.bgzf import open_input
+
+#: Bases that a task reads at a time from an indexed FASTA file.
+RANGE = 4_000_000
+_INDEX = "contig string, length bigint, place bigint, bases int, width int"
 
 
 def contig_index(spark: SparkSession, path: str) -> DataFrame:
     """(contig, length) of a sequence index (.fai)."""
-    rows = spark.read.schema("contig string, length bigint, place bigint, bases int, width int").csv(path, sep="\t")
-    return rows.select("contig", "length")
+    return spark.read.schema(_INDEX).csv(path, sep="\t").select("contig", "length")
 
 
 def known_contigs(lengths: DataFrame) -> DataFrame:
@@ -27,13 +34,44 @@ def contig_chunks(lengths: DataFrame, size: int) -> DataFrame:
 
 
 def sequence_chunks(spark: SparkSession, path: str, size: int = 10_000) -> DataFrame:
-    """(contig, chunk, sequence): a FASTA file cut to chunks of so many bases; records stay in one task each."""
+    """(contig, chunk, sequence): a FASTA file without an index cut to chunks of so many bases; a record is one task's."""
     records = spark.read.text(path, lineSep=">").where("length(trim(value)) > 0")
     name = F.split(F.substring_index("value", "\n", 1), r"\s")[0]
     body = F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")
     rows = records.select(name.alias("contig"), body.alias("bases"))
-    places = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("bases"), F.lit(1)) - 1) / size).cast("int")))
-    return rows.withColumn("chunk", places).select("contig", F.col("chunk").cast("bigint").alias("chunk"), F.substring("bases", F.col("chunk") * size + 1, F.lit(size)).alias("sequence"))
+    # one pass over the record: places in a string are found by walking it
+    pieces = F.when(F.col("bases") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("bases", F.lit(f".{{1,{size}}}"), F.lit(0)))
+    return rows.select("contig", F.posexplode(pieces).alias("chunk", "sequence")).select("contig", F.col("chunk").cast("bigint").alias("chunk"), "sequence")
+
+
+def indexed_chunks(spark: SparkSession, path: str, contigs: list[str] | None = None, size: int = 10_000) -> DataFrame:
+    """The chunks of sequence_chunks for the given contigs (or all), read by the byte ranges that path.fai gives.
+
+    Every task reads RANGE bases of a contig, whatever the contig's length.
+    """
+    index = spark.read.schema(_INDEX).csv(path + ".fai", sep="\t").where("length > 0 and bases > 0")
+    if contigs is not None:
+        index = index.where(F.col("contig").isin(contigs))
+    step = max(1, RANGE // size) * size
+    ranges = index.withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(step).cast("bigint"))))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open_input(path) as file:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    low, high = r["from"], min(r["from"] + step, r["length"])
+                    byte = lambda i: r["place"] + i // r["bases"] * r["width"] + i % r["bases"]  # noqa: B023, E731
+                    file.seek(byte(low))
+                    raw = bytes(file.read(byte(high - 1) + 1 - byte(low)))
+                    sequence = raw.translate(None, b"\r\n\t ").decode("latin-1")
+                    if len(sequence) != high - low:
+                        raise ValueError(f"the index of {path} does not fit {r['contig']}")
+                    starts = range(0, len(sequence), size)
+                    yield pa.RecordBatch.from_pydict({"contig": pa.array([r["contig"]] * len(starts)), "chunk": pa.array([(low + i) // size for i in starts], pa.int64()), "sequence": pa.array([sequence[i : i + size] for i in starts])})
+
+    n = ranges.count()
+    dealt = ranges.repartition(max(1, min(n, 10_000)), "contig", "from")
+    return dealt.mapInArrow(read, "contig string, chunk bigint, sequence string")
 
 
 def bases_at(rows: DataFrame, chunks: DataFrame, contig: str, position: str, name: str, size: int = 10_000) -> DataFrame:

@@ -21,9 +21,10 @@ def files(tmp_path_factory):
     with open(d / "ref.fa", "w") as f, open(d / "ref.fa.fai", "w") as g:
         for name, size in CONTIGS:
             f.write(f">{name}\n")
+            place = f.tell()
             for at in range(0, size, 60):
                 f.write("".join(base(i) for i in range(at, min(size, at + 60))) + "\n")
-            g.write(f"{name}\t{size}\t0\t60\t61\n")
+            g.write(f"{name}\t{size}\t{place}\t60\t61\n")
 
     def read(name, start, cigar, contig="chr1", flag=0, mapq=60, tags=None):
         n = sum(int(x[:-1]) for x in __import__("re").findall(r"\d+[MIS]", cigar))
@@ -87,3 +88,34 @@ def test_arguments():
     assert inputs.tumor == "t" and config.min_support == 5 and config.platform == "ONT" and config.sample_length("normal") == 30
     with pytest.raises(SystemExit):
         pipeline.parse(["--tumor", "t"])
+
+
+def test_indexed_sequences_equal_whole_records(spark, files, monkeypatch):
+    monkeypatch.setattr(text, "RANGE", 15_000)
+    path = str(files / "ref.fa")
+    key = lambda df: sorted((r.contig, r.chunk, r.sequence) for r in df.collect())
+    whole = key(text.sequence_chunks(spark, path, 7000))
+    assert key(text.indexed_chunks(spark, path, size=7000)) == whole and len(whole) == 6 + 5
+    assert key(text.indexed_chunks(spark, path, ["chr2"], 7000)) == [r for r in whole if r[0] == "chr2"]
+    assert "".join(s for c, _, s in whole if c == "chr1") == "".join(base(i) for i in range(40_000))
+
+
+def test_a_large_record_takes_linear_time(spark, tmp_path):
+    import time
+
+    line = ("ACGTN" * 12 + "\n").encode()
+    with open(tmp_path / "big.fa", "wb") as f:
+        f.write(b">chr1 long\r\n" + line * 333_333)
+    with open(tmp_path / "big.fa.fai", "w") as f:
+        f.write(f"chr1\t{60 * 333_333}\t12\t60\t61\n")
+    start = time.monotonic()
+    got = text.indexed_chunks(spark, str(tmp_path / "big.fa")).agg(F.sum(F.length("sequence")).alias("n"), F.count("*").alias("rows")).first()
+    assert tuple(got) == (19_999_980, 2000) and time.monotonic() - start < 20
+
+
+def test_supported_groups(spark):
+    from strandloom.operators import clustering
+
+    rows = spark.createDataFrame([("a", "r1"), ("a", "r1"), ("b", "r1"), ("b", "r2"), ("c", None), ("c", None), ("d", None), ("d", "r")], "g string, read_name string")
+    for least, want in ((1, {"a", "b", "d"}), (2, {"b"}), (3, set())):
+        assert {r.g for r in clustering.supported(rows, ["g"], least).collect()} == want
