@@ -26,6 +26,9 @@ class Config:
     insert_extension: int = 250
     end_extension: int = 50
     split_ends: bool = False
+    #: Take end clusters apart by the similarity of their reads' alignments (refinement.refine).
+    refine: bool = False
+    refine_similarity: float = 0.7
     insert_fraction: float = 0.75
     min_support: int = 3
     min_reads: int = 2

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import shutil
+import subprocess
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,6 +46,20 @@ def fastq_lines(contigs: DataFrame) -> DataFrame:
     return contigs.select(F.concat_ws("\n", F.concat(F.lit("@"), "contig_name"), "sequence", F.lit("+"), F.expr("repeat('I', length(sequence))")).alias("value"))
 
 
+def align_contigs(fastq: str, reference: str, output: str, aligner: str = "minimap2", sorter: str = "samtools", preset: str = "asm5") -> str:
+    """Align a FASTQ file of contigs by outside programs to a sorted, indexed alignment file, whose path is returned."""
+    for program in (aligner, sorter):
+        if shutil.which(program) is None:
+            raise FileNotFoundError(f"{program} is not installed")
+    aligned = subprocess.Popen([aligner, "-ax", preset, reference, fastq], stdout=subprocess.PIPE)
+    path = f"{output}.sorted.bam"
+    subprocess.run([sorter, "sort", "-o", path, "-"], stdin=aligned.stdout, check=True)
+    if aligned.wait():
+        raise RuntimeError(f"{aligner} ended with {aligned.returncode}")
+    subprocess.run([sorter, "index", path], check=True)
+    return path
+
+
 def drop_explained(calls: DataFrame, contig_breakpoints: DataFrame, key: str = "count", distance: int = 10_000) -> DataFrame:
     """calls without those for which a breakpoint of their own contigs lies near at both ends.
 

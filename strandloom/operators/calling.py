@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, insertion_like
 from strandloom.operators.clustering import CLUSTER, end_clusters, insert_length_islands, statistics
+from strandloom.operators.refinement import refine
 from strandloom.operators.stages import settle
 
 GROUP = [*CLUSTER, "end_chr"]
@@ -89,9 +90,16 @@ def insertion_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return placed.withColumns({"group_end_chr": F.col("end_chr"), "end_chr": F.col("start_chr")}).drop("length_island", "end_median", "insert_mean")
 
 
-def end_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Calls from rows with two ends: one for each end cluster and notation with support and length."""
-    ends = settle(end_clusters(rows, config), "end-clusters")
+def end_calls(rows: DataFrame, config: Config = DEFAULT, reads: DataFrame | None = None) -> DataFrame:
+    """Calls from rows with two ends: one for each end cluster and notation with support and length.
+
+    With config.refine and the reads, end clusters are first taken apart by their reads' alignments.
+    """
+    ends = end_clusters(rows, config)
+    if config.refine and reads is not None:
+        parted = refine(ends, reads, [*GROUP, "end_cluster"], config)
+        ends = parted.withColumn("end_cluster", F.when(F.col("part") == 0, F.col("end_cluster")).otherwise(F.xxhash64("end_cluster", "part"))).drop("part")
+    ends = settle(ends, "end-clusters")
     keys = [*GROUP, "end_cluster"]
     calls = ends.groupBy(*keys, "breakpoint_notation").agg(*call_aggregates()).where(_has_support(config))
     calls = calls.join(ends.groupBy(*keys).agg(*statistics("end_")), keys)
@@ -108,9 +116,9 @@ def drop_minor_single_ends(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.withColumn("__major", seen).where(major | (F.col("__major") == 0)).drop("__major")
 
 
-def call_breakpoints(clustered: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def call_breakpoints(clustered: DataFrame, config: Config = DEFAULT, reads: DataFrame | None = None) -> DataFrame:
     """Clustered breakpoints -> consensus calls, one flat row each."""
     rows = settle(_large_groups(clustered, config), "call-groups")
-    calls = settle(insertion_calls(rows, config).unionByName(end_calls(rows, config)), "raw-calls")
+    calls = settle(insertion_calls(rows, config).unionByName(end_calls(rows, config, reads)), "raw-calls")
     final = drop_minor_single_ends(calls, [*CLUSTER, "group_end_chr"])
     return final.join(total_reads(clustered), CLUSTER)

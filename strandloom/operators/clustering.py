@@ -118,6 +118,29 @@ def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None
     return wide.join(dominant, keys).withColumns({"max_sample_support": most, "min_sample_support": least, "support_ratio": most / F.col("total_breakpoints")})
 
 
+def summary_lines(statistics_: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, summary): a readable report of each row of comprehensive_statistics."""
+    col = F.col
+    whole, one = (lambda x: F.format_number(x, 0)), (lambda x: F.format_number(x, 1))
+    part = lambda *items: F.concat(*[F.lit(i) if isinstance(i, str) else i.cast("string") for i in items])
+    lines = [
+        part("Total Breakpoints: ", col("total_breakpoints")),
+        part("Samples: ", F.replace("sample_list", F.lit(","), F.lit(", ")), " (n=", col("unique_samples"), ")"),
+        part("Sources: ", F.replace("source_list", F.lit(","), F.lit(", ")), " (n=", col("unique_sources"), ")"),
+        part("Range: ", whole("starts_min"), " - ", whole("starts_max"), " bp"),
+        part("Position Mean ± SD: ", one("starts_mean"), " ± ", one("starts_std_dev"), " bp"),
+        part("Span: ", whole("cluster_span"), " bp"),
+        part("MAPQ Mean ± SD: ", one("mapq_mean"), " ± ", one("mapq_std_dev")),
+        part("MAPQ Range: ", col("mapq_min"), " - ", col("mapq_max")),
+        part("Event Size Mean ± SD: ", one("event_size_mean"), " ± ", one("event_size_std_dev"), " bp"),
+        part("Event Size Median: ", one("event_size_median"), " bp"),
+        part("Dominant Type: ", col("dominant_notation"), ": ", col("dominant_count")),
+        part("Unique Reads: ", col("tumor_reads") + col("normal_reads")),
+        part("Density: ", F.format_number("breakpoint_density", 2), " breakpoints/kb"),
+    ]
+    return statistics_.select(*(keys or CLUSTER), F.concat_ws("\n", *lines).alias("summary"))
+
+
 def _phased() -> Column:
     return F.col("haplotype_start").isNotNull() | F.col("haplotype_end").isNotNull()
 

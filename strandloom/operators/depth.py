@@ -18,6 +18,14 @@ def allele_fraction(support: Column, depth: Column) -> Column:
     return F.when(depth > 0, F.least(F.lit(1.0), F.bround(support / depth, 3))).otherwise(F.lit(0.0))
 
 
+def read_count_report(calls: DataFrame, clustered: DataFrame, key: str = "call_id") -> DataFrame:
+    """(key, sample, called_reads, cluster_reads, differs): distinct reads of each call against those of its start cluster."""
+    called = calls.select(key, "start_chr", "cluster", F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"{s}_reads").alias("called_reads")) for s in SAMPLES])).alias("r")).select(key, "start_chr", "cluster", "r.*")
+    own = clustered.groupBy("start_chr", "cluster", "sample").agg(F.count_distinct("read_name").alias("cluster_reads"))
+    out = called.join(own, ["start_chr", "cluster", "sample"], "left").withColumn("cluster_reads", F.coalesce("cluster_reads", F.lit(0).cast("bigint")))
+    return out.select(key, "sample", "called_reads", "cluster_reads", (F.col("called_reads") != F.col("cluster_reads")).alias("differs"))
+
+
 def annotate_depth(calls: DataFrame, coverage: DataFrame, contigs: DataFrame | None = None, config: Config = DEFAULT, key: str = "call_id") -> DataFrame:
     """calls with dp_<sample>_<place>_<end> (all haplotypes), hp_<sample>_<end> ('1,2,none' at the bin) and af_<sample>_<end>.
 

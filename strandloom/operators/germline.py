@@ -6,6 +6,11 @@ removed by an anti-join.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,36 +43,58 @@ def bin_layout(calls: DataFrame, key: str, config: Config = DEFAULT) -> DataFram
     return rows.select(key, "contig", "bin", "bin_start", "bin_end", "mid", region.alias("region"))
 
 
-def aligned_bases(reads: DataFrame, least_quality: int = 15) -> DataFrame:
-    """(contig, position): known bases of usable reads in aligned blocks, 1-based, with enough quality."""
-    used = reads.where("not (is_unmapped or is_secondary or is_duplicate or is_qcfail)")
-    at = F.struct(F.lit(0).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("q"), F.array().cast("array<struct<r:bigint,q:bigint,n:bigint>>").alias("out"))
-    moves = lambda a, x, kinds, name: a[name] + F.when(x["op"].isin(*kinds), x["len"]).otherwise(F.lit(0))
-    blocks = F.aggregate(
-        cigar.operations(c("cigar")),
-        at,
-        lambda a, x: F.struct(
-            moves(a, x, (*cigar.ON_REFERENCE, "N"), "r").alias("r"),
-            moves(a, x, cigar.ON_QUERY, "q").alias("q"),
-            F.when(x["op"].isin(*cigar.MATCH), F.concat(a["out"], F.array(F.struct(a["r"].alias("r"), a["q"].alias("q"), x["len"].alias("n"))))).otherwise(a["out"]).alias("out"),
-        ),
-    )["out"]
-    rows = used.select("contig", "start", "seq", "qual", F.explode(blocks).alias("b"))
-    rows = rows.select("contig", "start", "seq", "qual", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), c("b.n") - 1)).alias("i"))
-    base = F.substring(c("seq"), (c("b.q") + c("i") + 1).cast("int"), F.lit(1))
-    quality = F.ascii(F.substring(c("qual"), (c("b.q") + c("i") + 1).cast("int"), F.lit(1))) - 33
-    good = base.isin("A", "C", "G", "T") & (c("qual").isNull() | (quality >= least_quality))
-    return rows.where(good).select("contig", (c("start") + c("b.r") + c("i") + 1).alias("position"))
+def _letter_table(letters: str) -> np.ndarray:
+    out = np.zeros(256, np.bool_)
+    out[np.frombuffer(letters.encode(), np.uint8)] = True
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least_quality: int) -> Iterator[pa.RecordBatch]:
+    known = _letter_table("ACGT")
+    steps = re.compile(cigar.PATTERN)
+    for batch in batches:
+        rows, lows, highs = [], [], []
+        columns = [batch.column(x).to_pylist() for x in ("start", "cigar", "seq", "qual")]
+        for row, (start, text, seq, qual) in enumerate(zip(*columns, strict=True)):
+            if start is None or not text or not seq:
+                continue
+            good = known[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+            if qual is not None:
+                far = np.frombuffer(qual.encode("latin-1", "replace"), np.uint8)[: len(good)].astype(int) - 33 >= least_quality
+                good = np.concatenate([good[: len(far)] & far, np.zeros(len(good) - len(far), np.bool_)])
+            ref, query = start, 0
+            for n, op in steps.findall(text):
+                n = int(n)
+                if op in cigar.MATCH:
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], good[query : query + n], [False]])))
+                    lows.append(ref + 1 + edges[::2])
+                    highs.append(ref + edges[1::2])
+                    rows.append(np.full(len(edges) // 2, row))
+                ref += n if op in (*cigar.ON_REFERENCE, "N") else 0
+                query += n if op in cigar.ON_QUERY else 0
+        if rows:
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("contig").take(at), pa.array(np.concatenate(lows).astype(np.int64)), pa.array(np.concatenate(highs).astype(np.int64))], ["contig", "low", "high"])
+
+
+def aligned_runs(reads: DataFrame, least_quality: int = 15) -> DataFrame:
+    """(contig, low, high): closed, 1-based stretches of known bases of enough quality in aligned blocks of usable reads."""
+    used = reads.where("not (is_unmapped or is_secondary or is_duplicate or is_qcfail)").select("contig", "start", "cigar", "seq", "qual")
+    return used.mapInArrow(lambda batches: _runs(batches, least_quality), "contig string, low bigint, high bigint")
 
 
 def binned_depth(calls: DataFrame, reads: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
-    """bin_layout with cov, the mean base depth of the bin. Only reads near a call are taken apart."""
+    """bin_layout with cov, the mean base depth of the bin. Only reads near a call are taken apart.
+
+    Reads become stretches of good bases, and a bin adds up what it shares with each: no row for a base.
+    """
     layout = bin_layout(calls, key, config)
     spans = layout.groupBy(key, "contig").agg(F.min("bin_start").alias("lo"), F.max("bin_end").alias("hi")).select(c("contig").alias("span_contig"), "lo", "hi")
     near = overlap_join(reads.withColumn("__id", F.monotonically_increasing_id()), spans, [("contig", "span_contig")], (c("start") + 1, c("end")), (c("lo"), c("hi")), 10_000)
-    bases = aligned_bases(near.dropDuplicates(["__id"])).groupBy("contig", "position").agg(F.count("*").alias("depth"))
-    wide = layout.select(key, "contig", "bin", F.explode(F.sequence(c("bin_start"), c("bin_end") - 1)).alias("position"))
-    sums = wide.join(bases, ["contig", "position"]).groupBy(key, "bin").agg(F.sum("depth").alias("total"))
+    runs = aligned_runs(near.dropDuplicates(["__id"])).groupBy(c("contig").alias("run_contig"), "low", "high").agg(F.count("*").alias("n"))
+    met = overlap_join(layout.select(key, "contig", "bin", "bin_start", "bin_end"), runs, [("contig", "run_contig")], (c("bin_start"), c("bin_end") - 1), (c("low"), c("high")), 100)
+    shared = F.least(c("high"), c("bin_end") - 1) - F.greatest(c("low"), c("bin_start")) + 1
+    sums = met.groupBy(key, "bin").agg(F.sum(shared * c("n")).alias("total"))
     out = layout.join(sums, [key, "bin"], "left")
     return out.withColumn("cov", F.coalesce("total", F.lit(0)) / (c("bin_end") - c("bin_start"))).drop("total")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -586,11 +587,6 @@ _DSTATS = _BINS + f""", d0 AS (SELECT call_id, count(*) FILTER (WHERE region = '
         CASE WHEN n_target > 0 THEN (target_mean - all_mean) / nullif(all_std, 0) ELSE 0.0 END AS mean_z FROM d0)"""
 
 
-@query(f"WITH {_BINS} SELECT * FROM bins")
-def binned_coverage(spark, d):
-    return _bins(spark, d)
-
-
 @query(f"WITH {_DSTATS} SELECT call_id, n_target, n_flank, {', '.join(f'floor({x} * 1000000 + 0.5) / 1000000.0 AS {x}' for x in ('target_mean', 'target_median', 'target_std', 'flank_mean', 'flank_std', 'global_ratio', 'flank_ratio', 't_global', 't_flank', 'mean_z'))} FROM ds")
 def coverage_ttest(spark, d):
     rows = germline.depth_statistics(_bins(spark, d), "call_id", _G)
@@ -788,13 +784,94 @@ def indel_breakends(spark, d):
     return rows.select("ord", "start", "mapq", "evidence_type", "bp1_begin", "bp1_end", "bp2_begin", "bp2_end")
 
 
-@query(f"""WITH {v.SHORT_READS}, {_PLACES}, w AS (SELECT call_id, 'start' AS side, c1 AS k, greatest(0, p1 - 1000) AS lo, p1 + 1000 AS hi FROM pl UNION ALL SELECT call_id, 'end', c2, greatest(0, p2 - 1000), p2 + 1000 FROM pl
-    ), m AS (SELECT call_id, side, CASE WHEN form < 2 AND clip >= 15 THEN 'clip' WHEN is_paired AND NOT mate_unmapped AND contig <> mate_contig THEN 'discordant' WHEN CAST(substr(sa_contig, 4) AS INTEGER) <= 22 AND sa_mapq >= 0 THEN 'split' END AS evidence
-        FROM w JOIN sr ON sr.contig = k AND start < hi AND "end" > lo WHERE NOT (is_qcfail OR is_duplicate OR is_secondary OR is_supplementary))
-    SELECT call_id, side, evidence, count(*) AS n FROM m WHERE evidence IS NOT NULL GROUP BY ALL""")
-def evidence_reads(spark, d):
-    rows = shortreads.collect_evidence(_some_calls(spark, d), v.short_reads(spark, d), "call_id", "bnd")
-    return rows.where("evidence <> 'mate'").groupBy("call_id", "side", "evidence").agg(F.count("*").alias("n"))
+_EVIDENCE = """discordant_ AS (SELECT *, is_read1 AND """ + _DISCORDANT.replace("500", "750").replace("800", "1000000") + """ AS odd, CAST(substr(sa_contig, 4) AS INTEGER) <= 22 AND sa_mapq >= 0 AS has_split, CASE WHEN form < 2 THEN clip ELSE 0 END AS clips FROM sr
+    ), used AS (SELECT * FROM discordant_ WHERE NOT (is_qcfail OR is_duplicate OR is_secondary OR is_supplementary))"""
+_MATES = """, want AS (SELECT call_id, side, read_name, is_read1, mate_contig FROM m WHERE evidence = 'discordant'
+    ), every AS (SELECT call_id, side, evidence FROM m WHERE evidence IS NOT NULL UNION ALL SELECT call_id, side, 'mate' FROM want w JOIN sr ON sr.read_name = w.read_name AND sr.contig = w.mate_contig AND sr.is_read1 <> w.is_read1)
+    SELECT call_id, side, evidence, count(*) AS n FROM every GROUP BY ALL"""
+
+
+def _evidence(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    rows = shortreads.collect_evidence(_some_calls(spark, d), v.short_reads(spark, d), "call_id", kind)
+    return rows.groupBy("call_id", "side", "evidence").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {v.SHORT_READS}, {_PLACES}, {_EVIDENCE}, w AS (SELECT call_id, 'span' AS side, c1 AS k, greatest(0, p1 - 1000) AS lo, p2 + 1000 AS hi FROM pl
+    ), m AS (SELECT call_id, side, read_name, is_read1, mate_contig, CASE WHEN has_split THEN 'split' WHEN odd THEN 'discordant' WHEN form = 2 THEN 'indel' WHEN clips >= 20 THEN 'semi' END AS evidence
+        FROM w JOIN used ON contig = k AND start < hi AND "end" > lo){_MATES}""")
+def evidence_small(spark, d):
+    return _evidence(spark, d, "small")
+
+
+_BOTH_ENDS = "w AS (SELECT call_id, 'start' AS side, c1 AS k, greatest(0, p1 - 1000) AS lo, p1 + 1000 AS hi FROM pl UNION ALL SELECT call_id, 'end', c2, greatest(0, p2 - 1000), p2 + 1000 FROM pl)"
+
+
+@query(f"""WITH {v.SHORT_READS}, {_PLACES}, {_EVIDENCE}, {_BOTH_ENDS}, m AS (SELECT call_id, side, read_name, is_read1, mate_contig, CASE WHEN clips >= 15 THEN 'clip' WHEN has_split THEN 'split' WHEN odd THEN 'discordant' END AS evidence
+        FROM w JOIN used ON contig = k AND start < hi AND "end" > lo){_MATES}""")
+def evidence_large(spark, d):
+    return _evidence(spark, d, "large")
+
+
+@query(f"""WITH {v.SHORT_READS}, {_PLACES}, {_EVIDENCE}, {_BOTH_ENDS}, m AS (SELECT call_id, side, read_name, is_read1, mate_contig, CASE WHEN clips >= 15 THEN 'clip' WHEN is_paired AND NOT mate_unmapped AND contig <> mate_contig THEN 'discordant' WHEN has_split THEN 'split' END AS evidence
+        FROM w JOIN used ON contig = k AND start < hi AND "end" > lo){_MATES}""")
+def evidence_bnd(spark, d):
+    return _evidence(spark, d, "bnd")
+
+
+@query(f"""WITH {v.SHORT_READS}, a AS (SELECT *, CASE form WHEN 0 THEN clip ELSE 0 END AS aqs, CASE form WHEN 0 THEN clip + 120 ELSE 120 END AS aqe, CASE form WHEN 1 THEN clip ELSE 0 END AS acr, CAST(substr(sa_contig, 4) AS INTEGER) AS cn FROM sr WHERE sa_contig IS NOT NULL AND sa_mapq >= 20
+    ), b AS (SELECT *, least(aqe, 30) - greatest(aqs, 0) AS shared, greatest(0, greatest(start, mate_start) - least("end", mate_start + 30)) AS apart FROM a
+    ), k AS (SELECT *, CASE form WHEN 1 THEN "end" ELSE start END AS p1, mate_start + 30 AS p2 FROM b
+        WHERE cn <= 22 AND (abs(aqe - 0) <= 10 OR abs(30 - aqs) <= 10 OR (shared <= 20 AND -shared <= 20)) AND (aqe - aqs) + 30 <= 120 + 30 AND (NOT (contig = sa_contig AND apart <= 1000) OR greatest(aqs, acr, 90) >= 8))
+    SELECT ord, start, mapq, 'SPLIT' AS evidence_type, contig AS bp1_contig, greatest(0, p1 - 100) AS bp1_begin, least(300000, p1 + 100) AS bp1_end, CASE form WHEN 1 THEN 'SVBEND_RIGHT_OPEN' ELSE 'SVBEND_LEFT_OPEN' END AS bp1_state,
+        sa_contig AS bp2_contig, greatest(0, p2 - 100) AS bp2_begin, least(300000, p2 + 100) AS bp2_end, 'SVBEND_RIGHT_OPEN' AS bp2_state FROM k""")
+def split_breakends(spark, d):
+    names = [f"bp{i}_{f}" for i in (1, 2) for f in ("contig", "begin", "end", "state")]
+    return shortreads.split_candidates(v.short_reads(spark, d), v.contigs(spark, d)).select("ord", "start", "mapq", "evidence_type", *names)
+
+
+# --- base depth of reads near calls ------------------------------------------------------------------------
+
+_LAYOUT = """lay AS (SELECT call_id, c1, lo, hi, b AS bin, f + b * 10 AS bin_start, least(f + b * 10 + 10, t) AS bin_end
+    FROM (SELECT *, unnest(range(0, CAST(ceil((t - f) / 10.0) AS BIGINT))) AS b FROM (SELECT call_id, c1, least(p1, p2) AS lo, greatest(p1, p2) AS hi, greatest(1, least(p1, p2) - 2000) AS f, greatest(p1, p2) + 2001 AS t FROM pl)))"""
+_GOOD = """base AS (SELECT contig, start + r + 1 AS position, count(*) AS depth FROM (
+        SELECT contig, start, i AS r, CASE form WHEN 0 THEN clip + i ELSE i END AS q FROM (SELECT *, unnest(range(0, 120)) AS i FROM sr WHERE form < 2 AND NOT (is_secondary OR is_duplicate OR is_qcfail))
+        UNION ALL SELECT contig, start, CASE WHEN i < 60 THEN i ELSE i + 45 END, i FROM (SELECT *, unnest(range(0, 120)) AS i FROM sr WHERE form = 2 AND NOT (is_secondary OR is_duplicate OR is_qcfail)))
+    WHERE q % 5 <> 4 AND q % 3 <> 1 GROUP BY ALL)"""
+
+
+@query(f"""WITH {v.SHORT_READS}, {_PLACES}, {_LAYOUT}, {_GOOD}, s AS (SELECT call_id, bin, sum(depth) AS total FROM lay JOIN base ON contig = c1 AND position >= bin_start AND position < bin_end GROUP BY ALL)
+    SELECT call_id, c1 AS contig, bin, bin_start, bin_end, bin_start + (bin_end - bin_start) // 2 AS mid, CASE WHEN bin_start + (bin_end - bin_start) // 2 BETWEEN lo AND hi THEN 'target' WHEN bin_start + (bin_end - bin_start) // 2 < lo THEN 'up' ELSE 'down' END AS region,
+        floor(coalesce(total, 0) / (bin_end - bin_start) * 1000000 + 0.5) / 1000000.0 AS cov FROM lay LEFT JOIN s USING (call_id, bin)""")
+def binned_coverage(spark, d):
+    # every fifth base is unknown, every third of poor quality
+    n = F.lit(60)
+    reads = v.short_reads(spark, d).withColumns({"seq": F.expr("repeat('ACGTN', 40)"), "qual": F.repeat(F.lit("I!I"), n)})
+    rows = germline.binned_depth(_some_calls(spark, d), reads, "call_id")
+    return rows.select("call_id", "contig", "bin", "bin_start", "bin_end", "mid", "region", _r6("cov").alias("cov"))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT kmer FROM (SELECT {_LONG} FROM (SELECT {_LETTERS} AS t FROM benchmark)) WHERE kmer NOT LIKE '%N%'), d AS (SELECT DISTINCT row FROM (SELECT row, {_LONG} FROM (SELECT doc_id AS row, {_LETTERS} AS t FROM documents)) JOIN k USING (kmer))
+    SELECT doc_id, doc_id IN (SELECT row FROM d) AS shares FROM documents""")
+def insertion_shares(spark, d):
+    # a document stands for an inserted sequence; the k-mers of the calls are a bounded list
+    known = [r.kmer for r in kmers.reference_kmers(v.table(spark, d, "benchmark"), [], "text", DEFAULT.k_insert).collect()]
+    of_calls = F.from_json(F.lit(json.dumps(known)), "array<string>")
+    return v.table(spark, d, "documents").select("doc_id", kmers.shares_kmer(c("text"), of_calls, DEFAULT.k_insert).alias("shares"))
+
+
+@query(f"""WITH {_CALLS}, t AS (SELECT start_chr, cluster, sample, count(DISTINCT read_name) AS n FROM cl GROUP BY ALL
+    ), r AS (SELECT call_id, start_chr, cluster, 'tumor' AS sample, tumor_reads AS called_reads FROM calls UNION ALL SELECT call_id, start_chr, cluster, 'normal', normal_reads FROM calls)
+    SELECT call_id, sample, called_reads, coalesce(n, 0) AS cluster_reads, called_reads <> coalesce(n, 0) AS differs FROM r LEFT JOIN t USING (start_chr, cluster, sample)""")
+def read_count_report(spark, d):
+    return depth.read_count_report(_calls(spark, d), _clustered(spark, d))
+
+
+@query(f"""WITH {v.CLUSTERED} SELECT start_chr, cluster, 'Total Breakpoints: ' || count(*) || chr(10) || 'Samples: ' || string_agg(DISTINCT sample, ', ' ORDER BY sample) || ' (n=' || count(DISTINCT sample) || ')' AS summary_head,
+    'Unique Reads: ' || (count(DISTINCT read_name) FILTER (WHERE sample = 'tumor') + count(DISTINCT read_name) FILTER (WHERE sample = 'normal')) AS reads_line, 'MAPQ Range: ' || min(mapq) || ' - ' || max(mapq) AS mapq_line FROM cl GROUP BY ALL""")
+def cluster_summary(spark, d):
+    rows = clustering.summary_lines(clustering.comprehensive_statistics(_clustered(spark, d)))
+    line = lambda name: F.regexp_extract("summary", f"(?m)^({name}: .*)$", 1)
+    return rows.select("start_chr", "cluster", F.substring_index("summary", "\n", 2).alias("summary_head"), line("Unique Reads").alias("reads_line"), line("MAPQ Range").alias("mapq_line"))
 
 
 # --- similarity and components -----------------------------------------------------------------------------
@@ -838,18 +915,45 @@ def vcf_alt(spark, d):
     return _calls(spark, d).select("call_id", first.alias("alt_1"), second.alias("alt_2"))
 
 
-@query(f"""WITH {_ANNOTATED}, n AS (SELECT *, row_number() OVER (ORDER BY start_chr, cluster, call_id) - 1 AS count FROM ann
-    ), l AS (SELECT count, 1 AS n, start_chr AS chrom, start_loc AS pos, {_ALT1} AS alt, breakpoint_notation, normal_reads, tumor_reads, sv_length FROM n UNION ALL SELECT count, 2, end_chr, end_loc, {_ALT2}, breakpoint_notation, normal_reads, tumor_reads, sv_length FROM n WHERE breakpoint_notation <> '<INS>')
-    SELECT count, n, chrom || chr(9) || pos || chr(9) || 'ID_' || count || '_' || n || chr(9) || CASE n WHEN 1 THEN 'A' ELSE 'C' END || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' AS line_head,
-        'SVTYPE=' || CASE breakpoint_notation WHEN '<INS>' THEN 'INS' ELSE 'BND' END || ';NORMAL_READ_SUPPORT=' || normal_reads || ';TUMOR_READ_SUPPORT=' || tumor_reads AS info_head, CASE WHEN normal_reads >= 1 THEN '0/0' ELSE '0/1' END AS gt FROM l""")
+def _info_sql() -> str:
+    pair = lambda name, a, b: f"'{name}=' || {a} || ',' || {b}"
+    items = ["'SVTYPE=' || CASE breakpoint_notation WHEN '<INS>' THEN 'INS' ELSE 'BND' END"]
+    items += [f"'{s.upper()}_{n}_SUPPORT=' || {s}_{f}" for n, f in (("READ", "reads"), ("ALN", "alignments")) for s in ("normal", "tumor")]
+    items.append("'SVLEN=' || sv_length")
+    items += [pair(f"{s.upper()}_DP_{p.upper()}", f"dp_{s}_{p}_start", f"dp_{s}_{p}_end") for s in ("tumor", "normal") for p in ("before", "at", "after")]
+    items += [pair(f"{s.upper()}_AF", f"CAST(af_{s}_start AS DOUBLE)", f"CAST(af_{s}_end AS DOUBLE)") for s in ("tumor", "normal")]
+    items += ["'BP_NOTATION=' || breakpoint_notation", "'SOURCE=' || source", "'CLUSTERED_READS_TUMOR=' || clustered_tumor", "'CLUSTERED_READS_NORMAL=' || clustered_normal"]
+    items += ["'TUMOR_ALT_HP=0,0,' || tumor_alignments", "'NORMAL_ALT_HP=0,0,' || normal_alignments", "'TUMOR_TOTAL_HP_AT=' || hp_tumor_end", "'NORMAL_TOTAL_HP_AT=' || hp_normal_end"]
+    names = ("starts_std_dev", "mapq_mean", "event_size_std_dev", "event_size_median", "event_size_mean")
+    items += [f"'{e.upper()}_{n.upper()}=' || CAST({e}_{n} AS DOUBLE)" for e in ("origin", "end") for n in names]
+    return f"concat_ws(';', {', '.join(items)})"
+
+
+@query(f"""WITH {_ANNOTATED}, n AS (SELECT *, row_number() OVER (ORDER BY start_chr, cluster, call_id) - 1 AS count, {_info_sql()} AS info FROM ann
+    ), l AS (SELECT count, 1 AS n, start_chr AS chrom, start_loc AS pos, {_ALT1} AS alt, info, normal_reads FROM n UNION ALL SELECT count, 2, end_chr, end_loc, {_ALT2}, info, normal_reads FROM n WHERE breakpoint_notation <> '<INS>')
+    SELECT count, n, chrom || chr(9) || pos || chr(9) || 'ID_' || count || '_' || n || chr(9) || CASE n WHEN 1 THEN 'A' ELSE 'C' END || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || info || chr(9) || 'GT' || chr(9) || CASE WHEN normal_reads >= 1 THEN '0/0' ELSE '0/1' END AS line FROM l""")
 def vcf_lines(spark, d):
     from pyspark.sql import Window
 
     calls = _annotated(spark, d).withColumns({"start_base": F.lit("A"), "end_base": F.lit("C")})
     calls = calls.withColumn("count", F.row_number().over(Window.orderBy("start_chr", "cluster", "call_id")) - 1)
-    rows = variants.variant_records(calls)
-    line = variants.variant_lines(rows).withColumn("line_head", F.substring_index("line", "\t", 7))
-    return rows.join(line, ["count", "n"]).select("count", "n", "line_head", F.substring_index("info", ";", 3).alias("info_head"), "gt")
+    return variants.variant_lines(variants.variant_records(calls))
+
+
+_KINDS = ["<INS>", "+", "-", "++", "+-", "-+", "--"]
+
+
+@query("""WITH a AS (SELECT o_orderkey, ['<INS>', '+', '-', '++', '+-', '-+', '--'][o_orderkey % 7 + 1] AS n, 'chr' || (o_custkey % 24 + 1) AS sc, o_custkey AS sl, 'chr' || (o_custkey % 5 + 1) AS ec, o_orderkey AS el FROM orders)
+    SELECT o_orderkey, CASE n WHEN '<INS>' THEN 'INS' WHEN '+' THEN 'SBND' WHEN '-' THEN 'SBND' ELSE 'BND' END AS sv_type,
+        CASE n WHEN '<INS>' THEN n WHEN '+' THEN '.C' WHEN '-' THEN '.C' WHEN '++' THEN 'A]' || ec || ':' || el || ']' WHEN '+-' THEN 'A[' || ec || ':' || el || '[' WHEN '-+' THEN ']' || ec || ':' || el || ']A' ELSE '[' || ec || ':' || el || '[A' END AS alt_1,
+        CASE n WHEN '++' THEN 'C]' || sc || ':' || sl || ']' WHEN '+-' THEN ']' || sc || ':' || sl || ']C' WHEN '-+' THEN 'C[' || sc || ':' || sl || '[' WHEN '--' THEN '[' || sc || ':' || sl || '[C' END AS alt_2 FROM a""")
+def alt_of_all_kinds(spark, d):
+    t = v.table(spark, d, "orders")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (c("o_orderkey") % 7 + 1).cast("int"))
+    contig = lambda n: F.concat(F.lit("chr"), (c("o_custkey") % n + 1).cast("string"))
+    calls = t.select("o_orderkey", kind.alias("breakpoint_notation"), contig(24).alias("start_chr"), c("o_custkey").alias("start_loc"), contig(5).alias("end_chr"), c("o_orderkey").alias("end_loc"))
+    first, second = variants.alt_alleles(F.lit("A"), F.lit("C"))
+    return calls.select("o_orderkey", variants.variant_type().alias("sv_type"), first.alias("alt_1"), second.alias("alt_2"))
 
 
 @query("""WITH i AS (SELECT event_id, 'SVTYPE=' || event_type || ';END=' || event_id || ';PRECISE;AF=' || (event_id % 7) || ',' || (event_id % 5) AS info FROM events)

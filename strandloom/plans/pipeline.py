@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import os
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom import __version__
 from strandloom.config import CONTIGS, DEFAULT, Config
 from strandloom.operators import breakpoints, calling, clustering, coverage, depth, germline, panel, somatic
 from strandloom.operators.stages import settle
@@ -44,7 +46,7 @@ def call(reads: DataFrame, contigs: DataFrame, config: Config = DEFAULT) -> tupl
     ord_ = F.xxhash64("sample", "read_name", "end_chr", "end_loc", "breakpoint_notation", "insert_length")
     rows = settle(found.withColumn("ord", ord_), "breakpoints")
     clustered = settle(clustering.start_clusters(rows, config), "clusters")
-    calls = calling.call_breakpoints(clustered, config).drop("group_end_chr")
+    calls = calling.call_breakpoints(clustered, config, reads).drop("group_end_chr")
     order = Window.orderBy(breakpoints.contig_ordinal(F.col("start_chr")), "start_chr", "cluster", "start_loc", "end_chr", "part", "breakpoint_notation")
     # calls are few: one number in genome order for each
     calls = settle(calls.withColumn("count", (F.row_number().over(order) - 1).cast("bigint")), "calls")
@@ -93,6 +95,15 @@ def run(spark: SparkSession, inputs: Inputs, config: Config = DEFAULT) -> DataFr
     return final
 
 
+def missing_files(a: argparse.Namespace) -> list[str]:
+    """What the analysis needs and does not find; only places of the local file system are looked at."""
+    alignments = [x for x in (a.tumor, a.normal, a.short_reads) if x]
+    needed = [*alignments, a.reference, *[x for x in (a.regions, a.panel) if x]]
+    indexes = [*[f"{x}.bai" for x in alignments], f"{a.reference}.fai"]
+    absent = lambda x: "://" not in x and not os.path.exists(x)
+    return [f"no such file: {x}" for x in needed if absent(x)] + [f"no index: {x}" for x in indexes if absent(x)]
+
+
 def parse(args: list[str] | None = None) -> tuple[Inputs, Config]:
     p = argparse.ArgumentParser(prog="strandloom", description="Somatic structural variants from long reads of a tumor and its normal sample")
     p.add_argument("--tumor", required=True)
@@ -100,7 +111,10 @@ def parse(args: list[str] | None = None) -> tuple[Inputs, Config]:
     p.add_argument("--reference", required=True, help="FASTA with an index beside it (.fai)")
     p.add_argument("--output", required=True)
     p.add_argument("--sample", default="sample_name")
-    p.add_argument("--platform", choices=["HIFI", "ONT"], default="HIFI")
+    p.add_argument("--platform", choices=["HIFI", "ONT"], default="HIFI", type=str.upper)
+    p.add_argument("--mode", choices=["long-read-only", "hybrid"], help="hybrid needs --short-reads; by default their presence decides")
+    p.add_argument("--refine", action="store_true", help="take end clusters apart by the similarity of alignments")
+    p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     p.add_argument("--regions", help="known regions, tab-separated")
     p.add_argument("--panel", help="VCF of common variants")
     p.add_argument("--short-reads", help="alignments of the normal sample's short reads")
@@ -108,14 +122,21 @@ def parse(args: list[str] | None = None) -> tuple[Inputs, Config]:
     for name in ("min_length", "min_mapq", "coverage_bin", "min_support", "start_extension", "insert_extension", "end_extension"):
         p.add_argument(f"--{name.replace('_', '-')}", type=int, default=getattr(DEFAULT, name))
     a = p.parse_args(args)
-    if a.min_length < 0 or a.min_mapq < 0 or a.coverage_bin < 1 or a.min_support < 1:
-        p.error("limits must not be negative")
-    fixed = {n: getattr(a, n) for n in ("min_length", "min_mapq", "coverage_bin", "min_support", "start_extension", "insert_extension", "end_extension", "platform")}
+    if a.min_length < 1 or a.min_mapq < 0 or a.coverage_bin < 1 or a.min_support < 1:
+        p.error("--min-length, --coverage-bin and --min-support must be at least 1, --min-mapq at least 0")
+    if a.mode == "hybrid" and not a.short_reads:
+        p.error("--mode hybrid needs --short-reads")
+    if a.mode == "long-read-only":
+        a.short_reads = None
+    for problem in missing_files(a):
+        p.error(problem)
+    fixed = {n: getattr(a, n) for n in ("min_length", "min_mapq", "coverage_bin", "min_support", "start_extension", "insert_extension", "end_extension", "platform", "refine")}
     return Inputs(a.tumor, a.normal, a.reference, a.output, a.regions, a.panel, a.short_reads, a.short_coverage, a.sample), replace(DEFAULT, **fixed)
 
 
 def main(args: list[str] | None = None) -> None:
     inputs, config = parse(args)
+    print(f"strandloom {__version__}: {'hybrid' if inputs.short_reads else 'long-read-only'} mode")
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     final = run(spark, inputs, config)
     print(f"{final.count()} somatic variants in {inputs.output}")

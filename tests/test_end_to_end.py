@@ -83,11 +83,38 @@ def text_calls(spark, path):
     return rows.select(get("BP_NOTATION").alias("breakpoint_notation"), F.col("chrom").alias("start_chr"), F.col("alt").alias("end_chr"))
 
 
-def test_arguments():
-    inputs, config = pipeline.parse(["--tumor", "t", "--normal", "n", "--reference", "r", "--output", "o", "--min-support", "5", "--platform", "ONT"])
-    assert inputs.tumor == "t" and config.min_support == 5 and config.platform == "ONT" and config.sample_length("normal") == 30
+def test_arguments(files, tmp_path):
+    for name in ("tumor.bam", "normal.bam"):
+        (files / f"{name}.bai").touch()
+    given = ["--tumor", str(files / "tumor.bam"), "--normal", str(files / "normal.bam"), "--reference", str(files / "ref.fa"), "--output", "o"]
+    inputs, config = pipeline.parse([*given, "--min-support", "5", "--platform", "ont", "--refine"])
+    assert inputs.tumor == given[1] and config.min_support == 5 and config.platform == "ONT" and config.refine and config.sample_length("normal") == 30
+    assert pipeline.parse([*given, "--mode", "long-read-only", "--short-reads", "absent"])[0].short_reads is None
+    for more in (["--tumor", "absent"], ["--mode", "hybrid"], ["--short-reads", "absent"], ["--panel", "absent"], ["--min-length", "0"], ["--reference", str(files / "tumor.bam")]):
+        with pytest.raises(SystemExit):
+            pipeline.parse([*given, *more])
     with pytest.raises(SystemExit):
         pipeline.parse(["--tumor", "t"])
+    for name in ("tumor.bam", "normal.bam"):
+        (files / f"{name}.bai").unlink()
+
+
+def test_refinement_by_alignments(spark):
+    from strandloom.operators import refinement
+
+    rows = [("chr1", 1, "chr1", 1, r, "tumor" if r[0] == "t" else "normal", 1000, 1400) for r in ("t1", "t2", "t3", "t4", "t5", "n1")]
+    ends = spark.createDataFrame(rows, "start_chr string, cluster bigint, end_chr string, end_cluster bigint, read_name string, sample string, start_loc bigint, end_loc bigint")
+    cigars = {"t1": "500M200D500M", "t2": "510M200D500M", "t3": "900M60I300M", "t4": "905M60I300M"}
+    reads = spark.createDataFrame([(r, "chr1", 500, 1700, x) for r, x in cigars.items()] + [("t1", "chr1", 900, 1700, "800M")], "read_name string, contig string, start bigint, end bigint, cigar string")
+    keys = ["start_chr", "cluster", "end_chr", "end_cluster"]
+    got = refinement.refine(ends, reads, keys).collect()
+    part = {}
+    for r in got:
+        part.setdefault(r.read_name, set()).add(r.part)
+    assert part["t1"] == part["t2"] != part["t3"] == part["t4"] and part["t5"] == {0}
+    assert part["n1"] == part["t1"] | part["t3"] and len(got) == 7
+    near = ends.withColumn("end_loc", F.col("start_loc") + 50)
+    assert {r.part for r in refinement.refine(near, reads, keys).collect()} == {0}
 
 
 def test_indexed_sequences_equal_whole_records(spark, files, monkeypatch):
