@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.stages import settle
+
 
 def islands(rows: DataFrame, keys: list[str], position: Column, end: Column, extension: Column, order: list[Column], chunk: int, name: str = "island") -> DataFrame:
     """Number the islands of rows along a position, from 1 within keys.
@@ -56,3 +58,14 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]],
     for x, y in keys:
         condition &= F.col(x) == F.col(y)
     return a.join(b, condition).drop("__al", "__ah", "__bl", "__bh", "__abin", "__bbin")
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place (from 0) in a total order; each task numbers a range, and ranges start where those before end."""
+    ranged = settle(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a range: as many as there are shuffle partitions
+    starts = sizes.select("__range", before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__place", inside).join(F.broadcast(starts), "__range").withColumn(name, (F.col("__place") + F.col("__before") - 1).cast("bigint")).drop("__range", "__place", "__before")

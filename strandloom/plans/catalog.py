@@ -933,10 +933,8 @@ def _info_sql() -> str:
     ), l AS (SELECT count, 1 AS n, start_chr AS chrom, start_loc AS pos, {_ALT1} AS alt, info, normal_reads FROM n UNION ALL SELECT count, 2, end_chr, end_loc, {_ALT2}, info, normal_reads FROM n WHERE breakpoint_notation <> '<INS>')
     SELECT count, n, chrom || chr(9) || pos || chr(9) || 'ID_' || count || '_' || n || chr(9) || CASE n WHEN 1 THEN 'A' ELSE 'C' END || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || info || chr(9) || 'GT' || chr(9) || CASE WHEN normal_reads >= 1 THEN '0/0' ELSE '0/1' END AS line FROM l""")
 def vcf_lines(spark, d):
-    from pyspark.sql import Window
-
     calls = _annotated(spark, d).withColumns({"start_base": F.lit("A"), "end_base": F.lit("C")})
-    calls = calls.withColumn("count", F.row_number().over(Window.orderBy("start_chr", "cluster", "call_id")) - 1)
+    calls = ordered.numbered(calls, [c("start_chr"), c("cluster"), c("call_id")], "count")
     return variants.variant_lines(variants.variant_records(calls))
 
 
@@ -975,9 +973,7 @@ def contig_chunks(spark, d):
     ), own AS (SELECT count AS k, start_chr AS sc, start_loc + count % 4 * 4000 AS sl, end_chr AS ec, end_loc AS el FROM n WHERE count % 2 = 0)
     SELECT call_id FROM n WHERE NOT EXISTS (SELECT 1 FROM own WHERE k = count AND sc = start_chr AND ec = end_chr AND abs(sl - start_loc) <= 10000 AND abs(el - end_loc) <= 10000)""")
 def contig_antijoin(spark, d):
-    from pyspark.sql import Window
-
-    calls = _calls(spark, d).withColumn("count", F.row_number().over(Window.orderBy("start_chr", "cluster", "call_id")).cast("bigint") - 1)
+    calls = ordered.numbered(_calls(spark, d), [c("start_chr"), c("cluster"), c("call_id")], "count")
     own = calls.where("count % 2 = 0").select(F.concat(F.lit("contig_"), c("count").cast("string"), F.lit("_DEL_0")).alias("read_name"), "start_chr", (c("start_loc") + c("count") % 4 * 4000).alias("start_loc"), "end_chr", "end_loc")
     return assembly.drop_explained(calls, own).select("call_id")
 

@@ -6,12 +6,12 @@ import argparse
 import os
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import __version__
 from strandloom.config import CONTIGS, DEFAULT, Config
-from strandloom.operators import breakpoints, calling, clustering, coverage, depth, germline, panel, somatic
+from strandloom.operators import breakpoints, calling, clustering, coverage, depth, germline, ordered, panel, somatic
 from strandloom.operators.stages import settle
 from strandloom.sources import bgzf, text, variants
 
@@ -47,9 +47,9 @@ def call(reads: DataFrame, contigs: DataFrame, config: Config = DEFAULT) -> tupl
     rows = settle(found.withColumn("ord", ord_), "breakpoints")
     clustered = settle(clustering.start_clusters(rows, config), "clusters")
     calls = calling.call_breakpoints(clustered, config, reads).drop("group_end_chr")
-    order = Window.orderBy(breakpoints.contig_ordinal(F.col("start_chr")), "start_chr", "cluster", "start_loc", "end_chr", "part", "breakpoint_notation")
-    # calls are few: one number in genome order for each
-    calls = settle(calls.withColumn("count", (F.row_number().over(order) - 1).cast("bigint")), "calls")
+    order = [F.col("__contig"), *map(F.col, ("start_chr", "cluster", "start_loc", "end_chr", "part", "breakpoint_notation"))]
+    calls = calls.withColumn("__contig", breakpoints.contig_ordinal(F.col("start_chr")))
+    calls = settle(ordered.numbered(calls, order, "count").drop("__contig"), "calls")
     used = breakpoints.phasing(reads)
     if config.platform == "HIFI":
         used = used.where(~F.col("is_secondary"))

@@ -38,20 +38,47 @@ def open_input(path: str):
     return store.open_input_file(plain)
 
 
-def index_offsets(data: bytes) -> list[int]:
-    """Virtual offsets of records in the linear index of a .bai file, sorted."""
+def read_index(data: bytes) -> list[tuple[list[int], int, int]]:
+    """Of each contig in a .bai file: the linear index (a virtual offset for each 2^14 bases), where its records begin and end."""
     if data[:4] != b"BAI\x01":
         raise ValueError("not an index")
-    out, at = set(), 8
+    out, at = [], 8
     for _ in range(struct.unpack_from("<i", data, 4)[0]):
         bins = struct.unpack_from("<i", data, at)[0]
         at += 4
+        spans = []
         for _ in range(bins):
-            at += 8 + 16 * struct.unpack_from("<i", data, at + 4)[0]
+            number, n = struct.unpack_from("<Ii", data, at)
+            if number != 37450:  # the last bin holds counts
+                spans += [struct.unpack_from("<QQ", data, at + 8 + 16 * i) for i in range(n)]
+            at += 8 + 16 * n
         windows = struct.unpack_from("<i", data, at)[0]
-        out.update(struct.unpack_from(f"<{windows}Q", data, at + 4))
+        linear = list(struct.unpack_from(f"<{windows}Q", data, at + 4))
         at += 4 + 8 * windows
-    return sorted(x for x in out if x)
+        known = [x for x in linear if x]
+        begin = min([a for a, _ in spans] or known or [0])
+        out.append((linear, begin, max([b for _, b in spans] or [1 << 62 if known else 0])))
+    return out
+
+
+def index_offsets(data: bytes) -> list[int]:
+    """Virtual offsets of records in the linear indexes of a .bai file, sorted."""
+    return sorted({x for linear, _, _ in read_index(data) for x in linear if x})
+
+
+def wanted_ranges(index: list[tuple[list[int], int, int]], numbers: list[int], low: int, high: int) -> list[tuple[int, int]]:
+    """Ranges of virtual offsets that hold all records of the contigs that start in [low, high)."""
+    out = []
+    for i in numbers:
+        linear, begin, end = index[i]
+        if end <= begin or high <= 0:
+            continue
+        # records that start at low or later lie at or behind the first that overlaps its window
+        window = max(0, low) >> 14
+        later = [x for x in linear[window : window + 1] if x] or [x for x in linear[window:] if x][:1]
+        if window < len(linear) or not linear:
+            out.append((max(begin, later[0]) if later else begin, end))
+    return sorted(out)
 
 
 class Blocks:
@@ -172,10 +199,11 @@ class Chunk(InputPartition):
     begin: int
     place: int
     end: int
+    ordered: bool
 
-    def __init__(self, path: str, begin: int, place: int, end: int):
+    def __init__(self, path: str, begin: int, place: int, end: int, ordered: bool = False):
         super().__init__((begin, place, end))
-        self.path, self.begin, self.place, self.end = path, begin, place, end
+        self.path, self.begin, self.place, self.end, self.ordered = path, begin, place, end, ordered
 
 
 class AlignmentReader(DataSourceReader):
@@ -210,9 +238,14 @@ class AlignmentReader(DataSourceReader):
         """
         with open_input(self.path) as file:
             blocks = Blocks(file)
-            read_header(blocks)
+            _, contigs = read_header(blocks)
             cuts = [blocks.tell()]
-            if (known := self._indexed()) is not None:
+            if (index := self._indexed()) is not None:
+                known = sorted({x for linear, _, _ in index for x in linear if x})
+                if self.contigs is not None:
+                    numbers = [i for i, (name, _) in enumerate(contigs) if name in self.contigs and i < len(index)]
+                    ranges = wanted_ranges(index, numbers, self.low, self.high)
+                    return [chunk for begin, end in ranges for chunk in self._cut(begin, end, known)] or [Chunk(self.path, 0, 0, 0, True)]
                 for at in known:
                     if (at >> 16) - cuts[-1][0] >= self.split:
                         cuts.append((at >> 16, at & 0xFFFF))
@@ -233,10 +266,18 @@ class AlignmentReader(DataSourceReader):
                     left -= step
         return self._chunks(cuts)
 
-    def _indexed(self) -> list[int] | None:
+    def _cut(self, begin: int, end: int, known: list[int]) -> list[Chunk]:
+        """A range of virtual offsets in splits that begin at records."""
+        cuts = [begin]
+        for at in known:
+            if begin < at < end and (at >> 16) - (cuts[-1] >> 16) >= self.split:
+                cuts.append(at)
+        return [Chunk(self.path, a >> 16, a & 0xFFFF, b, True) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
+
+    def _indexed(self) -> list[tuple[list[int], int, int]] | None:
         try:
             with open_input(self.path + ".bai") as file:
-                return index_offsets(file.read())
+                return read_index(bytes(file.read()))
         except FileNotFoundError:
             return None
 
@@ -260,6 +301,8 @@ class AlignmentReader(DataSourceReader):
                 data = blocks.read(struct.unpack("<i", head)[0])
                 ref, pos = struct.unpack_from("<ii", data, 0)
                 name = contigs[ref][0] if ref >= 0 else None
+                if self.contigs is not None and len(self.contigs) == 1 and pos >= self.high and name in self.contigs and partition.ordered:
+                    break  # the file is sorted, as its index shows: no later record of this contig starts before
                 if (self.contigs is not None and name not in self.contigs) or not self.low <= pos < self.high:
                     continue
                 rows.append(decode(data, contigs, self.with_bases))

@@ -146,3 +146,84 @@ def test_supported_groups(spark):
     rows = spark.createDataFrame([("a", "r1"), ("a", "r1"), ("b", "r1"), ("b", "r2"), ("c", None), ("c", None), ("d", None), ("d", "r")], "g string, read_name string")
     for least, want in ((1, {"a", "b", "d"}), (2, {"b"}), (3, set())):
         assert {r.g for r in clustering.supported(rows, ["g"], least).collect()} == want
+
+
+def linear_index(path):
+    """A .bai file without bins, from a walk over the records."""
+    import struct
+
+    with bgzf.open_input(path) as file:
+        blocks = bgzf.Blocks(file)
+        _, contigs = bgzf.read_header(blocks)
+        first = [{} for _ in contigs]
+        spans = [[] for _ in contigs]
+        while True:
+            block, place = blocks.tell()
+            head = blocks.read(4)
+            if len(head) < 4:
+                break
+            row = bgzf.decode(blocks.read(struct.unpack("<i", head)[0]), contigs)
+            i = [n for n, _ in contigs].index(row["contig"])
+            for w in range(row["start"] >> 14, (row["end"] - 1 >> 14) + 1):
+                first[i].setdefault(w, block << 16 | place)
+            after = blocks.tell()
+            spans[i].append((block << 16 | place, after[0] << 16 | after[1]))
+    out = b"BAI\x01" + struct.pack("<i", len(contigs))
+    for i in range(len(contigs)):
+        out += struct.pack("<iIi", 1, 0, 1) + struct.pack("<QQ", spans[i][0][0], spans[i][-1][1]) if spans[i] else struct.pack("<i", 0)
+        n = max(first[i], default=-1) + 1
+        out += struct.pack(f"<i{n}Q", n, *[first[i].get(w, 0) for w in range(n)])
+    with open(path + ".bai", "wb") as f:
+        f.write(out)
+
+
+def test_predicates_read_only_their_blocks(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    import random
+
+    r = random.Random(5)
+    rows = [{"read_name": f"r{i}", "flag": 0, "contig": c, "start": s, "mapq": 60, "cigar": "100M", "seq": "".join(r.choices("ACGT", k=100))} for c in ("chr1", "chr2") for i, s in enumerate(range(0, 400_000, 100))]
+    path = str(tmp_path / "many.bam")
+    bgzf.write_alignments(path, [("chr1", 500_000), ("chr2", 500_000)], rows, block=4000)
+    linear_index(path)
+
+    def read(*filters):
+        reader = bgzf.AlignmentReader({"path": path, "splitbytes": "20000"})
+        assert list(reader.pushFilters(list(filters))) == []
+        bytes_read = []
+
+        class Counted(bgzf.Blocks):
+            def _load(self):
+                ok = super()._load()
+                bytes_read.append(self.next - self.block_at)
+                return ok
+
+        plain, bgzf.Blocks = bgzf.Blocks, Counted
+        try:
+            parts = reader.partitions()
+            found = [(n, s) for p in parts for b in reader.read(p) for n, s in zip(b.column("contig").to_pylist(), b.column("start").to_pylist())]
+        finally:
+            bgzf.Blocks = plain
+        return found, sum(bytes_read), len(parts)
+
+    whole, size, n = read()
+    assert len(whole) == 8000 and n > 4
+    one, of_one, _ = read(EqualTo(("contig",), "chr2"))
+    assert one == [x for x in whole if x[0] == "chr2"] and of_one < 0.75 * size
+    near, of_near, _ = read(EqualTo(("contig",), "chr2"), GreaterThanOrEqual(("start",), 150_000), LessThan(("start",), 160_000))
+    assert near == [x for x in whole if x[0] == "chr2" and 150_000 <= x[1] < 160_000] and of_near < 0.25 * size
+    assert read(EqualTo(("contig",), "chr2"), GreaterThanOrEqual(("start",), 450_000))[0] == []
+    assert read(EqualTo(("contig",), "chr9"))[0] == []
+    bgzf.register(spark)
+    many = spark.read.format("alignments").load(path)
+    assert many.where("contig = 'chr9'").count() == 0 and many.where("contig = 'chr1' and start < 1000").count() == 10
+
+
+def test_numbers_in_order(spark):
+    from strandloom.operators import ordered
+
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.lit("x").alias("o")).repartition(7)
+    got = ordered.numbered(rows, [F.col("k")], "at").collect()
+    assert {(r.k, r["at"]) for r in got} == {(i, i) for i in range(500)}
+    assert ordered.numbered(rows.limit(0), [F.col("k")], "at").count() == 0
