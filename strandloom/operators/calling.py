@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, insertion_like
-from strandloom.operators.clustering import CLUSTER, end_clusters, insert_length_islands, statistics
+from strandloom.operators.clustering import CLUSTER, comprehensive_statistics, end_clusters, insert_length_islands, statistics
 from strandloom.operators.refinement import refine
 from strandloom.operators.stages import settle
 
@@ -122,3 +122,9 @@ def call_breakpoints(clustered: DataFrame, config: Config = DEFAULT, reads: Data
     calls = settle(insertion_calls(rows, config).unionByName(end_calls(rows, config, reads)), "raw-calls")
     final = drop_minor_single_ends(calls, [*CLUSTER, "group_end_chr"])
     return final.join(total_reads(clustered), CLUSTER)
+
+
+def with_cluster_statistics(calls: DataFrame, clustered: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """calls with the wide statistics of their start cluster (start_*); a call's end statistics are those it carries."""
+    wide = comprehensive_statistics(clustered, config=config)
+    return calls.join(wide.select(*CLUSTER, *[F.col(x).alias(f"start_{x}") for x in wide.columns if x not in CLUSTER]), CLUSTER)

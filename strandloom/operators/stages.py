@@ -29,6 +29,14 @@ def _remove(spark, path: str) -> None:
         pass
 
 
+def stored(lines: DataFrame, name: str) -> str:
+    """Write a column of text to the shared folder, one line a row; the path of its files, removed at the end."""
+    path = f"{shared_folder(lines.sparkSession)}/strandloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, lines.sparkSession, path)
+    lines.write.text(path)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a stage's rows and read them back: later branches neither plan nor run it again.
 

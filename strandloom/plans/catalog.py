@@ -12,7 +12,7 @@ from strandloom.config import DEFAULT
 from strandloom.functions import cigar, kmers
 from strandloom.functions import columns as x
 from strandloom.operators import assembly, breakpoints, calling, clustering, coverage, depth, germline, ordered, panel, shortreads, somatic
-from strandloom.operators.stages import settle
+from strandloom.operators.stages import settle, stored
 from strandloom.plans import views as v
 from strandloom.sources import text, variants
 
@@ -406,16 +406,13 @@ def pon_candidates(spark, d):
     return panel.common_variants(v.known_variants(spark, d))
 
 
-@query(f"""WITH {v.BREAKPOINTS}, {v.KNOWN}, p AS (SELECT * FROM pon WHERE af >= 0.45)
-    SELECT start_chr, count(*) AS n_kept, min(start_loc) AS first_kept, max(start_loc) AS last_kept FROM bp WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.chr1 = bp.start_chr AND (
-        (abs(bp.start_loc - p.start) <= 500 AND bp.end_chr = p.chr2 AND abs(bp.end_loc - p."end") <= 500)
-        OR (bp.start_chr = p.chr2 AND abs(bp.start_loc - p."end") <= 500 AND bp.end_chr = p.chr1 AND abs(bp.end_loc - p.start) <= 500))) GROUP BY start_chr""")
+@query(f"""WITH {v.BREAKPOINTS}, {v.KNOWN}, p AS (SELECT * FROM pon WHERE af >= 0.01)
+    SELECT ord, start_chr, start_loc, end_chr, end_loc FROM bp WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.chr1 = bp.start_chr AND p.chr2 = bp.end_chr AND (
+        (abs(bp.start_loc - p.start) <= 500 AND abs(bp.end_loc - p."end") <= 500) OR (bp.start_chr = bp.end_chr AND abs(bp.start_loc - p."end") <= 500 AND abs(bp.end_loc - p.start) <= 500)))""")
 def pon_antijoin(spark, d):
-    from dataclasses import replace
-
-    known = panel.common_variants(v.known_variants(spark, d), replace(DEFAULT, pon_min_af=0.45))
+    known = panel.common_variants(v.known_variants(spark, d))
     rows = v.breakpoints(spark, d).withColumn("key", F.xxhash64("ord", "start_loc", "end_loc", "mapq"))
-    return panel.subtract(rows, known, "key").groupBy("start_chr").agg(F.count("*").alias("n_kept"), F.min("start_loc").alias("first_kept"), F.max("start_loc").alias("last_kept"))
+    return panel.subtract(rows, known, "key").select("ord", "start_chr", "start_loc", "end_chr", "end_loc")
 
 
 # --- alignments ------------------------------------------------------------------------------------------
@@ -874,6 +871,93 @@ def cluster_summary(spark, d):
     return rows.select("start_chr", "cluster", F.substring_index("summary", "\n", 2).alias("summary_head"), line("Unique Reads").alias("reads_line"), line("MAPQ Range").alias("mapq_line"))
 
 
+# --- text sources, written and read back ----------------------------------------------------------------
+
+
+def _text(lines: DataFrame, name: str) -> str:
+    """A folder of text files with the rows of value, in the shared folder."""
+    return stored(lines.select("value"), name)
+
+
+@query(f"""WITH {v.REGIONS} SELECT contig, start, "end", p_size AS cluster_size, p_retailprice / 2 AS mean_pos, 7 AS support_reads_tumor, 0.25::DOUBLE AS strand_ratio_normal
+    FROM (SELECT 'chr' || (p_partkey % 24 + 1) AS contig, p_partkey * 97 % 200000 AS start, p_partkey * 97 % 200000 + p_size * 20 AS "end", p_size, p_retailprice, p_partkey FROM part) WHERE p_partkey % 10 > 1""")
+def region_file(spark, d):
+    # of ten lines one is a comment and one too short
+    t = v.table(spark, d, "part")
+    start = c("p_partkey") * 97 % 200_000
+    fields = [F.concat(F.lit("chr"), (c("p_partkey") % 24 + 1).cast("string")), start.cast("bigint"), (start + c("p_size") * 20).cast("bigint"), c("p_size"), c("p_retailprice") / 2, F.lit("1.5"), F.lit("60"), F.lit("7"), F.lit("0"), F.lit("0.75"), F.lit("0.25")]
+    whole = F.concat_ws("\t", *[x.cast("string") for x in fields])
+    line = F.when(c("p_partkey") % 10 == 0, F.concat(F.lit("#"), whole)).when(c("p_partkey") % 10 == 1, F.substring_index(whole, "\t", 9)).otherwise(whole)
+    rows = text.read_regions(spark, _text(t.select(line.alias("value")), "regions"))
+    return rows.select("contig", "start", "end", "cluster_size", "mean_pos", "support_reads_tumor", "strand_ratio_normal")
+
+
+def _panel_file(spark: SparkSession, d: str) -> str:
+    t = v.table(spark, d, "orders")
+    start = (c("o_orderkey") * 13) % 200_000
+    kind = F.when(c("o_orderkey") % 3 == 0, "CNV").otherwise("DEL")
+    af = ((c("o_orderkey") % 100) / 200).cast("string")
+    end = (start + F.floor(c("o_totalprice") / 500)).cast("bigint").cast("string")
+    info = F.concat(F.lit("SVTYPE="), kind, F.when(kind == "CNV", F.concat(F.lit(";CN_NONREF_FREQ="), af, F.lit(";POSMIN="), start.cast("bigint").cast("string"), F.lit(";ENDMAX="), end)).otherwise(F.concat(F.lit(";AF="), af, F.lit(",0.9;END="), end)), F.lit(";PRECISE"))
+    line = F.concat_ws("\t", F.concat(F.lit("chr"), (c("o_custkey") % 24 + 1).cast("string")), start.cast("bigint").cast("string"), c("o_orderkey").cast("string"), F.lit("N"), F.lit("<X>"), F.lit("."), F.lit("PASS"), info)
+    head = spark.range(1).select(F.explode(F.array(F.lit('##INFO=<ID=AF,Number=A,Type=Float,Description="f">'), F.lit('##INFO=<ID=END,Number=1,Type=Integer,Description="e">'), F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"))).alias("value"))
+    return _text(head.unionByName(t.select(line.alias("value"))), "panel")
+
+
+_PANEL = """po AS (SELECT 'chr' || (o_custkey % 24 + 1) AS chrom, o_orderkey * 13 % 200000 AS pos, o_orderkey, o_orderkey % 3 = 0 AS cnv, (o_orderkey % 100) / 200.0::DOUBLE AS af, CAST(o_orderkey * 13 % 200000 + floor(o_totalprice / 500) AS BIGINT) AS e FROM orders)"""
+
+
+@query(f"WITH {_PANEL} SELECT chrom AS chr1, pos AS start, chrom AS chr2, CASE WHEN cnv THEN pos ELSE e END AS \"end\", CASE WHEN cnv THEN 'CNV' ELSE 'DEL' END AS svtype, af FROM po WHERE af >= 0.01")
+def panel_file(spark, d):
+    return panel.common_variants(text.read_vcf(spark, _panel_file(spark, d)))
+
+
+@query(f"WITH {_PANEL} SELECT chrom AS chr1, CASE WHEN cnv THEN pos END AS start, chrom AS chr2, CASE WHEN cnv THEN e END AS \"end\", CASE WHEN cnv THEN 'CNV' ELSE 'DEL' END AS svtype FROM po")
+def panel_copy_numbers(spark, d):
+    return panel.common_copy_numbers(text.read_vcf(spark, _panel_file(spark, d)))
+
+
+@query("SELECT 'AF' AS field UNION ALL SELECT 'END'")
+def info_fields(spark, d):
+    return spark.createDataFrame([(x,) for x in text.info_fields(spark, _panel_file(spark, d))], "field string")
+
+
+@query("SELECT p_partkey, list_filter([CAST(p_size AS VARCHAR), '', CAST(p_partkey % 7 AS VARCHAR)], lambda x: x <> '') AS numbers FROM part")
+def haplotype_numbers(spark, d):
+    return v.table(spark, d, "part").select("p_partkey", text.numbers_in(F.concat_ws(",", c("p_size").cast("string"), F.lit(""), (c("p_partkey") % 7).cast("string"), F.lit(""))).alias("numbers"))
+
+
+@query("SELECT '@contig_' || item_id || '_span_0' || chr(10) || text || chr(10) || '+' || chr(10) || repeat('I', length(text)) AS value FROM benchmark WHERE text IS NOT NULL")
+def fastq_records(spark, d):
+    rows = v.table(spark, d, "benchmark").where("text is not null")
+    return assembly.fastq_lines(rows.select(F.concat(F.lit("contig_"), "item_id", F.lit("_span_0")).alias("contig_name"), c("text").alias("sequence")))
+
+
+_READ_KMERS = """ir AS (SELECT *, upper(substr(repeat(md5('r' || CAST(ord % 40 AS VARCHAR)), 5), 1, 120)) AS seq FROM sr WHERE (form < 2 AND clip >= 10) OR form = 2 OR mapq < 20
+    ), met AS (SELECT call_id, seq FROM pl JOIN ir ON contig = c1 AND start < p2 + 200 AND "end" > greatest(0, p1 - 200)
+    ), kc AS (SELECT call_id, kmer, count(*) AS n FROM (SELECT call_id, unnest(list_transform(range(1, 91), lambda i: substr(seq, i, 31))) AS kmer FROM met) GROUP BY ALL
+    ), ref AS (SELECT DISTINCT call_id, kmer FROM (SELECT call_id, unnest(list_transform(range(1, 35), lambda i: substr(t, i, 31))) AS kmer FROM (SELECT call_id, upper(repeat(md5('r' || CAST(call_id % 40 AS VARCHAR)), 2)) AS t FROM pl))
+    ), nr AS (SELECT call_id, count(*) AS n_reads FROM met GROUP BY call_id), nk AS (SELECT call_id, count(*) AS n_kmers FROM ref GROUP BY call_id
+    ), j AS (SELECT call_id, n_reads, n_kmers, coalesce(n, 0) AS n FROM ref JOIN nk USING (call_id) JOIN nr USING (call_id) LEFT JOIN kc USING (call_id, kmer)
+    ), s AS (SELECT call_id, n_reads, count(*) FILTER (WHERE n >= 3) / n_kmers > 0.85 AS del, count(*) FILTER (WHERE n > n_reads / greatest(100, n_kmers) * 1.5::DOUBLE) / n_kmers > 0.3 AS dup FROM j GROUP BY call_id, n_reads, n_kmers)"""
+
+
+@query(f"""WITH {v.SHORT_READS}, {_PLACES}, {_READ_KMERS} SELECT call_id, coalesce(n_reads, 0) AS n_reads, coalesce(n_reads >= 2 AND del, FALSE) AS kmer_deletion, coalesce(n_reads >= 2 AND dup, FALSE) AS kmer_duplication FROM pl LEFT JOIN s USING (call_id)""")
+def kmer_evidence(spark, d):
+    digest = lambda n: F.md5(F.concat(F.lit("r"), (n % 40).cast("string")).cast("binary"))
+    reads = v.short_reads(spark, d).withColumn("seq", F.upper(F.substring(F.expr("repeat(md5(cast(concat('r', cast(ord % 40 as string)) as binary)), 5)"), 1, 120)))
+    calls = _some_calls(spark, d)
+    reference = calls.select("call_id", F.repeat(digest(c("call_id")), F.lit(2)).alias("sequence"))
+    return germline.kmer_evidence(calls, reads, reference, "call_id")
+
+
+@query(f"""WITH {_CALLS}, w AS (SELECT start_chr, cluster, count(*) AS total, count(DISTINCT source) AS sources, min(mapq) AS least, max(start_loc) AS last FROM cl GROUP BY ALL)
+    SELECT call_id, total AS start_total_breakpoints, sources AS start_unique_sources, least AS start_mapq_min, last AS start_starts_max FROM calls JOIN w USING (start_chr, cluster)""")
+def call_cluster_statistics(spark, d):
+    rows = calling.with_cluster_statistics(_calls(spark, d), _clustered(spark, d))
+    return rows.select("call_id", "start_total_breakpoints", "start_unique_sources", "start_mapq_min", "start_starts_max")
+
+
 # --- similarity and components -----------------------------------------------------------------------------
 
 _EV = """ev AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(struct_pack(s := l_partkey * 100 % 3000, e := l_partkey * 100 % 3000 + CAST(l_quantity AS BIGINT), n := CAST(l_quantity AS BIGINT))))) AS dels
