@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.ordered import with_bins
-
 
 def haplotype_known() -> Column:
     """Coverage counts reads of haplotype 1, 2 or none; others are left out."""
@@ -17,11 +15,11 @@ def binned_coverage(reads: DataFrame, bin_size: int, contigs: DataFrame | None =
     """(sample, contig, haplotype, bin, depth): reads that touch each bin; bins without reads have no row.
 
     A read touches every bin from its start to its (exclusive) end, both included. contigs (contig, length)
-    bounds the bins.
+    bounds the bins. The bins come from runs of equal depth, so only two rows a read are shuffled; a run without a
+    read's start or end inside is no longer than a read.
     """
-    low, high = F.least("start", "end"), F.greatest("start", "end")
-    rows = with_bins(reads.where(haplotype_known()).select("sample", "contig", "haplotype", low.alias("low"), high.alias("high")), F.col("low"), F.col("high"), bin_size)
-    depth = rows.groupBy("sample", "contig", "haplotype", "bin").agg(F.count("*").alias("depth"))
+    runs = coverage_by_deltas(reads, bin_size)
+    depth = runs.select("sample", "contig", "haplotype", F.explode(F.sequence("bin", F.col("next_bin") - 1)).alias("bin"), "depth")
     if contigs is None:
         return depth
     bound = contigs.select("contig", F.floor(F.col("length") / bin_size).alias("__last"))
