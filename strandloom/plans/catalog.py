@@ -871,6 +871,44 @@ def cluster_summary(spark, d):
     return rows.select("start_chr", "cluster", F.substring_index("summary", "\n", 2).alias("summary_head"), line("Unique Reads").alias("reads_line"), line("MAPQ Range").alias("mapq_line"))
 
 
+# --- small parts of reads and filters ---------------------------------------------------------------------
+
+
+@query(f"WITH {v.SHORT_READS} SELECT ord, start, cigar, CASE form WHEN 0 THEN clip || 'M120M' WHEN 1 THEN '120M' || clip || 'M' ELSE cigar END AS matched FROM sr")
+def matched_edges(spark, d):
+    ops = shortreads.matchify(cigar.operations(c("cigar")))
+    text_ = F.array_join(F.transform(ops, lambda o: F.concat(o["len"].cast("string"), o["op"])), "")
+    return v.short_reads(spark, d).select("ord", "start", "cigar", text_.alias("matched"))
+
+
+_EDGE = """e AS (SELECT p_partkey, translate(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 24), '0123456789abcdef', 'ACGTACGTACGTACNN') AS a, translate(substr(md5(CAST(p_partkey + 7 AS VARCHAR)), 1, 20 + p_partkey % 5), '0123456789abcdef', 'acgtacgtacgtacNN') AS b FROM part)"""
+
+
+@query(f"""WITH {_EDGE} SELECT p_partkey, coalesce(list_min(list_filter(range(0, least(length(a), length(b)) - 4), lambda s: len(list_filter(range(1, 6), lambda j: substr(a, s + j, 1) = 'N' OR substr(b, s + j, 1) = 'N' OR upper(substr(a, s + j, 1)) = upper(substr(b, s + j, 1)))) = 5)), -1) AS mismatch FROM e""")
+def edge_mismatches(spark, d):
+    letters = lambda k, n, to: F.translate(F.substring(F.md5(k.cast("string").cast("binary")), F.lit(1), n), "0123456789abcdef", to)
+    rows = v.table(spark, d, "part").select("p_partkey", letters(c("p_partkey"), F.lit(24), "ACGTACGTACGTACNN").alias("a"), letters(c("p_partkey") + 7, (20 + c("p_partkey") % 5).cast("int"), "acgtacgtacgtacNN").alias("b"))
+    return rows.select("p_partkey", shortreads.edge_mismatch(c("a"), c("b")).cast("bigint").alias("mismatch"))
+
+
+@query("SELECT s_suppkey, s_suppkey * 3 > 100 AND s_suppkey % 70 > 50 AS strict FROM supplier")
+def strict_choice(spark, d):
+    rows = v.table(spark, d, "supplier").select("s_suppkey", (c("s_suppkey") * 3).alias("total_variants"), (c("s_suppkey") % 70).alias("mapq_median"))
+    return somatic.strict_by_statistics(rows, 40.0).select("s_suppkey", "strict")
+
+
+@query("SELECT o_orderkey, least(o_orderkey * 7 % 1000, o_custkey) AS low, greatest(o_orderkey * 7 % 1000, o_custkey) AS high FROM orders")
+def ordered_coordinates(spark, d):
+    low, high = x.ordered(c("o_orderkey") * 7 % 1000, c("o_custkey"))
+    return v.table(spark, d, "orders").select("o_orderkey", low.alias("low"), high.alias("high"))
+
+
+@query(f"WITH {v.SHORT_READS} SELECT ord, start, CASE WHEN NOT (is_supplementary OR is_secondary) THEN ord % 3 END AS haplotype, CASE WHEN NOT (is_supplementary OR is_secondary) THEN ord % 11 END AS phase_set FROM sr")
+def read_phasing(spark, d):
+    reads = v.short_reads(spark, d).withColumns({"hp": c("ord") % 3, "ps": c("ord") % 11})
+    return breakpoints.phasing(reads).select("ord", "start", "haplotype", "phase_set")
+
+
 # --- text sources, written and read back ----------------------------------------------------------------
 
 
