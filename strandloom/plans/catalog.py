@@ -909,6 +909,21 @@ def read_phasing(spark, d):
     return breakpoints.phasing(reads).select("ord", "start", "haplotype", "phase_set")
 
 
+_OVERLAPS = """coalesce(is_paired AND NOT mate_unmapped AND contig = mate_contig AND CASE WHEN mate_length IS NOT NULL THEN start < mate_start + mate_length AND mate_start < "end" ELSE (mate_start >= start AND mate_start < "end") OR (mate_start <= start AND start < mate_start + query_length) END, FALSE)"""
+
+
+@query(f"""WITH {v.SHORT_READS}, f AS (SELECT *, NOT {_OVERLAPS} OR is_supplementary AS free FROM sr WHERE sa_contig IS NULL
+    ), k AS (SELECT ord, start, contig, 'leading' AS edge, start - clip + ord % 60 AS spot FROM f WHERE form = 0 AND ord % 60 >= 30 AND (free OR NOT is_reverse)
+        UNION ALL SELECT ord, start, contig, 'trailing', "end" + clip - ord % 50 FROM f WHERE form = 1 AND ord % 50 >= 30 AND (free OR is_reverse))
+    SELECT ord, start, edge, contig AS bp1_contig, greatest(0, spot - 100) AS bp1_begin, least(300000, spot + 100) AS bp1_end FROM k""")
+def semi_aligned_breakends(spark, d):
+    # the reference disagrees with so many bases at the edge as the read's number says, then agrees
+    reads = v.short_reads(spark, d).withColumn("seq", F.repeat(F.lit("AC"), F.lit(60)))
+    edge = lambda sequence, n: F.concat(F.repeat(F.lit("G"), n.cast("int")), F.substring(sequence, (n + 1).cast("int"), F.lit(120)))
+    reads = reads.withColumns({"left_reference": edge(c("seq"), c("ord") % 60), "right_reference": edge(F.reverse("seq"), c("ord") % 50)})
+    return shortreads.semi_aligned(reads, v.contigs(spark, d)).select("ord", "start", "edge", "bp1_contig", "bp1_begin", "bp1_end")
+
+
 # --- text sources, written and read back ----------------------------------------------------------------
 
 
