@@ -12,6 +12,7 @@ from strandloom.config import CONTIGS
 from strandloom.functions import cigar
 from strandloom.functions.columns import points
 from strandloom.operators.ordered import overlap_join
+from strandloom.operators.stages import settle
 
 c = F.col
 RIGHT, LEFT, COMPLEX, UNKNOWN = "SVBEND_RIGHT_OPEN", "SVBEND_LEFT_OPEN", "SVBEND_COMPLEX", "SVBEND_UNKNOWN"
@@ -216,7 +217,9 @@ def semi_aligned(reads: DataFrame, lengths: DataFrame, least: int = 30, offset:
     rows = reads.where("sa is null and seq is not null and not is_unmapped").withColumn("a", cigar.summary(c("cigar"), c("start"), skips=True, last_clip_only=True))
     left = F.when(c("a.softclip_left") > 0, F.greatest(F.lit(0), edge_mismatch(c("seq"), c("left_reference")))).otherwise(F.lit(0))
     right = F.when(c("a.softclip_right") > 0, F.greatest(F.lit(0), edge_mismatch(F.reverse("seq"), c("right_reference")))).otherwise(F.lit(0))
-    rows = rows.withColumns({"leading": left, "trailing": right}).where(c("leading") + c("trailing") < F.length("seq"))
+    # only clipped edges can disagree; the walk along them is written once, as three conditions read it
+    rows = rows.where((c("a.softclip_left") > 0) | (c("a.softclip_right") > 0)).withColumns({"leading": left, "trailing": right})
+    rows = settle(rows, "clipped-edges").where(c("leading") + c("trailing") < F.length("seq"))
     free = ~is_overlapping() | c("is_supplementary")
     leading = (c("leading") >= least) & (free | ~c("is_reverse")) & good_share(c("qual"), c("leading"))
     trailing = (c("trailing") >= least) & (free | c("is_reverse")) & good_share(F.reverse("qual"), c("trailing"))
