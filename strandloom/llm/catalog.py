@@ -97,6 +97,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op11_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.spelling import group_variants, words_of
+
+    return group_variants(words_of(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_mixing": op2_mixing,
@@ -108,6 +120,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_substring": op11_substring,
+    "op12_spelling": op12_spelling,
 }
 
 
@@ -205,4 +219,50 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hit USING (row) LEFT JOIN ids USING (row)
     """,
+    "op11_substring": r"""
+        WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), cut AS (SELECT row, words, unnest(range(1, len(words) - 33)) AS i FROM docs
+        ), windows AS (SELECT row, i, md5(array_to_string(words[i:i + 34], ' ')) AS win FROM cut
+        ), repeated AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY win) AS n FROM windows) WHERE n > 1
+        ), places AS (SELECT row, word, i FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM docs)
+        ), marked AS (
+            SELECT p.row, p.i, p.word, max(r.i IS NOT NULL) OVER (PARTITION BY p.row ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+            FROM places p LEFT JOIN repeated r ON p.row = r.row AND p.i = r.i
+        ), kept AS (
+            SELECT row, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS text
+            FROM marked GROUP BY row
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (row)
+    """,
+    "op12_spelling": r"""
+        WITH RECURSIVE shifts AS (
+            SELECT n, n AS c, 0 AS k FROM range(0, 256) AS t(n)
+            UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM shifts WHERE k < 8
+        ), crc AS (SELECT list(c ORDER BY n) AS t FROM shifts WHERE k = 8
+        ), runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+            FROM documents
+        ), counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+        ), bytes AS (
+            SELECT *, list_transform(range(0, strlen(id || ':' || run)), lambda i: CAST('0x' || substr(hex(encode(id || ':' || run)), 2 * i + 1, 2) AS BIGINT)) AS b FROM counted
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295::BIGINT) AS h FROM bytes, crc
+        ), seen AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+        ), words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM seen WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+        ), less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+        ), near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+        ), best AS (SELECT word, n, count(*) AS n_near, min({'k': -m, 'w': encode(other)}) AS top FROM near GROUP BY word, n
+        ), formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.k >= 10 * w.n THEN decode(top.w) END AS form, CASE WHEN -top.k >= 10 * w.n THEN -top.k END AS form_n
+            FROM words w LEFT JOIN best USING (word)
+        ), walk AS (
+            SELECT word, word AS at, form AS next FROM formed
+            UNION ALL SELECT walk.word, walk.next, f.form FROM walk JOIN formed f ON f.word = walk.next
+        )
+        SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk ON f.word = walk.word AND walk.next IS NULL
+    """,
 }
