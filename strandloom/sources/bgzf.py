@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 # Fixed values of the format: operation letters, base letters, flag bits.
@@ -38,39 +42,86 @@ def open_input(path: str):
     return store.open_input_file(plain)
 
 
-def read_index(data: bytes) -> list[tuple[list[int], int, int]]:
-    """Of each contig in a .bai file: the linear index (a virtual offset for each 2^14 bases), where its records begin and end."""
+#: Merged regions that are read by the index; with more, nearly every block would be wanted and the file is read whole.
+MOST_REGIONS = 200_000
+#: The bin of a .bai file that holds counts, and the first bin of each level with the bits of a position that a bin covers.
+_COUNTS, _LEVELS = 37450, ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+
+
+@dataclass(frozen=True)
+class ContigIndex:
+    """What a .bai file says of a contig: offsets of records are virtual (block and place in it)."""
+
+    linear: list[int]
+    bins: dict[int, list[tuple[int, int]]]
+
+    @property
+    def begin(self) -> int:
+        known = [x for x in self.linear if x]
+        return min([a for chunks in self.bins.values() for a, _ in chunks] or known or [0])
+
+    @property
+    def end(self) -> int:
+        known = any(self.linear)
+        return max([b for chunks in self.bins.values() for _, b in chunks] or [1 << 62 if known else 0])
+
+    def chunks(self, low: int, high: int) -> list[tuple[int, int]]:
+        """Ranges of offsets that hold every record that overlaps [low, high)."""
+        low, high = max(0, low), min(high, 1 << 29)
+        if high <= low:
+            return []
+        if not self.bins:
+            return [(self.begin, self.end)] if any(self.linear) else []
+        window = low >> 14
+        if self.linear and window >= len(self.linear):
+            return []  # no record reaches that far
+        # records before the first that overlaps the window end before it
+        least = self.linear[window] if self.linear else 0
+        wanted = [n for first, bits in _LEVELS for n in range(first + (low >> bits), first + ((high - 1) >> bits) + 1) if n in self.bins]
+        return [(max(a, least), b) for n in wanted for a, b in self.bins[n] if b > least]
+
+
+def read_index(data: bytes) -> list[ContigIndex]:
+    """Of each contig in a .bai file: the linear index (a virtual offset for each 2^14 bases) and the chunks of each bin."""
     if data[:4] != b"BAI\x01":
         raise ValueError("not an index")
     out, at = [], 8
     for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        bins = struct.unpack_from("<i", data, at)[0]
+        n_bins = struct.unpack_from("<i", data, at)[0]
         at += 4
-        spans = []
-        for _ in range(bins):
+        bins = {}
+        for _ in range(n_bins):
             number, n = struct.unpack_from("<Ii", data, at)
-            if number != 37450:  # the last bin holds counts
-                spans += [struct.unpack_from("<QQ", data, at + 8 + 16 * i) for i in range(n)]
+            if number != _COUNTS:
+                bins[number] = [struct.unpack_from("<QQ", data, at + 8 + 16 * i) for i in range(n)]
             at += 8 + 16 * n
         windows = struct.unpack_from("<i", data, at)[0]
-        linear = list(struct.unpack_from(f"<{windows}Q", data, at + 4))
+        out.append(ContigIndex(list(struct.unpack_from(f"<{windows}Q", data, at + 4)), bins))
         at += 4 + 8 * windows
-        known = [x for x in linear if x]
-        begin = min([a for a, _ in spans] or known or [0])
-        out.append((linear, begin, max([b for _, b in spans] or [1 << 62 if known else 0])))
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans of which none overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
     return out
 
 
 def index_offsets(data: bytes) -> list[int]:
     """Virtual offsets of records in the linear indexes of a .bai file, sorted."""
-    return sorted({x for linear, _, _ in read_index(data) for x in linear if x})
+    return sorted({x for contig in read_index(data) for x in contig.linear if x})
 
 
-def wanted_ranges(index: list[tuple[list[int], int, int]], numbers: list[int], low: int, high: int) -> list[tuple[int, int]]:
+def wanted_ranges(index: list[ContigIndex], numbers: list[int], low: int, high: int) -> list[tuple[int, int]]:
     """Ranges of virtual offsets that hold all records of the contigs that start in [low, high)."""
     out = []
     for i in numbers:
-        linear, begin, end = index[i]
+        linear, begin, end = index[i].linear, index[i].begin, index[i].end
         if end <= begin or high <= 0:
             continue
         # records that start at low or later lie at or behind the first that overlaps its window
@@ -160,6 +211,13 @@ def _tags(data: bytes) -> dict[str, object]:
     return out
 
 
+def reference_length(data: bytes) -> int:
+    """Bases of the reference that a record covers, at least one."""
+    n_name, n_ops = data[8], struct.unpack_from("<H", data, 12)[0]
+    ops = struct.unpack_from(f"<{n_ops}I", data, 32 + n_name)
+    return max(1, sum(x >> 4 for x in ops if x & 15 in _ON_REFERENCE))
+
+
 def decode(data: bytes, contigs: list[tuple[str, int]], with_bases: bool = True) -> dict:
     """One record as a row of SCHEMA; bases and qualities are only decoded on demand."""
     ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate_ref, mate_pos, template = struct.unpack_from("<iiBBHHHiiii", data, 0)
@@ -172,7 +230,7 @@ def decode(data: bytes, contigs: list[tuple[str, int]], with_bases: bool = True)
         "flag": flag,
         "contig": contigs[ref][0] if ref >= 0 else None,
         "start": pos,
-        "end": pos + max(1, sum(x >> 4 for x in ops if x & 15 in _ON_REFERENCE)),
+        "end": pos + reference_length(data),
         "mapq": mapq,
         "cigar": "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops) or None,
         "mate_contig": contigs[mate_ref][0] if mate_ref >= 0 else None,
@@ -191,6 +249,14 @@ def decode(data: bytes, contigs: list[tuple[str, int]], with_bases: bool = True)
     return row | {name: bool(flag & bit) for name, bit in FLAGS.items()}
 
 
+class Ranges(InputPartition):
+    """Ranges of virtual offsets of a file, in order; records that start in them."""
+
+    def __init__(self, path: str, spans: list[tuple[int, int]]):
+        super().__init__((path, spans[0]))
+        self.path, self.spans = path, spans
+
+
 @dataclass
 class Chunk(InputPartition):
     """A range of a file's blocks: records that start in blocks from begin to end (exclusive)."""
@@ -215,6 +281,8 @@ class AlignmentReader(DataSourceReader):
         self.with_bases = options.get("bases", "true").lower() != "false"
         self.contigs: set[str] | None = None
         self.low, self.high = -1, 1 << 62
+        # contig -> merged [low, high), sorted: only records that overlap one of them are rows
+        self.regions: dict[str, list[list[int]]] | None = json.loads(options["regions"]) if "regions" in options else None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -231,17 +299,20 @@ class AlignmentReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Chunk]:
+    def partitions(self) -> list[Chunk | Ranges]:
         """Splits of at least the split size that begin at a record.
 
-        Their places come from the file's index (path.bai). Without one, the file is walked by record lengths.
+        Their places come from the file's index (path.bai). Without one, the file is walked by record lengths. With
+        regions, the index gives the blocks that each of them can lie in, and blocks of several regions are read once.
         """
         with open_input(self.path) as file:
             blocks = Blocks(file)
             _, contigs = read_header(blocks)
             cuts = [blocks.tell()]
             if (index := self._indexed()) is not None:
-                known = sorted({x for linear, _, _ in index for x in linear if x})
+                known = sorted({x for contig in index for x in contig.linear if x})
+                if self.regions is not None:
+                    return self._dealt([x for i, (name, _) in enumerate(contigs[: len(index)]) if self._asked(name) for low, high in self.regions.get(name, []) for x in index[i].chunks(low, high)], known)
                 if self.contigs is not None:
                     numbers = [i for i, (name, _) in enumerate(contigs) if name in self.contigs and i < len(index)]
                     ranges = wanted_ranges(index, numbers, self.low, self.high)
@@ -266,11 +337,26 @@ class AlignmentReader(DataSourceReader):
                     left -= step
         return self._chunks(cuts)
 
+    def _asked(self, name: str | None) -> bool:
+        return self.contigs is None or name in self.contigs
+
+    def _dealt(self, spans: list[tuple[int, int]], known: list[int]) -> list[Chunk | Ranges]:
+        """Ranges of offsets, overlaps merged, in splits of about the split size; long ranges are cut at known records."""
+        out, held, size = [], [], 0
+        pieces = [(c.begin << 16 | c.place, c.end) for begin, end in merged([x for x in spans if x[0] < x[1]]) for c in self._cut(begin, end, known)]
+        for begin, end in pieces:
+            held.append((begin, end))
+            size += (end >> 16) - (begin >> 16) + 1
+            if size >= self.split:
+                out.append(Ranges(self.path, held))
+                held, size = [], 0
+        return [*out, Ranges(self.path, held)] if held else out or [Chunk(self.path, 0, 0, 0, True)]
+
     def _cut(self, begin: int, end: int, known: list[int]) -> list[Chunk]:
         """A range of virtual offsets in splits that begin at records."""
         cuts = [begin]
-        for at in known:
-            if begin < at < end and (at >> 16) - (cuts[-1] >> 16) >= self.split:
+        for at in known[bisect.bisect_right(known, begin) : bisect.bisect_left(known, end)]:
+            if (at >> 16) - (cuts[-1] >> 16) >= self.split:
                 cuts.append(at)
         return [Chunk(self.path, a >> 16, a & 0xFFFF, b, True) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
 
@@ -285,15 +371,27 @@ class AlignmentReader(DataSourceReader):
         ends = [*cuts[1:], (1 << 46, 0)]
         return [Chunk(self.path, begin, place, (end << 16) | spot) for (begin, place), (end, spot) in zip(cuts, ends, strict=True)]
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
-        with open_input(partition.path) as file:
-            _, contigs = read_header(Blocks(file))
-            blocks = Blocks(file, partition.begin)
-            blocks.read(partition.place)
-            rows = []
+    def _overlaps(self, name: str | None, data: bytes, pos: int) -> bool:
+        """Whether a record meets one of the regions."""
+        spans = self.regions.get(name, [])
+        at = bisect.bisect_right(spans, [pos, 1 << 62])
+        if at and spans[at - 1][1] > pos:
+            return True
+        return at < len(spans) and spans[at][0] < pos + reference_length(data)
+
+    def _wanted(self, partition: Chunk | Ranges, file, contigs: list[tuple[str, int]]) -> Iterator[bytes]:
+        """Records of a split that the predicates and regions let through."""
+        spans = partition.spans if isinstance(partition, Ranges) else [((partition.begin << 16) | partition.place, partition.end)]
+        blocks = None
+        for begin, end in spans:
+            if blocks is None or blocks.block_at != begin >> 16:
+                blocks = Blocks(file, begin >> 16)
+                blocks.read(begin & 0xFFFF)
+            else:
+                blocks.place = begin & 0xFFFF  # the block of the last range, still at hand
             while True:
                 block, spot = blocks.tell()
-                if (block << 16) | spot >= partition.end:
+                if (block << 16) | spot >= end:
                     break
                 head = blocks.read(4)
                 if len(head) < 4:
@@ -301,10 +399,16 @@ class AlignmentReader(DataSourceReader):
                 data = blocks.read(struct.unpack("<i", head)[0])
                 ref, pos = struct.unpack_from("<ii", data, 0)
                 name = contigs[ref][0] if ref >= 0 else None
-                if self.contigs is not None and len(self.contigs) == 1 and pos >= self.high and name in self.contigs and partition.ordered:
+                if isinstance(partition, Chunk) and self.contigs is not None and len(self.contigs) == 1 and pos >= self.high and name in self.contigs and partition.ordered:
                     break  # the file is sorted, as its index shows: no later record of this contig starts before
-                if (self.contigs is not None and name not in self.contigs) or not self.low <= pos < self.high:
-                    continue
+                if self._asked(name) and self.low <= pos < self.high and (self.regions is None or self._overlaps(name, data, pos)):
+                    yield data
+
+    def read(self, partition: Chunk | Ranges) -> Iterator[pa.RecordBatch]:
+        with open_input(partition.path) as file:
+            _, contigs = read_header(Blocks(file))
+            rows = []
+            for data in self._wanted(partition, file, contigs):
                 rows.append(decode(data, contigs, self.with_bases))
                 if len(rows) == 2000:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
@@ -314,7 +418,10 @@ class AlignmentReader(DataSourceReader):
 
 
 class AlignmentSource(DataSource):
-    """spark.read.format("alignments").load(path): options splitbytes, bases (false leaves seq and qual null)."""
+    """spark.read.format("alignments").load(path): options splitbytes, bases (false leaves seq and qual null), regions.
+
+    regions: JSON of contig -> merged [low, high), sorted; see near_regions.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -333,6 +440,28 @@ def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def near_regions(spark: SparkSession, path: str, spans: DataFrame, gap: int = 1000, most: int = MOST_REGIONS) -> DataFrame:
+    """Alignments of a file that overlap one of the spans (contig, low, high; half-open), read by its index.
+
+    Spans of a contig that lie within gap of each other are one region: merged in Spark, they are at most as many as
+    the spans. They go to the reader as an option, up to most of them; beyond that the file is read whole, and a
+    join with the spans leaves the same rows. Rows of a merged region that meet none of its spans can come along.
+    """
+    register(spark)
+    earlier = Window.partitionBy("contig").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    known = spans.where("contig is not null and low is not null and high is not null").select("contig", F.greatest(F.lit(0), "low").cast("bigint").alias("low"), F.col("high").cast("bigint").alias("high")).where("high > low").distinct()
+    opens = known.withColumn("before", F.max("high").over(earlier)).withColumn("opens", F.when(F.col("before").isNull() | (F.col("low") > F.col("before") + gap), 1).otherwise(0))
+    numbered = opens.withColumn("region", F.sum("opens").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    found = numbered.groupBy("contig", "region").agg(F.min("low").alias("low"), F.max("high").alias("high")).limit(most + 1).collect()
+    reader = spark.read.format("alignments")
+    if len(found) <= most:
+        regions: dict[str, list[list[int]]] = {}
+        for r in sorted(found, key=lambda r: (r.contig, r.low)):
+            regions.setdefault(r.contig, []).append([r.low, r.high])
+        reader = reader.option("regions", json.dumps(regions))
+    return reader.load(path)
+
+
 def contig_lengths(path: str) -> list[tuple[str, int]]:
     """(contig, length) of a file's header."""
     with open_input(path) as file:
@@ -373,3 +502,43 @@ def write_alignments(path: str, contigs: list[tuple[str, int]], rows: list[dict]
         for at in range(0, len(out), block):
             file.write(_block(out[at : at + block]))
         file.write(_block(b""))
+
+
+def write_index(path: str) -> None:
+    """Write path.bai for a sorted file: bins with their chunks, and the linear index."""
+    with open_input(path) as file:
+        blocks = Blocks(file)
+        _, contigs = read_header(blocks)
+        bins: list[dict[int, list[list[int]]]] = [{} for _ in contigs]
+        linear: list[dict[int, int]] = [{} for _ in contigs]
+        while True:
+            block, place = blocks.tell()
+            head = blocks.read(4)
+            if len(head) < 4:
+                break
+            data = blocks.read(struct.unpack("<i", head)[0])
+            begin, (block, place) = (block << 16) | place, blocks.tell()
+            ref, pos = struct.unpack_from("<ii", data, 0)
+            if ref < 0 or pos < 0:
+                continue
+            last = pos + reference_length(data) - 1
+            number = next(first + (pos >> bits) for first, bits in reversed(_LEVELS) if pos >> bits == last >> bits)
+            chunks = bins[ref].setdefault(number, [])
+            if chunks and chunks[-1][1] == begin:
+                chunks[-1][1] = (block << 16) | place
+            else:
+                chunks.append([begin, (block << 16) | place])
+            for window in range(pos >> 14, (last >> 14) + 1):
+                linear[ref].setdefault(window, begin)
+    out = b"BAI\x01" + struct.pack("<i", len(contigs))
+    for of_bins, windows in zip(bins, linear, strict=True):
+        out += struct.pack("<i", len(of_bins))
+        for number, chunks in sorted(of_bins.items()):
+            out += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *x) for x in chunks)
+        filled, last = [], 0
+        for window in range(max(windows, default=-1) + 1):
+            last = windows.get(window, last)
+            filled.append(last)
+        out += struct.pack(f"<i{len(filled)}Q", len(filled), *filled)
+    with open(path + ".bai", "wb") as f:
+        f.write(out)

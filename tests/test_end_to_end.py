@@ -227,3 +227,52 @@ def test_numbers_in_order(spark):
     got = ordered.numbered(rows, [F.col("k")], "at").collect()
     assert {(r.k, r["at"]) for r in got} == {(i, i) for i in range(500)}
     assert ordered.numbered(rows.limit(0), [F.col("k")], "at").count() == 0
+
+
+def test_regions_read_only_their_blocks(spark, tmp_path):
+    import random
+
+    r = random.Random(9)
+    rows = [{"read_name": f"{c}-{i}", "flag": 0, "contig": c, "start": s, "mapq": 60, "cigar": r.choice(["100M", "50M3000D50M", "20S80M"]), "seq": "".join(r.choices("ACGT", k=100))} for c in ("chr1", "chr2", "chr3") for i, s in enumerate(range(0, 400_000, 100))]
+    rows += [{"read_name": "far", "flag": 0, "contig": "chr2", "start": 100, "mapq": 60, "cigar": "50M390000D50M", "seq": "A" * 100}]
+    rows.sort(key=lambda x: (x["contig"], x["start"]))
+    path = str(tmp_path / "many.bam")
+    bgzf.write_alignments(path, [(f"chr{i}", 500_000) for i in (1, 2, 3)], rows, block=4000)
+    bgzf.write_index(path)
+    bgzf.register(spark)
+    whole = spark.read.format("alignments").load(path).collect()
+    read = []
+
+    class Counted(bgzf.Blocks):
+        def _load(self):
+            ok = super()._load()
+            read.append(self.block_at)
+            return ok
+
+    def of(regions, split=30_000):
+        import json
+
+        reader = bgzf.AlignmentReader({"path": path, "splitbytes": str(split), "regions": json.dumps(regions)})
+        plain, bgzf.Blocks = bgzf.Blocks, Counted
+        try:
+            parts, taken = reader.partitions(), []
+            read.clear()
+            for p in parts:
+                taken += [row for b in reader.read(p) for row in zip(b.column("read_name").to_pylist(), b.column("start").to_pylist())]
+        finally:
+            bgzf.Blocks = plain
+        return sorted(taken), [x for x in read if x], len(parts)  # the first block is the header's
+
+    for regions in ({"chr2": [[150_000, 151_000]]}, {"chr1": [[0, 50]], "chr3": [[399_950, 500_000]]}, {"chr2": [[i, i + 10] for i in range(0, 400_000, 9000)]}, {"chrX": [[5, 9]]}, {"chr1": [[499_000, 500_000]]}, {}):
+        want = sorted((x.read_name, x.start) for x in whole if any(x.start < high and x.end > low for low, high in regions.get(x.contig, [])))
+        got, blocks, parts = of(regions)
+        assert got == want
+        assert len(blocks) <= 1.2 * len(set(blocks)) + parts  # a block that several regions need is read once
+    assert of({"chr2": [[150_000, 151_000]]})[1].__len__() < 0.1 * len(of({f"chr{i}": [[0, 500_000]] for i in (1, 2, 3)})[1])
+    assert of({f"chr{i}": [[0, 500_000]] for i in (1, 2, 3)})[2] > 3
+    spans = spark.createDataFrame([("chr2", 150_000, 150_400), ("chr2", 150_900, 151_000), ("chr9", 1, 5), (None, 1, 2), ("chr1", 7, None), ("chr1", 9, 9)], "contig string, low bigint, high bigint")
+    want = sorted(x.read_name for x in whole if x.contig == "chr2" and x.start < 151_000 and x.end > 150_000)
+    assert sorted(x.read_name for x in bgzf.near_regions(spark, path, spans).collect()) == want
+    near = bgzf.near_regions(spark, path, spans, most=0)  # too many: the whole file
+    assert near.count() == len(whole)
+    assert bgzf.near_regions(spark, path, spans.limit(0)).count() == 0
