@@ -1,7 +1,8 @@
 """Germline evidence from the normal sample's short reads: depth, k-mers, pairs, clips, split reads.
 
-Every test is an aggregate over (call, read) or (call, bin) rows; calls that a test finds germline are
-removed by an anti-join.
+Every test is an aggregate over (call, read) rows, which one interval join finds: each call has a window at each
+place that its test looks at, as wide as the widest part of the test, and the parts are conditions on these rows.
+Calls that a test finds germline are removed by an anti-join.
 """
 
 from __future__ import annotations
@@ -24,6 +25,43 @@ from strandloom.operators.stages import settle
 c = F.col
 
 
+# --- the reads of each call --------------------------------------------------------------------------------
+
+#: Columns of reads that the tests look at.
+READ_COLUMNS = [
+    "contig", "start", "end", "mapq", "cigar", "seq", "qual", "sa", "mate_contig", "mate_start", "template_length", "is_paired", "is_unmapped",
+    "mate_unmapped", "is_secondary", "is_supplementary", "is_duplicate", "is_qcfail", "is_reverse", "mate_reverse",
+]
+
+
+def windows(calls: DataFrame, key: str, route: Column, config: Config = DEFAULT) -> DataFrame:
+    """(call_key, route, place, the call's ends, window_contig, window_low, window_high) of each place that the test of a call looks at.
+
+    route: deletion, duplication, inversion, translocation or insertion. Windows are half-open and 0-based.
+    """
+    rows = calls.select(c(key).alias("call_key"), route.alias("route"), c("start_chr").alias("c1"), c("start_loc").cast("bigint").alias("p1"), c("end_chr").alias("c2"), c("end_loc").cast("bigint").alias("p2"))
+    rows = rows.withColumns({"low": F.least("p1", "p2"), "high": F.greatest("p1", "p2")})
+    at = lambda place, contig, low, high: F.struct(F.lit(place).alias("place"), contig.alias("window_contig"), F.greatest(F.lit(0), low).cast("bigint").alias("window_low"), high.cast("bigint").alias("window_high"))
+    depth, far = max(config.flank, config.read_margin), config.translocation_window
+    places = (
+        F.when(c("route").isin("deletion", "duplication"), F.array(at("span", c("c1"), c("low") - depth - 1, c("high") + depth + 1)))
+        .when(c("route") == "inversion", F.array(at("span", c("c1"), c("low") - 1000, c("high") + 1000)))
+        .when(c("route") == "translocation", F.array(at("first", c("c1"), c("p1") - far, c("p1") + far), at("second", c("c2"), c("p2") - far, c("p2") + far)))
+        .when(c("route") == "insertion", F.array(at("first", c("c1"), c("p1") - config.insert_window, c("p1") + config.insert_window)))
+    )
+    return rows.withColumn("w", F.explode(places)).select("*", "w.*").drop("w")
+
+
+def meet(windows_: DataFrame, reads: DataFrame, width: int = 2000) -> DataFrame:
+    """A row for each window and read that overlap: the window's columns and the read's."""
+    return overlap_join(reads, windows_, [("contig", "window_contig")], (c("start"), c("end") - 1), (c("window_low"), c("window_high") - 1), width)
+
+
+def within(low: Column, high: Column) -> Column:
+    """Whether a read overlaps the half-open [low, high)."""
+    return (c("start") < high) & (c("end") > F.greatest(F.lit(0), low))
+
+
 # --- depth -----------------------------------------------------------------------------------------------
 
 
@@ -49,7 +87,7 @@ def _letter_table(letters: str) -> np.ndarray:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], least_quality: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], least_quality: int, carried: list[str]) -> Iterator[pa.RecordBatch]:
     known = _letter_table("ACGT")
     steps = re.compile(cigar.PATTERN)
     for batch in batches:
@@ -74,31 +112,39 @@ def _runs(batches: Iterator[pa.RecordBatch], least_quality: int) -> Iterator[pa.
                 query += n if op in cigar.ON_QUERY else 0
         if rows:
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([batch.column("contig").take(at), pa.array(np.concatenate(lows).astype(np.int64)), pa.array(np.concatenate(highs).astype(np.int64))], ["contig", "low", "high"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(x).take(at) for x in carried], pa.array(np.concatenate(lows).astype(np.int64)), pa.array(np.concatenate(highs).astype(np.int64))], [*carried, "run_low", "run_high"])
 
 
-def aligned_runs(reads: DataFrame, least_quality: int = 15) -> DataFrame:
-    """(contig, low, high): closed, 1-based stretches of known bases of enough quality in aligned blocks of usable reads."""
-    used = reads.where("not (is_unmapped or is_secondary or is_duplicate or is_qcfail)").select("contig", "start", "cigar", "seq", "qual")
-    return used.mapInArrow(lambda batches: _runs(batches, least_quality), "contig string, low bigint, high bigint")
+def aligned_runs(reads: DataFrame, carried: list[str], least_quality: int = 15) -> DataFrame:
+    """(carried columns, run_low, run_high): closed, 1-based stretches of known bases of enough quality in aligned blocks of usable reads."""
+    used = reads.where("not (is_unmapped or is_secondary or is_duplicate or is_qcfail)").select(*carried, "start", "cigar", "seq", "qual")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.select(*carried).schema)
+    return used.mapInArrow(lambda batches: _runs(batches, least_quality, carried), f"{kinds}, run_low bigint, run_high bigint")
 
 
-def binned_depth(calls: DataFrame, reads: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
-    """bin_layout with cov, the mean base depth of the bin. Only reads near a call are taken apart.
+def depth_of(layout: DataFrame, met: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
+    """bin_layout with cov, the mean base depth of the bin, from rows of calls and reads.
 
     Reads become stretches of good bases, and a bin adds up what it shares with each: no row for a base.
     """
-    layout = bin_layout(calls, key, config)
-    spans = layout.groupBy(key, "contig").agg(F.min("bin_start").alias("lo"), F.max("bin_end").alias("hi")).select(c("contig").alias("span_contig"), "lo", "hi")
-    near = overlap_join(reads.withColumn("__id", F.monotonically_increasing_id()), spans, [("contig", "span_contig")], (c("start") + 1, c("end")), (c("lo"), c("hi")), 10_000)
-    runs = aligned_runs(near.dropDuplicates(["__id"])).groupBy(c("contig").alias("run_contig"), "low", "high").agg(F.count("*").alias("n"))
-    met = overlap_join(layout.select(key, "contig", "bin", "bin_start", "bin_end"), runs, [("contig", "run_contig")], (c("bin_start"), c("bin_end") - 1), (c("low"), c("high")), 100)
-    shared = F.least(c("high"), c("bin_end") - 1) - F.greatest(c("low"), c("bin_start")) + 1
-    sums = met.groupBy(key, "bin").agg(F.sum(shared * c("n")).alias("total"))
+    begin, end = F.greatest(F.lit(1), c("low") - config.flank), c("high") + config.flank + 1
+    placed = met.select("*", begin.alias("depth_from"), end.alias("depth_to"))
+    runs = aligned_runs(placed, ["call_key", "depth_from", "depth_to"]).groupBy("call_key", "depth_from", "depth_to", "run_low", "run_high").agg(F.count("*").alias("n"))
+    runs = runs.withColumns({"run_low": F.greatest("run_low", "depth_from"), "run_high": F.least(c("run_high"), c("depth_to") - 1)}).where("run_low <= run_high")
+    place = lambda x: F.floor((c(x) - c("depth_from")) / config.bin).cast("int")
+    binned = runs.withColumn("bin", F.explode(F.sequence(place("run_low"), place("run_high"))))
+    bin_start = c("depth_from") + c("bin") * config.bin
+    shared = F.least(c("run_high"), bin_start + config.bin - 1) - F.greatest(c("run_low"), bin_start) + 1
+    sums = binned.groupBy(c("call_key").alias(key), "bin").agg(F.sum(shared * c("n")).alias("total"))
     out = layout.join(sums, [key, "bin"], "left")
     return out.withColumn("cov", F.coalesce("total", F.lit(0)) / (c("bin_end") - c("bin_start"))).drop("total")
 
 
+def binned_depth(calls: DataFrame, reads: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
+    """bin_layout with cov, the mean base depth of the bin. Only reads near a call are taken apart."""
+    return depth_of(bin_layout(calls, key, config), meet(windows(calls, key, F.lit("deletion"), config), reads), key, config)
+
+
 def depth_statistics(bins: DataFrame, key: str, global_coverage: Column | float) -> DataFrame:
     """One row a call from (key, bin, region, cov): means, spreads, ratios, t statistics, z-score, variation.
 
@@ -226,7 +272,11 @@ def anomalies(rows: DataFrame) -> DataFrame:
 
 def depth_evidence(calls: DataFrame, reads: DataFrame, key: str, global_coverage: float, config: Config = DEFAULT) -> DataFrame:
     """Deletion and duplication scores of calls from the depth of reads."""
-    bins = binned_depth(calls, reads, key, config)
+    return depth_scores(binned_depth(calls, reads, key, config), key, global_coverage)
+
+
+def depth_scores(bins: DataFrame, key: str, global_coverage: float) -> DataFrame:
+    """Deletion and duplication scores of calls from the depths of their bins."""
     rows = with_p_values(depth_statistics(bins, key, global_coverage)).join(gradients(bins, key).select(key, "gradient_del", "gradient_dup"), key, "left")
     return score_duplication(score_deletion(rows.fillna("insufficient_data", ["gradient_del", "gradient_dup"])))
 
@@ -240,23 +290,20 @@ def informative(reads: DataFrame) -> Column:
     return c("seq").isNotNull() & (F.exists(ops, lambda x: ((x["op"] == "S") & (x["len"] >= 10)) | (x["op"].isin("I", "D") & (x["len"] >= 5))) | (c("mapq") < 20))
 
 
-def near_reads(calls: DataFrame, reads: DataFrame, key: str, low: Column, high: Column, contig: str = "start_chr", width: int = 2000) -> DataFrame:
-    """(key and columns of the call, columns of each read) of reads that overlap the half-open [low, high)."""
-    spans = calls.select(c(key).alias("call_key"), c(contig).alias("call_contig"), F.greatest(F.lit(0), low).cast("bigint").alias("call_low"), high.cast("bigint").alias("call_high"))
-    return overlap_join(reads, spans, [("contig", "call_contig")], (c("start"), c("end") - 1), (c("call_low"), c("call_high") - 1), width)
-
-
 def kmer_evidence(calls: DataFrame, reads: DataFrame, reference: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
     """(key, n_reads, kmer_deletion, kmer_duplication) from informative reads around each call.
 
     reference: (key, sequence) of the call's span.
     """
-    low, high = F.least("start_loc", "end_loc"), F.greatest("start_loc", "end_loc")
-    met = near_reads(calls, reads.where(informative(reads)), key, low - config.read_margin, high + config.read_margin)
-    met = met.select(c("call_key").alias(key), "seq")
-    n = met.groupBy(key).agg(F.count("*").alias("n_reads"))
+    return kmers_of(calls, meet(windows(calls, key, F.lit("deletion"), config), reads.where(informative(reads))), reference, key, config)
+
+
+def kmers_of(calls: DataFrame, met: DataFrame, reference: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
+    """kmer_evidence from rows of calls and reads; reads that are not informative are left out here."""
+    near = met.where(informative(met) & within(c("low") - config.read_margin, c("high") + config.read_margin)).select(c("call_key").alias(key), "seq")
+    n = near.groupBy(key).agg(F.count("*").alias("n_reads"))
     known = settle(kmers.reference_kmers(reference, [key], "sequence", config.k), "reference-kmers")
-    matched = kmers.match(known, kmers.kmer_counts(met, [key], "seq", config.k, known), [key])
+    matched = kmers.match(known, kmers.kmer_counts(near, [key], "seq", config.k, known), [key])
     deletion = kmers.deletion_support(matched, [key]).select(key, c("is_match").alias("kmer_deletion"))
     duplication = kmers.duplication_support(matched, n, [key]).select(key, c("is_match").alias("kmer_duplication"))
     out = calls.select(key).join(n, key, "left").join(deletion, key, "left").join(duplication, key, "left")
@@ -273,30 +320,33 @@ def usable(config: Config = DEFAULT) -> Column:
 
 def count_inversion(calls: DataFrame, reads: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
     """Pair, clip, strand and supplementary counts inside and at the ends of each span."""
-    low, high = F.least("start_loc", "end_loc"), F.greatest("start_loc", "end_loc")
-    trim = F.least(F.lit(100), F.floor((high - low) / 10))
-    inner = high - trim > low + trim
-    spans = calls.select(key, "start_chr", low.alias("low"), high.alias("high"), F.when(inner, low + trim).otherwise(F.greatest(F.lit(0), low - 500)).alias("from"), F.when(inner, high - trim).otherwise(high + 500).alias("to"))
-    met = near_reads(spans, reads.where(usable(config)), key, c("from"), c("to"))
-    pair = c("is_paired") & ~c("mate_unmapped") & (c("mate_contig") == c("contig")) & c("mate_start").between(c("call_low"), c("call_high"))
+    return inversions_of(calls, meet(windows(calls, key, F.lit("inversion"), config), reads), key, config)
+
+
+def inversions_of(calls: DataFrame, met: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
+    """count_inversion from rows of calls and reads."""
+    trim = F.least(F.lit(100), F.floor((c("high") - c("low")) / 10))
+    inner = c("high") - trim > c("low") + trim
+    begin, end = F.when(inner, c("low") + trim).otherwise(c("low") - 500), F.when(inner, c("high") - trim).otherwise(c("high") + 500)
+    inside = within(begin, end) & usable(config)
+    pair = inside & c("is_paired") & ~c("mate_unmapped") & (c("mate_contig") == c("contig")) & c("mate_start").between(F.greatest(F.lit(0), begin), end)
     sized = pair & (c("template_length") != 0)
     odd = (F.abs("template_length") > 2000) | (F.abs("template_length") < 100)
-    inside = met.groupBy(c("call_key").alias(key)).agg(
+    clipped = (c("mapq") >= config.min_read_mapq) & F.exists(cigar.operations(c("cigar")), lambda x: (x["op"] == "S") & (x["len"] >= 15))
+    # a read counts at each end that it meets
+    split_at = lambda at: F.count_if(clipped & within(c(at) - 200, c(at) + 200) & (F.abs(c("start") - c(at)) <= 100))
+    mixed = F.contains(c("sa"), c("contig")) & (F.contains(c("sa"), F.lit("+-")) | F.contains(c("sa"), F.lit("-+")))
+    counts = met.groupBy(c("call_key").alias(key)).agg(
         F.count_if(pair).alias("total_pairs"),
         F.count_if(pair & (c("is_reverse") == c("mate_reverse"))).alias("same_orientation"),
         F.count_if(sized).alias("n_sized"),
         F.count_if(sized & odd).alias("n_odd_sizes"),
-        F.count_if(~c("is_reverse")).alias("n_forward"),
-        F.count_if(c("is_reverse")).alias("n_reverse"),
+        F.count_if(inside & ~c("is_reverse")).alias("n_forward"),
+        F.count_if(inside & c("is_reverse")).alias("n_reverse"),
+        (split_at("low") + split_at("high")).alias("n_splits"),
+        F.count_if(c("is_supplementary") & (c("mapq") >= config.min_read_mapq) & mixed).alias("n_supplementary"),
     )
-    clipped = F.exists(cigar.operations(c("cigar")), lambda x: (x["op"] == "S") & (x["len"] >= 15))
-    ends = spans.select(F.struct(key, F.lit("l").alias("e")).alias("k"), "start_chr", c("low").alias("at")).unionByName(spans.select(F.struct(key, F.lit("r").alias("e")).alias("k"), "start_chr", c("high").alias("at")))
-    at_ends = near_reads(ends, reads.where(c("mapq") >= config.min_read_mapq), "k", c("at") - 200, c("at") + 200).withColumn("at", c("call_high") - 200)
-    splits = at_ends.where(clipped & (F.abs(c("start") - c("at")) <= 100)).groupBy(c(f"call_key.{key}").alias(key)).agg(F.count("*").alias("n_splits"))
-    wide = near_reads(spans, reads.where(c("is_supplementary") & (c("mapq") >= config.min_read_mapq) & c("sa").isNotNull()), key, c("low") - 1000, c("high") + 1000)
-    mixed = F.contains(c("sa"), c("contig")) & (F.contains(c("sa"), F.lit("+-")) | F.contains(c("sa"), F.lit("-+")))
-    supplementary = wide.where(mixed).groupBy(c("call_key").alias(key)).agg(F.count("*").alias("n_supplementary"))
-    return calls.select(key).join(inside, key, "left").join(splits, key, "left").join(supplementary, key, "left").fillna(0)
+    return calls.select(key).join(counts, key, "left").fillna(0)
 
 
 def score_inversion(rows: DataFrame) -> DataFrame:
@@ -326,21 +376,24 @@ def _to_partner(contig: Column, at: Column, config: Config) -> Column:
 
 def count_translocation(calls: DataFrame, reads: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
     """Reads at both ends whose mates or split alignments lead to the other end, and orientations at the first."""
+    return translocations_of(calls, meet(windows(calls, key, F.lit("translocation"), config), reads), key, config)
+
+
+def translocations_of(calls: DataFrame, met: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
+    """count_translocation from rows of calls and reads."""
     w = config.translocation_window
-    used = reads.where(usable(config))
-    facts = calls.select(c(key).alias("call_key"), c("start_chr").alias("c1"), c("start_loc").alias("p1"), c("end_chr").alias("c2"), c("end_loc").alias("p2"))
-    one = near_reads(calls, used, key, c("start_loc") - w, c("start_loc") + w).join(facts, "call_key")
-    two = near_reads(calls, used, key, c("end_loc") - w, c("end_loc") + w, "end_chr").join(facts, "call_key")
+    used, one, two = met.where(usable(config)), c("place") == "first", c("place") == "second"
     leads = lambda contig, at: c("is_paired") & ~c("mate_unmapped") & (c("mate_contig") == contig) & (F.abs(c("mate_start") - at) <= w)
-    clip = ~c("is_paired") & F.exists(cigar.operations(c("cigar")), lambda x: (x["op"] == "S") & (x["len"] >= 20)) & (F.abs(c("start") - c("p1")) <= 100)
-    to_two, to_one = leads(c("c2"), c("p2")), leads(c("c1"), c("p1"))
+    clip = one & ~c("is_paired") & F.exists(cigar.operations(c("cigar")), lambda x: (x["op"] == "S") & (x["len"] >= 20)) & (F.abs(c("start") - c("p1")) <= 100)
+    to_two, to_one = one & leads(c("c2"), c("p2")), two & leads(c("c1"), c("p1"))
     facing = lambda a, b: F.count_if(to_two & (c("is_reverse") == a) & (c("mate_reverse") == b))
-    first = one.groupBy(c("call_key").alias(key)).agg(
-        F.count("*").alias("n_reads_1"), F.count_if(to_two).alias("pairs_1"), (F.count_if(clip) + F.sum(_to_partner(c("c2"), c("p2"), config))).alias("splits_1"),
+    partner = lambda here, contig, at: F.coalesce(F.sum(F.when(here, _to_partner(c(contig), c(at), config))), F.lit(0))
+    counts = used.groupBy(c("call_key").alias(key)).agg(
+        F.count_if(one).alias("n_reads_1"), F.count_if(to_two).alias("pairs_1"), (F.count_if(clip) + partner(one, "c2", "p2")).alias("splits_1"),
         F.greatest(facing(False, False), facing(False, True), facing(True, False), facing(True, True)).alias("dominant"),
+        F.count_if(two).alias("n_reads_2"), F.count_if(to_one).alias("pairs_2"), partner(two, "c1", "p1").alias("splits_2"),
     )
-    second = two.groupBy(c("call_key").alias(key)).agg(F.count("*").alias("n_reads_2"), F.count_if(to_one).alias("pairs_2"), F.sum(_to_partner(c("c1"), c("p1"), config)).alias("splits_2"))
-    return calls.select(key).join(first, key, "left").join(second, key, "left").fillna(0)
+    return calls.select(key).join(counts, key, "left").fillna(0)
 
 
 def score_translocation(rows: DataFrame) -> DataFrame:
@@ -360,14 +413,17 @@ def score_translocation(rows: DataFrame) -> DataFrame:
 
 def count_insertion(calls: DataFrame, reads: DataFrame, key: str, expected_length: Column, insert_kmers: Column | None = None, config: Config = DEFAULT) -> DataFrame:
     """Clips on both sides of an insertion point, those of like length, and those that share k-mers with it."""
-    w = config.insert_window
-    facts = calls.select(c(key).alias("call_key"), c("start_loc").alias("pos"), expected_length.alias("expected"), (insert_kmers if insert_kmers is not None else F.lit(None).cast("array<string>")).alias("known"))
-    met = near_reads(calls, reads.where(usable(config) & c("seq").isNotNull()), key, c("start_loc") - w, c("start_loc") + w).join(facts, "call_key")
-    met = met.where((F.abs(c("start") - c("pos")) <= 100) | (F.abs(c("end") - c("pos")) <= 100))
+    return insertions_of(calls, meet(windows(calls, key, F.lit("insertion"), config), reads), key, expected_length, insert_kmers, config)
+
+
+def insertions_of(calls: DataFrame, met: DataFrame, key: str, expected_length: Column, insert_kmers: Column | None = None, config: Config = DEFAULT) -> DataFrame:
+    """count_insertion from rows of calls and reads."""
+    facts = calls.select(c(key).alias("call_key"), expected_length.alias("expected"), (insert_kmers if insert_kmers is not None else F.lit(None).cast("array<string>")).alias("known"))
+    met = met.where(usable(config) & c("seq").isNotNull() & ((F.abs(c("start") - c("p1")) <= 100) | (F.abs(c("end") - c("p1")) <= 100))).join(facts, "call_key")
     ops = cigar.operations(c("cigar"))
     clip = lambda i: F.when(F.element_at(ops, i)["op"] == "S", F.element_at(ops, i)["len"])
-    left = F.when((clip(1) >= 10) & (c("start") >= c("pos") - 50), F.struct(clip(1).alias("len"), F.substring(c("seq"), F.lit(1), clip(1).cast("int")).alias("seq"), F.lit("l").alias("side")))
-    right = F.when((clip(-1) >= 10) & (c("end") <= c("pos") + 50), F.struct(clip(-1).alias("len"), F.substring(c("seq"), (F.length("seq") - clip(-1) + 1).cast("int"), clip(-1).cast("int")).alias("seq"), F.lit("r").alias("side")))
+    left = F.when((clip(1) >= 10) & (c("start") >= c("p1") - 50), F.struct(clip(1).alias("len"), F.substring(c("seq"), F.lit(1), clip(1).cast("int")).alias("seq"), F.lit("l").alias("side")))
+    right = F.when((clip(-1) >= 10) & (c("end") <= c("p1") + 50), F.struct(clip(-1).alias("len"), F.substring(c("seq"), (F.length("seq") - clip(-1) + 1).cast("int"), clip(-1).cast("int")).alias("seq"), F.lit("r").alias("side")))
     clips = met.select("call_key", "expected", "known", F.explode(F.array_compact(F.array(left, right))).alias("c"))
     like = F.abs(c("c.len") - c("expected")) <= F.greatest(F.lit(5.0), c("expected") * 0.2)
     out = clips.groupBy(c("call_key").alias(key)).agg(
@@ -416,23 +472,55 @@ def route(config: Config = DEFAULT) -> Column:
     )
 
 
+def tested(calls: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The calls that have a test, with their __route. Insertions of 21 sequences or more are kept: their test fails."""
+    routed = calls.withColumn("__route", route(config))
+    return routed.where(~c("__route").isin("keep", "unknown") & ((c("__route") != "insertion") | (c("n_sequences") < 21)))
+
+
+def test_spans(calls: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
+    """(contig, low, high): where reads are that any test of the calls looks at."""
+    return windows(tested(calls, config), key, c("__route"), config).select(c("window_contig").alias("contig"), c("window_low").alias("low"), c("window_high").alias("high"))
+
+
+def evidence_rows(calls: DataFrame, reads: DataFrame, key: str, config: Config = DEFAULT) -> DataFrame:
+    """The rows of all tests, from one pass over the reads: bases and qualities are kept where a test needs them."""
+    met = meet(windows(tested(calls, config), key, c("__route"), config), reads.select(*[x for x in READ_COLUMNS if x in reads.columns]))
+    based, graded = c("route").isin("deletion", "duplication", "insertion"), c("route").isin("deletion", "duplication")
+    return met.withColumns({"seq": F.when(based, c("seq")), "qual": F.when(graded, c("qual"))})
+
+
+def germline_evidence(calls: DataFrame, reads: DataFrame, reference: DataFrame, key: str, global_coverage: float, config: Config = DEFAULT) -> DataFrame:
+    """(key, route, score, is_germline) of the calls that have a test.
+
+    score: of the route's own test (depth for deletions and duplications), null where it gives none.
+    reference: (key, sequence) of spans.
+    """
+    asked = tested(calls, config)
+    of = lambda *kinds: asked.where(c("__route").isin(*kinds))
+    met = settle(evidence_rows(calls, reads, key, config), "evidence")
+    at = lambda *kinds: met.where(c("route").isin(*kinds))
+    spans, near = of("deletion", "duplication"), at("deletion", "duplication")
+    depth = depth_scores(depth_of(bin_layout(spans, key, config), near, key, config), key, global_coverage * config.coverage_factor)
+    judged = spans.select(key, c("__route").alias("route")).join(depth, key, "left").join(kmers_of(spans, near, reference, key, config), key, "left")
+    of_depth = lambda name: F.when(c("route") == "deletion", c(f"{name.format('deletion')}")).otherwise(c(f"{name.format('duplication')}"))
+    found = F.coalesce(of_depth("is_{}"), F.lit(False)) | F.coalesce(of_depth("kmer_{}"), F.lit(False))
+    parts = [judged.select(key, "route", of_depth("{}_score").cast("int").alias("score"), found.alias("is_germline"))]
+    inverted = score_inversion(inversions_of(of("inversion"), at("inversion"), key, config))
+    moved = score_translocation(translocations_of(of("translocation"), at("translocation"), key, config))
+    grown = score_insertion(insertions_of(of("insertion"), at("insertion"), key, c("n_sequences"), config=config))
+    for name, rows in (("inversion", inverted), ("translocation", moved), ("insertion", grown)):
+        parts.append(rows.select(key, F.lit(name).alias("route"), c(f"{name}_score").cast("int").alias("score"), c(f"is_{name}").alias("is_germline")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def filter_germline(calls: DataFrame, reads: DataFrame, reference: DataFrame, key: str, global_coverage: float, config: Config = DEFAULT) -> DataFrame:
     """calls without those that the normal sample's reads show to be germline.
 
-    reference: (key, sequence) of spans. Insertions with 21 sequences or more are kept: their test fails.
+    reference: (key, sequence) of spans. Calls without a test are kept.
     """
-    routed = calls.withColumn("__route", route(config))
-    of = lambda *kinds: routed.where(c("__route").isin(*kinds)).drop("__route")
-    spans = of("deletion", "duplication")
-    depth = depth_evidence(spans, reads, key, global_coverage * config.coverage_factor, config).select(key, "is_deletion", "is_duplication")
-    kmer = kmer_evidence(spans, reads, reference, key, config)
-    judged = routed.where(c("__route").isin("deletion", "duplication")).select(key, "__route").join(depth, key, "left").join(kmer, key, "left")
-    deletion = (c("__route") == "deletion") & (F.coalesce("is_deletion", F.lit(False)) | F.coalesce("kmer_deletion", F.lit(False)))
-    duplication = (c("__route") == "duplication") & (F.coalesce("is_duplication", F.lit(False)) | F.coalesce("kmer_duplication", F.lit(False)))
-    germline = judged.where(deletion | duplication).select(key)
-    inverted = score_inversion(count_inversion(of("inversion"), reads, key, config)).where("is_inversion").select(key)
-    moved = score_translocation(count_translocation(of("translocation"), reads, key, config)).where("is_translocation").select(key)
-    inserted = of("insertion").where("n_sequences < 21")
-    grown = score_insertion(count_insertion(inserted, reads, key, c("n_sequences"), config=config)).where("is_insertion").select(key)
-    found = germline.unionByName(inverted).unionByName(moved).unionByName(grown)
+    found = germline_evidence(calls, reads, reference, key, global_coverage, config).where("is_germline").select(key)
     return calls.join(found, key, "left_anti")

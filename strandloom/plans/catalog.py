@@ -574,26 +574,46 @@ def _bins(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(c("l_suppkey").alias("call_id"), bin_.alias("bin"), (bin_ * 10).alias("mid"), region.alias("region")).agg((F.sum(c("l_quantity").cast("bigint") * factor).cast("double") / 8).alias("cov"))
 
 
-_DSTATS = _BINS + f""", d0 AS (SELECT call_id, count(*) FILTER (WHERE region = 'target') AS n_target, coalesce(avg(cov) FILTER (WHERE region = 'target'), 0.0) AS target_mean, coalesce(median(cov) FILTER (WHERE region = 'target'), 0.0) AS target_median,
+def _depth_sql(g: float | str) -> str:
+    """Statistics ds of bins, beside genome coverage g."""
+    return f""", d0 AS (SELECT call_id, count(*) FILTER (WHERE region = 'target') AS n_target, coalesce(avg(cov) FILTER (WHERE region = 'target'), 0.0) AS target_mean, coalesce(median(cov) FILTER (WHERE region = 'target'), 0.0) AS target_median,
         coalesce(stddev_pop(cov) FILTER (WHERE region = 'target'), 0.0) AS target_std, var_samp(cov) FILTER (WHERE region = 'target') AS target_var, count(*) FILTER (WHERE region <> 'target') AS n_flank,
-        coalesce(avg(cov) FILTER (WHERE region <> 'target'), {_G}) AS flank_mean, coalesce(stddev_pop(cov) FILTER (WHERE region <> 'target'), 0.0) AS flank_std, var_samp(cov) FILTER (WHERE region <> 'target') AS flank_var,
+        coalesce(avg(cov) FILTER (WHERE region <> 'target'), {g}) AS flank_mean, coalesce(stddev_pop(cov) FILTER (WHERE region <> 'target'), 0.0) AS flank_std, var_samp(cov) FILTER (WHERE region <> 'target') AS flank_var,
         avg(cov) AS all_mean, stddev_pop(cov) AS all_std FROM bins GROUP BY call_id
-    ), ds AS (SELECT *, target_mean / {_G}::DOUBLE AS global_ratio, CASE WHEN flank_mean > 0 THEN target_mean / flank_mean ELSE 0 END AS flank_ratio,
-        CASE WHEN n_target > 1 THEN (target_mean - {_G}) / nullif(sqrt(target_var / n_target), 0) ELSE 0.0 END AS t_global,
+    ), ds AS (SELECT *, target_mean / {g}::DOUBLE AS global_ratio, CASE WHEN flank_mean > 0 THEN target_mean / flank_mean ELSE 0 END AS flank_ratio,
+        CASE WHEN n_target > 1 THEN (target_mean - {g}) / nullif(sqrt(target_var / n_target), 0) ELSE 0.0 END AS t_global,
         CASE WHEN n_target > 1 AND n_flank > 1 THEN (target_mean - flank_mean) / nullif(sqrt(((n_target - 1) * target_var + (n_flank - 1) * flank_var) / (n_target + n_flank - 2) * (1.0 / n_target + 1.0 / n_flank)), 0) ELSE 0.0 END AS t_flank,
         CASE WHEN n_target > 0 THEN (target_mean - all_mean) / nullif(all_std, 0) ELSE 0.0 END AS mean_z FROM d0)"""
 
 
+_DSTATS = _BINS + _depth_sql(_G)
+
+
 @query(f"WITH {_DSTATS} SELECT call_id, n_target, n_flank, {', '.join(f'floor({x} * 1000000 + 0.5) / 1000000.0 AS {x}' for x in ('target_mean', 'target_median', 'target_std', 'flank_mean', 'flank_std', 'global_ratio', 'flank_ratio', 't_global', 't_flank', 'mean_z'))} FROM ds")
 def coverage_ttest(spark, d):
     rows = germline.depth_statistics(_bins(spark, d), "call_id", _G)
     return rows.select("call_id", "n_target", "n_flank", *[_r6(n).alias(n) for n in ("target_mean", "target_median", "target_std", "flank_mean", "flank_std", "global_ratio", "flank_ratio", "t_global", "t_flank", "mean_z")])
 
 
-@query()
+def _p_sql(t: str, freedom: str) -> str:
+    """Two-sided p-value of a t statistic of whole degrees of freedom, as the finite sum of powers of the cosine of atan(t / sqrt(freedom))."""
+    cos2 = f"({freedom} / ({freedom} + {t} * {t}))"
+    steps = f"list_transform(range(1, CAST(greatest(1, {freedom} // 2) AS BIGINT)), lambda k: {{'s': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'k': k}})"
+    total = lambda ratio: f"(list_reduce(list_prepend({{'s': 1.0::DOUBLE, 'c': 1.0::DOUBLE, 'k': 0::BIGINT}}, {steps}), lambda a, x: {{'s': a.s + a.c * {cos2} * {ratio}, 'c': a.c * {cos2} * {ratio}, 'k': x.k}})).s"
+    sine = f"abs({t}) / sqrt({freedom} + {t} * {t})"
+    angle = f"atan(abs({t}) / sqrt({freedom}))"
+    odd = f"2 / pi() * ({angle} + CASE WHEN {freedom} > 1 THEN {sine} * sqrt({cos2}) * {total('(2.0::DOUBLE * x.k / (2 * x.k + 1))')} ELSE 0 END)"
+    even = f"{sine} * {total('((2.0::DOUBLE * x.k - 1) / (2 * x.k))')}"
+    return f"CASE WHEN {freedom} IS NULL THEN 1.0::DOUBLE WHEN {t} IS NOT NULL THEN greatest(0, 1 - CASE WHEN {freedom} % 2 = 1 THEN {odd} ELSE {even} END) END"
+
+
+_FREEDOM = "CASE WHEN n_target > 1 THEN n_target - 1 END AS df_global, CASE WHEN n_target > 1 AND n_flank > 1 THEN n_target + n_flank - 2 END AS df_flank"
+
+
+@query(f"WITH {_DSTATS}, f AS (SELECT *, {_FREEDOM} FROM ds), p AS (SELECT call_id, {_p_sql('t_global', 'df_global')} AS p_global, {_p_sql('t_flank', 'df_flank')} AS p_flank FROM f) SELECT call_id, floor(p_global * 1000000 + 0.5) / 1000000.0 AS p_global, floor(p_flank * 1000000 + 0.5) / 1000000.0 AS p_flank FROM p")
 def coverage_pvalues(spark, d):
     rows = germline.with_p_values(germline.depth_statistics(_bins(spark, d), "call_id", _G))
-    return rows.select("call_id", "p_global", "p_flank")
+    return rows.select("call_id", _r6("p_global").alias("p_global"), _r6("p_flank").alias("p_flank"))
 
 
 @query(f"WITH {_BINS} SELECT call_id, bin, floor((cov - avg(cov) OVER w) / nullif(stddev_pop(cov) OVER w, 0) * 1000000 + 0.5) / 1000000.0 AS z FROM bins WINDOW w AS (PARTITION BY call_id)")
@@ -601,9 +621,10 @@ def coverage_zscore(spark, d):
     return germline.z_scores(_bins(spark, d), "call_id").select("call_id", "bin", _r6("z").alias("z"))
 
 
-_GRAD = _BINS + """, tb AS (SELECT call_id, min(bin) AS lo, max(bin) AS hi, count(*) AS n, avg(cov) AS t FROM bins WHERE region = 'target' GROUP BY call_id
+_GRADIENTS = """, tb AS (SELECT call_id, min(bin) AS lo, max(bin) AS hi, count(*) AS n, avg(cov) AS t FROM bins WHERE region = 'target' GROUP BY call_id
     ), g0 AS (SELECT call_id, n, t, coalesce(avg(cov) FILTER (WHERE bin BETWEEN lo - 5 AND lo - 1), t) AS pre, coalesce(avg(cov) FILTER (WHERE bin BETWEEN hi + 1 AND hi + 5), t) AS post FROM bins JOIN tb USING (call_id) GROUP BY call_id, n, t
     ), g AS (SELECT *, CASE WHEN pre > 0 THEN t / pre ELSE 1 END AS a, CASE WHEN t > 0 THEN post / t ELSE 1 END AS b, CASE WHEN post > 0 THEN t / post ELSE 1 END AS r FROM g0)"""
+_GRAD = _BINS + _GRADIENTS
 _GRADIENT_DEL = "CASE WHEN n < 3 THEN 'insufficient_data' WHEN a < 0.7 AND b > 1.3 THEN 'sharp_drop_recovery' WHEN a < 0.8 AND b > 1.2 THEN 'moderate_drop_recovery' WHEN a BETWEEN 0.8 AND 1.2 AND b BETWEEN 0.8 AND 1.2 THEN 'smooth_transition' ELSE 'irregular' END"
 _GRADIENT_DUP = "CASE WHEN n < 3 THEN 'insufficient_data' WHEN a > 1.3 AND r > 1.3 THEN 'sharp_elevation_pattern' WHEN a > 1.2 AND r > 1.2 THEN 'moderate_elevation_pattern' WHEN a BETWEEN 0.8 AND 1.2 AND r BETWEEN 0.8 AND 1.2 THEN 'smooth_transition' ELSE 'irregular' END"
 
@@ -721,11 +742,15 @@ def score_bnd(spark, d):
     return germline.score_translocation(germline.count_translocation(_some_calls(spark, d), v.short_reads(spark, d), "call_id"))
 
 
-@query(f"""WITH {v.SHORT_READS}, {_PLACES}, m AS (SELECT call_id, call_id % 40 AS expected, p1, sr.* FROM pl JOIN sr ON sr.contig = c1 AND sr.start < p1 + 500 AND sr."end" > greatest(0, p1 - 500) WHERE {_USABLE} AND (abs(start - p1) <= 100 OR abs("end" - p1) <= 100)
+def _ins_sql(expected: str) -> str:
+    return f"""{v.SHORT_READS}, {_PLACES}, m AS (SELECT call_id, {expected} AS expected, p1, sr.* FROM pl JOIN sr ON sr.contig = c1 AND sr.start < p1 + 500 AND sr."end" > greatest(0, p1 - 500) WHERE {_USABLE} AND (abs(start - p1) <= 100 OR abs("end" - p1) <= 100)
     ), k AS (SELECT call_id, expected, clip, 'l' AS side FROM m WHERE form = 0 AND clip >= 10 AND start >= p1 - 50 UNION ALL SELECT call_id, expected, clip, 'r' FROM m WHERE form = 1 AND clip >= 10 AND "end" <= p1 + 50
     ), n AS (SELECT call_id, count(*) FILTER (WHERE side = 'l') AS n_left, count(*) FILTER (WHERE side = 'r') AS n_right, count(*) FILTER (WHERE expected > 10 AND abs(clip - expected) <= greatest(5.0, expected * 0.2::DOUBLE)) AS n_like FROM k GROUP BY call_id
     ), cnt AS (SELECT call_id, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right, coalesce(n_like, 0) AS n_like FROM pl LEFT JOIN n USING (call_id)
-    ), z AS (SELECT *, CASE WHEN n_left + n_right >= 5 THEN 3 WHEN n_left + n_right >= 2 THEN 2 WHEN n_left + n_right >= 1 THEN 1 ELSE 0 END + CASE WHEN n_left > 0 AND n_right > 0 THEN 2 ELSE 0 END + CASE WHEN n_like >= 2 THEN 2 ELSE 0 END AS sc FROM cnt)
+    ), z AS (SELECT *, CASE WHEN n_left + n_right >= 5 THEN 3 WHEN n_left + n_right >= 2 THEN 2 WHEN n_left + n_right >= 1 THEN 1 ELSE 0 END + CASE WHEN n_left > 0 AND n_right > 0 THEN 2 ELSE 0 END + CASE WHEN n_like >= 2 THEN 2 ELSE 0 END AS sc FROM cnt)"""
+
+
+@query(f"""WITH {_ins_sql('call_id % 40')}
     SELECT call_id, n_left, n_right, n_like, 0::BIGINT AS n_kmer, 0::BIGINT AS n_tested, sc AS insertion_score, CASE WHEN sc >= 6 THEN 'high' WHEN sc >= 4 THEN 'medium' WHEN sc >= 2 THEN 'low' ELSE 'unsupported' END AS insertion_level, sc >= 2 AS is_insertion FROM z""")
 def score_ins(spark, d):
     return germline.score_insertion(germline.count_insertion(_some_calls(spark, d), v.short_reads(spark, d), "call_id", c("call_id") % 40))
@@ -1004,6 +1029,72 @@ def kmer_evidence(spark, d):
     return germline.kmer_evidence(calls, reads, reference, "call_id")
 
 
+# --- the joined germline filter -----------------------------------------------------------------------------
+
+
+def _scores_sql(kind: str, g: str) -> str:
+    """Score of deletions or duplications by depth, from rows with gradients and p-values, beside genome coverage g."""
+    score = {"del": _SCORE_DEL, "dup": _SCORE_DUP}[kind]
+    for i in range(3):
+        score = score.replace(f"gp = {i}", f"gradient_{kind} = '{_PATTERNS[kind][i]}'")
+    return score.replace(" 30", f" {g}")
+
+
+def _judged_sql(g: str) -> str:
+    """judged: both scores of each call, from bins (call_id, bin, region, cov)."""
+    return f"""{_depth_sql(g)}{_GRADIENTS}, pat AS (SELECT call_id, {_GRADIENT_DEL} AS gradient_del, {_GRADIENT_DUP} AS gradient_dup FROM g
+        ), f AS (SELECT *, {_FREEDOM} FROM ds), pv AS (SELECT *, {_p_sql('t_global', 'df_global')} AS p_global, {_p_sql('t_flank', 'df_flank')} AS p_flank FROM f
+        ), full_ AS (SELECT pv.*, coalesce(gradient_del, 'insufficient_data') AS gradient_del, coalesce(gradient_dup, 'insufficient_data') AS gradient_dup FROM pv LEFT JOIN pat USING (call_id)
+        ), judged AS (SELECT *, {_scores_sql('del', g)} AS deletion_score, {_scores_sql('dup', g)} AS duplication_score FROM full_)"""
+
+
+_LAID = "bins AS (SELECT call_id, bin, CASE WHEN bin_start + (bin_end - bin_start) // 2 BETWEEN lo AND hi THEN 'target' WHEN bin_start + (bin_end - bin_start) // 2 < lo THEN 'up' ELSE 'down' END AS region, coalesce(total, 0) / (bin_end - bin_start) AS cov FROM lay LEFT JOIN tot USING (call_id, bin))"
+_TOTALS = "tot AS (SELECT call_id, bin, sum(depth) AS total FROM lay JOIN base ON contig = c1 AND position >= bin_start AND position < bin_end GROUP BY ALL)"
+
+
+@query(f"WITH {v.SHORT_READS}, {_PLACES}, {_LAYOUT}, {_GOOD}, {_TOTALS}, {_LAID}{_judged_sql('0.87::DOUBLE')} SELECT call_id, deletion_score, deletion_score >= 2 AS is_deletion, duplication_score, duplication_score >= 2 AS is_duplication FROM judged")
+def depth_evidence(spark, d):
+    reads = v.short_reads(spark, d).withColumns({"seq": F.expr("repeat('ACGTN', 40)"), "qual": F.repeat(F.lit("I!I"), F.lit(60))})
+    return germline.depth_evidence(_some_calls(spark, d), reads, "call_id", 0.87).select("call_id", "deletion_score", "is_deletion", "duplication_score", "is_duplication")
+
+
+_GENOME = "(0.2::DOUBLE * 0.8::DOUBLE)"
+_LETTER_BASE = """base AS (SELECT contig, start + r + 1 AS position, count(*) AS depth FROM (
+        SELECT contig, start, ord, i AS r, CASE form WHEN 0 THEN clip + i ELSE i END AS q FROM (SELECT *, unnest(range(0, 120)) AS i FROM sr WHERE form < 2 AND NOT (is_secondary OR is_duplicate OR is_qcfail))
+        UNION ALL SELECT contig, start, ord, CASE WHEN i < 60 THEN i ELSE i + 45 END, i FROM (SELECT *, unnest(range(0, 120)) AS i FROM sr WHERE form = 2 AND NOT (is_secondary OR is_duplicate OR is_qcfail)))
+    WHERE substr(upper(substr(repeat(md5('r' || CAST(ord % 40 AS VARCHAR)), 5), 1, 120)), CAST(q + 1 AS BIGINT), 1) IN ('A', 'C') GROUP BY ALL)"""
+_ROUTED = """routed AS (SELECT call_id, n_sequences, CASE WHEN c1 <> c2 THEN 'translocation' WHEN call_id % 5 = 0 THEN 'deletion' WHEN call_id % 5 = 1 THEN 'duplication' WHEN call_id % 5 < 4 THEN 'inversion' WHEN n_sequences > 5 THEN 'insertion' ELSE 'unknown' END AS route
+    FROM (SELECT *, call_id % 30 + 1 AS n_sequences FROM pl))"""
+_GERMLINE = f"""{v.SHORT_READS}, {_PLACES}, {_LAYOUT}, {_LETTER_BASE}, {_TOTALS}, {_LAID}{_judged_sql(_GENOME)}, {_ROUTED}
+    , km AS (WITH {v.SHORT_READS}, {_PLACES}, {_READ_KMERS} SELECT call_id, n_reads >= 2 AND del AS kmer_del, n_reads >= 2 AND dup AS kmer_dup FROM s)
+    , inv AS (WITH {_INV} SELECT call_id, CASE WHEN total_pairs > 0 THEN sc END AS sc FROM z), bnd AS (WITH {_BND} SELECT call_id, sc FROM z), ins AS (WITH {_ins_sql('call_id % 30 + 1')} SELECT call_id, sc FROM z)
+    , evidence AS (
+        SELECT r.call_id, route, CAST(CASE route WHEN 'deletion' THEN deletion_score WHEN 'duplication' THEN duplication_score WHEN 'inversion' THEN inv.sc WHEN 'translocation' THEN bnd.sc ELSE ins.sc END AS INTEGER) AS score,
+            CASE route WHEN 'deletion' THEN deletion_score >= 2 OR coalesce(kmer_del, FALSE) WHEN 'duplication' THEN duplication_score >= 2 OR coalesce(kmer_dup, FALSE) WHEN 'inversion' THEN coalesce(inv.sc >= 2, FALSE)
+                WHEN 'translocation' THEN bnd.sc >= 3 ELSE ins.sc >= 2 END AS is_germline
+        FROM routed r JOIN judged USING (call_id) LEFT JOIN km USING (call_id) JOIN inv USING (call_id) JOIN bnd USING (call_id) JOIN ins USING (call_id)
+        WHERE route <> 'unknown' AND (route <> 'insertion' OR n_sequences < 21))"""
+
+
+def _germline_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls of all kinds, reads with letters of which only A and C are bases, and each call's reference sequence."""
+    digest = lambda n: F.md5(F.concat(F.lit("r"), (n % 40).cast("string")).cast("binary"))
+    notation = F.element_at(F.array(*[F.lit(x) for x in ("+-", "-+", "++", "--", "<INS>")]), (c("call_id") % 5 + 1).cast("int"))
+    calls = _some_calls(spark, d).withColumns({"breakpoint_notation": notation, "n_sequences": c("call_id") % 30 + 1})
+    reads = v.short_reads(spark, d).withColumn("seq", F.upper(F.substring(F.repeat(digest(c("ord")), F.lit(5)), 1, 120)))
+    return calls, reads, calls.select("call_id", F.repeat(digest(c("call_id")), F.lit(2)).alias("sequence"))
+
+
+@query(f"WITH {_GERMLINE} SELECT * FROM evidence")
+def germline_evidence(spark, d):
+    return germline.germline_evidence(*_germline_inputs(spark, d), "call_id", 0.2)
+
+
+@query(f"WITH {_GERMLINE} SELECT call_id, c1 AS start_chr, p1 AS start_loc FROM pl WHERE call_id NOT IN (SELECT call_id FROM evidence WHERE is_germline)")
+def germline_filter(spark, d):
+    return germline.filter_germline(*_germline_inputs(spark, d), "call_id", 0.2).select("call_id", "start_chr", "start_loc")
+
+
 @query(f"""WITH {_CALLS}, w AS (SELECT start_chr, cluster, count(*) AS total, count(DISTINCT source) AS sources, min(mapq) AS least, max(start_loc) AS last FROM cl GROUP BY ALL)
     SELECT call_id, total AS start_total_breakpoints, sources AS start_unique_sources, least AS start_mapq_min, last AS start_starts_max FROM calls JOIN w USING (start_chr, cluster)""")
 def call_cluster_statistics(spark, d):

@@ -86,8 +86,9 @@ def run(spark: SparkSession, inputs: Inputs, config: Config = DEFAULT) -> DataFr
     if inputs.panel:
         final = panel.subtract(final, panel.common_variants(text.read_vcf(spark, inputs.panel), config), "count", config)
     if inputs.short_reads:
-        short = spark.read.format("alignments").load(inputs.short_reads)
         final = settle(final, "before-germline")
+        # only blocks with reads near calls are read, once for all tests
+        short = bgzf.near_regions(spark, inputs.short_reads, germline.test_spans(final, "count", config))
         spans = text.spans(final.where("start_chr = end_chr"), chunks, "count", "start_chr", "start_loc", "end_loc")
         final = germline.filter_germline(final, short, spans, "count", inputs.short_coverage or config.default_coverage, config)
     final = settle(final, "final")

@@ -276,3 +276,31 @@ def test_regions_read_only_their_blocks(spark, tmp_path):
     near = bgzf.near_regions(spark, path, spans, most=0)  # too many: the whole file
     assert near.count() == len(whole)
     assert bgzf.near_regions(spark, path, spans.limit(0)).count() == 0
+
+
+def test_germline_filter_reads_once_and_only_near_calls(spark, tmp_path):
+    import random
+
+    from strandloom.operators import germline
+
+    r = random.Random(4)
+    genome = "".join(r.choices("ACGT", k=300_000))
+    lost = lambda s: 60_000 <= s < 61_000  # a deletion in the normal sample too
+    rows = [{"read_name": f"p{i}", "flag": 0x21, "contig": "chr1", "start": s, "mapq": 60, "cigar": "100M", "seq": genome[s : s + 100], "mate_contig": "chr1", "mate_start": s + 300, "template_length": 400} for i, s in enumerate(range(0, 290_000, 10)) if not lost(s) and not lost(s + 99)]
+    rows += [{"read_name": f"d{i}", "flag": 0, "contig": "chr1", "start": 59_950 + i, "mapq": 60, "cigar": f"{50 - i}M1000D{50 + i}M", "seq": genome[59_950 + i : 60_000] + genome[61_000 : 61_050 + i]} for i in range(0, 40, 2)]
+    rows += [{"read_name": f"j{i}", "flag": 0x1, "contig": "chr1", "start": 200_000 + i, "mapq": 60, "cigar": "100M", "seq": genome[200_000 + i : 200_100 + i], "mate_contig": "chr2", "mate_start": 5_000 + i, "template_length": 0} for i in range(8)]
+    rows.sort(key=lambda x: x["start"])
+    path = str(tmp_path / "short.bam")
+    bgzf.write_alignments(path, [("chr1", 300_000), ("chr2", 300_000)], rows, block=8000)
+    bgzf.write_index(path)
+    bgzf.register(spark)
+    schema = "count bigint, start_chr string, start_loc bigint, end_chr string, end_loc bigint, breakpoint_notation string, n_sequences bigint"
+    calls = spark.createDataFrame([(1, "chr1", 60_000, "chr1", 61_000, "+-", 1), (2, "chr1", 120_000, "chr1", 120_800, "+-", 1), (3, "chr1", 200_000, "chr2", 5_000, "+-", 1), (4, "chr1", 240_000, "chr2", 9_000, "+-", 1), (5, "chr1", 250_000, "chr1", 250_400, "++", 1), (6, "chr1", -1, "chr1", 5, "+-", 1), (7, "chr1", 260_000, "chr1", 260_000, "<INS>", 30), (8, "chr1", 1, "chr1", 90_000, "-+", 1)], schema)
+    reference = spark.createDataFrame([(1, genome[60_000:61_000]), (2, genome[120_000:120_800])], "count bigint, sequence string")
+    whole = spark.read.format("alignments").load(path)
+    near = bgzf.near_regions(spark, path, germline.test_spans(calls, "count"))
+    assert near.count() < 0.2 * whole.count()
+    kept = [sorted(x["count"] for x in germline.filter_germline(calls, reads, reference, "count", 12.5).collect()) for reads in (whole, near)]
+    assert kept == [[2, 4, 5, 6, 7, 8]] * 2
+    plan = germline.evidence_rows(calls, near, "count")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan alignments") == 1
