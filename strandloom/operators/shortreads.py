@@ -250,20 +250,13 @@ def has_split(least_mapq: int = 20) -> Column:
     return F.exists(parts, lambda x: F.get(F.split(x, ","), F.lit(0)).isin(CONTIGS) & (F.get(F.split(x, ","), F.lit(4)).try_cast("int") >= least_mapq))
 
 
-def collect_evidence(calls: DataFrame, reads: DataFrame, key: str, kind: str, margin: int = 1000, least_mapq: int = 0, least_size: int = 750, most_size: int = 1_000_000) -> DataFrame:
-    """(key, side, read_name, evidence, seq) of reads near calls that speak for an event, and their mates.
+def supporting_reads(calls: DataFrame, reads: DataFrame, key: str, kind: str, margin: int | Column = 1000, least_mapq: int = 0, least_size: int = 750, most_size: int = 1_000_000) -> DataFrame:
+    """Rows of reads near calls that speak for an event, with call_key, side and evidence.
 
-    kind: 'small' takes the whole span, 'large' and 'bnd' a window around each end. Each read counts with
-    its first evidence; discordant reads bring their mates.
+    kind: 'small' takes the whole span, 'large' and 'bnd' a window around each end. Each read counts with its first
+    evidence.
     """
-    low, high = F.least("start_loc", "end_loc"), F.greatest("start_loc", "end_loc")
-    side = lambda name, contig, a, b: F.struct(F.lit(name).alias("side"), contig.alias("contig"), F.greatest(F.lit(0), a).alias("lo"), b.alias("hi"))
-    if kind == "small":
-        sides = F.array(side("span", c("start_chr"), low - margin, high + margin))
-    else:
-        both = [side("start", c("start_chr"), c("start_loc") - margin, c("start_loc") + margin), side("end", c("end_chr"), c("end_loc") - margin, c("end_loc") + margin)]
-        sides = F.array(*both)
-    spans = calls.select(c(key).alias("call_key"), F.explode(sides).alias("s")).select("call_key", "s.side", c("s.contig").alias("span_contig"), c("s.lo").alias("lo"), c("s.hi").alias("hi"))
+    spans = evidence_spans(calls, key, kind, margin)
     used = reads.where(~filtered(least_mapq) & c("seq").isNotNull())
     met = overlap_join(used, spans, [("contig", "span_contig")], (c("start"), c("end") - 1), (c("lo"), c("hi") - 1), 2000)
     discordant = c("is_read1") & is_discordant(least_size, most_size)
@@ -274,11 +267,39 @@ def collect_evidence(calls: DataFrame, reads: DataFrame, key: str, kind: str, ma
         "large": [("clip", clipped()), split, ("discordant", discordant)],
         "bnd": [("clip", clipped()), ("discordant", c("is_paired") & ~c("mate_unmapped") & (c("contig") != c("mate_contig"))), split],
     }[kind]
-    found = met.withColumn("evidence", evidence_class(order)).where("evidence is not null")
-    own = found.select(c("call_key").alias(key), "side", "read_name", "evidence", "seq")
-    wanted = found.where("evidence = 'discordant'").select(c("call_key"), "side", c("read_name").alias("wanted"), c("is_read1").alias("wanted_first"), c("mate_contig").alias("wanted_contig"))
+    return met.withColumn("evidence", evidence_class(order)).where("evidence is not null")
+
+
+def evidence_spans(calls: DataFrame, key: str, kind: str, margin: int | Column = 1000) -> DataFrame:
+    """(call_key, side, span_contig, lo, hi): the half-open windows in which a call's evidence is looked for."""
+    low, high = F.least("start_loc", "end_loc"), F.greatest("start_loc", "end_loc")
+    side = lambda name, contig, a, b: F.struct(F.lit(name).alias("side"), contig.alias("contig"), F.greatest(F.lit(0), a).alias("lo"), b.alias("hi"))
+    if kind == "small":
+        sides = F.array(side("span", c("start_chr"), low - margin, high + margin))
+    else:
+        both = [side("start", c("start_chr"), c("start_loc") - margin, c("start_loc") + margin), side("end", c("end_chr"), c("end_loc") - margin, c("end_loc") + margin)]
+        sides = F.array(*both)
+    return calls.select(c(key).alias("call_key"), F.explode(sides).alias("s")).select("call_key", "s.side", c("s.contig").alias("span_contig"), c("s.lo").alias("lo"), c("s.hi").alias("hi"))
+
+
+def mates_of(found: DataFrame, reads: DataFrame) -> DataFrame:
+    """(call_key, side, read_name, seq): mates, among reads, of the discordant ones of supporting_reads."""
+    wanted = found.where("evidence = 'discordant'").select("call_key", "side", c("read_name").alias("wanted"), c("is_read1").alias("wanted_first"), c("mate_contig").alias("wanted_contig"))
     mates = reads.join(wanted, (c("read_name") == c("wanted")) & (c("contig") == c("wanted_contig")) & (c("is_read1") != c("wanted_first")) & c("seq").isNotNull())
-    return own.unionByName(mates.select(c("call_key").alias(key), "side", "read_name", F.lit("mate").alias("evidence"), "seq"))
+    return mates.select("call_key", "side", "read_name", "seq")
+
+
+def mate_spans(found: DataFrame, reach: int = 100) -> DataFrame:
+    """(contig, low, high): where the mates of the discordant reads of supporting_reads lie."""
+    wanted = found.where("evidence = 'discordant' and mate_contig is not null and mate_start >= 0")
+    return wanted.select(c("mate_contig").alias("contig"), F.greatest(F.lit(0), c("mate_start") - reach).alias("low"), (c("mate_start") + reach).alias("high"))
+
+
+def collect_evidence(calls: DataFrame, reads: DataFrame, key: str, kind: str, margin: int | Column = 1000, least_mapq: int = 0, least_size: int = 750, most_size: int = 1_000_000) -> DataFrame:
+    """(key, side, read_name, evidence, seq) of supporting_reads and the mates of the discordant ones."""
+    found = supporting_reads(calls, reads, key, kind, margin, least_mapq, least_size, most_size)
+    own = found.select(c("call_key").alias(key), "side", "read_name", "evidence", "seq")
+    return own.unionByName(mates_of(found, reads).select(c("call_key").alias(key), "side", "read_name", F.lit("mate").alias("evidence"), "seq"))
 
 
 def evidence_points() -> Column:

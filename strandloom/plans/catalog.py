@@ -1011,6 +1011,19 @@ def fastq_records(spark, d):
     return assembly.fastq_lines(rows.select(F.concat(F.lit("contig_"), "item_id", F.lit("_span_0")).alias("contig_name"), c("text").alias("sequence")))
 
 
+@query("""WITH t AS (SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyzN', 'ABCDEFGHIJKLMTOPQRSTUVWXYZT') AS s FROM benchmark WHERE length(text) >= 120)
+    SELECT item_id, CAST(0 AS INTEGER) AS number, s AS sequence, CAST(75 AS INTEGER) AS k FROM t""")
+def assembled_contigs(spark, d):
+    # reads of 100 letters, one begun every 5 and one at the end, each twice and once more with an error
+    letters = F.translate("text", "abcdefghijklmnopqrstuvwxyzN", "ABCDEFGHIJKLMTOPQRSTUVWXYZT")
+    items = v.table(spark, d, "benchmark").where(F.length("text") >= 120).select("item_id", letters.alias("s"))
+    last = F.length("s") - 99
+    starts = items.select("item_id", "s", F.explode(F.array_union(F.sequence(F.lit(1), last, F.lit(5)), F.array(last))).alias("i"), F.explode(F.array(F.lit(0), F.lit(0), F.lit(1))).alias("wrong"))
+    exact = F.substring("s", c("i"), F.lit(100))
+    seq = F.when(c("wrong") == 1, F.concat(F.substring(exact, 1, 40), F.lit("#"), F.substring(exact, 42, 59))).otherwise(exact)
+    return assembly.assemble(starts.select("item_id", seq.alias("seq")), ["item_id"]).select("item_id", "number", "sequence", "k")
+
+
 _READ_KMERS = """ir AS (SELECT *, upper(substr(repeat(md5('r' || CAST(ord % 40 AS VARCHAR)), 5), 1, 120)) AS seq FROM sr WHERE (form < 2 AND clip >= 10) OR form = 2 OR mapq < 20
     ), met AS (SELECT call_id, seq FROM pl JOIN ir ON contig = c1 AND start < p2 + 200 AND "end" > greatest(0, p1 - 200)
     ), kc AS (SELECT call_id, kmer, count(*) AS n FROM (SELECT call_id, unnest(list_transform(range(1, 91), lambda i: substr(seq, i, 31))) AS kmer FROM met) GROUP BY ALL

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom import __version__
 from strandloom.config import CONTIGS, DEFAULT, Config
-from strandloom.operators import breakpoints, calling, clustering, coverage, depth, germline, ordered, panel, somatic
+from strandloom.operators import assembly, breakpoints, calling, clustering, coverage, depth, germline, ordered, panel, somatic
 from strandloom.operators.stages import settle
 from strandloom.sources import bgzf, text, variants
 
@@ -27,6 +27,7 @@ class Inputs:
     short_reads: str | None = None
     short_coverage: float | None = None
     sample: str = "sample_name"
+    assemble: bool = False
 
 
 def read_samples(spark: SparkSession, inputs: Inputs) -> DataFrame:
@@ -91,11 +92,24 @@ def run(spark: SparkSession, inputs: Inputs, config: Config = DEFAULT) -> DataFr
         short = bgzf.near_regions(spark, inputs.short_reads, germline.test_spans(final, "count", config))
         spans = text.spans(final.where("start_chr = end_chr"), chunks, "count", "start_chr", "start_loc", "end_loc")
         final = germline.filter_germline(final, short, spans, "count", inputs.short_coverage or config.default_coverage, config)
+        if inputs.assemble:
+            final = assembled(spark, settle(final, "before-assembly"), inputs, chunks)
     final = settle(final, "final")
     variants.write_variants(spark, lines(final), f"{inputs.output}/final_somatic_variants.vcf", head(True), skip_empty=True)
     return final
 
 
+def assembled(spark: SparkSession, calls: DataFrame, inputs: Inputs, chunks: DataFrame, margin: int = 1000) -> DataFrame:
+    """calls without those that contigs of the normal sample's reads explain; the contigs go to contigs.fastq, in parts."""
+    load = lambda spans: bgzf.near_regions(spark, inputs.short_reads, spans)
+    reads = assembly.assembly_reads(calls, load(assembly.read_spans(calls, "count")), "count", mates=load)
+    contigs = settle(assembly.named(assembly.assemble(reads, ["count", "side"]), "count"), "contigs")
+    assembly.fastq_lines(contigs).write.mode("overwrite").text(f"{inputs.output}/contigs.fastq")
+    windows = assembly.call_windows(calls, "count", margin)
+    surroundings = text.spans(windows.withColumn("window", F.struct("count", "contig", F.col("low").alias("offset"))), chunks, "window", "contig", "low", "high").select("window.*", "sequence")
+    return assembly.drop_explained(calls, settle(assembly.contig_breakpoints(contigs, surroundings, "count"), "contig-breakpoints"))
+
+
 def missing_files(a: argparse.Namespace) -> list[str]:
     """What the analysis needs and does not find; only places of the local file system are looked at."""
     alignments = [x for x in (a.tumor, a.normal, a.short_reads) if x]
@@ -120,6 +134,7 @@ def parse(args: list[str] | None = None) -> tuple[Inputs, Config]:
     p.add_argument("--panel", help="VCF of common variants")
     p.add_argument("--short-reads", help="alignments of the normal sample's short reads")
     p.add_argument("--short-coverage", type=float)
+    p.add_argument("--assemble", action="store_true", help="leave out calls that contigs of the short reads explain; needs --short-reads")
     for name in ("min_length", "min_mapq", "coverage_bin", "min_support", "start_extension", "insert_extension", "end_extension"):
         p.add_argument(f"--{name.replace('_', '-')}", type=int, default=getattr(DEFAULT, name))
     a = p.parse_args(args)
@@ -129,10 +144,12 @@ def parse(args: list[str] | None = None) -> tuple[Inputs, Config]:
         p.error("--mode hybrid needs --short-reads")
     if a.mode == "long-read-only":
         a.short_reads = None
+    if a.assemble and not a.short_reads:
+        p.error("--assemble needs --short-reads")
     for problem in missing_files(a):
         p.error(problem)
     fixed = {n: getattr(a, n) for n in ("min_length", "min_mapq", "coverage_bin", "min_support", "start_extension", "insert_extension", "end_extension", "platform", "refine")}
-    return Inputs(a.tumor, a.normal, a.reference, a.output, a.regions, a.panel, a.short_reads, a.short_coverage, a.sample), replace(DEFAULT, **fixed)
+    return Inputs(a.tumor, a.normal, a.reference, a.output, a.regions, a.panel, a.short_reads, a.short_coverage, a.sample, a.assemble), replace(DEFAULT, **fixed)
 
 
 def main(args: list[str] | None = None) -> None:
