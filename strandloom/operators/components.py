@@ -1,8 +1,7 @@
-"""Connected components of small graphs, such as the similarity graph of one cluster's reads."""
+"""Connected components of graphs of rows, such as the similarity graph of a cluster's reads."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,25 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
 def similarity_clusters(pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(keys, a, b, similarity) -> (keys, member, part): members of each group joined by pairs at or above the threshold.
 
-    Groups are clusters of reads, each small enough for one task.
+    part is the least member that a member is joined to; members of pairs below the threshold only are their own.
     """
-    fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        root = {m: m for m in sorted(set(rows["a"]) | set(rows["b"]))}
-
-        def find(m):
-            while root[m] != m:
-                root[m] = root[root[m]]
-                m = root[m]
-            return m
-
-        for a, b in rows.loc[rows["similarity"] >= threshold, ["a", "b"]].itertuples(index=False):
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-        out = pd.DataFrame({"member": list(root), "part": [find(m) for m in root]})
-        for k in reversed(keys):
-            out.insert(0, k, rows[k].iloc[0])
-        return out
-
-    return pairs.groupBy(*keys).applyInPandas(join, ", ".join([f"{k} {fields[k]}" for k in keys] + [f"member {fields['a']}", f"part {fields['a']}"]))
+    node = lambda name: F.struct(*keys, F.col(name).alias("member"))
+    members = pairs.select(node("a").alias("node")).union(pairs.select(node("b").alias("node"))).distinct()
+    joined = components(pairs.where(F.col("similarity") >= threshold).select(node("a").alias("u"), node("b").alias("v")))
+    out = members.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return out.select(*[F.col("node")[k].alias(k) for k in keys], F.col("node.member").alias("member"), F.col("root.member").alias("part"))

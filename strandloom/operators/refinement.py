@@ -1,17 +1,27 @@
-"""Optional refinement: end clusters taken apart where the tumor reads' alignments disagree."""
+"""Optional refinement: end clusters taken apart where the tumor reads' alignments disagree.
+
+Reads of a cluster are parts if a chain of similar reads joins them. Reads with the same events are one node. Two
+nodes can be similar only if they share an event, so they meet in blocks of event starts; every pair of starts within
+the tolerance has a block in common. All members of a block first meet its few most frequent ones; then, while a block
+holds members of several parts, those outside its largest part meet all. Pairs within a part need no test, so a pile-up
+of like reads costs tests in proportion to its size, and no pair that joins parts is lost.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
 from strandloom.functions import cigar
-from strandloom.operators.components import similarity_clusters
+from strandloom.operators.components import components
 from strandloom.operators.stages import settle
 
+c = F.col
 #: Least bases of an event that is compared, reach beyond the cluster's ends, least span of a cluster to refine.
 LEAST, MARGIN, SPAN = 2, 500, 100
+#: Bases between like events, and members of a block that all others meet, round by round; then what is left meets.
+TOLERANCE, ROUNDS = 50, (2, 16)
 
 
 def cluster_extents(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,23 +47,77 @@ def varied(events: DataFrame, least: int = 30):
     return cigar.has_large(F.col("deletions"), least) | cigar.has_large(F.col("insertions"), least)
 
 
-def refine(ends: DataFrame, reads: DataFrame, keys: list[str], config: Config = DEFAULT) -> DataFrame:
-    """ends with part: rows of a cluster whose tumor reads fall into groups of similar alignments get their group's.
+def _plain(found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["len"].alias("len")))
 
-    Clusters of a span under SPAN or with fewer than two reads with large events keep part 0, as do reads
-    without an alignment there. Rows of the normal sample are repeated for every part of their cluster.
+
+def _blocks(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(block, node, weight): each node at its blocks; a block has a cluster's events of one kind that start in a stretch of 2 * TOLERANCE."""
+    starts = lambda name: F.transform(name, lambda x: F.struct(F.lit(name).alias("kind"), F.floor(x["start"] / TOLERANCE).alias("cell")))
+    cells = nodes.select(*keys, "node", "weight", F.explode(F.concat(starts("deletions"), starts("insertions"))).alias("e"))
+    return cells.select(*keys, "node", "weight", c("e.kind").alias("kind"), F.explode(F.array(c("e.cell"), c("e.cell") + 1)).alias("at")).select(F.struct(*keys, "kind", "at").alias("block"), "node", "weight").distinct()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Those of (u, v) whose events are similar, in an order that two of their reads' names have."""
+    side = lambda name, end: nodes.select(c("node").alias(name), c("deletions").alias(f"d{end}"), c("insertions").alias(f"i{end}"), c("first").alias(f"first{end}"), c("last").alias(f"last{end}"))
+    met = pairs.join(side("u", 1), "u").join(side("v", 2), "v")
+    ahead = (c("first1") < c("last2")) & (cigar.similarity(c("d1"), c("i1"), c("d2"), c("i2"), TOLERANCE) >= threshold)
+    behind = (c("first2") < c("last1")) & (cigar.similarity(c("d2"), c("i2"), c("d1"), c("i1"), TOLERANCE) >= threshold)
+    return met.where(ahead | behind).select("u", "v")
+
+
+def parts_of(events: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, read_name, deletions, insertions), a row for each read -> (keys, read_name, part).
+
+    part: the least name of the reads that a chain of similar reads of the cluster joins.
     """
-    ends = settle(ends, "refine-rows")
+    plain = events.select(*keys, "read_name", _plain(c("deletions")).alias("deletions"), _plain(c("insertions")).alias("insertions"))
+    alike = [*keys, "deletions", "insertions"]
+    nodes = plain.groupBy(*alike).agg(F.min("read_name").alias("first"), F.max("read_name").alias("last"), F.count("*").alias("weight"))
+    nodes = settle(nodes.withColumn("node", F.struct(*keys, "first")), "refine-nodes")
+    blocks = settle(_blocks(nodes, keys), "refine-blocks")
+    found, labels = None, None
+    for most in (*ROUNDS, None):
+        rows = blocks.withColumn("root", c("node")) if labels is None else blocks.join(labels.select("node", c("root").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+        rows = settle(rows, "refine-round")
+        # blocks of one part are done
+        open_ = rows.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+        rows = rows.join(open_, "block", "left_semi")
+        if most is None:
+            sizes = rows.groupBy("block", "root").agg(F.count("*").alias("n"))
+            largest = sizes.groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+            few = rows.join(largest, "block").where("root <> largest")
+        else:
+            few = rows.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(c("weight").desc(), "node"))).where(c("rank") <= most)
+        hubs = few.select("block", c("node").alias("hub"), c("root").alias("hub_root"))
+        pairs = rows.join(hubs, "block").where("root <> hub_root").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+        new = settle(_similar(pairs, nodes, threshold), "refine-links")
+        found = new if found is None else found.unionByName(new)
+        labels = components(found)
+    named = nodes.join(labels, "node", "left").select(*alike, F.coalesce("root.first", "first").alias("part"))
+    same = [plain[x].eqNullSafe(named[x]) for x in alike]
+    return plain.join(named, same).select(*[plain[k] for k in keys], "read_name", "part")
+
+
+def alignment_parts(ends: DataFrame, reads: DataFrame, keys: list[str], config: Config = DEFAULT) -> DataFrame:
+    """(keys, read_name, part) of the tumor reads of clusters that are wide enough and have two reads with large events."""
     wide = cluster_extents(ends, keys).where(F.col("extent_end") - F.col("extent_start") >= SPAN)
     own = ends.where("sample = 'tumor'").select(*keys, "read_name", F.col("start_chr").alias("contig")).distinct()
     tumor = own.join(wide, keys)
     events = settle(member_events(tumor, reads, keys, config.cigar_gap), "refine-events")
     open_ = events.groupBy(*keys).agg(F.count_if(varied(events)).alias("n")).where("n >= 2").select(*keys)
-    events = events.join(open_, keys, "left_semi")
-    right = events.select(*keys, F.col("read_name").alias("b"), F.col("deletions").alias("db"), F.col("insertions").alias("ib"))
-    left = events.select(*keys, F.col("read_name").alias("a"), F.col("deletions").alias("da"), F.col("insertions").alias("ia"))
-    pairs = left.join(right, keys).where("a <= b").select(*keys, "a", "b", cigar.similarity(F.col("da"), F.col("ia"), F.col("db"), F.col("ib")).alias("similarity"))
-    parts = settle(similarity_clusters(pairs, keys, config.refine_similarity).select(*keys, F.col("member").alias("read_name"), F.xxhash64("part").alias("part")), "refine-parts")
+    return parts_of(events.join(open_, keys, "left_semi"), keys, config.refine_similarity)
+
+
+def refine(ends: DataFrame, reads: DataFrame, keys: list[str], config: Config = DEFAULT) -> DataFrame:
+    """ends with part: rows of a cluster whose tumor reads fall into groups of similar alignments get their group's.
+
+    Clusters of a span under SPAN or with fewer than two reads with large events keep part 0, as do reads
+    without an alignment there. Rows of the normal sample are repeated for every part of their cluster.
+    """
+    ends = settle(ends, "refine-rows")
+    parts = settle(alignment_parts(ends, reads, keys, config).withColumn("part", F.xxhash64("part")), "refine-parts")
     mine = ends.where("sample <> 'normal'").join(parts, [*keys, "read_name"], "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
     every = parts.select(*keys, "part").distinct()
     normal = ends.where("sample = 'normal'").join(every, keys, "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.config import DEFAULT
 from strandloom.functions import cigar, kmers
 from strandloom.functions import columns as x
-from strandloom.operators import assembly, breakpoints, calling, clustering, coverage, depth, germline, ordered, panel, shortreads, somatic
+from strandloom.operators import assembly, breakpoints, calling, clustering, coverage, depth, germline, ordered, panel, refinement, shortreads, somatic
 from strandloom.operators.stages import settle, stored
 from strandloom.plans import views as v
 from strandloom.sources import text, variants
@@ -1011,6 +1011,36 @@ def fastq_records(spark, d):
     return assembly.fastq_lines(rows.select(F.concat(F.lit("contig_"), "item_id", F.lit("_span_0")).alias("contig_name"), c("text").alias("sequence")))
 
 
+# --- refinement by alignments -------------------------------------------------------------------------------
+
+# ends of one contig in stretches of 2,000 bases; a read is a row of the table
+_REFINED = v.READS + """, e AS (
+        SELECT DISTINCT contig AS start_chr, start // 2000 AS cluster, 'r' || ord AS read_name, sample, start AS lo, "end" AS hi FROM reads
+    ), wide AS (SELECT start_chr, cluster, min(lo) AS lo, max(hi) AS hi FROM e GROUP BY ALL HAVING max(hi) - min(lo) >= 100
+    ), met AS (
+        SELECT w.start_chr, w.cluster, m.read_name, min({'start': r.start, 'cigar': r.cigar}) AS a FROM wide w JOIN (SELECT DISTINCT start_chr, cluster, read_name FROM e WHERE sample = 'tumor') m USING (start_chr, cluster)
+            JOIN reads r ON 'r' || r.ord = m.read_name AND r.contig = w.start_chr AND r.start < w.hi + 500 AND r."end" > w.lo - 500 GROUP BY ALL
+    ), cut AS (SELECT start_chr, cluster, read_name, a.start AS s, list_transform(regexp_extract_all(a.cigar, '[0-9]+'), lambda x: CAST(x AS BIGINT)) AS n FROM met
+    ), ev AS (SELECT start_chr, cluster, read_name, s + n[2] AS ds, s + n[2] + n[3] AS de, CASE WHEN n[3] >= 2 THEN n[3] END AS dl, s + n[2] + n[3] + n[4] AS i, CASE WHEN n[5] >= 2 THEN n[5] END AS il FROM cut
+    ), open_ AS (SELECT start_chr, cluster FROM ev GROUP BY ALL HAVING count(*) FILTER (WHERE dl >= 30 OR il >= 30) >= 2
+    ), node AS (SELECT *, (dl IS NOT NULL)::INT + (il IS NOT NULL)::INT AS n FROM ev JOIN open_ USING (start_chr, cluster)
+    ), edge AS (
+        SELECT a.start_chr, a.cluster, a.read_name AS a, b.read_name AS b FROM node a JOIN node b ON a.start_chr = b.start_chr AND a.cluster = b.cluster AND a.read_name < b.read_name
+        WHERE CASE WHEN a.n = 0 AND b.n = 0 THEN TRUE WHEN a.n = 0 OR b.n = 0 THEN FALSE ELSE
+            (coalesce(a.dl > 0 AND b.dl > 0 AND abs(a.ds - b.ds) <= 50 AND abs(a.de - b.de) <= 50 AND least(a.dl, b.dl) >= greatest(a.dl, b.dl) * 0.8::DOUBLE, FALSE)::INT
+             + coalesce(a.il > 0 AND b.il > 0 AND abs(a.i - b.i) <= 50 AND least(a.il, b.il) >= greatest(a.il, b.il) * 0.8::DOUBLE, FALSE)::INT) / ((a.n + b.n) / 2.0::DOUBLE) >= 0.7::DOUBLE END
+    ), linked AS (SELECT * FROM edge UNION ALL SELECT start_chr, cluster, b, a FROM edge
+    ), walk AS (SELECT start_chr, cluster, read_name AS a, read_name AS b FROM node UNION SELECT w.start_chr, w.cluster, w.a, e.b FROM walk w JOIN linked e ON w.start_chr = e.start_chr AND w.cluster = e.cluster AND w.b = e.a)"""
+
+
+@query(f"WITH RECURSIVE {_REFINED} SELECT start_chr, cluster, a AS read_name, min(b) AS part FROM walk GROUP BY ALL")
+def refined_parts(spark, d):
+    reads = v.reads(spark, d).withColumn("read_name", F.concat(F.lit("r"), "ord"))
+    cluster = F.floor(c("start") / 2000).alias("cluster")
+    ends = reads.select(c("contig").alias("start_chr"), cluster, "read_name", "sample", c("start").alias("start_loc"), c("end").alias("end_loc")).distinct()
+    return refinement.alignment_parts(ends, reads, ["start_chr", "cluster"], DEFAULT)
+
+
 @query("""WITH t AS (SELECT item_id, translate(text, 'abcdefghijklmnopqrstuvwxyzN', 'ABCDEFGHIJKLMTOPQRSTUVWXYZT') AS s FROM benchmark WHERE length(text) >= 120)
     SELECT item_id, CAST(0 AS INTEGER) AS number, s AS sequence, CAST(75 AS INTEGER) AS k FROM t""")
 def assembled_contigs(spark, d):
