@@ -18,6 +18,10 @@ Before that, most texts are left out by a part of their sets. The part has the f
 hash alone, k a fifth of the set; two sets of that similarity share at least the smaller k of these, so a set of whose
 part fewer than the least k of a similar set are shared with any other set has no near copy.
 
+Who shares a shingle is found in buckets of shingles, whose number grows with the data, one at a time. Beyond MANY sets
+the number of sets only matters as "many": a task that sees so many by itself sends them on without the bucket, dealt
+by node, and tells the bucket, which holds no more than that of a common line. All such shingles come last in the order.
+
 Large groups of a shingle: those of more than SMALL sets meet one common member first, then some more, and last all
 members that are not in one component by then; pairs within a component need no test. So a group of thousands of near
 copies takes a number of tests in proportion to its size, and no link that joins components is lost. A task streams
@@ -48,7 +52,8 @@ SMALL = 16
 BROADCAST_NODES = 2_000_000
 #: Common members that all of a large group meet in each round; None: all meet all.
 ROUNDS = (1, 8, 32, None)
-_BUCKETS = 4096
+#: Sets of a shingle that count as many, entries of a bucket, and entries that a task deals at a time.
+MANY, BUCKET, CHUNK = 64, 400_000, 1_000_000
 #: Rows that a task takes at a time when it pairs the members of groups.
 _ROWS = 200_000
 _WORD = np.ones(256, np.bool_)
@@ -105,15 +110,39 @@ _ENTRY = np.dtype([("h", "<u8"), ("node", "<u8"), ("n", "<u4")])
 _SHARED = np.dtype([("h", "<u8"), ("node", "<u8"), ("n", "<u4"), ("sets", "<u4")])
 
 
-def _dealt(rows: np.ndarray, by: str) -> pa.RecordBatch:
-    """Rows as one block of bytes for each bucket of a column."""
-    bucket = (rows[by] % np.uint64(_BUCKETS)).astype(np.int64)
+#: What a block holds: entries of a bucket's shingles, entries whose shingle is known to be in many sets, or such shingles.
+_ENTRIES, _KNOWN, _COMMON = 0, 1, 2
+_BLOCKS = "bucket bigint, kind int, block binary"
+
+
+def _dealt(rows: np.ndarray, by: str | None, buckets: int, kind: int = _ENTRIES) -> pa.RecordBatch:
+    """Rows as one block of bytes for each bucket of a column (of the values themselves without one)."""
+    bucket = ((rows[by] if by else rows) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(first, len(rows))[1:]
     blocks = [rows[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(np.full(len(first), kind, np.int32)), pa.array(blocks, pa.binary())], ["bucket", "kind", "block"])
+
+
+def _distinct(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in order of shingle and node without repeats, and of each the number of nodes with its shingle."""
+    entries = entries[np.lexsort((entries["node"], entries["h"]))]
+    new = np.ones(len(entries), np.bool_)
+    new[1:] = (entries["h"][1:] != entries["h"][:-1]) | (entries["node"][1:] != entries["node"][:-1])
+    entries = entries[new]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(entries)), np.bool_), entries["h"][1:] != entries["h"][:-1]]))
+    size = np.diff(np.append(first, len(entries)))
+    return entries, np.repeat(size, size)
+
+
+def _with_sets(entries: np.ndarray, sets: np.ndarray | int) -> np.ndarray:
+    out = np.empty(len(entries), _SHARED)
+    for name in _ENTRY.names:
+        out[name] = entries[name]
+    out["sets"] = sets
+    return out
 
 
 def _least(n: np.ndarray) -> np.ndarray:
@@ -121,9 +150,20 @@ def _least(n: np.ndarray) -> np.ndarray:
     return (4 * n + 4) // 5
 
 
-def _entry_batches(batches: Iterator[pa.RecordBatch], part: bool) -> Iterator[pa.RecordBatch]:
-    """(node, shingles) -> blocks of entries by shingle, of parts or whole sets; about a million go out at a time."""
+def _deal_entries(held: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of entries by shingle; those whose shingle is in many sets already go by node."""
+    entries, size = _distinct(np.concatenate(held))
+    many = size >= MANY
+    if many.any():
+        yield _dealt(_with_sets(entries[many], MANY), "node", buckets, _KNOWN)
+        yield _dealt(np.unique(entries["h"][many]), None, buckets, _COMMON)
+    yield _dealt(entries[~many], "h", buckets)
+
+
+def _entry_batches(batches: Iterator[pa.RecordBatch], part: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) -> blocks of entries of parts or whole sets; about CHUNK entries go out at a time."""
     held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
         sets = batch.column("shingles")
         n = np.asarray(sets.value_lengths(), np.int64)
@@ -135,43 +175,93 @@ def _entry_batches(batches: Iterator[pa.RecordBatch], part: bool) -> Iterator[pa
             place = np.arange(len(entries)) - np.repeat(np.cumsum(n) - n, n)
             entries = entries[place < np.repeat(n - _least(n) + (n + 4) // 5, n)]
         held.append(entries)
-        if sum(map(len, held)) >= 1_000_000:
-            yield _dealt(np.concatenate(held), "h")
-            held.clear()
-    if held:
-        yield _dealt(np.concatenate(held), "h")
+        size += len(entries)
+        if size >= CHUNK:
+            yield from _deal_entries(held, buckets)
+            held, size = [], 0
+    if size:
+        yield from _deal_entries(held, buckets)
     release()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
-    blocks = [np.frombuffer(x, kind) for batch in batches for x in batch.column("block").to_pylist()]
-    return np.concatenate(blocks) if blocks else np.zeros(0, kind)
+class _Bucket:
+    """Entries of a bucket of shingles as they come; what is held is bounded by its shingles of fewer than MANY sets."""
 
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size, self.limit = buckets, [], 0, CHUNK
+        self.common = np.zeros(0, np.uint64)
 
-def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of a bucket of shingles -> blocks by node of those that several nodes have."""
-    rows = _blocks(batches, _ENTRY)
-    rows = rows[np.lexsort((rows["node"], rows["h"]))]
-    new = np.ones(len(rows), np.bool_)
-    new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
-    rows = rows[new]
-    if len(rows):
-        first = np.flatnonzero(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]]))
-        size = np.diff(np.append(first, len(rows)))
-        sets = np.repeat(size, size)
-        out = np.empty(int((sets > 1).sum()), _SHARED)
-        for c in _ENTRY.names:
-            out[c] = rows[c][sets > 1]
-        out["sets"] = sets[sets > 1]
-        yield _dealt(out, "node")
+    def add(self, kind: int, block: bytes) -> Iterator[pa.RecordBatch]:
+        if kind == _COMMON:
+            self.common = np.union1d(self.common, np.frombuffer(block, np.uint64))
+        elif kind == _KNOWN:
+            yield _dealt(np.frombuffer(block, _SHARED), "node", self.buckets)
+        else:
+            self.held.append(np.frombuffer(block, _ENTRY))
+            self.size += len(self.held[-1])
+            if self.size > self.limit:
+                yield from self._settle(False)
+
+    def _settle(self, last: bool) -> Iterator[pa.RecordBatch]:
+        entries, size = _distinct(np.concatenate(self.held))
+        self.common = np.union1d(self.common, entries["h"][size >= MANY])
+        many = np.isin(entries["h"], self.common)
+        if many.any():
+            yield _dealt(_with_sets(entries[many], MANY), "node", self.buckets)
+        entries, size = entries[~many], size[~many]
+        if last:
+            if (size > 1).any():
+                yield _dealt(_with_sets(entries[size > 1], size[size > 1]), "node", self.buckets)
+        else:
+            self.held, self.size = [entries], len(entries)
+            self.limit = max(CHUNK, 2 * self.size)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield from self._settle(True)
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks in order of bucket -> blocks by node of the entries whose shingle several nodes have."""
+    bucket, current = None, None
+    for batch in batches:
+        for number, kind, block in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("block"), strict=True):
+            if number != current:
+                if bucket is not None:
+                    yield from bucket.close()
+                bucket, current = _Bucket(buckets), number
+            yield from bucket.add(kind, block.as_py())
+    if bucket is not None:
+        yield from bucket.close()
     release()
 
 
+def _of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Blocks in order of bucket -> the shared shingles of each bucket of nodes, by node, sets and shingle, without repeats."""
+    held: list[np.ndarray] = []
+    current = None
+
+    def ordered() -> np.ndarray:
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows["h"], rows["sets"], rows["node"]))]
+        new = np.ones(len(rows), np.bool_)
+        new[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+        return rows[new]
+
+    for batch in batches:
+        for number, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
+            if number != current and held:
+                yield ordered()
+                held = []
+            current = number
+            held.append(np.frombuffer(block.as_py(), _SHARED))
+    if held:
+        yield ordered()
+
+
 def _prefix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared shingles of a bucket of nodes -> (key, node, n, place) of those among the first of their node."""
-    rows = _blocks(batches, _SHARED)
-    rows = rows[np.lexsort((rows["h"], rows["sets"], rows["node"]))]
-    if len(rows):
+    """Shared shingles of nodes -> (key, node, n, place) of those among the first of their node."""
+    for rows in _of_nodes(batches):
         first = np.flatnonzero(np.concatenate([[True], rows["node"][1:] != rows["node"][:-1]]))
         size = np.diff(np.append(first, len(rows)))
         n = rows["n"].astype(np.int64)
@@ -183,19 +273,21 @@ def _prefix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _suspect_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared shingles of parts of a bucket of nodes -> the nodes that have enough of them."""
-    rows = _blocks(batches, _SHARED)
-    node, first, count = np.unique(rows["node"], return_index=True, return_counts=True)
-    enough = count >= (_least(rows["n"][first].astype(np.int64)) + 4) // 5
-    yield pa.RecordBatch.from_pydict({"node": node[enough].view(np.int64)})
+    """Shared shingles of parts of nodes -> the nodes that have enough of them."""
+    for rows in _of_nodes(batches):
+        node, first, count = np.unique(rows["node"], return_index=True, return_counts=True)
+        enough = count >= (_least(rows["n"][first].astype(np.int64)) + 4) // 5
+        yield pa.RecordBatch.from_pydict({"node": node[enough].view(np.int64)})
     release()
 
 
-def _shared(rows: DataFrame, part: bool) -> DataFrame:
-    """(node, shingles) -> blocks by node of the shingles that several nodes have in their sets, or in parts of them."""
-    blocks = "bucket bigint, block binary"
-    entries = rows.select("node", "shingles").mapInArrow(lambda batches: _entry_batches(batches, part), blocks)
-    return entries.repartition("bucket").mapInArrow(_shared_batches, blocks).repartition("bucket")
+def _shared(rows: DataFrame, part: bool, bucket: int | None = None) -> DataFrame:
+    """(node, shingles) -> blocks by node, in order of bucket, of the shingles that several nodes have in their sets, or in parts of them."""
+    total = rows.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    buckets = max(64, total // (bucket or BUCKET))
+    entries = rows.select("node", "shingles").mapInArrow(lambda batches: _entry_batches(batches, part, buckets), _BLOCKS)
+    dealt = entries.repartition("bucket").sortWithinPartitions("bucket", F.col("kind").desc())
+    return dealt.mapInArrow(lambda batches: _shared_batches(batches, buckets), _BLOCKS).repartition("bucket").sortWithinPartitions("bucket")
 
 
 def suspects(rows: DataFrame) -> DataFrame:

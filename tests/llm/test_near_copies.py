@@ -123,3 +123,44 @@ def near_copies_unite(label, u, v):
     for a, b in zip(u, v):
         a, b = label[a], label[b]
         label[label == max(a, b)] = min(a, b)
+
+
+def test_a_line_in_every_text_is_not_held(spark, monkeypatch):
+    """Entries of a bucket that are held at once stay below a bound, whatever the number of texts with one line."""
+    monkeypatch.setattr(near_copies, "CHUNK", 3000)
+    banner = " ".join(f"b{i}" for i in range(12))
+    most = {}
+    for n in (400, 1600):
+        r = random.Random(n)
+        rows = [(i, banner + " " + " ".join(f"{r.random()}" for _ in range(20))) for i in range(n)]
+        sets = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id as row_id", "0L as row_text", "false as no_id", "text").mapInArrow(near_copies._set_batches, "row_id bigint, row_text bigint, no_id boolean, node bigint, shingles array<bigint>, fp bigint")
+        batches = [b for b in sets.select("node", "shingles").toArrow().to_batches(max_chunksize=50)]
+        dealt = pa.Table.from_batches(list(near_copies._entry_batches(iter(batches), False, 8))).sort_by([("bucket", "ascending"), ("kind", "descending")])
+        held = []
+        add = near_copies._Bucket.add
+
+        def counted(self, kind, block):
+            yield from add(self, kind, block)
+            held.append(self.size)
+
+        monkeypatch.setattr(near_copies._Bucket, "add", counted)
+        out = list(near_copies._shared_batches(iter(dealt.to_batches()), 8))
+        monkeypatch.setattr(near_copies._Bucket, "add", add)
+        found = np.concatenate([np.frombuffer(x, near_copies._SHARED) for b in out for x in b.column("block").to_pylist()])
+        assert len(found) == 8 * n and set(found["sets"].tolist()) == {near_copies.MANY}  # the line's eight shingles, of every text
+        most[n] = max(held) / (n * 28 / 8)
+    assert most[1600] <= 1.6 and most[400] <= 1.6  # no more than a bucket's share of the other shingles
+
+
+def test_number_of_sets_does_not_depend_on_chunks(spark, monkeypatch):
+    r = random.Random(1)
+    lines = [" ".join(f"w{r.randrange(30)}" for _ in range(8)) for _ in range(30)]
+    rows = [(i, " ".join(r.choice(lines) for _ in range(6))) for i in range(300)]
+    sets = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id as row_id", "0L as row_text", "false as no_id", "text").mapInArrow(near_copies._set_batches, "row_id bigint, row_text bigint, no_id boolean, node bigint, shingles array<bigint>, fp bigint").select("node", "shingles").toArrow()
+    shared = []
+    for chunk, size in ((10**6, 1000), (500, 40), (5000, 7)):
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        dealt = pa.Table.from_batches(list(near_copies._entry_batches(iter(sets.to_batches(max_chunksize=size)), False, 16))).sort_by([("bucket", "ascending"), ("kind", "descending")])
+        blocks = [x for b in near_copies._shared_batches(iter(dealt.to_batches()), 16) for x in b.column("block").to_pylist()]
+        shared.append(sorted({tuple(x) for x in np.concatenate([np.frombuffer(x, near_copies._SHARED) for x in blocks]).tolist()}))
+    assert shared[0] == shared[1] == shared[2] and {x[3] for x in shared[0]} >= {2, near_copies.MANY}
