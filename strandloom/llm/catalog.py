@@ -145,12 +145,15 @@ ORACLES: dict[str, str] = {
         FROM copies
     """,
     "op4_url_filters": r"""
-        WITH hosts AS (
-            SELECT page_id, url, rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.') AS host,
+        WITH authority AS (
+            SELECT *, CASE WHEN url LIKE '%://%' THEN split_part(split_part(split_part(substr(lower(url), position('://' IN url) + 3), '/', 1), '?', 1), '#', 1) ELSE '' END AS a FROM pages
+        ), place AS (SELECT *, substr(a, position('@' IN a) + 1) AS p FROM authority
+        ), hosts AS (
+            SELECT page_id, url, rtrim(CASE WHEN p LIKE '[%' THEN substr(p, 1, position(']' IN p)) ELSE split_part(p, ':', 1) END, '.') AS host,
                    regexp_extract(url, '^[a-z]+://[^/]*/([^/?#]+)', 1) AS level,
                    string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/') AS path,
                    CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS DATE) AS fetched
-            FROM pages
+            FROM place
         ), known AS (
             SELECT 'domain' AS kind, regexp_replace(host, '^(www|m|blog)[.]', '') AS pattern FROM hosts WHERE host <> ''
             UNION SELECT 'prefix', host || '/' || level FROM hosts WHERE level <> ''

@@ -15,7 +15,8 @@ A URL is asked for as many host labels and path steps as the longest patterns of
 of any length are found and a very long URL costs no more than the list demands.
 
 Hosts are compared in lower case and without the root dot, paths as they are; empty path steps count for
-nothing on both sides. Times are dates or timestamps.
+nothing on both sides. Ports count for nothing either. An address in brackets is a host without subdomains.
+Times are dates or timestamps. Captures are identified by URL and time, so other columns can be of any type.
 
 Defined cases: a null or hostless URL, or a null fetch time, matches nothing; entries with a null field, an
 unknown kind or action, a pattern without a host, or a domain with a path have no effect; of entries of a pattern at the same time
@@ -31,7 +32,7 @@ from strandloom.llm.common import materialize
 
 #: Days in a bucket of the join.
 BUCKET = 32
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -61,7 +62,7 @@ def patterns_of(host: Column, parts: Column, path: Column, labels: Column, steps
 
 def normal_pattern(kind: Column, pattern: Column) -> Column:
     """A list's pattern as patterns_of gives it: host in lower case without outer dots, no empty path steps."""
-    host = F.regexp_replace(F.lower(F.substring_index(pattern, "/", 1)), "^[.]+|[.]+$", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.substring_index(pattern, "/", 1)), ":[0-9]*$", ""), "^[.]+|[.]+$", "")
     rest = F.when(F.contains(pattern, F.lit("/")), F.expr("substring(pattern, instr(pattern, '/') + 1)")).otherwise("")
     whole = F.concat_ws("/", host, _steps(rest))
     return F.when((host != "") & ((kind != "domain") | (whole == host)), whole)
@@ -91,9 +92,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     fetched and the entries' at are dates or timestamps. Input columns of the result's names are replaced.
     """
     columns = [c for c in captures.columns if c not in ("n_matches", "matched", "blocked")]
-    rows = captures.groupBy(*columns).agg(F.count("*").alias("__copies")).withColumn("__row", F.xxhash64(*columns))
-    rows = materialize(rows, "url-captures")
-    span = rows.agg(F.min(_bucket(F.col(fetched))).alias("lo"), F.max(_bucket(F.col(fetched))).alias("hi")).first()
+    # what is asked is asked once for each URL and time
+    keys = captures.select(F.col(url).alias("row_url"), F.col(fetched).alias("at")).where("row_url is not null and at is not null").distinct()
+    keys = materialize(keys, "url-captures")
+    span = keys.agg(F.min(_bucket(F.col("at"))).alias("lo"), F.max(_bucket(F.col("at"))).alias("hi")).first()
     lo, hi = (span.lo, span.hi) if span.lo is not None else (0, 0)
     # only buckets in which captures were fetched matter
     first = F.greatest(_bucket(F.col("valid_from")), F.lit(lo))
@@ -102,14 +104,15 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     valid = materialize(valid.select("kind", "pattern", "valid_from", "valid_to", F.explode(F.sequence("first", "last")).alias("bucket")), "url-intervals")
     longest = lambda kind, cut: F.coalesce(F.max(F.when(F.col("kind") == kind, F.size(F.split("pattern", cut)))), F.lit(0))
     depth = valid.agg(longest("domain", "[.]").alias("labels"), (longest("prefix", "/") - 1).alias("steps")).first()
-    named = rows.where(F.col(fetched).isNotNull()).select(F.col("__row").alias("row"), F.col(url).alias("row_url"), F.col(fetched).alias("at"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    named = named.withColumn("parts", F.split("host", "[.]"))
-    asked = named.select("row", "row_url", "at", F.explode(patterns_of(F.col("host"), F.col("parts"), F.col("path"), F.lit(depth.labels), F.lit(depth.steps))).alias("p"))
-    asked = asked.select("row", "row_url", "at", "p.kind", "p.pattern", _bucket(F.col("at")).alias("bucket")).distinct()
+    host = host_of(F.col("row_url"))
+    named = keys.select("row_url", "at", host.alias("host"), path_of(F.col("row_url")).alias("path"))
+    named = named.withColumn("parts", F.when(F.startswith("host", F.lit("[")), F.array("host")).otherwise(F.split("host", "[.]")))
+    asked = named.select("row_url", "at", F.explode(patterns_of(F.col("host"), F.col("parts"), F.col("path"), F.lit(depth.labels), F.lit(depth.steps))).alias("p"))
+    asked = asked.select("row_url", "at", "p.kind", "p.pattern", _bucket(F.col("at")).alias("bucket")).distinct()
     met = asked.join(valid, ["kind", "pattern", "bucket"]).where("valid_from <= at and (valid_to is null or at < valid_to)")
-    found = met.groupBy("row", "row_url", "at").agg(F.count("*").alias("n_matches"), F.min(F.concat_ws(":", "kind", "pattern")).alias("matched"))
-    found = found.select(F.col("row").alias("__r"), F.col("row_url").alias("__u"), F.col("at").alias("__at"), F.col("n_matches").alias("__n"), "matched")
-    same = (F.col("__row") == F.col("__r")) & (F.col(url) == F.col("__u")) & (F.col(fetched) == F.col("__at"))
-    out = rows.join(found, same, "left").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
+    found = met.groupBy("row_url", "at").agg(F.count("*").alias("__n"), F.min(F.concat_ws(":", "kind", "pattern")).alias("__matched"))
+    # written, so that a URL of very many captures can be split in the join
+    found = materialize(found.select(F.col("row_url").alias("__u"), F.col("at").alias("__at"), "__n", "__matched"), "url-matches")
+    out = captures.select(*columns).join(found, (F.col(url) == F.col("__u")) & (F.col(fetched) == F.col("__at")), "left")
     n = F.coalesce("__n", F.lit(0)).cast("bigint")
-    return out.select(*columns, n.alias("n_matches"), "matched", (n > 0).alias("blocked"))
+    return out.select(*columns, n.alias("n_matches"), F.col("__matched").alias("matched"), (n > 0).alias("blocked"))

@@ -84,3 +84,20 @@ def test_timestamps_within_a_day(spark):
     entries = spark.createDataFrame([("domain", "a.com", "add", at(3)), ("domain", "a.com", "remove", at(5, 30)), ("domain", "a.com", "add", at(8))], LIST.replace("date", "timestamp"))
     rows = url_filter.filter_urls(captures, entries).collect()
     assert {r.page_id for r in rows if r.blocked} == {3, 4, 8}
+
+
+def test_addresses_and_ports(spark):
+    urls = ["http://[2001:db8::1]/x", "http://[2001:DB8::1]:8080/y?z", "http://u@[2001:db8::2]/x", "http://[::ffff:1.2.3.4]/", "http://1.2.3.4:80/p"]
+    assert blocked(spark, urls, [("domain", "[2001:db8::1]")]) == [True, True, False, False, False]
+    assert blocked(spark, urls, [("prefix", "[2001:db8::1]:443/x"), ("domain", "4]")]) == [True, False, False, False, False]
+    assert blocked(spark, urls, [("domain", "1.2.3.4:8080")]) == [False, False, False, False, True]
+
+
+def test_columns_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "http://a.com/", DAY0), (1, "http://a.com/", DAY0), (2, None, DAY0), (3, "http://b.com/", None)], "page_id bigint, url string, fetched date")
+    rows = rows.withColumns({"headers": F.create_map(F.lit("k"), F.col("page_id")), "at": F.lit(7), "kind": F.lit("x"), "row_url": F.array(F.lit(None))})
+    out = url_filter.filter_urls(rows, spark.createDataFrame([("domain", "a.com", "add", DAY0)], LIST))
+    assert out.columns == [*rows.columns, "n_matches", "matched", "blocked"]
+    assert sorted((r.page_id, r.headers["k"], r.blocked) for r in out.collect()) == [(1, 1, True), (1, 1, True), (2, 2, False), (3, 3, False)]
