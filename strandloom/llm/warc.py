@@ -47,6 +47,8 @@ from strandloom.llm.common import filesystem, materialize, shared_path, short_ba
 
 LEAST_REVISIT = 1000
 MEMBER_BYTES = 16_000_000
+#: Packed bytes of a member without an index that are unpacked at a time.
+FEED_BYTES = 16_384
 RUN_BYTES = 4_000_000
 #: Bytes of records that a reading task takes, about; pages of revisits that are broadcast at most.
 TASK_BYTES, BROADCAST_REVISITS = 16_000_000, 500_000
@@ -403,42 +405,50 @@ def _unpacked(data: bytes) -> bytes:
 
 def _pieces(file, start: int, size: int) -> Iterator[bytes]:
     """The plain bytes of a member, a piece at a time, whether its records are gzipped or not."""
-    at, unpack, left = start, None, b""
+    at, end, unpack = start, start + size, None
     packed = bytes(file.read_at(min(2, size), start)) == b"\x1f\x8b"
-    while at < start + size or left:
-        data = left
-        if not data:
-            data = bytes(file.read_at(min(RUN_BYTES, start + size - at), at))
-            at += len(data)
+    while at < end:
+        data = memoryview(file.read_at(min(RUN_BYTES, end - at), at))
+        at += len(data)
         if not packed:
-            left = b""
-            yield data
+            yield bytes(data)
             continue
-        unpack = unpack or zlib.decompressobj(31)
-        yield unpack.decompress(data)
-        left = unpack.unused_data
-        if unpack.eof:
-            unpack = None
-        elif not left and at >= start + size:
-            raise ValueError("a record ends early")
+        place = 0
+        while place < len(data):
+            # a short stretch at a time: what a record leaves of it is copied
+            stretch = data[place : place + FEED_BYTES]
+            unpack = unpack or zlib.decompressobj(31)
+            yield unpack.decompress(stretch)
+            place += len(stretch) - len(unpack.unused_data)
+            if unpack.eof:
+                unpack = None
+    if unpack is not None:
+        raise ValueError("a record ends early")
 
 
 def _read_through(file, start: int, size: int) -> Iterator[bytes]:
     """The records of a member that no index names, one after the other."""
-    held = b""
+    held, place, wanted = bytearray(), 0, 0
     for piece in _pieces(file, start, size):
         held += piece
+        if len(held) - place < wanted:
+            continue  # a long record
         while True:
-            held = held.lstrip(b"\r\n")
-            end = held.find(b"\r\n\r\n")
+            while place < len(held) and held[place] in b"\r\n":
+                place += 1
+            end = held.find(b"\r\n\r\n", place)
+            wanted = 0
             if end < 0:
                 break
-            whole = end + 4 + int(_headers(held[:end])[1]["content-length"])
-            if len(held) < whole:
+            wanted = end + 4 - place + int(_headers(bytes(held[place:end]))[1]["content-length"])
+            if len(held) - place < wanted:
                 break
-            yield held[:whole]
-            held = held[whole:]
-    if held.strip():
+            yield bytes(held[place : place + wanted])
+            place += wanted
+        if place > RUN_BYTES or place == len(held):
+            del held[:place]
+            place = 0
+    if bytes(held[place:]).strip():
         raise ValueError("a record ends early")
 
 

@@ -165,3 +165,23 @@ def test_reading_is_dealt_by_bytes(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 40, 0) for i in range(400)], SCHEMA).repartition(4)
     records = warc.round_trip(spark, pages)
     assert records.rdd.getNumPartitions() > 4 and records.count() == 400
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_members_without_an_index_take_linear_time(packed):
+    import time
+
+    class File:
+        def __init__(self, data):
+            self.data = data
+
+        def read_at(self, n, at):
+            return self.data[at : at + n]
+
+    blocks = [hashlib.sha256(str(i).encode()).hexdigest().encode() * (1 + i % 7) for i in range(40_000)] + [b"long" * 3_000_000]
+    data = b"".join(gzip.compress(warc_record("resource", x), 1) if packed else warc_record("resource", x) for x in blocks)
+    began = time.monotonic()
+    got = [x.partition(b"\r\n\r\n")[2] for x in warc._read_through(File(data), 0, len(data))]
+    assert got == blocks and time.monotonic() - began < 20
+    with pytest.raises(ValueError, match="ends early"):
+        list(warc._read_through(File(data), 0, len(data) - 9))
