@@ -809,13 +809,13 @@ def indel_breakends(spark, d):
 _EVIDENCE = """discordant_ AS (SELECT *, is_read1 AND """ + _DISCORDANT.replace("500", "750").replace("800", "1000000") + """ AS odd, CAST(substr(sa_contig, 4) AS INTEGER) <= 22 AND sa_mapq >= 0 AS has_split, CASE WHEN form < 2 THEN clip ELSE 0 END AS clips FROM sr
     ), used AS (SELECT * FROM discordant_ WHERE NOT (is_qcfail OR is_duplicate OR is_secondary OR is_supplementary))"""
 _MATES = """, want AS (SELECT call_id, side, read_name, is_read1, mate_contig FROM m WHERE evidence = 'discordant'
-    ), every AS (SELECT call_id, side, evidence FROM m WHERE evidence IS NOT NULL UNION ALL SELECT call_id, side, 'mate' FROM want w JOIN sr ON sr.read_name = w.read_name AND sr.contig = w.mate_contig AND sr.is_read1 <> w.is_read1)
-    SELECT call_id, side, evidence, count(*) AS n FROM every GROUP BY ALL"""
+    ), every AS (SELECT call_id, side, read_name, evidence FROM m WHERE evidence IS NOT NULL UNION ALL SELECT call_id, side, w.read_name, 'mate' FROM want w JOIN sr ON sr.read_name = w.read_name AND sr.contig = w.mate_contig AND sr.is_read1 <> w.is_read1)
+    SELECT call_id, side, read_name, evidence, count(*) AS n FROM every GROUP BY ALL"""
 
 
 def _evidence(spark: SparkSession, d: str, kind: str) -> DataFrame:
     rows = shortreads.collect_evidence(_some_calls(spark, d), v.short_reads(spark, d), "call_id", kind)
-    return rows.groupBy("call_id", "side", "evidence").agg(F.count("*").alias("n"))
+    return rows.groupBy("call_id", "side", "read_name", "evidence").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {v.SHORT_READS}, {_PLACES}, {_EVIDENCE}, w AS (SELECT call_id, 'span' AS side, c1 AS k, greatest(0, p1 - 1000) AS lo, p2 + 1000 AS hi FROM pl
@@ -876,9 +876,10 @@ def binned_coverage(spark, d):
     SELECT doc_id, doc_id IN (SELECT row FROM d) AS shares FROM documents""")
 def insertion_shares(spark, d):
     # a document stands for an inserted sequence; the k-mers of the calls are a bounded list
-    known = [r.kmer for r in kmers.reference_kmers(v.table(spark, d, "benchmark"), [], "text", DEFAULT.k_insert).collect()]
-    of_calls = F.from_json(F.lit(json.dumps(known)), "array<string>")
-    return v.table(spark, d, "documents").select("doc_id", kmers.shares_kmer(c("text"), of_calls, DEFAULT.k_insert).alias("shares"))
+    known = kmers.reference_kmers(v.table(spark, d, "benchmark"), [], "text", DEFAULT.k_insert)
+    docs = v.table(spark, d, "documents")
+    shared = kmers.shared_kmers(docs, ["doc_id"], "text", known, DEFAULT.k_insert)
+    return docs.select("doc_id").join(shared, "doc_id", "left").select("doc_id", c("n_shared").isNotNull().alias("shares"))
 
 
 @query(f"""WITH {_CALLS}, t AS (SELECT start_chr, cluster, sample, count(DISTINCT read_name) AS n FROM cl GROUP BY ALL
@@ -888,12 +889,14 @@ def read_count_report(spark, d):
     return depth.read_count_report(_calls(spark, d), _clustered(spark, d))
 
 
-@query(f"""WITH {v.CLUSTERED} SELECT start_chr, cluster, 'Total Breakpoints: ' || count(*) || chr(10) || 'Samples: ' || string_agg(DISTINCT sample, ', ' ORDER BY sample) || ' (n=' || count(DISTINCT sample) || ')' AS summary_head,
-    'Unique Reads: ' || (count(DISTINCT read_name) FILTER (WHERE sample = 'tumor') + count(DISTINCT read_name) FILTER (WHERE sample = 'normal')) AS reads_line, 'MAPQ Range: ' || min(mapq) || ' - ' || max(mapq) AS mapq_line FROM cl GROUP BY ALL""")
+@query(f"""WITH wide_stats AS ({ORACLES['cluster_stats_full']}) SELECT start_chr, cluster, array_to_string([
+        format('Total Breakpoints: {{}}', total_breakpoints), format('Samples: {{}} (n={{}})', replace(sample_list, ',', ', '), unique_samples), format('Sources: {{}} (n={{}})', replace(source_list, ',', ', '), unique_sources),
+        format('Range: {{:,}} - {{:,}} bp', starts_min, starts_max), format('Position Mean ± SD: {{:,.1f}} ± {{:,.1f}} bp', starts_mean, starts_std_dev), format('Span: {{:,}} bp', cluster_span),
+        format('MAPQ Mean ± SD: {{:,.1f}} ± {{:,.1f}}', mapq_mean, mapq_std_dev), format('MAPQ Range: {{}} - {{}}', mapq_min, mapq_max),
+        format('Event Size Mean ± SD: {{:,.1f}} ± {{:,.1f}} bp', event_size_mean, event_size_std_dev), format('Event Size Median: {{:,.1f}} bp', event_size_median),
+        format('Dominant Type: {{}}: {{}}', dominant_notation, dominant_count), format('Unique Reads: {{}}', tumor_reads + normal_reads), format('Density: {{:,.2f}} breakpoints/kb', breakpoint_density)], chr(10)) AS summary FROM wide_stats""")
 def cluster_summary(spark, d):
-    rows = clustering.summary_lines(clustering.comprehensive_statistics(_clustered(spark, d)))
-    line = lambda name: F.regexp_extract("summary", f"(?m)^({name}: .*)$", 1)
-    return rows.select("start_chr", "cluster", F.substring_index("summary", "\n", 2).alias("summary_head"), line("Unique Reads").alias("reads_line"), line("MAPQ Range").alias("mapq_line"))
+    return clustering.summary_lines(clustering.comprehensive_statistics(_clustered(spark, d))).select("start_chr", "cluster", "summary")
 
 
 # --- small parts of reads and filters ---------------------------------------------------------------------
@@ -1072,6 +1075,36 @@ def kmer_evidence(spark, d):
     return germline.kmer_evidence(calls, reads, reference, "call_id")
 
 
+_CLIP_KMERS = f"""{v.SHORT_READS}, {_PLACES}, m AS (SELECT call_id, p1, sr.*, upper(substr(repeat(md5('r' || CAST(ord % 40 AS VARCHAR)), 5), 1, 120)) AS seq FROM pl JOIN sr ON sr.contig = c1 AND sr.start < p1 + 500 AND sr."end" > greatest(0, p1 - 500) WHERE {_USABLE} AND (abs(start - p1) <= 100 OR abs("end" - p1) <= 100)
+    ), k AS (SELECT call_id, 'l' AS side, clip, substr(seq, 1, clip) AS part FROM m WHERE form = 0 AND clip >= 10 AND start >= p1 - 50 UNION ALL SELECT call_id, 'r', clip, substr(seq, 121 - clip, clip) FROM m WHERE form = 1 AND clip >= 10 AND "end" <= p1 + 50
+    ), known AS (SELECT call_id, list_transform(range(1, 45), lambda i: substr(t, i, 21)) AS ks FROM (SELECT call_id, upper(repeat(md5('r' || CAST(call_id % 40 AS VARCHAR)), 2)) AS t FROM pl)
+    ), t AS (SELECT call_id, side, list_has_any(list_transform(range(1, greatest(1, length(part) - 19)), lambda i: substr(part, i, 21)), ks) AS shares FROM k JOIN known USING (call_id)
+    ), n AS (SELECT call_id, count(*) FILTER (WHERE side = 'l') AS n_left, count(*) FILTER (WHERE side = 'r') AS n_right, count(*) FILTER (WHERE shares) AS n_kmer, count(*) AS n_tested FROM t GROUP BY call_id
+    ), cnt AS (SELECT call_id, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right, coalesce(n_kmer, 0) AS n_kmer, coalesce(n_tested, 0) AS n_tested FROM pl LEFT JOIN n USING (call_id)
+    ), z AS (SELECT *, CASE WHEN n_kmer / nullif(n_tested, 0) >= 0.5 THEN 4 WHEN n_kmer / nullif(n_tested, 0) >= 0.3 THEN 3 WHEN n_kmer / nullif(n_tested, 0) >= 0.1 THEN 2 ELSE 0 END
+        + CASE WHEN n_tested >= 5 THEN 3 WHEN n_tested >= 2 THEN 2 WHEN n_tested >= 1 THEN 1 ELSE 0 END + CASE WHEN n_left > 0 AND n_right > 0 THEN 2 ELSE 0 END AS sc FROM cnt)"""
+
+
+@query(f"WITH {_CLIP_KMERS} SELECT call_id, n_left, n_right, n_kmer, n_tested, sc AS insertion_score, sc >= 2 AS is_insertion FROM z")
+def insertion_kmer_score(spark, d):
+    digest = lambda n: F.md5(F.concat(F.lit("r"), (n % 40).cast("string")).cast("binary"))
+    reads = v.short_reads(spark, d).withColumn("seq", F.upper(F.substring(F.repeat(digest(c("ord")), F.lit(5)), 1, 120)))
+    known = kmers.kmers(F.repeat(digest(c("call_id")), F.lit(2)), DEFAULT.k_insert)
+    rows = germline.score_insertion(germline.count_insertion(_some_calls(spark, d), reads, "call_id", F.lit(0), known))
+    return rows.select("call_id", "n_left", "n_right", "n_kmer", "n_tested", "insertion_score", "is_insertion")
+
+
+@query(f"""WITH {v.SHORT_READS}, {_PLACES} SELECT call_id, count(sr.ord) AS n_supplementary, CASE WHEN count(sr.ord) >= 3 THEN 3 WHEN count(sr.ord) >= 1 THEN 2 ELSE 0 END AS points
+    FROM pl LEFT JOIN sr ON contig = c1 AND start < p2 + 1000 AND "end" > greatest(0, p1 - 1000) AND is_supplementary AND mapq >= 20 AND ord % 2 = 0 AND contains(sa_contig, contig) GROUP BY call_id""")
+def inversion_supplementary(spark, d):
+    # tags that name both strands, of every second read
+    reads = v.short_reads(spark, d).withColumn("sa", F.when(c("ord") % 2 == 0, F.concat("sa", F.lit("+-"))).otherwise(c("sa")))
+    counts = germline.count_inversion(_some_calls(spark, d), reads, "call_id")
+    without = germline.score_inversion(counts.withColumns({"n_supplementary": F.lit(0), "total_pairs": F.lit(1)})).select("call_id", c("inversion_score").alias("least"))
+    scored = germline.score_inversion(counts.withColumn("total_pairs", F.lit(1))).join(without, "call_id")
+    return scored.select("call_id", "n_supplementary", (c("inversion_score") - c("least")).cast("int").alias("points"))
+
+
 # --- the joined germline filter -----------------------------------------------------------------------------
 
 
@@ -1138,11 +1171,12 @@ def germline_filter(spark, d):
     return germline.filter_germline(*_germline_inputs(spark, d), "call_id", 0.2).select("call_id", "start_chr", "start_loc")
 
 
-@query(f"""WITH {_CALLS}, w AS (SELECT start_chr, cluster, count(*) AS total, count(DISTINCT source) AS sources, min(mapq) AS least, max(start_loc) AS last FROM cl GROUP BY ALL)
-    SELECT call_id, total AS start_total_breakpoints, sources AS start_unique_sources, least AS start_mapq_min, last AS start_starts_max FROM calls JOIN w USING (start_chr, cluster)""")
+@query(f"""WITH {_CALLS}, wide_stats AS ({ORACLES['cluster_stats_full']}), w AS (SELECT start_chr, cluster, COLUMNS(* EXCLUDE (start_chr, cluster)) AS 'start_\\0' FROM wide_stats)
+    SELECT calls.call_id, w.* EXCLUDE (start_chr, cluster) FROM calls JOIN w USING (start_chr, cluster)""")
 def call_cluster_statistics(spark, d):
     rows = calling.with_cluster_statistics(_calls(spark, d), _clustered(spark, d))
-    return rows.select("call_id", "start_total_breakpoints", "start_unique_sources", "start_mapq_min", "start_starts_max")
+    names = [f"start_{x}" for x in clustering.comprehensive_statistics(_clustered(spark, d)).columns if x not in clustering.CLUSTER]
+    return rows.select("call_id", *names).withColumn("start_phase_sets_count", c("start_phase_sets_count").cast("bigint"))
 
 
 # --- similarity and components -----------------------------------------------------------------------------

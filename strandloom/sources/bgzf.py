@@ -54,6 +54,8 @@ class ContigIndex:
 
     linear: list[int]
     bins: dict[int, list[tuple[int, int]]]
+    #: First bin of each level and the bits of a position that its bins cover.
+    levels: tuple[tuple[int, int], ...] = _LEVELS
 
     @property
     def begin(self) -> int:
@@ -67,7 +69,7 @@ class ContigIndex:
 
     def chunks(self, low: int, high: int) -> list[tuple[int, int]]:
         """Ranges of offsets that hold every record that overlaps [low, high)."""
-        low, high = max(0, low), min(high, 1 << 29)
+        low, high = max(0, low), min(high, 1 << self.levels[0][1])
         if high <= low:
             return []
         if not self.bins:
@@ -77,7 +79,7 @@ class ContigIndex:
             return []  # no record reaches that far
         # records before the first that overlaps the window end before it
         least = self.linear[window] if self.linear else 0
-        wanted = [n for first, bits in _LEVELS for n in range(first + (low >> bits), first + ((high - 1) >> bits) + 1) if n in self.bins]
+        wanted = [n for first, bits in self.levels for n in range(first + (low >> bits), first + ((high - 1) >> bits) + 1) if n in self.bins]
         return [(max(a, least), b) for n in wanted for a, b in self.bins[n] if b > least]
 
 
@@ -101,6 +103,28 @@ def read_index(data: bytes) -> list[ContigIndex]:
     return out
 
 
+def read_wide_index(data: bytes) -> list[ContigIndex]:
+    """The same from a .csi file (its plain bytes), whose bins can cover longer contigs; it has no linear index."""
+    if data[:4] != b"CSI\x01":
+        raise ValueError("not an index")
+    shift, depth, extra = struct.unpack_from("<iii", data, 4)
+    levels = tuple((((1 << 3 * level) - 1) // 7, shift + 3 * (depth - level)) for level in range(depth + 1))
+    counts, out, at = ((1 << 3 * (depth + 1)) - 1) // 7 + 1, [], 16 + extra
+    n_contigs = struct.unpack_from("<i", data, at)[0]
+    at += 4
+    for _ in range(n_contigs):
+        n_bins = struct.unpack_from("<i", data, at)[0]
+        at += 4
+        bins = {}
+        for _ in range(n_bins):
+            number, _, n = struct.unpack_from("<IQi", data, at)
+            if number != counts:
+                bins[number] = [struct.unpack_from("<QQ", data, at + 16 + 16 * i) for i in range(n)]
+            at += 16 + 16 * n
+        out.append(ContigIndex([], bins, levels))
+    return out
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans of which none overlap or touch."""
     out: list[tuple[int, int]] = []
@@ -182,6 +206,74 @@ class Blocks:
         return self.block_at, self.place
 
 
+def _plain_blocks(file) -> Iterator[bytes]:
+    blocks = Blocks(file)
+    while blocks._load():
+        yield blocks.data
+
+
+def first_block(file, begin: int, end: int) -> int | None:
+    """The first block that starts in [begin, end): a header behind whose length the next header or the file's end lies."""
+    file.seek(0, 2)
+    size, step = file.tell(), 1 << 17
+    is_head = lambda data, i: data[i : i + 4] == b"\x1f\x8b\x08\x04" and data[i + 12 : i + 16] == b"BC\x02\x00"
+    at = begin
+    while at < end:
+        file.seek(at)
+        data = bytes(file.read(step + 18))
+        i = data.find(b"\x1f\x8b\x08\x04")
+        while 0 <= i < step and at + i < end:
+            if is_head(data, i):
+                follow = at + i + struct.unpack_from("<H", data, i + 16)[0] + 1
+                file.seek(follow)
+                if follow == size or is_head(bytes(file.read(18)), 0):
+                    return at + i
+            i = data.find(b"\x1f\x8b\x08\x04", i + 1)
+        at += step
+    return None
+
+
+def _plausible(data: bytes, at: int, n_contigs: int) -> int | None:
+    """The length of what may be a record at a place, with its length field; None if it is none."""
+    size, ref, pos, n_name, _, _, n_ops, _, n_seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (-1 <= ref < n_contigs and -1 <= mate < n_contigs and pos >= -1 and mate_pos >= -1 and n_name and n_seq >= 0):
+        return None
+    if 32 + n_name + 4 * n_ops + (n_seq + 1) // 2 + n_seq > size:
+        return None
+    name = data[at + 36 : at + 36 + n_name]
+    return size + 4 if name[-1:] in (b"\0", b"") and all(33 <= x <= 126 for x in name[:-1]) else None
+
+
+def first_record(file, begin: int, end: int, n_contigs: int, chain: int = 8) -> int | None:
+    """Virtual offset of the first record that starts in a block of [begin, end); None if there is none.
+
+    A place counts as a record's start if as many plausible records follow each other from it, or all to the file's end.
+    """
+    block = first_block(file, begin, end)
+    if block is None:
+        return None
+    reach = 1 << 18
+    while True:
+        blocks = Blocks(file, block)
+        data = blocks.read(reach)
+        last = len(data) < reach
+        for at in range(max(0, len(data) - 36)):
+            place, n = at, 0
+            while n < chain and place + 36 <= len(data):
+                size = _plausible(data, place, n_contigs)
+                if size is None:
+                    break
+                place, n = place + size, n + 1
+            if n == chain or (n and last and place == len(data)):
+                blocks = Blocks(file, block)
+                blocks.read(at)
+                found, spot = blocks.tell()
+                return (found << 16) | spot
+        if last:
+            return None
+        reach *= 4  # records longer than what was read
+
+
 def read_header(blocks: Blocks) -> tuple[str, list[tuple[str, int]]]:
     """Header text and (contig, length) in the order of the file."""
     if blocks.read(4) != b"BAM\x01":
@@ -257,6 +349,14 @@ class Ranges(InputPartition):
         self.path, self.spans = path, spans
 
 
+class Stretch(InputPartition):
+    """Bytes of a file without an index: records that start in blocks that start in [begin, end)."""
+
+    def __init__(self, path: str, begin: int, end: int):
+        super().__init__((path, begin))
+        self.path, self.begin, self.end = path, begin, end
+
+
 @dataclass
 class Chunk(InputPartition):
     """A range of a file's blocks: records that start in blocks from begin to end (exclusive)."""
@@ -299,18 +399,18 @@ class AlignmentReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Chunk | Ranges]:
+    def partitions(self) -> list[Chunk | Ranges | Stretch]:
         """Splits of at least the split size that begin at a record.
 
-        Their places come from the file's index (path.bai). Without one, the file is walked by record lengths. With
-        regions, the index gives the blocks that each of them can lie in, and blocks of several regions are read once.
+        Their places come from the file's index (path.bai or path.csi). Without one, splits are stretches of bytes, in
+        which tasks find the first block and the first record themselves. With regions, the index gives the blocks that each of them can lie in, and blocks of several regions are read once.
         """
         with open_input(self.path) as file:
             blocks = Blocks(file)
             _, contigs = read_header(blocks)
             cuts = [blocks.tell()]
             if (index := self._indexed()) is not None:
-                known = sorted({x for contig in index for x in contig.linear if x})
+                known = sorted({x for contig in index for x in contig.linear if x} or {x for contig in index for spans in contig.bins.values() for x, _ in spans})
                 if self.regions is not None:
                     return self._dealt([x for i, (name, _) in enumerate(contigs[: len(index)]) if self._asked(name) for low, high in self.regions.get(name, []) for x in index[i].chunks(low, high)], known)
                 if self.contigs is not None:
@@ -321,21 +421,12 @@ class AlignmentReader(DataSourceReader):
                     if (at >> 16) - cuts[-1][0] >= self.split:
                         cuts.append((at >> 16, at & 0xFFFF))
                 return self._chunks(cuts)
-            while True:
-                at = blocks.tell()
-                if at[0] - cuts[-1][0] >= self.split:
-                    cuts.append(at)
-                head = blocks.read(4)
-                if len(head) < 4:
-                    break
-                left = struct.unpack("<i", head)[0]
-                while left > 0:  # skip without copying
-                    if blocks.place >= len(blocks.data) and not blocks._load():
-                        break
-                    step = min(left, len(blocks.data) - blocks.place)
-                    blocks.place += step
-                    left -= step
-        return self._chunks(cuts)
+            file.seek(0, 2)
+            size = file.tell()
+        # without an index: the first split begins behind the header, the others at the first record that they find
+        begin, place = cuts[0]
+        ends = [*range(begin + self.split, size, self.split), size]
+        return [Chunk(self.path, begin, place, ends[0] << 16), *[Stretch(self.path, a, b) for a, b in zip(ends, ends[1:])]]
 
     def _asked(self, name: str | None) -> bool:
         return self.contigs is None or name in self.contigs
@@ -364,6 +455,11 @@ class AlignmentReader(DataSourceReader):
         try:
             with open_input(self.path + ".bai") as file:
                 return read_index(bytes(file.read()))
+        except FileNotFoundError:
+            pass
+        try:
+            with open_input(self.path + ".csi") as file:
+                return read_wide_index(b"".join(_plain_blocks(file)))
         except FileNotFoundError:
             return None
 
@@ -379,9 +475,13 @@ class AlignmentReader(DataSourceReader):
             return True
         return at < len(spans) and spans[at][0] < pos + reference_length(data)
 
-    def _wanted(self, partition: Chunk | Ranges, file, contigs: list[tuple[str, int]]) -> Iterator[bytes]:
+    def _wanted(self, partition: Chunk | Ranges | Stretch, file, contigs: list[tuple[str, int]]) -> Iterator[bytes]:
         """Records of a split that the predicates and regions let through."""
-        spans = partition.spans if isinstance(partition, Ranges) else [((partition.begin << 16) | partition.place, partition.end)]
+        if isinstance(partition, Stretch):
+            first = first_record(file, partition.begin, partition.end, len(contigs))
+            spans = [(first, partition.end << 16)] if first is not None else []
+        else:
+            spans = partition.spans if isinstance(partition, Ranges) else [((partition.begin << 16) | partition.place, partition.end)]
         blocks = None
         for begin, end in spans:
             if blocks is None or blocks.block_at != begin >> 16:
@@ -404,7 +504,7 @@ class AlignmentReader(DataSourceReader):
                 if self._asked(name) and self.low <= pos < self.high and (self.regions is None or self._overlaps(name, data, pos)):
                     yield data
 
-    def read(self, partition: Chunk | Ranges) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunk | Ranges | Stretch) -> Iterator[pa.RecordBatch]:
         with open_input(partition.path) as file:
             _, contigs = read_header(Blocks(file))
             rows = []

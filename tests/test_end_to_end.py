@@ -304,3 +304,58 @@ def test_germline_filter_reads_once_and_only_near_calls(spark, tmp_path):
     assert kept == [[2, 4, 5, 6, 7, 8]] * 2
     plan = germline.evidence_rows(calls, near, "count")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchScan alignments") == 1
+
+
+def test_splits_without_an_index(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    size = lambda: r.choice([30, 100, 100, 5000])
+    rows = []
+    for i, s in enumerate(range(0, 300_000, 60)):
+        n = size()
+        rows.append({"read_name": f"read{i}", "flag": 0, "contig": "chr1", "start": s, "mapq": 60, "cigar": f"{n}M", "seq": "".join(r.choices("ACGT", k=n)), "tags": {"HP": i % 3, "SA": "chr2,5,+,3M,60,0;"}})
+    rows.insert(2000, {**rows[2000], "read_name": "long", "cigar": "400000M", "seq": "ACGT" * 100_000})
+    path = str(tmp_path / "plain.bam")
+    bgzf.write_alignments(path, [("chr1", 900_000), ("chr2", 10)], rows, block=9000)
+    bgzf.register(spark)
+    for split in (3_000, 50_000, 10**9):
+        reader = bgzf.AlignmentReader({"path": path, "splitbytes": str(split)})
+        parts = reader.partitions()
+        assert len(parts) > 10 or split > 3_000
+        assert [n for p in parts for b in reader.read(p) for n in b.column("read_name").to_pylist()] == [x["read_name"] for x in rows]
+    whole = spark.read.format("alignments").option("splitbytes", 40_000).load(path)
+    assert whole.rdd.getNumPartitions() > 4 and whole.count() == len(rows)
+
+
+def test_wide_index(tmp_path):
+    import json
+    import struct
+
+    rows = [{"read_name": f"r{i}", "flag": 0, "contig": "chr1", "start": s, "mapq": 60, "cigar": "100M", "seq": "ACGTTGCAAC" * 10} for i, s in enumerate([*range(0, 40_000, 100), *range(700_000_000, 700_040_000, 100)])]
+    path = str(tmp_path / "wide.bam")
+    bgzf.write_alignments(path, [("chr1", 900_000_000)], rows, block=3000)
+    shift, depth = 14, 6
+    levels = [(((1 << 3 * k) - 1) // 7, shift + 3 * (depth - k)) for k in range(depth + 1)]
+    bins = {}
+    with bgzf.open_input(path) as file:
+        blocks = bgzf.Blocks(file)
+        bgzf.read_header(blocks)
+        for row in rows:
+            begin, end = blocks.tell(), None
+            blocks.read(struct.unpack("<i", blocks.read(4))[0])
+            end = blocks.tell()
+            low, high = row["start"], row["start"] + 99
+            number = next(first + (low >> bits) for first, bits in reversed(levels) if low >> bits == high >> bits)
+            bins.setdefault(number, []).append((begin[0] << 16 | begin[1], end[0] << 16 | end[1]))
+    out = b"CSI\x01" + struct.pack("<iiii", shift, depth, 0, 1) + struct.pack("<i", len(bins))
+    for number, chunks in sorted(bins.items()):
+        out += struct.pack("<IQi", number, chunks[0][0], 1) + struct.pack("<QQ", chunks[0][0], chunks[-1][1])
+    with open(path + ".csi", "wb") as f:
+        f.write(bgzf._block(out) + bgzf._block(b""))
+    reader = bgzf.AlignmentReader({"path": path, "splitbytes": "5000", "regions": json.dumps({"chr1": [[700_010_000, 700_010_050]]})})
+    got = [s for p in reader.partitions() for b in reader.read(p) for s in b.column("start").to_pylist()]
+    assert got == [x["start"] for x in rows if x["start"] < 700_010_050 and x["start"] + 100 > 700_010_000]
+    assert sum((b >> 16) - (a >> 16) for p in reader.partitions() for a, b in p.spans) < 0.6 * (tmp_path / "wide.bam").stat().st_size
+    plain = bgzf.AlignmentReader({"path": path, "splitbytes": "5000"})
+    assert len(plain.partitions()) > 1 and sum(b.num_rows for p in plain.partitions() for b in plain.read(p)) == len(rows)
