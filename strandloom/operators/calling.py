@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
-from strandloom.functions.columns import INSERTION, insertion_like
-from strandloom.operators.clustering import CLUSTER, comprehensive_statistics, end_clusters, insert_length_islands, statistics
+from strandloom.functions.columns import INSERTION, insertion_like, round3
+from strandloom.operators.clustering import CLUSTER, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, size_median
+from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated
 from strandloom.operators.refinement import refine
 from strandloom.operators.stages import settle
 
@@ -40,19 +41,22 @@ def phase_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "sample").agg(F.count_distinct("read_name").alias("n_reads"), F.count("*").alias("n_alignments"), *histogram("start"), *histogram("end"))
 
 
-def call_aggregates() -> list[Column]:
+def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT, large: int = LARGE) -> DataFrame:
+    """One row for each group with support: its sums, the medians of its places and the statistics of its origin."""
     inserts = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_length"))
-    return [
-        F.median("start_loc").cast("bigint").alias("start_loc"),
-        F.median("end_loc").cast("bigint").alias("end_median"),
+    sums = [
         F.array_join(F.array_sort(F.collect_set("source")), "/").alias("source"),
         F.count_if(F.col("breakpoint_notation") == INSERTION).alias("n_insertions"),
         F.avg(inserts).cast("bigint").alias("insert_mean"),
         F.count("inserted_sequence").alias("n_sequences"),
         F.count("*").alias("n_rows"),
         *sample_counts(),
-        *statistics("origin_"),
+        *moments("origin_"),
     ]
+    place = lambda x, name: (F.col(x), POSITIONS, {name: 0.5})
+    medians = [place("start_loc", "start_loc"), place("end_loc", "end_median"), size_median("origin_event_size_median")]
+    whole = {x: F.col(x).cast("bigint") for x in ("start_loc", "end_median")}
+    return aggregated(rows, keys, sums, medians, large).where(_has_support(config)).withColumns(whole | {"origin_event_size_median": round3(F.col("origin_event_size_median"))})
 
 
 def total_reads(clustered: DataFrame) -> DataFrame:
@@ -79,10 +83,10 @@ def insertion_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     like = rows.where(insertion_like(F.col("breakpoint_notation")))
     enough = like.groupBy(*GROUP).agg(F.count("*").alias("__n")).where(F.col("__n") >= config.min_support).drop("__n")
     numbered = settle(insert_length_islands(like.join(enough, GROUP, "left_semi"), GROUP, config.insert_fraction), "length-islands")
-    whole = numbered.groupBy(*GROUP, "length_island").agg(*call_aggregates()).where(_has_support(config))
+    whole = supported_calls(numbered, [*GROUP, "length_island"], config)
     merged = whole.where("n_insertions >= 2").withColumn("breakpoint_notation", F.lit(INSERTION))
     few = whole.where("n_insertions < 2").select(*GROUP, "length_island")
-    alone = numbered.join(few, [*GROUP, "length_island"], "left_semi").groupBy(*GROUP, "length_island", "breakpoint_notation").agg(*call_aggregates()).where(_has_support(config))
+    alone = supported_calls(numbered.join(few, [*GROUP, "length_island"], "left_semi"), [*GROUP, "length_island", "breakpoint_notation"], config)
     calls = merged.unionByName(alone)
     length = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_mean")).otherwise(F.lit(0).cast("bigint"))
     end = {s.replace("origin_", "end_"): F.col(s) for s in calls.columns if s.startswith("origin_")}
@@ -101,8 +105,7 @@ def end_calls(rows: DataFrame, config: Config = DEFAULT, reads: DataFrame | None
         ends = parted.withColumn("end_cluster", F.when(F.col("part") == 0, F.col("end_cluster")).otherwise(F.xxhash64("end_cluster", "part"))).drop("part")
     ends = settle(ends, "end-clusters")
     keys = [*GROUP, "end_cluster"]
-    calls = ends.groupBy(*keys, "breakpoint_notation").agg(*call_aggregates()).where(_has_support(config))
-    calls = calls.join(ends.groupBy(*keys).agg(*statistics("end_")), keys)
+    calls = supported_calls(ends, [*keys, "breakpoint_notation"], config).join(cluster_statistics(ends, keys, "end_"), keys)
     length = F.when(F.col("start_chr") != F.col("end_chr"), F.lit(0)).otherwise(F.abs(F.col("end_median") - F.col("start_loc"))).cast("bigint")
     placed = calls.withColumns({"end_loc": F.col("end_median"), "sv_length": length, "part": F.col("end_cluster"), "group_end_chr": F.col("end_chr")})
     kept = placed.where((F.col("sv_length") >= config.min_length) | (F.col("start_chr") != F.col("end_chr")))

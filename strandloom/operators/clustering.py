@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, event_size, insertion_like, round3
 from strandloom.operators.ordered import islands
+from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated
 
 CLUSTER = ["start_chr", "cluster"]
 
@@ -52,23 +53,28 @@ def cluster_extent(clustered: DataFrame, keys: list[str] | None = None, config:
     )
 
 
-def statistics(prefix: str = "") -> list[Column]:
-    """The five statistics of a group of breakpoints, with three decimals."""
+def moments(prefix: str = "") -> list[Column]:
+    """The statistics of a group of breakpoints that are sums, with three decimals."""
     size = bp_event_size()
     return [
         round3(F.stddev_pop("start_loc")).alias(f"{prefix}starts_std_dev"),
         round3(F.avg("mapq")).alias(f"{prefix}mapq_mean"),
         round3(F.stddev_pop(size)).alias(f"{prefix}event_size_std_dev"),
-        round3(F.median(size)).alias(f"{prefix}event_size_median"),
         round3(F.avg(size)).alias(f"{prefix}event_size_mean"),
     ]
 
 
-def cluster_statistics(clustered: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return clustered.groupBy(*(keys or CLUSTER)).agg(*statistics())
+def size_median(name: str) -> tuple[Column, float, dict[str, float]]:
+    return bp_event_size(), POSITIONS, {name: 0.5}
 
 
-def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None, config: Config = DEFAULT) -> DataFrame:
+def cluster_statistics(clustered: DataFrame, keys: list[str] | None = None, prefix: str = "", large: int = LARGE) -> DataFrame:
+    """The five statistics of each group, with three decimals; the keys must not be null."""
+    name = f"{prefix}event_size_median"
+    return aggregated(clustered, keys or CLUSTER, moments(prefix), [size_median(name)], large).withColumn(name, round3(F.col(name)))
+
+
+def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None, config: Config = DEFAULT, large: int = LARGE) -> DataFrame:
     """The wide statistics of each cluster; histograms become one column for each value that can occur.
 
     Ties of the most frequent notation go to the one that comes first in the cluster (by start_loc, ord).
@@ -79,18 +85,16 @@ def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None
     hp = lambda v: (F.count_if(F.col("haplotype_start").eqNullSafe(v) & _phased()) + F.count_if(F.col("haplotype_end").eqNullSafe(v) & _phased())).alias(f"haplotype_{v if v is not None else 'none'}")
     reads = lambda s: F.count_distinct(F.when(F.col("sample") == s, F.col("read_name")))
     span = F.max(reach(config)) - F.min("start_loc")
-    wide = clustered.groupBy(*keys).agg(
+    sums = [
         F.count("*").alias("total_breakpoints"),
         F.count_distinct("sample").alias("unique_samples"),
         F.array_join(F.array_sort(F.collect_set("sample")), ",").alias("sample_list"),
         F.count_distinct("source").alias("unique_sources"),
         F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_list"),
-        *statistics(),
+        *moments(),
         round3(F.avg("start_loc")).alias("starts_mean"),
-        round3(F.median("start_loc")).alias("starts_median"),
         F.min("start_loc").alias("starts_min"),
         F.max("start_loc").alias("starts_max"),
-        round3(F.median("mapq")).alias("mapq_median"),
         round3(F.stddev_pop("mapq")).alias("mapq_std_dev"),
         F.min("mapq").alias("mapq_min"),
         F.max("mapq").alias("mapq_max"),
@@ -98,7 +102,6 @@ def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None
         F.max(size).alias("event_size_max"),
         F.count(insert).alias("insert_count"),
         F.coalesce(round3(F.avg(insert)), F.lit(0.0)).alias("insert_mean"),
-        F.coalesce(round3(F.median(insert)), F.lit(0.0)).alias("insert_median"),
         F.coalesce(round3(F.stddev_pop(insert)), F.lit(0.0)).alias("insert_std_dev"),
         F.count_if(F.col("sample") == "tumor").alias("tumor_alignments"),
         F.count_if(F.col("sample") == "normal").alias("normal_alignments"),
@@ -110,7 +113,10 @@ def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None
         F.size(F.array_distinct(both)).alias("phase_sets_count"),
         span.alias("cluster_span"),
         (F.count("*") / F.greatest(F.lit(1), span) * 1000).alias("breakpoint_density"),
-    )
+    ]
+    medians = [size_median("event_size_median"), (F.col("start_loc"), POSITIONS, {"starts_median": 0.5}), (F.col("mapq"), 16, {"mapq_median": 0.5}), (insert, POSITIONS, {"insert_median": 0.5})]
+    wide = aggregated(clustered, keys, sums, medians, large).withColumns({n: round3(F.col(n)) for _, _, names in medians for n in names})
+    wide = wide.withColumn("insert_median", F.coalesce("insert_median", F.lit(0.0)))
     counts = clustered.groupBy(*keys, "breakpoint_notation").agg(F.count("*").alias("n"), F.min(F.struct("start_loc", "ord")).alias("first"))
     dominant = counts.groupBy(*keys).agg(F.max_by(F.struct("breakpoint_notation", "n"), F.struct("n", (-F.col("first.start_loc")).alias("s"), (-F.col("first.ord")).alias("o"))).alias("d"))
     dominant = dominant.select(*keys, F.col("d.breakpoint_notation").alias("dominant_notation"), F.col("d.n").alias("dominant_count"))
@@ -149,12 +155,22 @@ def insert_length_islands(rows: DataFrame, keys: list[str], fraction: float = DE
     """Number insertion-like rows by chains of insert lengths within keys.
 
     Insertions are sorted by length; a row stays in the chain if its length is at most
-    ceil((2 - fraction) * the length before it). Single ends go to the last chain.
+    ceil((2 - fraction) * the length before it). Single ends go to the last chain. As a length stays in the
+    chain of an equal one, chains are formed from the distinct lengths of a group, of which there are no more
+    than the longest insertion has bases, however many rows the group has. Rows without a length are a chain.
     """
-    by_length = Window.partitionBy(*keys).orderBy("insert_length", "ord")
-    inserts = rows.where(F.col("breakpoint_notation") == INSERTION).withColumn("__before", F.lag("insert_length").over(by_length))
+    if not 0 <= fraction <= 1:
+        raise ValueError("fraction must be from 0 to 1")
+    by_length = Window.partitionBy(*keys).orderBy("insert_length")
+    inserts = rows.where(F.col("breakpoint_notation") == INSERTION)
+    lengths = inserts.select(*keys, "insert_length").distinct().withColumn("__before", F.lag("insert_length").over(by_length))
     opens = F.when(F.col("__before").isNull() | (F.col("insert_length") > F.ceil(F.col("__before") * F.lit(2.0 - fraction))), 1).otherwise(0)
-    inserts = inserts.withColumn("__opens", opens).withColumn("length_island", F.sum("__opens").over(by_length).cast("bigint")).drop("__before", "__opens")
+    lengths = lengths.withColumn("__opens", opens).withColumn("length_island", F.sum("__opens").over(by_length).cast("bigint"))
+    lengths = lengths.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("insert_length").alias("__length"), "length_island")
+    same = F.col("insert_length").eqNullSafe(F.col("__length"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    inserts = inserts.join(lengths, same).drop("__length", *[f"__{k}" for k in keys])
     single = rows.where(F.col("breakpoint_notation").isin("+", "-"))
     last = inserts.groupBy(*keys).agg(F.max("length_island").alias("length_island"))
     return inserts.unionByName(single.join(last, keys, "left").withColumn("length_island", F.coalesce("length_island", F.lit(1).cast("bigint"))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, first_reason
 from strandloom.operators.ordered import interval_join
+from strandloom.operators.quantiles import quantiles
 
 c = F.col
 
@@ -146,13 +147,12 @@ def af_distribution(calls: DataFrame) -> DataFrame:
 
 def reference_statistics(featured: DataFrame) -> DataFrame:
     """Percentiles of allele fractions, medians of support and mapping quality, number of calls."""
-    shares = {10: 0.1, 25: 0.25, 50: 0.5, 75: 0.75, 90: 0.9}
-    return featured.agg(
-        *[F.coalesce(F.percentile("tumor_af", F.lit(p)), F.lit(0.0)).alias(f"af_p{n}") for n, p in shares.items()],
-        F.coalesce(F.median("tumor_reads"), F.lit(0.0)).alias("support_median"),
-        F.coalesce(F.median("min_mapq"), F.lit(0.0)).alias("mapq_median"),
-        F.count("*").alias("total_variants"),
-    )
+    shares = {"af_p10": 0.1, "af_p25": 0.25, "af_p50": 0.5, "af_p75": 0.75, "af_p90": 0.9}
+    # fractions and qualities have three decimals
+    measures = [(c("tumor_af"), 0.1, shares), (c("tumor_reads"), 64, {"support_median": 0.5}), (c("min_mapq"), 1, {"mapq_median": 0.5})]
+    found = quantiles(featured, [], measures).unionByName(featured.agg(F.count("*").cast("double").alias("value")).withColumn("name", F.lit("total_variants")))
+    value = lambda n: F.coalesce(F.max(F.when(c("name") == n, c("value"))), F.lit(0.0))
+    return found.agg(*[value(n).alias(n) for n in (*shares, "support_median", "mapq_median")], value("total_variants").cast("bigint").alias("total_variants"))
 
 
 def depth_threshold(calls: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.columns import INSERTION
+from strandloom.operators.stages import stored
 
 c = F.col
 STATISTICS = ("starts_std_dev", "mapq_mean", "event_size_std_dev", "event_size_median", "event_size_mean")
@@ -123,30 +124,39 @@ def header(contigs: list[tuple[str, int]], reference: str, sample: str = "sample
     return "\n".join(lines) + "\n"
 
 
-def _write(spark: SparkSession, path: str, pieces) -> None:
-    """Write a text file through the session's file systems, piece by piece."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+def _write(spark: SparkSession, path: str, head: str, parts: str | None = None) -> None:
+    """Write a text file through the session's file systems: head, and then the files of the folder parts, in order."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    place = lambda x: (hadoop.fs.Path(x), hadoop.fs.Path(x).getFileSystem(conf))
+    target, system = place(path)
+    stream = system.create(target, True)
     try:
-        for piece in pieces:
-            stream.write(bytearray(piece.encode()))
+        stream.write(bytearray(head.encode()))
+        if parts:
+            folder, source = place(parts)
+            found = [s.getPath() for s in source.listStatus(folder) if s.getPath().getName().startswith("part-")]
+            for part in sorted(found, key=lambda p: (int(p.getName().split("-")[1]), p.getName())):
+                piece = source.open(part)
+                try:
+                    hadoop.io.IOUtils.copyBytes(piece, stream, 1 << 16, False)
+                finally:
+                    piece.close()
     finally:
         stream.close()
 
 
 def write_variants(spark: SparkSession, lines: DataFrame, path: str, head: str, skip_empty: bool = False) -> bool:
-    """Write one variant file; lines come to the driver one partition at a time. With skip_empty nothing is
-    written without lines."""
+    """Write one variant file. Tasks sort and write ranges of the lines as text files; the driver's JVM only copies
+    their bytes behind the header, one buffer at a time. With skip_empty nothing is written without lines."""
     if skip_empty and not lines.take(1):
         return False
-    ordered = lines.orderBy("count", "n").select("line")
-    _write(spark, path, (x for part in ([head], (r.line + "\n" for r in ordered.toLocalIterator())) for x in part))
+    _write(spark, path, head, stored(lines.orderBy("count", "n").select("line"), "variant-lines"))
     return True
 
 
 def write_statistics(spark: SparkSession, path: str, values: dict, mean_af: float) -> None:
     lines = ["=== Global Statistics ==="] + [f"{k}: {v}" for k, v in values.items()] + ["", "=== Additional Metrics ===", f"mean_af: {mean_af:.5f}", ""]
-    _write(spark, path, ["\n".join(lines)])
+    _write(spark, path, "\n".join(lines))
 
 
 def filter_summary(passed: DataFrame) -> DataFrame:
@@ -161,4 +171,4 @@ def write_filter_summary(spark: SparkSession, path: str, reference: dict, summar
     if summary["passed"]:
         lines += ["", "=== Confidence Factor Distribution ==="]
         lines += [f"{n}: mean={summary[f'mean_{n}']:.3f}, median={summary[f'median_{n}']:.3f}" for n in ("af_confidence", "support_confidence", "quality_confidence", "noise_confidence")]
-    _write(spark, path, ["\n".join(lines) + "\n"])
+    _write(spark, path, "\n".join(lines) + "\n")
