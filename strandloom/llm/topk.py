@@ -9,8 +9,10 @@ results), so the first dimensions carry most of the sums. What passes is scored
 
 Every query first meets the block of the longest vectors, which gives it a threshold, and with it the least
 length that a vector needs to reach it. Queries are sorted by that length into blocks of their own, and a
-block of vectors is sent to a block of queries only if its longest is long enough. Each (query block, group)
-is one unit of work that sends on at most k rows a query; no task or driver holds all vectors.
+block of vectors is sent to a block of queries only if its longest is long enough. A block of queries is as
+large as a task can hold and searched in tiles; numbers travel in the smallest integer type that holds them
+all. Each (query block, group) is one unit of work that sends on at most k rows a query; no task or driver
+holds all vectors.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take
 no part; shorter vectors count as padded with zeros; all rows with the query's id are its own; a query row
@@ -32,7 +34,11 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import materialize
 
 K = 20
-BLOCK, GROUP_BLOCKS, QUERIES = 2048, 8, 1024
+BLOCK, GROUP_BLOCKS = 2048, 8
+#: Queries in a block at most (a block of vectors is sent to each), and those of them that are searched at once.
+QUERIES, TILE = 1 << 14, 1024
+#: Units of work from which groups grow, up to MOST_GROUP_BLOCKS: fewer groups send on fewer candidates a query.
+UNITS, MOST_GROUP_BLOCKS = 4096, 64
 #: Numbers in a block at most (but for 64 rows), whatever the dimensions.
 BLOCK_CELLS = 1 << 22
 #: Vectors that the rotation is fitted on, about; all, if there are fewer.
@@ -60,6 +66,11 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def _values(data: bytes, rows: int, dims: int, number: type) -> np.ndarray:
+    """Packed integer vectors as rows of 64-bit integers."""
+    return np.frombuffer(data, number).reshape(rows, dims).astype(np.int64)
+
+
 def rotation(vectors: DataFrame, dims: int, head: int, n: int) -> np.ndarray | None:
     """Leading right singular vectors by falling singular value, fitted on all of n vectors or on about ROTATION_ROWS.
 
@@ -89,10 +100,15 @@ def rotation(vectors: DataFrame, dims: int, head: int, n: int) -> np.ndarray | N
     return np.ascontiguousarray(basis[:, ::-1][:, :head])
 
 
-def _pack(rows_a_block: int, dims: int, edge: str, scalars: dict[str, type]):
+def smallest_integer(least: int, greatest: int) -> type:
+    """The smallest integer type that holds both numbers."""
+    return next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and greatest <= np.iinfo(t).max)
+
+
+def _pack(rows_a_block: int, dims: int, edge: str, scalars: dict[str, type], number: type):
     """Rows in order -> blocks of at most rows_a_block rows: (part, k, lo, hi, values, and the scalars as bytes).
 
-    lo and hi: least and greatest edge of the rows.
+    lo and hi: least and greatest edge of the rows; the values are numbers of the given type.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +120,13 @@ def _pack(rows_a_block: int, dims: int, edge: str, scalars: dict[str, type]):
             for c, x in whole.items():
                 held[c][:] = [x[n:]]
             edges = whole[edge][:n]
-            out = {"part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int32()), "lo": [float(edges.min())], "hi": [float(edges.max())], "values": pa.array([whole["v"][:n].tobytes()], pa.binary())}
+            out = {"part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int32()), "lo": [float(edges.min())], "hi": [float(edges.max())], "values": pa.array([whole["v"][:n].astype(number).tobytes()], pa.binary())}
             return pa.RecordBatch.from_pydict(out | {c: pa.array([whole[c][:n].astype(t).tobytes()], pa.binary()) for c, t in scalars.items()})
 
         rows = 0
         for batch in batches:
             for c in held:
-                held[c].append(_matrix(batch.column("v"), dims) if c == "v" else batch.column(c).to_numpy())
+                held[c].append(_matrix(batch.column("v"), dims).astype(number) if c == "v" else batch.column(c).to_numpy())
             rows += batch.num_rows
             while rows >= rows_a_block:
                 yield block(rows_a_block)
@@ -203,28 +219,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
     used = used.select(F.col(vec_id).cast("bigint").alias("vec_id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     used = materialize(used.withColumn("length", length), "topk-vectors")
-    shape = used.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims"), F.count_if("is_query").alias("q")).first()
+    shape = used.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dims"), F.count_if("is_query").alias("q"), F.min(F.array_min("v")).alias("least"), F.max(F.array_max("v")).alias("greatest")).first()
     dims = max(1, shape.dims)
     basis = spark.sparkContext.broadcast(rotation(used, dims, max(1, dims // HEAD), shape.n))
     block_rows, query_rows = (max(64, min(most, BLOCK_CELLS // dims)) for most in (BLOCK, QUERIES))
+    number = smallest_integer(min(0, shape.least or 0), max(0, shape.greatest or 0))
+    pairs = -(-shape.n // block_rows) * -(-shape.q // query_rows)
+    group_blocks = min(MOST_GROUP_BLOCKS, max(GROUP_BLOCKS, pairs // UNITS))
 
     def blocks(rows: DataFrame, size: int, blocks_a_part: int, n: int, edge: str, scalars: dict[str, type], name: str) -> DataFrame:
         order = [F.col(edge).desc(), F.col("vec_id")]
         ordered = rows.repartitionByRange(max(1, -(-n // (size * blocks_a_part))), *order).sortWithinPartitions(*order)
         schema = "part int, k int, lo double, hi double, values binary, " + ", ".join(f"{c} binary" for c in scalars)
-        return materialize(ordered.mapInArrow(_pack(size, dims, edge, scalars), schema), name)
+        return materialize(ordered.mapInArrow(_pack(size, dims, edge, scalars, number), schema), name)
 
-    candidates = blocks(used.select("vec_id", "v", "length"), block_rows, GROUP_BLOCKS, shape.n, "length", {"vec_id": np.int64}, "topk-blocks")
+    candidates = blocks(used.select("vec_id", "v", "length"), block_rows, group_blocks, shape.n, "length", {"vec_id": np.int64}, "topk-blocks")
     # the block of the longest vectors: one row of at most BLOCK_CELLS numbers
     longest = candidates.orderBy("part", "k").select("vec_id", "values").first()
     seed = spark.sparkContext.broadcast((bytes(longest.vec_id), bytes(longest["values"])) if longest else (b"", b""))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.frombuffer(seed.value[0], np.int64)
-        values = np.frombuffer(seed.value[1], np.int64).reshape(len(ids), dims)
+        values = _values(seed.value[1], len(ids), dims, number)
         for batch in batches:
-            for at in range(0, batch.num_rows, query_rows):
-                part = batch.slice(at, query_rows)
+            for at in range(0, batch.num_rows, TILE):
+                part = batch.slice(at, TILE)
                 search = _Search(part.column("vec_id").to_numpy(), part.column("key").to_numpy(), _matrix(part.column("v"), dims), basis.value, k)
                 search.add(ids, values)
                 known = np.maximum(search.threshold, 0.0)
@@ -249,20 +268,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_i
     rows = rows.unionByName(met.select("block", "part", "k", "vec_id", none.alias("key"), none.alias("known"), "values"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now: list[_Search] = []
         for batch in batches:
             for row in range(batch.num_rows):
                 value = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
                 ids = np.frombuffer(value("vec_id"), np.int64)
-                values = np.frombuffer(value("values"), np.int64).reshape(len(ids), dims)
+                values = _values(value("values"), len(ids), dims, number)
                 if value("k") < 0:
-                    if now is not None:
-                        yield now.rows()
-                    now = _Search(ids, np.frombuffer(value("key"), np.int64), values, basis.value, k, np.frombuffer(value("known"), np.float64))
+                    yield from (s.rows() for s in now)
+                    keys, known = np.frombuffer(value("key"), np.int64), np.frombuffer(value("known"), np.float64)
+                    tiles = [slice(at, at + TILE) for at in range(0, len(ids), TILE)]
+                    now = [_Search(ids[t], keys[t], values[t], basis.value, k, known[t]) for t in tiles]
                 else:
-                    now.add(ids, values)
-        if now is not None:
-            yield now.rows()
+                    for tile in now:
+                        tile.add(ids, values)
+        yield from (s.rows() for s in now)
 
     dealt = rows.repartition("block", "part").sortWithinPartitions("block", "part", "k").select("k", "vec_id", "key", "known", "values")
     found = dealt.mapInArrow(search, "query_id bigint, query_key bigint, vec_id bigint, score bigint")

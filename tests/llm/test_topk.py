@@ -79,3 +79,23 @@ def test_one_id_with_two_vectors_and_clashing_columns(spark):
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()]
     assert sorted(g[1] for g in got) == sorted([*range(1, 21)] * 2)
     assert {(g[2], g[3]) for g in got} == {(i, 4096 * i) for i in range(10, 30)} | {(i, -4096 * i) for i in range(1, 21)}
+
+
+def test_large_query_blocks_in_tiles_and_packed_numbers(spark, monkeypatch):
+    for name, value in {"BLOCK": 64, "QUERIES": 64, "TILE": 8, "GROUP_BLOCKS": 2, "UNITS": 2, "MOST_GROUP_BLOCKS": 4}.items():
+        monkeypatch.setattr(topk, name, value)
+    held, keep = {}, topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda df, name: held.setdefault(name, keep(df, name)))
+    r = np.random.default_rng(4)
+    for scale, size in ((1.0, 1), (40.0, 2), (1e4, 4), (1e9, 8)):
+        held.clear()
+        rows = [(i, [float(x) for x in scale * r.uniform(-1, 1, 6)]) for i in range(600)] + [(20, [scale] * 6)]
+        _, got = run(spark, rows)
+        assert got == brute(rows)
+        for blocks in ("topk-blocks", "topk-queries"):
+            assert all(len(b["values"]) == size * 6 * len(b.vec_id) // 8 for b in held[blocks].collect())
+        assert max(len(b.vec_id) for b in held["topk-queries"].collect()) > 8 * topk.TILE // 2
+
+
+def test_smallest_integer():
+    assert [topk.smallest_integer(*x) for x in ((-128, 127), (0, 128), (-32769, 0), (0, 2**31), (0, 0))] == [np.int8, np.int16, np.int32, np.int64, np.int8]
