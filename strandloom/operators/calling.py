@@ -7,20 +7,12 @@ from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, insertion_like, round3
-from strandloom.operators.clustering import CLUSTER, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, size_median
-from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated
+from strandloom.operators.clustering import CLUSTER, SAMPLES, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, sample_reads, size_median
+from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated, has_large
 from strandloom.operators.refinement import refine
 from strandloom.operators.stages import settle
 
 GROUP = [*CLUSTER, "end_chr"]
-SAMPLES = ("tumor", "normal")
-
-
-def sample_counts() -> list[Column]:
-    """Distinct reads and alignments of each sample."""
-    mine = lambda s: F.col("sample") == s
-    reads = [F.count_distinct(F.when(mine(s), F.col("read_name"))).alias(f"{s}_reads") for s in SAMPLES]
-    return reads + [F.count_if(mine(s)).alias(f"{s}_alignments") for s in SAMPLES]
 
 
 def phase_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,8 +33,11 @@ def phase_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "sample").agg(F.count_distinct("read_name").alias("n_reads"), F.count("*").alias("n_alignments"), *histogram("start"), *histogram("end"))
 
 
-def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT, large: int = LARGE) -> DataFrame:
-    """One row for each group with support: its sums, the medians of its places and the statistics of its origin."""
+def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT, large: int | None = LARGE) -> DataFrame:
+    """One row for each group with support: its sums, the medians of its places and the statistics of its origin.
+
+    The keys must not be null.
+    """
     inserts = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_length"))
     sums = [
         F.array_join(F.array_sort(F.collect_set("source")), "/").alias("source"),
@@ -50,19 +45,19 @@ def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT,
         F.avg(inserts).cast("bigint").alias("insert_mean"),
         F.count("inserted_sequence").alias("n_sequences"),
         F.count("*").alias("n_rows"),
-        *sample_counts(),
+        *[F.count_if(F.col("sample") == s).alias(f"{s}_alignments") for s in SAMPLES],
         *moments("origin_"),
     ]
     place = lambda x, name: (F.col(x), POSITIONS, {name: 0.5})
     medians = [place("start_loc", "start_loc"), place("end_loc", "end_median"), size_median("origin_event_size_median")]
     whole = {x: F.col(x).cast("bigint") for x in ("start_loc", "end_median")}
-    return aggregated(rows, keys, sums, medians, large).where(_has_support(config)).withColumns(whole | {"origin_event_size_median": round3(F.col("origin_event_size_median"))})
+    supported = sample_reads(rows, keys).where(_has_support(config))
+    return aggregated(rows, keys, sums, medians, large).join(supported, keys).withColumns(whole | {"origin_event_size_median": round3(F.col("origin_event_size_median"))})
 
 
 def total_reads(clustered: DataFrame) -> DataFrame:
     """Distinct reads of each sample in a whole start cluster, of any event type."""
-    mine = lambda s: F.count_distinct(F.when(F.col("sample") == s, F.col("read_name"))).alias(f"clustered_{s}")
-    return clustered.groupBy(*CLUSTER).agg(*[mine(s) for s in SAMPLES])
+    return sample_reads(clustered, CLUSTER).select(*CLUSTER, *[F.col(f"{s}_reads").alias(f"clustered_{s}") for s in SAMPLES])
 
 
 def _has_support(config: Config) -> Column:
@@ -74,7 +69,7 @@ def _large_groups(clustered: DataFrame, config: Config) -> DataFrame:
     return clustered.join(groups, GROUP, "left_semi")
 
 
-def insertion_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def insertion_calls(rows: DataFrame, config: Config = DEFAULT, large: int | None = LARGE) -> DataFrame:
     """Calls from the insertion-like rows of each (cluster, end contig).
 
     An island of insert lengths with two insertions or more is one call; else each of its notations is one
@@ -83,18 +78,19 @@ def insertion_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     like = rows.where(insertion_like(F.col("breakpoint_notation")))
     enough = like.groupBy(*GROUP).agg(F.count("*").alias("__n")).where(F.col("__n") >= config.min_support).drop("__n")
     numbered = settle(insert_length_islands(like.join(enough, GROUP, "left_semi"), GROUP, config.insert_fraction), "length-islands")
-    whole = supported_calls(numbered, [*GROUP, "length_island"], config)
-    merged = whole.where("n_insertions >= 2").withColumn("breakpoint_notation", F.lit(INSERTION))
-    few = whole.where("n_insertions < 2").select(*GROUP, "length_island")
-    alone = supported_calls(numbered.join(few, [*GROUP, "length_island"], "left_semi"), [*GROUP, "length_island", "breakpoint_notation"], config)
-    calls = merged.unionByName(alone)
+    island = [*GROUP, "length_island"]
+    insertions = numbered.groupBy(*island).agg(F.count_if(F.col("breakpoint_notation") == INSERTION).alias("__insertions"))
+    labels = insertions.select(*island, (F.col("__insertions") >= 2).alias("__one"))
+    # one aggregate for both kinds of calls: a whole island counts under the notation of its call
+    labelled = numbered.join(labels, island).withColumn("__call", F.when(F.col("__one"), F.lit(INSERTION)).otherwise(F.col("breakpoint_notation")))
+    calls = supported_calls(labelled, [*island, "__call"], config, large).withColumnRenamed("__call", "breakpoint_notation")
     length = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_mean")).otherwise(F.lit(0).cast("bigint"))
     end = {s.replace("origin_", "end_"): F.col(s) for s in calls.columns if s.startswith("origin_")}
     placed = calls.withColumns({"end_loc": F.col("start_loc"), "sv_length": length, "part": F.col("length_island"), **end})
     return placed.withColumns({"group_end_chr": F.col("end_chr"), "end_chr": F.col("start_chr")}).drop("length_island", "end_median", "insert_mean")
 
 
-def end_calls(rows: DataFrame, config: Config = DEFAULT, reads: DataFrame | None = None) -> DataFrame:
+def end_calls(rows: DataFrame, config: Config = DEFAULT, reads: DataFrame | None = None, large: int | None = LARGE) -> DataFrame:
     """Calls from rows with two ends: one for each end cluster and notation with support and length.
 
     With config.refine and the reads, end clusters are first taken apart by their reads' alignments.
@@ -105,7 +101,7 @@ def end_calls(rows: DataFrame, config: Config = DEFAULT, reads: DataFrame | None
         ends = parted.withColumn("end_cluster", F.when(F.col("part") == 0, F.col("end_cluster")).otherwise(F.xxhash64("end_cluster", "part"))).drop("part")
     ends = settle(ends, "end-clusters")
     keys = [*GROUP, "end_cluster"]
-    calls = supported_calls(ends, [*keys, "breakpoint_notation"], config).join(cluster_statistics(ends, keys, "end_"), keys)
+    calls = supported_calls(ends, [*keys, "breakpoint_notation"], config, large).join(cluster_statistics(ends, keys, "end_", large), keys)
     length = F.when(F.col("start_chr") != F.col("end_chr"), F.lit(0)).otherwise(F.abs(F.col("end_median") - F.col("start_loc"))).cast("bigint")
     placed = calls.withColumns({"end_loc": F.col("end_median"), "sv_length": length, "part": F.col("end_cluster"), "group_end_chr": F.col("end_chr")})
     kept = placed.where((F.col("sv_length") >= config.min_length) | (F.col("start_chr") != F.col("end_chr")))
@@ -121,8 +117,11 @@ def drop_minor_single_ends(calls: DataFrame, keys: list[str]) -> DataFrame:
 
 def call_breakpoints(clustered: DataFrame, config: Config = DEFAULT, reads: DataFrame | None = None) -> DataFrame:
     """Clustered breakpoints -> consensus calls, one flat row each."""
-    rows = settle(_large_groups(clustered, config), "call-groups")
-    calls = settle(insertion_calls(rows, config).unionByName(end_calls(rows, config, reads)), "raw-calls")
+    # only whether a row has a sequence counts: the bases need not be written again
+    present = F.when(F.col("inserted_sequence").isNotNull(), F.lit(""))
+    rows = settle(_large_groups(clustered.withColumn("inserted_sequence", present), config), "call-groups")
+    large = LARGE if has_large(rows, GROUP) else None
+    calls = settle(insertion_calls(rows, config, large).unionByName(end_calls(rows, config, reads, large)), "raw-calls")
     final = drop_minor_single_ends(calls, [*CLUSTER, "group_end_chr"])
     return final.join(total_reads(clustered), CLUSTER)
 

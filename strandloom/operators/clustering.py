@@ -14,6 +14,7 @@ from strandloom.operators.ordered import islands
 from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated
 
 CLUSTER = ["start_chr", "cluster"]
+SAMPLES = ("tumor", "normal")
 
 
 def reach(config: Config = DEFAULT) -> Column:
@@ -43,6 +44,16 @@ def supported(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return rows.join(enough, keys, "left_semi")
 
 
+def sample_reads(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct reads of each sample in each group.
+
+    The reads are made distinct first, on all their columns: neither a group's set of names nor several copies
+    of each row (one for each distinct count) are held.
+    """
+    each = rows.select(*keys, "sample", "read_name").distinct()
+    return each.groupBy(*keys).agg(*[F.count(F.when(F.col("sample") == s, F.col("read_name"))).alias(f"{s}_reads") for s in SAMPLES])
+
+
 def cluster_extent(clustered: DataFrame, keys: list[str] | None = None, config: Config = DEFAULT) -> DataFrame:
     """Extent, rows and distinct reads of each cluster."""
     return clustered.groupBy(*(keys or CLUSTER)).agg(
@@ -68,13 +79,13 @@ def size_median(name: str) -> tuple[Column, float, dict[str, float]]:
     return bp_event_size(), POSITIONS, {name: 0.5}
 
 
-def cluster_statistics(clustered: DataFrame, keys: list[str] | None = None, prefix: str = "", large: int = LARGE) -> DataFrame:
+def cluster_statistics(clustered: DataFrame, keys: list[str] | None = None, prefix: str = "", large: int | None = LARGE) -> DataFrame:
     """The five statistics of each group, with three decimals; the keys must not be null."""
     name = f"{prefix}event_size_median"
     return aggregated(clustered, keys or CLUSTER, moments(prefix), [size_median(name)], large).withColumn(name, round3(F.col(name)))
 
 
-def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None, config: Config = DEFAULT, large: int = LARGE) -> DataFrame:
+def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None, config: Config = DEFAULT, large: int | None = LARGE) -> DataFrame:
     """The wide statistics of each cluster; histograms become one column for each value that can occur.
 
     Ties of the most frequent notation go to the one that comes first in the cluster (by start_loc, ord).
@@ -83,13 +94,12 @@ def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None
     size, insert = bp_event_size(), F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_length"))
     both = F.flatten(F.collect_set(F.array_compact(F.array("phase_set_start", "phase_set_end"))))
     hp = lambda v: (F.count_if(F.col("haplotype_start").eqNullSafe(v) & _phased()) + F.count_if(F.col("haplotype_end").eqNullSafe(v) & _phased())).alias(f"haplotype_{v if v is not None else 'none'}")
-    reads = lambda s: F.count_distinct(F.when(F.col("sample") == s, F.col("read_name")))
     span = F.max(reach(config)) - F.min("start_loc")
     sums = [
         F.count("*").alias("total_breakpoints"),
-        F.count_distinct("sample").alias("unique_samples"),
+        F.size(F.collect_set("sample")).cast("bigint").alias("unique_samples"),
         F.array_join(F.array_sort(F.collect_set("sample")), ",").alias("sample_list"),
-        F.count_distinct("source").alias("unique_sources"),
+        F.size(F.collect_set("source")).cast("bigint").alias("unique_sources"),
         F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_list"),
         *moments(),
         round3(F.avg("start_loc")).alias("starts_mean"),
@@ -105,8 +115,6 @@ def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None
         F.coalesce(round3(F.stddev_pop(insert)), F.lit(0.0)).alias("insert_std_dev"),
         F.count_if(F.col("sample") == "tumor").alias("tumor_alignments"),
         F.count_if(F.col("sample") == "normal").alias("normal_alignments"),
-        reads("tumor").alias("tumor_reads"),
-        reads("normal").alias("normal_reads"),
         hp(1),
         hp(2),
         hp(None),
@@ -121,7 +129,7 @@ def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None
     dominant = counts.groupBy(*keys).agg(F.max_by(F.struct("breakpoint_notation", "n"), F.struct("n", (-F.col("first.start_loc")).alias("s"), (-F.col("first.ord")).alias("o"))).alias("d"))
     dominant = dominant.select(*keys, F.col("d.breakpoint_notation").alias("dominant_notation"), F.col("d.n").alias("dominant_count"))
     most, least = F.greatest("tumor_reads", "normal_reads"), F.when(F.least("tumor_reads", "normal_reads") > 0, F.least("tumor_reads", "normal_reads")).otherwise(F.greatest("tumor_reads", "normal_reads"))
-    return wide.join(dominant, keys).withColumns({"max_sample_support": most, "min_sample_support": least, "support_ratio": most / F.col("total_breakpoints")})
+    return wide.join(dominant, keys).join(sample_reads(clustered, keys), keys).withColumns({"max_sample_support": most, "min_sample_support": least, "support_ratio": most / F.col("total_breakpoints")})
 
 
 def summary_lines(statistics_: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -55,14 +55,26 @@ def wide_quantiles(rows: DataFrame, keys: list[str], measures: Measures) -> Data
     return quantiles(rows, keys, measures).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
 
 
-def aggregated(rows: DataFrame, keys: list[str], sums: list[Column], measures: Measures, large: int = LARGE) -> DataFrame:
+def has_large(rows: DataFrame, keys: list[str], large: int = LARGE) -> bool:
+    """Does any group have so many rows? Groups of more keys are then not large either. Runs a count of the groups."""
+    return not _large_groups(rows, keys, large).isEmpty()
+
+
+def _large_groups(rows: DataFrame, keys: list[str], large: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= large).drop("__n")
+
+
+def aggregated(rows: DataFrame, keys: list[str], sums: list[Column], measures: Measures, large: int | None = LARGE) -> DataFrame:
     """One row for each group: sums (aggregates), and the quantiles of measures as doubles.
 
     Groups of fewer than large rows take one aggregate, whose buffer their rows bound; the quantiles of the
-    others are found by ranges. The results are the same. rows is read several times: settle what is costly.
+    others are found by ranges. The results are the same. rows is read several times, first by a count of the
+    groups: settle what is costly. With large None the caller has found that no group is large (has_large).
     """
-    big = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= large).drop("__n")
     direct = [F.percentile(x.cast("double"), F.lit(share)).alias(n) for x, _, names in measures for n, share in names.items()]
+    if large is None or not has_large(rows, keys, large):
+        return rows.groupBy(*keys).agg(*sums, *direct)
+    big = _large_groups(rows, keys, large)
     small = rows.join(big, keys, "left_anti").groupBy(*keys).agg(*sums, *direct)
     rest = rows.join(big, keys, "left_semi")
     return small.unionByName(rest.groupBy(*keys).agg(*sums).join(wide_quantiles(rest, keys, measures), keys))

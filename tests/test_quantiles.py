@@ -101,3 +101,41 @@ def test_large_groups_have_the_same_statistics(spark, sf_dir):
     for form in forms:
         some, none, every = ([sorted(map(str, form(large).collect()))] for large in (250, 1 << 40, 1))
         assert len(none[0]) > 10 and some == none == every
+
+
+def _breakpoints(spark, rows):
+    base = {"start_chr": "c", "end_chr": "c", "source": "CIGAR", "mapq": 60, "is_nearby_event": True, "haplotype_start": None, "haplotype_end": None, "phase_set_start": None, "phase_set_end": None}
+    full = [base | {"ord": i, "end_loc": r["start_loc"], "inserted_sequence": "ACGT" if r["breakpoint_notation"] == "<INS>" else None} | r for i, r in enumerate(rows)]
+    schema = (
+        "start_chr string, cluster bigint, end_chr string, start_loc bigint, end_loc bigint, breakpoint_notation string, insert_length bigint, inserted_sequence string, source string, sample string, "
+        "read_name string, mapq int, is_nearby_event boolean, ord bigint, haplotype_start int, haplotype_end int, phase_set_start bigint, phase_set_end bigint"
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in full], schema)
+
+
+def test_single_ends_are_calls_of_their_own_unless_insertions_join_them(spark):
+    rng = random.Random(9)
+    row = lambda cluster, notation, length, sample, name: {"cluster": cluster, "breakpoint_notation": notation, "insert_length": length, "sample": sample, "read_name": name, "start_loc": 1000 * cluster + rng.randint(0, 30)}
+    rows = [row(1, "<INS>", 100, "tumor", f"r{i}") for i in range(3)] + [row(1, "+", 0, "tumor", "s0"), row(1, "-", 0, "normal", "s1")]  # one island, one call
+    rows += [row(2, "<INS>", 100, "tumor", "r0")] + [row(2, "+", 0, "tumor", f"s{i}") for i in range(4)] + [row(2, "-", 0, "normal", f"t{i}") for i in range(2)]  # "+" alone has support
+    rows += [row(3, "+", 0, "tumor", "same") for _ in range(5)]  # one read
+    rows += [row(4, "+", 0, "tumor", None) for _ in range(4)] + [row(4, "-", 0, "tumor", f"u{i % 3}") for i in range(6)]  # reads without a name count as none
+    df = _breakpoints(spark, rows)
+    for large in (calling.LARGE, 3, None):
+        got = {(r.cluster, r.breakpoint_notation): r for r in calling.insertion_calls(df, large=large).collect()}
+        assert set(got) == {(1, "<INS>"), (2, "+"), (4, "-")}
+        assert (got[1, "<INS>"].tumor_reads, got[1, "<INS>"].normal_reads, got[1, "<INS>"].n_rows, got[1, "<INS>"].n_insertions, got[1, "<INS>"].sv_length) == (4, 1, 5, 3, 100)
+        assert (got[2, "+"].tumor_reads, got[2, "+"].normal_reads, got[2, "+"].n_rows, got[2, "+"].n_sequences, got[2, "+"].sv_length) == (4, 0, 4, 0, 0)
+        assert (got[4, "-"].tumor_reads, got[4, "-"].tumor_alignments) == (3, 6)
+        for (cluster, notation), r in got.items():
+            places = sorted(x["start_loc"] for x in rows if x["cluster"] == cluster and (cluster == 1 or x["breakpoint_notation"] == notation))
+            middle = (places[(len(places) - 1) // 2] + places[len(places) // 2]) // 2
+            assert (r.start_loc, r.end_loc) == (middle, middle)
+
+
+def test_reads_of_each_sample(spark):
+    rows = [("c", 1, "tumor", "a"), ("c", 1, "tumor", "a"), ("c", 1, "normal", "a"), ("c", 1, "tumor", None), ("c", 2, None, "b"), ("c", 3, "other", "d")]
+    df = spark.createDataFrame(rows, "start_chr string, cluster bigint, sample string, read_name string")
+    got = {r.cluster: (r.tumor_reads, r.normal_reads) for r in clustering.sample_reads(df, clustering.CLUSTER).collect()}
+    assert got == {1: (1, 1), 2: (0, 0), 3: (0, 0)}
