@@ -14,8 +14,7 @@ MATCH, ON_REFERENCE, ON_QUERY = ("M", "=", "X"), ("M", "D", "=", "X"), ("M", "I"
 
 def operations(cigar: Column) -> Column:
     """array<struct<len bigint, op string>>"""
-    zipped = F.arrays_zip(F.regexp_extract_all(cigar, F.lit(PATTERN), 1).alias("n"), F.regexp_extract_all(cigar, F.lit(PATTERN), 2).alias("o"))
-    return F.transform(zipped, lambda x: F.struct(x["n"].cast("bigint").alias("len"), x["o"].alias("op")))
+    return F.transform(F.regexp_extract_all(cigar, F.lit(PATTERN), F.lit(0)), lambda x: F.struct(F.left(x, F.length(x) - 1).cast("bigint").alias("len"), F.right(x, F.lit(1)).alias("op")))
 
 
 def total(ops: Column, kinds: tuple[str, ...]) -> Column:
@@ -27,31 +26,40 @@ def summary(cigar: Column, ref_start: Column, is_reverse: Column | None = None,
 
     For reverse alignments the operations are turned round first. A soft clip at the first operation is the
     left one; of the others the last counts as the right one, or with last_clip_only only one at the end.
-    skips: whether N moves along the reference.
+    skips: whether N moves along the reference. Without a CIGAR the sums are null and the clips 0.
     """
     ops = operations(cigar)
     if is_reverse is not None:
         ops = F.when(F.coalesce(is_reverse, F.lit(False)), F.reverse(ops)).otherwise(ops)
-    clip = lambda x: F.coalesce(F.when(x["op"] == "S", x["len"]), F.lit(0)).cast("bigint")
-    left = F.when(F.size(ops) > 0, clip(F.element_at(ops, 1))).otherwise(F.lit(0).cast("bigint"))
-    later = F.slice(ops, 2, F.greatest(F.size(ops), F.lit(1)))
-    clips = F.filter(later, lambda x: x["op"] == "S")
-    last = F.when(F.size(clips) > 0, F.element_at(clips, -1)["len"]).otherwise(F.lit(0))
-    if last_clip_only:
-        last = F.when(F.size(ops) > 1, clip(F.element_at(ops, -1))).otherwise(F.lit(0))
-    query = total(ops, ON_QUERY)
-    return F.struct(
-        left.alias("softclip_left"),
-        last.cast("bigint").alias("softclip_right"),
-        total(ops, ("M", "=")).alias("match_length"),
-        total(ops, ("I",)).alias("insert_length"),
-        total(ops, ("D",)).alias("delete_length"),
-        total(ops, ("X",)).alias("mismatch_length"),
-        ref_start.cast("bigint").alias("ref_start"),
-        (ref_start + total(ops, (*ON_REFERENCE, "N") if skips else ON_REFERENCE)).cast("bigint").alias("ref_end"),
-        left.alias("query_start"),
-        (query - last).cast("bigint").alias("query_end"),
-    )
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    sums = {"match": ("M", "="), "insert": ("I",), "delete": ("D",), "mismatch": ("X",), "reference": (*ON_REFERENCE, "N") if skips else ON_REFERENCE, "query": ON_QUERY}
+    names = ("left", "last", *sums)
+
+    def step(a: Column, x: Column) -> Column:
+        clip = x["op"] == "S"
+        left = F.when(a["first"] & clip, x["len"]).otherwise(a["left"])
+        last = F.when(~a["first"] & clip, x["len"]).otherwise(zero if last_clip_only else a["last"])
+        added = [F.when(x["op"].isin(*kinds), a[n] + x["len"]).otherwise(a[n]).alias(n) for n, kinds in sums.items()]
+        return F.struct(left.alias("left"), last.alias("last"), *added, F.lit(False).alias("first"))
+
+    def finish(a: dict[str, Column] | Column) -> Column:
+        return F.struct(
+            a["left"].alias("softclip_left"),
+            a["last"].alias("softclip_right"),
+            a["match"].alias("match_length"),
+            a["insert"].alias("insert_length"),
+            a["delete"].alias("delete_length"),
+            a["mismatch"].alias("mismatch_length"),
+            ref_start.cast("bigint").alias("ref_start"),
+            (ref_start + a["reference"]).cast("bigint").alias("ref_end"),
+            a["left"].alias("query_start"),
+            (a["query"] - a["last"]).cast("bigint").alias("query_end"),
+        )
+
+    # one walk keeps all sums: the text is parsed once, however many of them are asked
+    start = F.struct(*[zero.alias(n) for n in names], F.lit(True).alias("first"))
+    unknown = {n: zero if n in ("left", "last") else none for n in names}
+    return F.when(cigar.isNotNull(), F.aggregate(ops, start, step, finish)).otherwise(finish(unknown))
 
 
 def events(ops: Column, ref_start: Column, kind: str, least: Column | int, clips_move: bool = True) -> Column:

@@ -150,3 +150,16 @@ def test_sessions_in_batch_and_stream(spark, tmp_path):
 
 def test_breakpoint_schema(spark):
     assert set(breakpoints.COLUMNS) >= {"start_chr", "breakpoint_notation", "phase_set_end"} and somatic.too_short(50) is not None
+
+
+def test_summary_of_odd_cigars(spark):
+    rows = [("5S3S10M4S2N1X6S", False), ("5S3S10M4S2N1X6S", True), ("7S", False), ("7S", True), ("10M", None), ("3H10M3H", False), ("*", False), ("", False), (None, False), (None, True)]
+    df = spark.createDataFrame(rows, "cigar string, is_reverse boolean")
+    one = lambda **k: cigar.summary(F.col("cigar"), F.lit(100), F.col("is_reverse"), **k)
+    got = df.select(one().alias("s"), one(skips=True, last_clip_only=True).alias("t")).collect()
+    clips = [(r.s.softclip_left, r.s.softclip_right, r.t.softclip_left, r.t.softclip_right) for r in got]
+    assert clips == [(5, 6, 5, 6), (6, 5, 6, 5), (7, 0, 7, 0), (7, 0, 7, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    ends = [(r.s.ref_start, r.s.ref_end, r.t.ref_end, r.s.query_start, r.s.query_end, r.s.match_length, r.s.mismatch_length) for r in got]
+    assert ends[0] == (100, 111, 113, 5, 23, 10, 1) and ends[1] == (100, 111, 113, 6, 24, 10, 1)
+    assert ends[2] == (100, 100, 100, 7, 7, 0, 0) and ends[6] == ends[7] == (100, 100, 100, 0, 0, 0, 0)
+    assert ends[8] == ends[9] == (100, None, None, 0, None, None, None)
