@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import CONTIGS
+from strandloom.operators.stages import settle
 from strandloom.sources.bgzf import open_input
 
 #: Bases that a task reads at a time from an indexed FASTA file.
@@ -33,8 +35,98 @@ def contig_chunks(lengths: DataFrame, size: int) -> DataFrame:
     return rows.select("contig", "chunk_start", F.least(F.col("chunk_start") + size, F.col("length")).alias("chunk_end"))
 
 
-def sequence_chunks(spark: SparkSession, path: str, size: int = 10_000) -> DataFrame:
-    """(contig, chunk, sequence): a FASTA file without an index cut to chunks of so many bases; a record is one task's."""
+def sequence_chunks(spark: SparkSession, path: str, size: int = 10_000, span: int = RANGE) -> DataFrame:
+    """(contig, chunk, sequence): FASTA files without an index cut to chunks of so many bases.
+
+    Tasks read spans of bytes and give the bases of each record in them; one row a span tells which record
+    the next one goes on with and at which base, so a record of any length is spread over many tasks. Only a
+    line belongs to one task, which reads it in pieces. A compressed file is read whole, a record a row.
+
+    Defined cases: white space in sequences is left out; a record without bases is one empty chunk; records
+    of one name stay apart; bases before the first header are an error.
+    """
+    if path.endswith((".gz", ".bz2", ".zst")):
+        return _whole_records(spark, path, size)
+    spans = spark.read.format("binaryFile").load(path).select("path", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L), {int(span)}L)")).alias("from"))
+    n = spans.count()
+    dealt = spans.repartition(max(1, min(n, 10_000)), "path", "from")
+    pieces = settle(dealt.mapInArrow(_pieces(span, size), "path string, `from` bigint, piece bigint, contig string, bases string"), "sequence-pieces")
+
+    # places are counted in bases from the start of the file; start: that of the record's first base
+    record = lambda x: F.struct(F.col(f"{x}.contig").alias("contig"), (F.col("before") + F.col(f"{x}.at")).alias("start"), F.col("from").alias("span"), F.col(f"{x}.piece").alias("piece"))
+    inside = Window.partitionBy("path", "from").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lengths = pieces.select("path", "from", "piece", "contig", F.length("bases").cast("bigint").alias("n"))
+    lengths = lengths.withColumn("at", F.sum("n").over(inside) - F.col("n"))
+    header = F.when(F.col("contig").isNotNull(), F.struct("contig", "at", "piece"))
+    lengths = lengths.withColumn("own", F.last(header, ignorenulls=True).over(inside))
+    earlier = Window.partitionBy("path").orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
+    totals = lengths.groupBy("path", "from").agg(F.sum("n").alias("n"), F.max_by("own", "piece").alias("last"))
+    totals = totals.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    opened = F.when(F.col("last").isNotNull(), record("last"))
+    totals = totals.withColumn("carried", F.last(opened, ignorenulls=True).over(earlier)).select("path", "from", "before", "carried")
+    own = F.when(F.col("own").isNotNull(), record("own"))
+    placed = lengths.join(totals, ["path", "from"]).withColumn("record", F.coalesce(own, "carried"))
+    placed = placed.select("path", "from", "piece", "record", (F.col("before") + F.col("at") - F.col("record.start")).alias("at"))
+    cut = pieces.select("path", "from", "piece", "bases").join(placed, ["path", "from", "piece"])
+    first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + F.greatest(F.length("bases"), F.lit(1)) - 1) / size)
+    cut = cut.withColumn("chunk", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.lit(0), F.col("chunk") * size - F.col("at"))
+    part = F.substring("bases", (low + 1).cast("int"), ((F.col("chunk") + 1) * size - F.col("at") - low).cast("int"))
+    parts = cut.groupBy("path", "record", "chunk").agg(F.array_sort(F.collect_list(F.struct("from", "piece", part.alias("s")))).alias("parts"))
+    return parts.select("record.contig", "chunk", F.array_join(F.col("parts.s"), "").alias("sequence"))
+
+
+def _pieces(span: int, size: int):
+    """Reader of spans of bytes: rows of at most size bases of the records in the lines that start there."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = 0
+                with open_input(r["path"]) as file:
+                    for i, (contig, bases) in enumerate(_span_records(file, r["from"], r["from"] + span)):
+                        if contig is None and r["from"] == i == 0:
+                            raise ValueError(f"{r['path']} has bases before its first header")
+                        cut = [bases[j : j + size].decode("latin-1") for j in range(0, max(len(bases), 1), size)]
+                        whole = {"path": [r["path"]] * len(cut), "from": pa.array([r["from"]] * len(cut), pa.int64()), "piece": pa.array(range(n, n + len(cut)), pa.int64())}
+                        yield pa.RecordBatch.from_pydict(whole | {"contig": pa.array([contig] + [None] * (len(cut) - 1), pa.string()), "bases": cut})
+                        n += len(cut)
+
+    return read
+
+
+def _span_records(file, low: int, high: int) -> Iterator[tuple[str | None, bytes]]:
+    """(name of a record that starts here, or None where one goes on; bases) of the lines that start in bytes low to high."""
+    bare = lambda text: text.translate(None, b" \t\r\n\v\f")
+    begin = max(low - 1, 0)
+    file.seek(begin)
+    data = bytes(file.read(high - begin))
+    if low > 0:  # a line that starts before belongs to the span before
+        data = data[data.find(b"\n") + 1 :] if b"\n" in data else b""
+    if not data:
+        return
+
+    def rest() -> Iterator[bytes]:
+        while block := bytes(file.read(1 << 20)):
+            line, newline, _ = block.partition(b"\n")
+            yield line
+            if newline:
+                return
+
+    is_open = not data.endswith(b"\n")
+    starts = [m.start() for m in re.finditer(rb"^>", data, re.M)]
+    if bases := bare(data[: starts[0]] if starts else data):
+        yield None, bases
+    for start, end in zip(starts, [*starts[1:], len(data)]):
+        title, newline, sequence = data[start + 1 : end].partition(b"\n")
+        if not newline and is_open:  # the last line is a header that ends beyond the span
+            title, is_open = title + b"".join(rest()), False
+        yield re.split(rb"\s", title, maxsplit=1)[0].decode("latin-1"), bare(sequence)
+    if is_open:
+        yield from ((None, bases) for line in rest() if (bases := bare(line)))
+
+
+def _whole_records(spark: SparkSession, path: str, size: int) -> DataFrame:
     records = spark.read.text(path, lineSep=">").where("length(trim(value)) > 0")
     name = F.split(F.substring_index("value", "\n", 1), r"\s")[0]
     body = F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")
