@@ -97,8 +97,6 @@ def insert_sequence(sequence: Column, found: Column) -> Column:
 def merge(found: Column, gap: Column | int, sequences: bool = False) -> Column:
     """Events in order of start, joined where one starts at most gap behind the end before: ends are the
     furthest, lengths and sequences are put together."""
-    ordered = F.array_sort(found)
-    empty = F.filter(ordered, lambda _: F.lit(False))
 
     def step(a: Column, x: Column) -> Column:
         last = F.try_element_at(a, F.lit(-1))
@@ -106,7 +104,8 @@ def merge(found: Column, gap: Column | int, sequences: bool = False) -> Column:
         joined.append(F.concat(last["seq"], x["seq"]).alias("seq") if sequences else last["query"].alias("query"))
         return F.when((F.size(a) > 0) & (x["start"] <= last["end"] + gap), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(*joined)))).otherwise(F.concat(a, F.array(x)))
 
-    return F.aggregate(ordered, empty, step)
+    # found is worked out once, for the fold and for the type of its start
+    return F.element_at(F.transform(F.array(F.array_sort(found)), lambda ordered: F.aggregate(ordered, F.slice(ordered, 1, 0), step)), 1)
 
 
 def flanks(ops: Column, at: Column) -> tuple[Column, Column]:

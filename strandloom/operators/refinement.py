@@ -5,6 +5,8 @@ nodes can be similar only if they share an event, so they meet in blocks of even
 the tolerance has a block in common. All members of a block first meet its few most frequent ones; then, while a block
 holds members of several parts, those outside its largest part meet all. Pairs within a part need no test, so a pile-up
 of like reads costs tests in proportion to its size, and no pair that joins parts is lost.
+
+Clusters of at most SMALL reads take none of these steps: their reads meet in one array, which a fold takes apart.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ c = F.col
 LEAST, MARGIN, SPAN = 2, 500, 100
 #: Bases between like events, and members of a block that all others meet, round by round; then what is left meets.
 TOLERANCE, ROUNDS = 50, (2, 16)
+#: Reads of a cluster that one array holds.
+SMALL = 128
 
 
 def cluster_extents(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,12 +38,16 @@ def member_events(members: DataFrame, reads: DataFrame, keys: list[str], gap: in
 
     members: (keys, read_name, contig, extent_start, extent_end). Of several alignments of a read there, the first counts.
     """
-    near = members.select(*keys, F.col("read_name").alias("member"), F.col("contig").alias("on"), (F.col("extent_start") - MARGIN).alias("lo"), (F.col("extent_end") + MARGIN).alias("hi")).distinct()
-    ops = cigar.operations(F.col("cigar"))
-    found = lambda kind: cigar.merge(cigar.events(ops, F.col("start"), kind, LEAST), gap)
+    near = members.select(*keys, F.col("read_name").alias("member"), F.col("contig").alias("on"), (F.col("extent_start") - MARGIN).alias("lo"), (F.col("extent_end") + MARGIN).alias("hi"))
+    # dealt by name once: the join and the groups need no further shuffle
+    near = near.repartition("member").distinct()
+    reads = reads.select("read_name", "contig", "start", "end", "cigar").repartition("read_name")
+    found = lambda ops, kind: cigar.merge(cigar.events(ops, F.col("start"), kind, LEAST), gap)
+    # the text is parsed once for both kinds
+    both = F.element_at(F.transform(F.array(cigar.operations(F.col("cigar"))), lambda ops: F.struct(found(ops, "D").alias("deletions"), found(ops, "I").alias("insertions"))), 1)
     met = reads.join(near, (F.col("read_name") == F.col("member")) & (F.col("contig") == F.col("on")) & (F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo")))
     first = met.groupBy(*keys, "read_name").agg(F.min(F.struct("start", "cigar")).alias("a")).select(*keys, "read_name", F.col("a.start").alias("start"), F.col("a.cigar").alias("cigar"))
-    return first.select(*keys, "read_name", found("D").alias("deletions"), found("I").alias("insertions"))
+    return first.select(*keys, "read_name", both.alias("e")).select(*keys, "read_name", "e.deletions", "e.insertions")
 
 
 def varied(events: DataFrame, least: int = 30):
@@ -67,11 +75,50 @@ def _similar(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return met.where(ahead | behind).select("u", "v")
 
 
-def parts_of(events: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def _like(a: Column, b: Column, threshold: float) -> Column:
+    """Whether member a is similar to a member b of a greater name; events are compared only if starts are near."""
+    none = lambda x: F.size(x["deletions"]) + F.size(x["insertions"]) == 0
+    alike = (a["deletions"] == b["deletions"]) & (a["insertions"] == b["insertions"])
+    close = F.when(F.arrays_overlap(a["cells"], b["cells"]), alike | (cigar.similarity(a["deletions"], a["insertions"], b["deletions"], b["insertions"], TOLERANCE) >= threshold))
+    return F.when(none(a) | none(b), none(a) & none(b)).otherwise(F.coalesce(close, F.lit(False)))
+
+
+def small_parts(events: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """parts_of clusters whose reads one array can hold: one group for each cluster, and nothing is written."""
+    cell = lambda x, kind: F.floor(x["start"] / TOLERANCE) * 2 + kind
+    cells = lambda name, kind: F.flatten(F.transform(name, lambda x: F.array(cell(x, kind), cell(x, kind) + 2)))
+    member = F.struct("read_name", _plain(c("deletions")).alias("deletions"), _plain(c("insertions")).alias("insertions"), F.concat(cells("deletions", 0), cells("insertions", 1)).alias("cells"))
+    held = events.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("members"))
+
+    def step(labels: Column, at: Column) -> Column:
+        # the parts before that hold a similar read become one with this read, under their least place
+        new = c("members")[at]
+        met = F.array_distinct(F.filter(F.transform(labels, lambda x, i: F.when(_like(c("members")[i], new, threshold), x)), lambda x: x.isNotNull()))
+        join = lambda m: F.concat(F.transform(labels, lambda x: F.when(F.array_contains(m, x), F.array_min(m)).otherwise(x)), F.array(F.array_min(m)))
+        return F.element_at(F.transform(F.array(met), lambda m: F.when(F.size(m) == 0, F.concat(labels, F.array(at))).otherwise(join(m))), 1)
+
+    none = F.array().cast("array<int>")
+    labelled = held.withColumn("labels", F.aggregate(F.sequence(F.lit(0), F.size("members") - 1), none, step))
+    rows = F.transform("members", lambda x, i: F.struct(x["read_name"].alias("read_name"), c("members")[c("labels")[i]]["read_name"].alias("part")))
+    return labelled.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.read_name", "r.part")
+
+
+def parts_of(events: DataFrame, keys: list[str], threshold: float, small: int = SMALL) -> DataFrame:
     """(keys, read_name, deletions, insertions), a row for each read -> (keys, read_name, part).
 
-    part: the least name of the reads that a chain of similar reads of the cluster joins.
+    part: the least name of the reads that a chain of similar reads of the cluster joins. events is read several
+    times: settle what is costly. The keys must not be null.
     """
+    sizes = events.groupBy(*keys).agg(F.count("*").alias("__n"))
+    few, many = (events.join(sizes.where(at), keys, "left_semi") for at in (c("__n") <= small, c("__n") > small))
+    parts = small_parts(few, keys, threshold)
+    if sizes.where(c("__n") > small).isEmpty():
+        return parts
+    return parts.unionByName(large_parts(many, keys, threshold))
+
+
+def large_parts(events: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """parts_of clusters of any size, by blocks of event starts."""
     plain = events.select(*keys, "read_name", _plain(c("deletions")).alias("deletions"), _plain(c("insertions")).alias("insertions"))
     alike = [*keys, "deletions", "insertions"]
     nodes = plain.groupBy(*alike).agg(F.min("read_name").alias("first"), F.max("read_name").alias("last"), F.count("*").alias("weight"))
@@ -103,9 +150,8 @@ def parts_of(events: DataFrame, keys: list[str], threshold: float) -> DataFrame:
 def alignment_parts(ends: DataFrame, reads: DataFrame, keys: list[str], config: Config = DEFAULT) -> DataFrame:
     """(keys, read_name, part) of the tumor reads of clusters that are wide enough and have two reads with large events."""
     wide = cluster_extents(ends, keys).where(F.col("extent_end") - F.col("extent_start") >= SPAN)
-    own = ends.where("sample = 'tumor'").select(*keys, "read_name", F.col("start_chr").alias("contig")).distinct()
-    tumor = own.join(wide, keys)
-    events = settle(member_events(tumor, reads, keys, config.cigar_gap), "refine-events")
+    tumor = ends.where("sample = 'tumor'").select(*keys, "read_name", F.col("start_chr").alias("contig")).join(wide, keys)
+    events = settle(member_events(tumor, reads, keys, config.cigar_gap).select(*keys, "read_name", _plain(c("deletions")).alias("deletions"), _plain(c("insertions")).alias("insertions")), "refine-events")
     open_ = events.groupBy(*keys).agg(F.count_if(varied(events)).alias("n")).where("n >= 2").select(*keys)
     return parts_of(events.join(open_, keys, "left_semi"), keys, config.refine_similarity)
 

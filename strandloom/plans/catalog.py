@@ -1039,7 +1039,7 @@ _REFINED = v.READS + """, e AS (
 def refined_parts(spark, d):
     reads = v.reads(spark, d).withColumn("read_name", F.concat(F.lit("r"), "ord"))
     cluster = F.floor(c("start") / 2000).alias("cluster")
-    ends = reads.select(c("contig").alias("start_chr"), cluster, "read_name", "sample", c("start").alias("start_loc"), c("end").alias("end_loc")).distinct()
+    ends = reads.select(c("contig").alias("start_chr"), cluster, "read_name", "sample", c("start").alias("start_loc"), c("end").alias("end_loc"))
     return refinement.alignment_parts(ends, reads, ["start_chr", "cluster"], DEFAULT)
 
 

@@ -75,3 +75,15 @@ def test_a_pile_up_takes_no_square(spark):
     parts = refinement.parts_of(rows, ["k", "c"], 0.6).groupBy("part").count().collect()
     assert time.monotonic() - began < 90
     assert sum(p["count"] for p in parts) == n and sorted(p["count"] for p in parts)[-2] > 20_000
+
+
+def test_small_clusters_write_no_blocks(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [("a", g, f"r{r.randrange(10**6)}-{i}", some_events(r, r.randrange(0, 3)), some_events(r, r.randrange(0, 3))) for g in range(30) for i in range(r.randrange(1, 50))]
+    events = spark.createDataFrame(rows, SCHEMA)
+    with monkeypatch.context() as m:
+        m.setattr(refinement, "settle", lambda df, name: pytest.fail(f"{name} is written"))
+        small = {(x.k, x.c, x.read_name): x.part for x in refinement.parts_of(events, ["k", "c"], 0.7).collect()}
+    mixed = {(x.k, x.c, x.read_name): x.part for x in refinement.parts_of(events, ["k", "c"], 0.7, 20).collect()}
+    large = {(x.k, x.c, x.read_name): x.part for x in refinement.large_parts(events, ["k", "c"], 0.7).collect()}
+    assert small == mixed == large == brute(rows, 0.7)
