@@ -239,8 +239,8 @@ def coverage_deltas(spark, d):
 @query(f"""WITH {_COV}, parts AS (SELECT sample, contig, haplotype, bin, depth FROM cov UNION ALL SELECT sample, contig, haplotype, bin, depth FROM cov WHERE sample = 'normal')
     SELECT sample, contig, haplotype, bin, CAST(sum(depth) AS BIGINT) AS depth FROM parts GROUP BY ALL""")
 def coverage_merge(spark, d):
-    rows = _coverage(spark, d)
-    return coverage.merge_coverage(rows, rows.where("sample = 'normal'"))
+    runs = coverage.coverage_by_deltas(v.reads(spark, d), DEFAULT.coverage_bin)
+    return coverage.run_bins(coverage.merge_runs(runs, runs.where("sample = 'normal'")))
 
 
 @query(f"""WITH {_COV}, w AS (SELECT DISTINCT sample, contig, haplotype FROM cov), b AS (SELECT *, unnest(range(0, 30001)) AS bin FROM w)
