@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, insertion_like, round3
-from strandloom.operators.clustering import CLUSTER, SAMPLES, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, sample_reads, size_median
+from strandloom.operators.clustering import CLUSTER, SAMPLES, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, read_sets, sample_reads, size_median
 from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated, has_large
 from strandloom.operators.refinement import refine
 from strandloom.operators.stages import settle
@@ -33,10 +33,10 @@ def phase_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "sample").agg(F.count_distinct("read_name").alias("n_reads"), F.count("*").alias("n_alignments"), *histogram("start"), *histogram("end"))
 
 
-def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT, large: int | None = LARGE) -> DataFrame:
+def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT, large: int | None = LARGE, more: list[Column] | None = None) -> DataFrame:
     """One row for each group with support: its sums, the medians of its places and the statistics of its origin.
 
-    The keys must not be null.
+    The keys must not be null. more: further aggregates.
     """
     inserts = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_length"))
     sums = [
@@ -47,17 +47,22 @@ def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT,
         F.count("*").alias("n_rows"),
         *[F.count_if(F.col("sample") == s).alias(f"{s}_alignments") for s in SAMPLES],
         *moments("origin_"),
+        *(more or []),
     ]
     place = lambda x, name: (F.col(x), POSITIONS, {name: 0.5})
     medians = [place("start_loc", "start_loc"), place("end_loc", "end_median"), size_median("origin_event_size_median")]
     whole = {x: F.col(x).cast("bigint") for x in ("start_loc", "end_median")}
-    supported = sample_reads(rows, keys).where(_has_support(config))
-    return aggregated(rows, keys, sums, medians, large).join(supported, keys).withColumns(whole | {"origin_event_size_median": round3(F.col("origin_event_size_median"))})
+    if large is None:
+        calls = aggregated(rows, keys, sums + read_sets(), medians, None).where(_has_support(config))
+    else:
+        calls = aggregated(rows, keys, sums, medians, large).join(sample_reads(rows, keys).where(_has_support(config)), keys)
+    return calls.withColumns(whole | {"origin_event_size_median": round3(F.col("origin_event_size_median"))})
 
 
-def total_reads(clustered: DataFrame) -> DataFrame:
-    """Distinct reads of each sample in a whole start cluster, of any event type."""
-    return sample_reads(clustered, CLUSTER).select(*CLUSTER, *[F.col(f"{s}_reads").alias(f"clustered_{s}") for s in SAMPLES])
+def total_reads(clustered: DataFrame, large: int | None = LARGE) -> DataFrame:
+    """Distinct reads of each sample in a whole start cluster, of any event type; large is None where no cluster is large."""
+    counts = sample_reads(clustered, CLUSTER) if large else clustered.groupBy(*CLUSTER).agg(*read_sets())
+    return counts.select(*CLUSTER, *[F.col(f"{s}_reads").alias(f"clustered_{s}") for s in SAMPLES])
 
 
 def _has_support(config: Config) -> Column:
@@ -83,7 +88,11 @@ def insertion_calls(rows: DataFrame, config: Config = DEFAULT, large: int | None
     labels = insertions.select(*island, (F.col("__insertions") >= 2).alias("__one"))
     # one aggregate for both kinds of calls: a whole island counts under the notation of its call
     labelled = numbered.join(labels, island).withColumn("__call", F.when(F.col("__one"), F.lit(INSERTION)).otherwise(F.col("breakpoint_notation")))
-    calls = supported_calls(labelled, [*island, "__call"], config, large).withColumnRenamed("__call", "breakpoint_notation")
+    return _insertions(supported_calls(labelled, [*island, "__call"], config, large))
+
+
+def _insertions(calls: DataFrame) -> DataFrame:
+    calls = calls.withColumnRenamed("__call", "breakpoint_notation")
     length = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_mean")).otherwise(F.lit(0).cast("bigint"))
     end = {s.replace("origin_", "end_"): F.col(s) for s in calls.columns if s.startswith("origin_")}
     placed = calls.withColumns({"end_loc": F.col("start_loc"), "sv_length": length, "part": F.col("length_island"), **end})
@@ -102,12 +111,49 @@ def end_calls(rows: DataFrame, config: Config = DEFAULT, reads: DataFrame | None
     ends = settle(ends, "end-clusters")
     keys = [*GROUP, "end_cluster"]
     calls = supported_calls(ends, [*keys, "breakpoint_notation"], config, large).join(cluster_statistics(ends, keys, "end_", large), keys)
+    return _with_ends(calls, config)
+
+
+def _with_ends(calls: DataFrame, config: Config) -> DataFrame:
     length = F.when(F.col("start_chr") != F.col("end_chr"), F.lit(0)).otherwise(F.abs(F.col("end_median") - F.col("start_loc"))).cast("bigint")
     placed = calls.withColumns({"end_loc": F.col("end_median"), "sv_length": length, "part": F.col("end_cluster"), "group_end_chr": F.col("end_chr")})
     kept = placed.where((F.col("sv_length") >= config.min_length) | (F.col("start_chr") != F.col("end_chr")))
     return kept.drop("end_cluster", "end_median", "insert_mean")
 
 
+def local_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """insertion_calls and end_calls of start clusters of fewer than LARGE rows, neither refined nor split at their ends.
+
+    Rows are shuffled once, by their cluster, and windows and aggregates of its groups need no more. A call has
+    min_support reads, so its groups have as many rows.
+    """
+    like = insertion_like(F.col("breakpoint_notation"))
+    insertion = F.col("breakpoint_notation") == INSERTION
+    # chains of lengths, as in insert_length_islands; single ends follow the insertions of their group
+    by_length = Window.partitionBy(*GROUP).orderBy(~insertion, "insert_length")
+    length, before = F.col("insert_length"), F.lag("insert_length").over(by_length)
+    opens = insertion & ((F.row_number().over(by_length) == 1) | (~length.eqNullSafe(before) & (before.isNull() | (length > F.ceil(before * F.lit(2.0 - config.insert_fraction))))))
+    inserts = rows.where(like).repartition(*CLUSTER).withColumn("__opens", F.when(opens, 1).otherwise(0))
+    inserts = inserts.withColumn("length_island", F.greatest(F.lit(1), F.sum("__opens").over(by_length)).cast("bigint")).drop("__opens")
+    island = [*GROUP, "length_island"]
+    one = F.count_if(insertion).over(Window.partitionBy(*island)) >= 2
+    inserts = inserts.withColumn("__call", F.when(one, F.lit(INSERTION)).otherwise(F.col("breakpoint_notation")))
+    insertions = _insertions(supported_calls(inserts, [*island, "__call"], config, None))
+
+    group = Window.partitionBy(*GROUP)
+    ends = rows.where(~like).repartition(*CLUSTER).withColumn("end_cluster", F.lit(1).cast("bigint"))
+    if config.min_reads > config.min_support:
+        ends = ends.withColumn("__names", F.size(F.collect_set("read_name").over(group))).where(F.col("__names") >= config.min_reads).drop("__names")
+    # the statistics of all rows of the end cluster: the same in each of its calls
+    size, share, name = size_median("end_event_size_median")[0], F.lit(0.5), "end_event_size_median"
+    names = [f"end_{x}" for x in ("starts_std_dev", "mapq_mean", "event_size_std_dev", "event_size_mean")]
+    whole = [F.stddev_pop("start_loc"), F.avg("mapq"), F.stddev_pop(size), F.avg(size)]
+    stated = {n: round3(x.over(group)) for n, x in zip(names, whole)} | {name: round3(F.percentile(size.cast("double"), share).over(group))}
+    keys = [*GROUP, "end_cluster", "breakpoint_notation"]
+    calls = supported_calls(ends.withColumns(stated), keys, config, None, [F.max(n).alias(n) for n in stated])
+    return insertions.unionByName(_with_ends(calls, config))
+
+
 def drop_minor_single_ends(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Without the single-end calls of groups that have calls of another kind."""
     major = ~F.col("breakpoint_notation").isin("+", "-")
@@ -119,11 +165,24 @@ def call_breakpoints(clustered: DataFrame, config: Config = DEFAULT, reads: Data
     """Clustered breakpoints -> consensus calls, one flat row each."""
     # only whether a row has a sequence counts: the bases need not be written again
     present = F.when(F.col("inserted_sequence").isNotNull(), F.lit(""))
-    rows = settle(_large_groups(clustered.withColumn("inserted_sequence", present), config), "call-groups")
-    large = LARGE if has_large(rows, GROUP) else None
-    calls = settle(insertion_calls(rows, config, large).unionByName(end_calls(rows, config, reads, large)), "raw-calls")
-    final = drop_minor_single_ends(calls, [*CLUSTER, "group_end_chr"])
-    return final.join(total_reads(clustered), CLUSTER)
+    every = clustered.withColumn("inserted_sequence", present)
+    if (config.refine and reads is not None) or config.split_ends:
+        few, many, totals = None, every, total_reads(clustered)
+    elif has_large(every, CLUSTER):
+        # of n rows no more than n / LARGE clusters are large
+        big = F.broadcast(settle(every.groupBy(*CLUSTER).agg(F.count("*").alias("__n")).where(F.col("__n") >= LARGE).drop("__n"), "large-clusters"))
+        few, many = every.join(big, CLUSTER, "left_anti"), every.join(big, CLUSTER, "left_semi")
+        totals = total_reads(few, None).unionByName(total_reads(many))
+    else:
+        few, many, totals = every, None, total_reads(clustered, None)
+    calls = None if few is None else local_calls(few, config)
+    if many is not None:
+        rows = settle(_large_groups(many, config), "call-groups")
+        large = LARGE if has_large(rows, GROUP) else None
+        spread = insertion_calls(rows, config, large).unionByName(end_calls(rows, config, reads, large))
+        calls = spread if calls is None else calls.unionByName(spread)
+    final = drop_minor_single_ends(settle(calls, "raw-calls"), [*CLUSTER, "group_end_chr"])
+    return final.join(totals, CLUSTER)
 
 
 def with_cluster_statistics(calls: DataFrame, clustered: DataFrame, config: Config = DEFAULT) -> DataFrame:

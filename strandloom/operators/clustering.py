@@ -26,14 +26,18 @@ def bp_event_size() -> Column:
     return event_size(*[F.col(c) for c in ("breakpoint_notation", "start_chr", "start_loc", "end_chr", "end_loc", "insert_length")])
 
 
-def start_clusters(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """breakpoints with the number of their cluster on the start contig; clusters of too few reads are dropped.
+def numbered_starts(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """breakpoints with the number of their cluster on the start contig, also of clusters of too few reads.
 
     Rows at the same start are taken in the order of ord, since their extensions can differ.
     """
     extension = F.when(F.col("breakpoint_notation") == INSERTION, F.lit(config.insert_extension)).otherwise(F.lit(config.start_extension))
-    numbered = islands(breakpoints, ["start_chr"], F.col("start_loc"), reach(config), extension, [F.col("start_loc"), F.col("ord")], config.chunk, "cluster")
-    return supported(numbered, CLUSTER, config.min_reads)
+    return islands(breakpoints, ["start_chr"], F.col("start_loc"), reach(config), extension, [F.col("start_loc"), F.col("ord")], config.chunk, "cluster")
+
+
+def start_clusters(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """numbered_starts without the clusters of too few reads."""
+    return supported(numbered_starts(breakpoints, config), CLUSTER, config.min_reads)
 
 
 def supported(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -54,6 +58,11 @@ def sample_reads(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(*[F.count(F.when(F.col("sample") == s, F.col("read_name"))).alias(f"{s}_reads") for s in SAMPLES])
 
 
+def read_sets() -> list[Column]:
+    """sample_reads as aggregates, for groups whose names a buffer holds."""
+    return [F.size(F.collect_set(F.when(F.col("sample") == s, F.col("read_name")))).cast("bigint").alias(f"{s}_reads") for s in SAMPLES]
+
+
 def cluster_extent(clustered: DataFrame, keys: list[str] | None = None, config: Config = DEFAULT) -> DataFrame:
     """Extent, rows and distinct reads of each cluster."""
     return clustered.groupBy(*(keys or CLUSTER)).agg(

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.stages import settle
 
+#: Chunks whose summary rows are broadcast at most.
+CHUNKS = 100_000
+
 
 def islands(rows: DataFrame, keys: list[str], position: Column, end: Column, extension: Column, order: list[Column], chunk: int, name: str = "island") -> DataFrame:
     """Number the islands of rows along a position, from 1 within keys.
@@ -16,18 +19,21 @@ def islands(rows: DataFrame, keys: list[str], position: Column, end: Column, ext
     (the furthest end, the number of islands) comes from one summary row a chunk, so a large contig is
     spread over its chunks. order must begin with the position.
     """
-    held = rows.withColumns({"__chunk": F.floor(position / chunk), "__position": position, "__end": end, "__extension": extension})
     by = [*keys, "__chunk"]
-    inside = Window.partitionBy(*by).orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = held.groupBy(*by).agg(F.max("__end").alias("__last")).withColumn("__reach", F.max("__last").over(earlier)).drop("__last")
-    held = held.withColumn("__before", F.max("__end").over(inside.rowsBetween(Window.unboundedPreceding, -1))).join(ends, by)
+    inside = Window.partitionBy(*by).orderBy(*order)
+    chunked = rows.withColumn("__chunk", F.floor(position / chunk))
+    ends = chunked.groupBy(*by).agg(F.max(end).alias("__last")).withColumn("__reach", F.max("__last").over(earlier)).drop("__last")
+    # the only shuffle of the rows: windows and the join with the ends take it as it is, the numbering reads what is written
+    held = chunked.repartition(*by).withColumn("__before", F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))).join(ends, by)
     reach = F.greatest("__before", "__reach")
-    held = held.withColumn("__opens", F.when(reach.isNull() | (F.col("__position") - reach > F.col("__extension")), 1).otherwise(0))
+    held = held.withColumn("__opens", F.when(reach.isNull() | (position - reach > extension), 1).otherwise(0))
     held = held.withColumn("__count", F.sum("__opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    opened = held.groupBy(*by).agg(F.sum("__opens").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
-    out = held.join(opened, by).withColumn(name, (F.col("__count") + F.col("__offset")).cast("bigint"))
-    return out.drop("__chunk", "__position", "__end", "__extension", "__before", "__reach", "__opens", "__count", "__offset")
+    held = settle(held.drop("__before", "__reach", "__opens"), "islands")
+    opened = held.groupBy(*by).agg(F.max("__count").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    if opened.limit(CHUNKS + 1).count() <= CHUNKS:
+        opened = F.broadcast(opened)
+    return held.join(opened, by).withColumn(name, (F.col("__count") + F.col("__offset")).cast("bigint")).drop("__chunk", "__count", "__offset")
 
 
 def with_bins(rows: DataFrame, low: Column, high: Column, width: int, name: str = "bin") -> DataFrame:

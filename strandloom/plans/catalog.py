@@ -178,9 +178,15 @@ _CALLS = v.CLUSTERED + f""", big AS (SELECT * FROM cl WHERE (start_chr, cluster,
     ), calls AS (SELECT *, start_chr || ':' || cluster || ':' || end_chr || ':' || part || ':' || breakpoint_notation AS call_id FROM allcalls JOIN totals USING (start_chr, cluster))"""
 
 
-def _calls(spark: SparkSession, d: str) -> DataFrame:
+def _numbered(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Breakpoints with their cluster and the columns of calls; clusters of too few reads for a call are left in, as none comes of them."""
+    used = [*calling.GROUP[:1], "end_chr", "start_loc", "end_loc", "read_name", "sample", "breakpoint_notation", "insert_length", "inserted_sequence", "mapq", "source", "is_nearby_event", "ord"]
+    return clustering.numbered_starts(v.breakpoints(spark, d).select(*used, *more))
+
+
+def _calls(spark: SparkSession, d: str, clustered: DataFrame | None = None) -> DataFrame:
     """Consensus calls with a key."""
-    calls = calling.call_breakpoints(_clustered(spark, d)).drop("group_end_chr")
+    calls = calling.call_breakpoints(_numbered(spark, d) if clustered is None else clustered).drop("group_end_chr")
     return calls.withColumn("call_id", F.concat_ws(":", "start_chr", c("cluster").cast("string"), "end_chr", c("part").cast("string"), "breakpoint_notation"))
 
 
@@ -885,7 +891,8 @@ def insertion_shares(spark, d):
     ), r AS (SELECT call_id, start_chr, cluster, 'tumor' AS sample, tumor_reads AS called_reads FROM calls UNION ALL SELECT call_id, start_chr, cluster, 'normal', normal_reads FROM calls)
     SELECT call_id, sample, called_reads, coalesce(n, 0) AS cluster_reads, called_reads <> coalesce(n, 0) AS differs FROM r LEFT JOIN t USING (start_chr, cluster, sample)""")
 def read_count_report(spark, d):
-    return depth.read_count_report(_calls(spark, d), _clustered(spark, d))
+    rows = _numbered(spark, d)
+    return depth.read_count_report(_calls(spark, d, rows), rows)
 
 
 @query(f"""WITH wide_stats AS ({ORACLES['cluster_stats_full']}) SELECT start_chr, cluster, array_to_string([
@@ -1173,8 +1180,10 @@ def germline_filter(spark, d):
 @query(f"""WITH {_CALLS}, wide_stats AS ({ORACLES['cluster_stats_full']}), w AS (SELECT start_chr, cluster, COLUMNS(* EXCLUDE (start_chr, cluster)) AS 'start_\\0' FROM wide_stats)
     SELECT calls.call_id, w.* EXCLUDE (start_chr, cluster) FROM calls JOIN w USING (start_chr, cluster)""")
 def call_cluster_statistics(spark, d):
-    rows = calling.with_cluster_statistics(_calls(spark, d), _clustered(spark, d))
-    names = [f"start_{x}" for x in clustering.comprehensive_statistics(_clustered(spark, d)).columns if x not in clustering.CLUSTER]
+    clustered = _numbered(spark, d, "haplotype_start", "haplotype_end", "phase_set_start", "phase_set_end")
+    calls = _calls(spark, d, clustered)
+    rows = calling.with_cluster_statistics(calls, clustered)
+    names = [x for x in rows.columns if x not in calls.columns]
     return rows.select("call_id", *names).withColumn("start_phase_sets_count", c("start_phase_sets_count").cast("bigint"))
 
 
