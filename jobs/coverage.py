@@ -4,15 +4,15 @@
 
 Sequencing runs deliver reads over weeks; depth annotation and the choice of filters need the coverage so far. A file
 stream with a checkpoint takes the files that no earlier run has taken (availableNow, then it ends). Each batch of
-files becomes binned depths, which are added to the depths so far:
+files becomes runs of bins of equal depth, which are added to the depths so far:
 
-    FOLDER/depths/turn=0|1/contig=...  the sums after the last two batches, a row of them for each bin, and the batch
+    FOLDER/depths/turn=0|1/contig=...  the sums after the last two batches, a row for each run of bins, and the batch
     FOLDER/coverage/contig=...         sample, haplotype, bin, depth: the result, written when the stream has ended
 
 The sums of a batch are written to one turn from those of the other, which stay as they are. So a batch that is run
 again after a failure starts from the same sums and writes the same rows: no file counts twice. A run without new
-files writes the same result again. What a batch costs grows with its reads and with the number of bins, not with all
-reads so far.
+files writes the same result again. What a batch costs grows with its reads and with the number of runs, not with all
+reads so far. The number of tasks grows with the rows (TASK_ROWS), so that what a task holds does not.
 
 Defined cases: reads without sample, contig or place are left out, as are those of other haplotypes than 1, 2 and none;
 a read given twice counts twice; a table without reads gives no rows. Columns come from the SQL expressions of the
@@ -30,16 +30,24 @@ from jobs.common import LOG, load_config, session, write_partitioned
 from strandloom.operators import coverage
 
 c = F.col
-SUMS = "sample string, haplotype int, bin bigint, depth bigint, batch bigint, turn int, contig string"
+#: Rows that a task sorts, about.
+TASK_ROWS = 2_000_000
+SUMS = "sample string, haplotype int, bin bigint, next_bin bigint, depth bigint, batch bigint, turn int, contig string"
 RESULT = "sample string, haplotype int, bin bigint, depth bigint, contig string"
 _TYPES = {"sample": "string", "contig": "string", "haplotype": "int", "start": "bigint", "end": "bigint"}
 
 
-def depths(rows: DataFrame, config: dict) -> DataFrame:
-    """Rows of the reads' table -> (sample, contig, haplotype, bin, depth) of these reads alone."""
+def tasks(spark: SparkSession, rows: int) -> int | None:
+    """Partitions of a shuffle of so many rows; None if the session's number is enough."""
+    n = -(-rows // TASK_ROWS)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def depths(rows: DataFrame, config: dict, partitions: int | None = None) -> DataFrame:
+    """Rows of the reads' table -> runs (sample, contig, haplotype, bin, next_bin, depth) of these reads alone."""
     reads = rows.select(*[F.expr(config["columns"][name]).cast(type_).alias(name) for name, type_ in _TYPES.items()])
     known = reads.where("sample is not null and contig is not null and start is not null and end is not null")
-    return coverage.binned_coverage(known, config["bin"]).withColumn("depth", c("depth").cast("bigint"))
+    return coverage.coverage_by_deltas(known, config["bin"], partitions=partitions)
 
 
 def _sums(spark: SparkSession, path: str) -> DataFrame | None:
@@ -51,8 +59,8 @@ def _sums(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def last_sums(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The sums after the last batch (before a given one); None if there is none yet."""
+def last_runs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The sums after the last batch (before a given one), as runs of bins; None if there is none yet."""
     sums = _sums(spark, path)
     if sums is None:
         return None
@@ -62,15 +70,24 @@ def last_sums(spark: SparkSession, path: str, before: int | None = None) -> Data
     return None if last is None else sums.where((c("turn") == last % 2) & (c("batch") == last))
 
 
+def last_sums(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """last_runs with a row for each bin."""
+    runs = last_runs(spark, path, before)
+    bins = F.explode(F.sequence("bin", c("next_bin") - 1)).alias("bin")
+    return None if runs is None else runs.select("sample", "haplotype", bins, "depth", "batch", "turn", "contig")
+
+
 def add_batch(rows: DataFrame, batch: int, path: str, config: dict) -> None:
     """Add a batch of reads to the sums at path; the same batch may be added again."""
-    parts = [depths(rows, config)]
-    earlier = last_sums(rows.sparkSession, path, batch) if batch else None
+    spark, n = rows.sparkSession, rows.count()
+    sums = depths(rows, config, tasks(spark, 2 * n))
+    earlier = last_runs(spark, path, batch) if batch else None
     if earlier is not None:
-        parts.append(earlier.select("sample", "contig", "haplotype", "bin", "depth"))
-    sums = coverage.merge_coverage(*parts).withColumns({"batch": F.lit(batch).cast("bigint"), "turn": F.lit(batch % 2)})
-    written = write_partitioned(sums.select("sample", "haplotype", "bin", "depth", "batch", "turn", "contig"), path, ["turn", "contig"], "dynamic")
-    LOG.info("batch %d: %d rows read, %d bins have depth", batch, rows.count(), written)
+        of_both = 2 * (2 * n + earlier.count())
+        sums = coverage.merge_runs(sums, earlier.select(*sums.columns), partitions=tasks(spark, of_both))
+    sums = sums.withColumns({"batch": F.lit(batch).cast("bigint"), "turn": F.lit(batch % 2)})
+    written = write_partitioned(sums.select("sample", "haplotype", "bin", "next_bin", "depth", "batch", "turn", "contig"), path, ["turn", "contig"], "dynamic")
+    LOG.info("batch %d: %d rows read, %d runs have depth", batch, n, written)
 
 
 def run(spark: SparkSession, reads: str, output: str, checkpoint: str, config: dict | None = None) -> DataFrame:
@@ -85,8 +102,14 @@ def run(spark: SparkSession, reads: str, output: str, checkpoint: str, config: d
     finally:
         query.stop()
     LOG.info("took %d batches of new files of %s", sum(p["numInputRows"] > 0 for p in query.recentProgress), reads)
-    sums = last_sums(spark, state)
-    rows = spark.createDataFrame([], RESULT) if sums is None else sums.select("sample", "haplotype", "bin", "depth", "contig")
+    runs = last_runs(spark, state)
+    if runs is None:
+        rows = spark.createDataFrame([], RESULT)
+    else:
+        # a range of places for each task: its rows are those of few contigs, and no more than it can sort
+        n = runs.agg(F.sum(c("next_bin") - c("bin"))).first()[0] or 0
+        ranges = runs.repartitionByRange(max(1, -(-n // TASK_ROWS)), "contig", "bin")
+        rows = coverage.run_bins(ranges).select("sample", "haplotype", "bin", "depth", "contig")
     written = write_partitioned(rows, f"{output.rstrip('/')}/coverage", ["contig"])
     LOG.info("wrote %d rows to %s", written, output)
     return spark.read.schema(RESULT).parquet(f"{output.rstrip('/')}/coverage")

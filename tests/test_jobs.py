@@ -150,3 +150,21 @@ def test_depth_is_that_of_the_library(spark, sf_dir, folder):
     got = coverage.run(spark, f"{sf_dir}/lineitem.parque[t]", f"{folder}/out", f"{folder}/mark")
     total = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.sum(F.lit(1))).first()[0]
     assert got.agg(F.sum("depth")).first()[0] >= total
+
+
+def test_coverage_tasks_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from jobs import coverage
+
+    rows = [(None, 1, s, s + 95) for s in range(0, 40_000, 20)]
+    spark.createDataFrame([("t", "a", *r) for r in rows], "sample string, contig string, haplotype int, h int, start bigint, end bigint").drop("h").write.parquet(f"{tmp_path}/reads")
+    config = {"bin": 10, "files_per_batch": 200, "columns": {x: f"`{x}`" for x in ("sample", "contig", "haplotype", "start", "end")}}
+    got = {}
+    for most in (2_000_000, 500):
+        monkeypatch.setattr(coverage, "TASK_ROWS", most)
+        out = coverage.run(spark, f"{tmp_path}/reads", f"{tmp_path}/{most}/out", f"{tmp_path}/{most}/mark", config)
+        got[most] = {(r.bin, r.depth) for r in out.collect()}
+        files = out.groupBy(F.input_file_name()).count().collect()
+        assert max(r["count"] for r in files) <= 2 * most
+    assert got[500] == got[2_000_000] and len(got[500]) == 4008
+    state = spark.read.schema(coverage.SUMS).parquet(f"{tmp_path}/500/out/depths")
+    assert 0 < state.count() < 4008 and state.agg(F.sum(F.col("next_bin") - F.col("bin"))).first()[0] == 4008
