@@ -62,3 +62,14 @@ def test_islands_write_rows_once(spark, monkeypatch):
 
 def test_defaults_imply_the_groups_support():
     assert DEFAULT.min_support >= DEFAULT.min_reads
+
+
+def test_reports_number_clusters_once(spark, sf_dir, monkeypatch):
+    from strandloom.plans import catalog
+
+    written, real = [], ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df, name: written.append(name) or real(df, name))
+    catalog.read_count_report(spark, sf_dir)
+    assert written == ["islands"]
+    catalog.call_cluster_statistics(spark, sf_dir)
+    assert written == ["islands"] * 2
