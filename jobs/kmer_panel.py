@@ -13,7 +13,7 @@ A run replaces the whole output, so it can be repeated after a failure and gives
 
 Defined cases: null sequences, sequences shorter than k and k-mers with an N have no k-mers; a null target is left out;
 reads without a library form one of their own (null); rows of an equal id are one read, reads without an id none.
-Hot libraries and k-mers are added up before each shuffle; the targets' k-mers are broadcast up to
+Hot libraries and k-mers are added up before each shuffle; the targets' k-mers and their seeds are broadcast up to
 kmers.BROADCAST_KMERS, else joined.
 """
 
@@ -35,18 +35,15 @@ def screen(reads: DataFrame, targets: DataFrame, config: dict) -> DataFrame:
     """(library, id, sequence) and (target, sequence) -> a row for each library and target that share a k-mer."""
     k = config["k"]
     known = kmers.reference_kmers(targets.where("target is not null"), ["target"], "sequence", k)
-    wanted = known.select("kmer").distinct()
-    if wanted.limit(kmers.BROADCAST_KMERS + 1).count() <= kmers.BROADCAST_KMERS:
-        wanted = F.broadcast(wanted)
-    found = kmers.kmer_rows(reads, ["library", "id"], "sequence", k).join(wanted, "kmer", "left_semi")
-    # one row for each k-mer of a read; all further sums start from these
+    found = kmers.wanted_rows(reads, ["library", "id"], "sequence", known, k)
+    # one row for each k-mer of a read; all further sums start from these, in one pass over the reads
     of_read = found.groupBy("library", "id", "kmer").agg(F.count("*").alias("n"))
-    counts = of_read.groupBy("library", "kmer").agg(F.sum("n").alias("n"))
-    seen = counts.join(known, "kmer").groupBy("library", "target").agg(F.count("*").alias("n_seen"), F.count_if(c("n") >= config["least"]).alias("n_supported"))
-    holders = of_read.join(known, "kmer").select("library", "target", "id").distinct().groupBy("library", "target").agg(F.count("id").alias("n_reads"))
-    sizes = known.groupBy("target").agg(F.count("*").alias("n_kmers"))
-    same = c("s.library").eqNullSafe(c("h.library")) & (c("s.target") == c("h.target"))
-    out = seen.alias("s").join(holders.alias("h"), same).select("s.*", "h.n_reads").join(sizes, "target")
+    each = F.array(F.struct(F.lit(True).alias("is_kmer"), c("kmer").alias("value"), "n"), F.struct(F.lit(False).alias("is_kmer"), c("id").alias("value"), "n"))
+    parts = of_read.join(known, "kmer").select("library", "target", F.explode(each).alias("e")).groupBy("library", "target", "e.is_kmer", "e.value").agg(F.sum("e.n").alias("n"))
+    counts = parts.groupBy("library", "target").agg(
+        F.count_if("is_kmer").alias("n_seen"), F.count_if(c("is_kmer") & (c("n") >= config["least"])).alias("n_supported"), F.count_if(~c("is_kmer") & c("value").isNotNull()).alias("n_reads")
+    )
+    out = counts.join(known.groupBy("target").agg(F.count("*").alias("n_kmers")), "target")
     return out.withColumn("is_match", c("n_supported") / c("n_kmers") > config["share"])
 
 

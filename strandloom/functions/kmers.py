@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Bases in the small and in the large pieces of a sequence: places in a string are found by walking it, so long ones are cut first.
-PIECE, LONG = 128, 16_384
+#: Bases in the small, middle and large pieces of a sequence: places in a string are found by walking it, so long ones are cut first.
+PIECE, MIDDLE, LONG = 128, 1024, 16_384
 #: Distinct k-mers that are broadcast at most.
 BROADCAST_KMERS = 1_000_000
+#: Letters from one seed of a sequence to the next, if k is not small.
+SEED_STEP = 8
 
 
 def upper(sequence: Column) -> Column:
@@ -47,15 +49,51 @@ def kmers(sequence: Column, k: int, distinct: bool = True, amount: str = "N") ->
 
 def kmer_rows(rows: DataFrame, keys: list[str], sequence: str, k: int, amount: str = "N") -> DataFrame:
     """(keys, kmer): a row for each occurrence in a group's sequences, cut in generated code."""
-    letters = rows.select(*keys, upper(F.col(sequence)).alias("__letters")).where(F.length("__letters") >= k)
+    short, cut = _cut_pieces(rows, keys, sequence, k)
+    placed = short.select(*keys, "__piece", "__bytes", F.explode(F.sequence(F.lit(1), F.length("__piece") - (k - 1))).alias("__at"))
+    return placed.select(*keys, cut(k).alias("kmer")).where(~F.contains("kmer", F.lit(amount)))
+
+
+def _single(letters: Column) -> Column:
+    return F.octet_length(letters) == F.length(letters)
+
+
+def _cut_pieces(rows: DataFrame, keys: list[str], sequence: str, k: int) -> tuple[DataFrame, Callable[[int], Column]]:
+    """(keys, __piece, __bytes), pieces that hold each k-mer once, and the letters of a piece from __at on."""
+    # single-byte letters have no others in upper case, and upper is the faster one
+    letters = F.when(_single(F.col(sequence)), F.upper(sequence)).otherwise(upper(F.col(sequence)))
+    letters = rows.select(*keys, letters.alias("__letters")).where(F.length(sequence) >= k)
     long_ = letters.select(*keys, F.explode(_pieces(F.col("__letters"), LONG, k)).alias("__long"))
-    short = long_.select(*keys, F.explode(_pieces(F.col("__long"), PIECE, k)).alias("__piece")).where(F.length("__piece") >= k)
-    # in a piece of single-byte letters a place in bytes is the place in letters, and nothing is walked
-    single = F.when(F.octet_length("__piece") == F.length("__piece"), F.col("__piece").cast("binary"))
-    placed = short.withColumn("__bytes", single).select(*keys, "__piece", "__bytes", F.explode(F.sequence(F.lit(1), F.length("__piece") - (k - 1))).alias("__at"))
-    cut = lambda piece: F.substring(F.col(piece), F.col("__at"), F.lit(k)).cast("string")
-    out = placed.select(*keys, F.when(F.col("__bytes").isNotNull(), cut("__bytes")).otherwise(cut("__piece")).alias("kmer"))
-    return out.where(~F.contains("kmer", F.lit(amount)))
+    # in a piece of single-byte letters a place in bytes is the place in letters, and nothing is walked or cut further
+    small = F.flatten(F.transform(_pieces(F.col("__long"), MIDDLE, k), lambda p: _pieces(p, PIECE, k)))
+    short = long_.select(*keys, F.explode(F.when(_single(F.col("__long")), F.array("__long")).otherwise(small)).alias("__piece")).where(F.length("__piece") >= k)
+    single = F.when(_single(F.col("__piece")), F.col("__piece").cast("binary"))
+    of = lambda piece, n: F.substring(F.col(piece), F.col("__at"), F.lit(n)).cast("string")
+    return short.withColumn("__bytes", single), lambda n: F.when(F.col("__bytes").isNotNull(), of("__bytes", n)).otherwise(of("__piece", n))
+
+
+def wanted_rows(rows: DataFrame, keys: list[str], sequence: str, wanted: DataFrame, k: int, amount: str = "N") -> DataFrame:
+    """(keys, kmer): a row for each occurrence of a wanted (kmer) k-mer, as kmer_rows met with the wanted ones.
+
+    Up to BROADCAST_KMERS are broadcast with their seeds, the parts of k - step + 1 letters. A k-mer holds exactly one
+    of the seeds that start at every step-th letter of a piece, so only one place in step is looked up, and k-mers
+    are cut around the seeds found.
+    """
+    step = max(1, min(SEED_STEP, k // 3))
+    seed = k - step + 1
+    wanted = wanted.select("kmer").distinct()
+    if wanted.limit(BROADCAST_KMERS + 1).count() > BROADCAST_KMERS:
+        return kmer_rows(rows, keys, sequence, k, amount).join(wanted, "kmer", "left_semi")
+    seeds = wanted.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(step)), lambda i: F.substring(F.col("kmer"), i, F.lit(seed)))).alias("__seed")).distinct()
+    if seeds.limit(BROADCAST_KMERS + 1).count() > BROADCAST_KMERS:
+        return kmer_rows(rows, keys, sequence, k, amount).join(F.broadcast(wanted), "kmer", "left_semi")
+    short, cut = _cut_pieces(rows, keys, sequence, k)
+    placed = short.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("__piece") - (seed - 1), F.lit(step))))
+    met = placed.withColumn("__seed", cut(seed)).join(F.broadcast(seeds), "__seed", "left_semi")
+    first, last = F.greatest(F.lit(1), F.col("__at") - (step - 1)), F.least("__at", F.length("__piece") - (k - 1))
+    around = met.where(first <= last).select(*keys, "__piece", "__bytes", F.explode(F.sequence(first, last)).alias("__at"))
+    out = around.select(*keys, cut(k).alias("kmer")).where(~F.contains("kmer", F.lit(amount)))
+    return out.join(F.broadcast(wanted), "kmer", "left_semi")
 
 
 def shares_kmer(a: Column, b_kmers: Column, k: int) -> Column:
