@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
-from strandloom.functions.columns import INSERTION, insertion_like, round3
-from strandloom.operators.clustering import CLUSTER, SAMPLES, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, read_sets, sample_reads, size_median
+from strandloom.functions.columns import INSERTION, SINGLE, insertion_like, round3
+from strandloom.operators.clustering import CLUSTER, SAMPLES, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, numbered_starts, read_sets, sample_reads, segmented_starts, size_median
 from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated, has_large
 from strandloom.operators.refinement import refine
 from strandloom.operators.stages import settle
@@ -33,10 +33,10 @@ def phase_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "sample").agg(F.count_distinct("read_name").alias("n_reads"), F.count("*").alias("n_alignments"), *histogram("start"), *histogram("end"))
 
 
-def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT, large: int | None = LARGE, more: list[Column] | None = None) -> DataFrame:
+def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT, large: int | None = LARGE, more: list[Column] | None = None, keep: Column | None = None) -> DataFrame:
     """One row for each group with support: its sums, the medians of its places and the statistics of its origin.
 
-    The keys must not be null. more: further aggregates.
+    The keys must not be null. more: further aggregates; keep: groups that stay without support (with large None).
     """
     inserts = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_length"))
     sums = [
@@ -53,7 +53,7 @@ def supported_calls(rows: DataFrame, keys: list[str], config: Config = DEFAULT,
     medians = [place("start_loc", "start_loc"), place("end_loc", "end_median"), size_median("origin_event_size_median")]
     whole = {x: F.col(x).cast("bigint") for x in ("start_loc", "end_median")}
     if large is None:
-        calls = aggregated(rows, keys, sums + read_sets(), medians, None).where(_has_support(config))
+        calls = aggregated(rows, keys, sums + read_sets(), medians, None).where(_has_support(config) if keep is None else _has_support(config) | keep)
     else:
         calls = aggregated(rows, keys, sums, medians, large).join(sample_reads(rows, keys).where(_has_support(config)), keys)
     return calls.withColumns(whole | {"origin_event_size_median": round3(F.col("origin_event_size_median"))})
@@ -121,37 +121,87 @@ def _with_ends(calls: DataFrame, config: Config) -> DataFrame:
     return kept.drop("end_cluster", "end_median", "insert_mean")
 
 
+#: Kinds of rows in local_calls; a marker carries the number of clusters of its segment.
+_END, _LIKE, _MARKER = 0, 1, 2
+
+
 def local_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """insertion_calls and end_calls of start clusters of fewer than LARGE rows, neither refined nor split at their ends.
+    """Calls, with the reads of their clusters, of start clusters of fewer than LARGE rows, neither refined nor split at their ends.
 
     Rows are shuffled once, by their cluster, and windows and aggregates of its groups need no more. A call has
     min_support reads, so its groups have as many rows.
     """
-    like = insertion_like(F.col("breakpoint_notation"))
-    insertion = F.col("breakpoint_notation") == INSERTION
+    kind = F.when(insertion_like(F.col("breakpoint_notation")), _LIKE).otherwise(_END)
+    return _placed_calls(rows.withColumn("__kind", kind).repartition(*CLUSTER), CLUSTER, config).drop("__kind")
+
+
+def _placed_calls(rows: DataFrame, cluster: list[str], config: Config) -> DataFrame:
+    """local_calls of rows with their __kind that are partitioned by keys of the cluster; markers stay rows."""
+    insertion, like, marker = F.col("breakpoint_notation") == INSERTION, F.col("__kind") == _LIKE, F.col("__kind") == _MARKER
+    # a read counts in its first row
+    named = Window.partitionBy(*cluster, "sample", "read_name").orderBy("__kind")
+    first = (F.row_number().over(named) == 1) & F.col("read_name").isNotNull()
+    totals = [f"clustered_{s}" for s in SAMPLES]
+    held = rows.withColumn("__first", first & ~marker)
+    held = held.withColumns({t: F.count_if(F.col("__first") & (F.col("sample") == s)).over(Window.partitionBy(*cluster)) for t, s in zip(totals, SAMPLES)}).drop("__first")
+
     # chains of lengths, as in insert_length_islands; single ends follow the insertions of their group
-    by_length = Window.partitionBy(*GROUP).orderBy(~insertion, "insert_length")
+    group = Window.partitionBy(*cluster, "end_chr", "__kind")
+    held = held.withColumn("__rows", F.count("*").over(group)).where((F.col("__rows") >= config.min_support) | marker).drop("__rows")
+    by_length = group.orderBy(~insertion, "insert_length")
     length, before = F.col("insert_length"), F.lag("insert_length").over(by_length)
     opens = insertion & ((F.row_number().over(by_length) == 1) | (~length.eqNullSafe(before) & (before.isNull() | (length > F.ceil(before * F.lit(2.0 - config.insert_fraction))))))
-    inserts = rows.where(like).repartition(*CLUSTER).withColumn("__opens", F.when(opens, 1).otherwise(0))
-    inserts = inserts.withColumn("length_island", F.greatest(F.lit(1), F.sum("__opens").over(by_length)).cast("bigint")).drop("__opens")
-    island = [*GROUP, "length_island"]
-    one = F.count_if(insertion).over(Window.partitionBy(*island)) >= 2
-    inserts = inserts.withColumn("__call", F.when(one, F.lit(INSERTION)).otherwise(F.col("breakpoint_notation")))
-    insertions = _insertions(supported_calls(inserts, [*island, "__call"], config, None))
-
-    group = Window.partitionBy(*GROUP)
-    ends = rows.where(~like).repartition(*CLUSTER).withColumn("end_cluster", F.lit(1).cast("bigint"))
+    held = held.withColumn("__opens", F.when(like & opens, 1).otherwise(0))
+    held = held.withColumn("part", F.greatest(F.lit(1), F.sum("__opens").over(by_length)).cast("bigint")).drop("__opens")
     if config.min_reads > config.min_support:
-        ends = ends.withColumn("__names", F.size(F.collect_set("read_name").over(group))).where(F.col("__names") >= config.min_reads).drop("__names")
+        held = held.withColumn("__names", F.size(F.collect_set("read_name").over(group))).where((F.col("__kind") != _END) | (F.col("__names") >= config.min_reads)).drop("__names")
     # the statistics of all rows of the end cluster: the same in each of its calls
     size, share, name = size_median("end_event_size_median")[0], F.lit(0.5), "end_event_size_median"
     names = [f"end_{x}" for x in ("starts_std_dev", "mapq_mean", "event_size_std_dev", "event_size_mean")]
     whole = [F.stddev_pop("start_loc"), F.avg("mapq"), F.stddev_pop(size), F.avg(size)]
     stated = {n: round3(x.over(group)) for n, x in zip(names, whole)} | {name: round3(F.percentile(size.cast("double"), share).over(group))}
-    keys = [*GROUP, "end_cluster", "breakpoint_notation"]
-    calls = supported_calls(ends.withColumns(stated), keys, config, None, [F.max(n).alias(n) for n in stated])
-    return insertions.unionByName(_with_ends(calls, config))
+    held = held.withColumns(stated)
+    one = like & (F.count_if(insertion).over(Window.partitionBy(*cluster, "end_chr", "__kind", "part")) >= 2)
+    held = held.withColumn("__call", F.when(one, F.lit(INSERTION)).otherwise(F.col("breakpoint_notation")))
+
+    keys = [*cluster, "end_chr", "__kind", "part", "__call"]
+    calls = supported_calls(held, keys, config, None, [F.max(n).alias(n) for n in [*stated, *totals]], marker).withColumnRenamed("__call", "breakpoint_notation")
+    within = F.when(F.col("start_chr") != F.col("end_chr"), F.lit(0)).otherwise(F.abs(F.col("end_median") - F.col("start_loc")))
+    inserted = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_mean")).otherwise(F.lit(0))
+    calls = calls.withColumns({n: F.when(like, F.col(n.replace("end_", "origin_", 1))).otherwise(F.col(n)) for n in stated})
+    calls = calls.withColumns({"end_loc": F.when(like, F.col("start_loc")).otherwise(F.col("end_median")), "sv_length": F.when(like, inserted).otherwise(within).cast("bigint")})
+    calls = calls.where((F.col("__kind") != _END) | (F.col("sv_length") >= config.min_length) | (F.col("start_chr") != F.col("end_chr")))
+    calls = calls.withColumns({"group_end_chr": F.col("end_chr"), "end_chr": F.when(like, F.col("start_chr")).otherwise(F.col("end_chr"))}).drop("end_median", "insert_mean")
+    # a marker is no call: it neither is one of a kind nor drops others
+    kept = F.max(F.when(~F.col("breakpoint_notation").isin(*SINGLE) & ~marker, 1).otherwise(0)).over(Window.partitionBy(*cluster, "group_end_chr"))
+    return calls.withColumn("__major", kept).where(marker | ~F.col("breakpoint_notation").isin(*SINGLE) | (F.col("__major") == 0)).drop("__major")
+
+
+def segmented_calls(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """call_breakpoints of the start clusters of breakpoints, which are neither numbered nor written before.
+
+    Segments of contigs begin where a cluster does: rows are shuffled once, by segment, and clusters and calls are made
+    from that. A marker row a segment tells how many clusters it has, by which the calls' clusters are
+    numbered. Where a segment could hold a cluster of LARGE rows, the clusters are numbered first.
+    """
+    rows = _present(breakpoints)
+    held = None if config.split_ends else segmented_starts(rows, config, LARGE)
+    if held is None:
+        return call_breakpoints(numbered_starts(breakpoints, config), config)
+    kind = F.when(insertion_like(F.col("breakpoint_notation")), _LIKE).otherwise(_END)
+    # the last row of a segment has the number of its clusters
+    kinds = F.when(F.col("__last"), F.array(kind, F.lit(_MARKER))).otherwise(F.array(kind))
+    calls = settle(_placed_calls(held.withColumn("__kind", F.explode(kinds)).drop("__last"), ["start_chr", "segment", "cluster"], config), "raw-calls")
+    earlier = Window.partitionBy("start_chr").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = calls.where(F.col("__kind") == _MARKER).select("start_chr", "segment", F.coalesce(F.sum("cluster").over(earlier), F.lit(0)).alias("__offset"))
+    # one row a segment, of which segmented_starts lets through no more than a broadcast holds
+    numbered = calls.where(F.col("__kind") != _MARKER).join(F.broadcast(offsets), ["start_chr", "segment"])
+    return numbered.withColumn("cluster", F.col("cluster") + F.col("__offset")).drop("__offset", "segment", "__kind")
+
+
+def _present(breakpoints: DataFrame) -> DataFrame:
+    """Only whether a row has a sequence counts: the bases need not be written again."""
+    return breakpoints.withColumn("inserted_sequence", F.when(F.col("inserted_sequence").isNotNull(), F.lit("")))
 
 
 def drop_minor_single_ends(calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,26 +213,23 @@ def drop_minor_single_ends(calls: DataFrame, keys: list[str]) -> DataFrame:
 
 def call_breakpoints(clustered: DataFrame, config: Config = DEFAULT, reads: DataFrame | None = None) -> DataFrame:
     """Clustered breakpoints -> consensus calls, one flat row each."""
-    # only whether a row has a sequence counts: the bases need not be written again
-    present = F.when(F.col("inserted_sequence").isNotNull(), F.lit(""))
-    every = clustered.withColumn("inserted_sequence", present)
+    every = _present(clustered)
     if (config.refine and reads is not None) or config.split_ends:
-        few, many, totals = None, every, total_reads(clustered)
+        few, many = None, every
     elif has_large(every, CLUSTER):
         # of n rows no more than n / LARGE clusters are large
         big = F.broadcast(settle(every.groupBy(*CLUSTER).agg(F.count("*").alias("__n")).where(F.col("__n") >= LARGE).drop("__n"), "large-clusters"))
         few, many = every.join(big, CLUSTER, "left_anti"), every.join(big, CLUSTER, "left_semi")
-        totals = total_reads(few, None).unionByName(total_reads(many))
     else:
-        few, many, totals = every, None, total_reads(clustered, None)
-    calls = None if few is None else local_calls(few, config)
+        few, many = every, None
+    calls = None if few is None else settle(local_calls(few, config), "raw-calls")
     if many is not None:
         rows = settle(_large_groups(many, config), "call-groups")
         large = LARGE if has_large(rows, GROUP) else None
-        spread = insertion_calls(rows, config, large).unionByName(end_calls(rows, config, reads, large))
+        raw = settle(insertion_calls(rows, config, large).unionByName(end_calls(rows, config, reads, large)), "raw-calls")
+        spread = drop_minor_single_ends(raw, [*CLUSTER, "group_end_chr"]).join(total_reads(many), CLUSTER)
         calls = spread if calls is None else calls.unionByName(spread)
-    final = drop_minor_single_ends(settle(calls, "raw-calls"), [*CLUSTER, "group_end_chr"])
-    return final.join(totals, CLUSTER)
+    return calls
 
 
 def with_cluster_statistics(calls: DataFrame, clustered: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, event_size, insertion_like, round3
-from strandloom.operators.ordered import islands
+from strandloom.operators.ordered import CHUNKS, islands
 from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated
+from strandloom.operators.stages import settle
 
 CLUSTER = ["start_chr", "cluster"]
 SAMPLES = ("tumor", "normal")
@@ -35,6 +36,48 @@ def numbered_starts(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFra
     return islands(breakpoints, ["start_chr"], F.col("start_loc"), reach(config), extension, [F.col("start_loc"), F.col("ord")], config.chunk, "cluster")
 
 
+def segmented_starts(breakpoints: DataFrame, config: Config = DEFAULT, most: int = LARGE) -> DataFrame | None:
+    """breakpoints with a segment of their contig and the number of their cluster in it, partitioned by segment.
+
+    A segment begins where a cluster does, in the first positions of a chunk; chunks without such a place go on with the segment
+    before. To find them only the rows of those positions are put in order, so rows are shuffled once and not
+    written. __last marks the last row of a segment. None if a segment would have most rows or there are too many chunks.
+    """
+    at, zone = F.col("start_loc"), max(1, config.chunk // 50)
+    extension = F.when(F.col("breakpoint_notation") == INSERTION, F.lit(config.insert_extension)).otherwise(F.lit(config.start_extension))
+    by, order = ["start_chr", "__chunk"], ["start_loc", "ord"]
+    chunked = breakpoints.withColumn("__chunk", F.floor(at / config.chunk))
+    along = Window.partitionBy("start_chr").orderBy("__chunk")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = settle(chunked.groupBy(*by).agg(F.max(reach(config)).alias("__end"), F.count("*").alias("__n")), "chunks")
+    if chunks.count() > CHUNKS:
+        return None
+    reached = chunks.select(*by, F.max("__end").over(earlier).alias("__reach"))
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    heads = chunked.where(at - F.col("__chunk") * config.chunk < zone).select(*by, *order, reach(config).alias("__end"), extension.alias("__extension"))
+    heads = heads.join(F.broadcast(reached), by).withColumn("__before", F.greatest(F.max("__end").over(inside), "__reach"))
+    opening = heads.where(F.col("__before").isNull() | (at - F.col("__before") > F.col("__extension")))
+    cuts = opening.groupBy(*by).agg(F.min(F.struct(*order, F.col("__before"))).alias("__cut"))
+    none = F.lit(-(1 << 62))
+    cut = chunks.join(F.broadcast(cuts), by, "left").withColumn("__own", F.when(F.col("__cut").isNotNull(), F.col("__chunk")))
+    cut = settle(cut.withColumn("__prior", F.coalesce(F.last("__own", True).over(earlier), none)), "segments")
+    # the rows before a chunk's cut are counted in both segments
+    sizes = cut.select("start_chr", "__n", F.explode(F.array_compact(F.array("__own", "__prior"))).alias("segment")).groupBy("start_chr", "segment").agg(F.sum("__n").alias("__n"))
+    if not sizes.where(F.col("__n") >= most).isEmpty():
+        return None
+    placed = chunked.join(F.broadcast(cut.select(*by, "__cut", "__own", "__prior")), by)
+    beyond = F.col("__own").isNotNull() & (F.struct(*order) >= F.struct("__cut.start_loc", "__cut.ord"))
+    placed = placed.withColumn("segment", F.when(beyond, F.col("__own")).otherwise(F.col("__prior"))).drop("__chunk", "__cut", "__own", "__prior")
+    carried = F.broadcast(cut.where("__own is not null").select("start_chr", F.col("__own").alias("segment"), F.col("__cut.__before").alias("__carried")))
+    held = placed.repartition("start_chr", "segment").join(carried, ["start_chr", "segment"], "left")
+    whole = Window.partitionBy("start_chr", "segment").orderBy(*order)
+    rows = whole.rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumns({"__before": F.max(reach(config)).over(whole.rowsBetween(Window.unboundedPreceding, -1)), "__last": F.lead(F.lit(True)).over(whole).isNull()})
+    furthest = F.greatest("__before", "__carried")
+    held = held.withColumn("__opens", F.when(furthest.isNull() | (at - furthest > extension), 1).otherwise(0))
+    return held.withColumn("cluster", F.sum("__opens").over(rows).cast("bigint")).drop("__before", "__carried", "__opens")
+
+
 def start_clusters(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """numbered_starts without the clusters of too few reads."""
     return supported(numbered_starts(breakpoints, config), CLUSTER, config.min_reads)

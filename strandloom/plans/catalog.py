@@ -178,15 +178,20 @@ _CALLS = v.CLUSTERED + f""", big AS (SELECT * FROM cl WHERE (start_chr, cluster,
     ), calls AS (SELECT *, start_chr || ':' || cluster || ':' || end_chr || ':' || part || ':' || breakpoint_notation AS call_id FROM allcalls JOIN totals USING (start_chr, cluster))"""
 
 
-def _numbered(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    """Breakpoints with their cluster and the columns of calls; clusters of too few reads for a call are left in, as none comes of them."""
+def _called(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Breakpoints with the columns of calls."""
     used = [*calling.GROUP[:1], "end_chr", "start_loc", "end_loc", "read_name", "sample", "breakpoint_notation", "insert_length", "inserted_sequence", "mapq", "source", "is_nearby_event", "ord"]
-    return clustering.numbered_starts(v.breakpoints(spark, d).select(*used, *more))
+    return v.breakpoints(spark, d).select(*used, *more)
+
+
+def _numbered(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Breakpoints of calls with their cluster; clusters of too few reads for a call are left in, as none comes of them."""
+    return clustering.numbered_starts(_called(spark, d, *more))
 
 
 def _calls(spark: SparkSession, d: str, clustered: DataFrame | None = None) -> DataFrame:
     """Consensus calls with a key."""
-    calls = calling.call_breakpoints(_numbered(spark, d) if clustered is None else clustered).drop("group_end_chr")
+    calls = (calling.segmented_calls(_called(spark, d)) if clustered is None else calling.call_breakpoints(clustered)).drop("group_end_chr")
     return calls.withColumn("call_id", F.concat_ws(":", "start_chr", c("cluster").cast("string"), "end_chr", c("part").cast("string"), "breakpoint_notation"))
 
 
@@ -283,7 +288,7 @@ _DEPTHS = [f"dp_{s}_{p}_{e}" for s in ("tumor", "normal") for p in ("before", "a
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
-    return settle(depth.annotate_depth(settle(_calls(spark, d), "calls"), coverage.coverage_by_deltas(v.reads(spark, d), DEFAULT.coverage_bin)), "annotated")
+    return depth.annotate_read_depth(_calls(spark, d), v.reads(spark, d))
 
 
 @query(f"WITH {_ANNOTATED} SELECT call_id, {', '.join(_DEPTHS)}, hp_tumor_start, hp_tumor_end, hp_normal_start, hp_normal_end FROM ann")
@@ -368,7 +373,8 @@ def confidence(spark, d):
 @query(f"""WITH {_FEATURED} SELECT quantile_cont(tumor_af, 0.1) AS af_p10, quantile_cont(tumor_af, 0.25) AS af_p25, quantile_cont(tumor_af, 0.5) AS af_p50, quantile_cont(tumor_af, 0.75) AS af_p75,
     quantile_cont(tumor_af, 0.9) AS af_p90, CAST(median(tumor_reads) AS DOUBLE) AS support_median, median(min_mapq) AS mapq_median, count(*) AS total_variants FROM feat""")
 def reference_stats(spark, d):
-    return somatic.reference_statistics(_featured(spark, d))
+    # read for the quantiles and the count
+    return somatic.reference_statistics(settle(_featured(spark, d).select("tumor_af", "tumor_reads", "min_mapq"), "featured"))
 
 
 @query(f"WITH {_ANNOTATED} SELECT coalesce(avg((af_tumor_start + af_tumor_end) / 2) FILTER (WHERE (af_tumor_start + af_tumor_end) / 2 >= 0.1 AND (af_normal_start + af_normal_end) / 2 <= 0.01), 0.0) AS mean_af FROM ann")
@@ -400,7 +406,7 @@ _STRICT_LOW_SQL = ORACLES["filter_strict_low"].split("SELECT call_id, ")[-1].rsp
         FROM conf LEFT JOIN hit USING (call_id))
     SELECT call_id, coalesce(rejected, CASE WHEN in_region THEN 'passed_bed_lenient' ELSE 'passed_strict_low' END) AS reason, rejected IS NULL AND confidence_score >= 0.7 AS passed FROM why""")
 def filter_somatic(spark, d):
-    return somatic.filter_somatic(_annotated(spark, d), *_COVERAGES, mean_af=0.2, regions=v.regions(spark, d)).select("call_id", "reason", "passed")
+    return somatic.filter_somatic(settle(_annotated(spark, d), "annotated"), *_COVERAGES, mean_af=0.2, regions=v.regions(spark, d)).select("call_id", "reason", "passed")
 
 
 # --- panel of normals ------------------------------------------------------------------------------------
@@ -1246,7 +1252,7 @@ def _info_sql() -> str:
     ), l AS (SELECT count, 1 AS n, start_chr AS chrom, start_loc AS pos, {_ALT1} AS alt, info, normal_reads FROM n UNION ALL SELECT count, 2, end_chr, end_loc, {_ALT2}, info, normal_reads FROM n WHERE breakpoint_notation <> '<INS>')
     SELECT count, n, chrom || chr(9) || pos || chr(9) || 'ID_' || count || '_' || n || chr(9) || CASE n WHEN 1 THEN 'A' ELSE 'C' END || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || info || chr(9) || 'GT' || chr(9) || CASE WHEN normal_reads >= 1 THEN '0/0' ELSE '0/1' END AS line FROM l""")
 def vcf_lines(spark, d):
-    calls = _annotated(spark, d).withColumns({"start_base": F.lit("A"), "end_base": F.lit("C")})
+    calls = settle(_annotated(spark, d), "annotated").withColumns({"start_base": F.lit("A"), "end_base": F.lit("C")})
     calls = ordered.numbered(calls, [c("start_chr"), c("cluster"), c("call_id")], "count")
     return variants.variant_lines(variants.variant_records(calls))
 
