@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, SINGLE, insertion_like, round3
-from strandloom.operators.clustering import CLUSTER, SAMPLES, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, numbered_starts, read_sets, sample_reads, segmented_starts, size_median
+from strandloom.operators.clustering import CLUSTER, SAMPLES, cluster_statistics, comprehensive_statistics, end_clusters, insert_length_islands, moments, numbered_starts, read_sets, sample_reads, sample_supports, segmented_starts, size_median, with_wide_statistics
+from strandloom.operators.ordered import number_segments
 from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated, has_large
 from strandloom.operators.refinement import refine
 from strandloom.operators.stages import settle
@@ -121,8 +122,8 @@ def _with_ends(calls: DataFrame, config: Config) -> DataFrame:
     return kept.drop("end_cluster", "end_median", "insert_mean")
 
 
-#: Kinds of rows in local_calls; a marker carries the number of clusters of its segment.
-_END, _LIKE, _MARKER = 0, 1, 2
+#: Kinds of rows in local_calls; a marker carries the number of clusters of its segment, a wide row the statistics of its cluster.
+_END, _LIKE, _MARKER, _WIDE = 0, 1, 2, 3
 
 
 def local_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -136,8 +137,12 @@ def local_calls(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def _placed_calls(rows: DataFrame, cluster: list[str], config: Config) -> DataFrame:
-    """local_calls of rows with their __kind that are partitioned by keys of the cluster; markers stay rows."""
-    insertion, like, marker = F.col("breakpoint_notation") == INSERTION, F.col("__kind") == _LIKE, F.col("__kind") == _MARKER
+    """local_calls of rows with their __kind that are partitioned by keys of the cluster; markers stay rows.
+
+    Where wide rows carry a struct __wide, the calls of their cluster have it.
+    """
+    insertion, like, marker = F.col("breakpoint_notation") == INSERTION, F.col("__kind") == _LIKE, F.col("__kind") >= _MARKER
+    wide = ["__wide"] if "__wide" in rows.columns else []
     # a read counts in its first row
     named = Window.partitionBy(*cluster, "sample", "read_name").orderBy("__kind")
     first = (F.row_number().over(named) == 1) & F.col("read_name").isNotNull()
@@ -165,7 +170,9 @@ def _placed_calls(rows: DataFrame, cluster: list[str], config: Config) -> DataFr
     held = held.withColumn("__call", F.when(one, F.lit(INSERTION)).otherwise(F.col("breakpoint_notation")))
 
     keys = [*cluster, "end_chr", "__kind", "part", "__call"]
-    calls = supported_calls(held, keys, config, None, [F.max(n).alias(n) for n in [*stated, *totals]], marker).withColumnRenamed("__call", "breakpoint_notation")
+    more = [F.max(n).alias(n) for n in [*stated, *totals]] + [F.first(n, True).alias(n) for n in wide]
+    calls = supported_calls(held, keys, config, None, more, marker).withColumnRenamed("__call", "breakpoint_notation")
+    calls = calls.withColumns({n: F.first(n, True).over(Window.partitionBy(*cluster)) for n in wide}).where(F.col("__kind") != _WIDE)
     within = F.when(F.col("start_chr") != F.col("end_chr"), F.lit(0)).otherwise(F.abs(F.col("end_median") - F.col("start_loc")))
     inserted = F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_mean")).otherwise(F.lit(0))
     calls = calls.withColumns({n: F.when(like, F.col(n.replace("end_", "origin_", 1))).otherwise(F.col(n)) for n in stated})
@@ -184,19 +191,47 @@ def segmented_calls(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFra
     from that. A marker row a segment tells how many clusters it has, by which the calls' clusters are
     numbered. Where a segment could hold a cluster of LARGE rows, the clusters are numbered first.
     """
-    rows = _present(breakpoints)
-    held = None if config.split_ends else segmented_starts(rows, config, LARGE)
-    if held is None:
+    calls = _segment_calls(breakpoints, config)
+    if calls is None:
         return call_breakpoints(numbered_starts(breakpoints, config), config)
+    return number_segments(calls, ["start_chr"], F.col("__kind") == _MARKER, "cluster", "raw-calls").drop("__kind")
+
+
+def reported_calls(breakpoints: DataFrame, names: list[str], config: Config = DEFAULT, wide: bool = False) -> DataFrame:
+    """The columns names of segmented_calls, which alone are written; wide: followed by those of with_cluster_statistics."""
+    calls = _segment_calls(breakpoints, config, wide)
+    if calls is None:
+        clustered = numbered_starts(breakpoints, config)
+        calls = call_breakpoints(clustered, config)
+        stated = with_cluster_statistics(calls, clustered, config) if wide else calls
+        return stated.select(*names, *[x for x in stated.columns if x not in calls.columns])
+    reads = [F.col(f"clustered_{s}").alias(f"__{s}") for s in SAMPLES] if wide else []
+    held = calls.select("segment", "__kind", *names, *reads, *["__wide"] * wide)
+    if wide:
+        held = held.select(*[x for x in held.columns if x != "__wide"], *[F.col(f"__wide.{x}").alias(f"start_{x}") for x in held.schema["__wide"].dataType.names])
+    out = number_segments(held, ["start_chr"], F.col("__kind") == _MARKER, "cluster").drop("__kind")
+    if wide:
+        tumor, normal = F.col("__tumor"), F.col("__normal")
+        more = {"tumor_reads": tumor, "normal_reads": normal, **sample_supports(tumor, normal, F.col("start_total_breakpoints"))}
+        out = out.withColumns({f"start_{n}": x for n, x in more.items()}).drop("__tumor", "__normal")
+    return out
+
+
+def _segment_calls(breakpoints: DataFrame, config: Config, wide: bool = False) -> DataFrame | None:
+    """Calls and markers with the number of their cluster in its segment; None where a segment could hold a large cluster."""
+    held = None if config.split_ends else segmented_starts(_present(breakpoints), config, LARGE)
+    if held is None:
+        return None
+    cluster = ["start_chr", "segment", "cluster"]
+    if wide:
+        held = with_wide_statistics(held, cluster, "__wide", config)
     kind = F.when(insertion_like(F.col("breakpoint_notation")), _LIKE).otherwise(_END)
-    # the last row of a segment has the number of its clusters
-    kinds = F.when(F.col("__last"), F.array(kind, F.lit(_MARKER))).otherwise(F.array(kind))
-    calls = settle(_placed_calls(held.withColumn("__kind", F.explode(kinds)).drop("__last"), ["start_chr", "segment", "cluster"], config), "raw-calls")
-    earlier = Window.partitionBy("start_chr").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = calls.where(F.col("__kind") == _MARKER).select("start_chr", "segment", F.coalesce(F.sum("cluster").over(earlier), F.lit(0)).alias("__offset"))
-    # one row a segment, of which segmented_starts lets through no more than a broadcast holds
-    numbered = calls.where(F.col("__kind") != _MARKER).join(F.broadcast(offsets), ["start_chr", "segment"])
-    return numbered.withColumn("cluster", F.col("cluster") + F.col("__offset")).drop("__offset", "segment", "__kind")
+    # the last row of a segment has the number of its clusters, the first of a cluster its statistics
+    kinds = [kind, F.when(F.col("__last"), _MARKER)] + [F.when(F.col("__head"), _WIDE)] * wide
+    held = held.withColumn("__kind", F.explode(F.array_compact(F.array(*kinds)))).drop("__last", "__head")
+    if wide:
+        held = held.withColumn("__wide", F.when(F.col("__kind") == _WIDE, F.col("__wide")))
+    return _placed_calls(held, cluster, config)
 
 
 def _present(breakpoints: DataFrame) -> DataFrame:

@@ -5,17 +5,21 @@ Breakpoints stay flat rows with a cluster number; a cluster is a group of rows,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, Config
 from strandloom.functions.columns import INSERTION, event_size, insertion_like, round3
 from strandloom.operators.ordered import CHUNKS, islands
-from strandloom.operators.quantiles import LARGE, POSITIONS, aggregated
+from strandloom.operators.quantiles import LARGE, POSITIONS, Measures, aggregated
 from strandloom.operators.stages import settle
 
 CLUSTER = ["start_chr", "cluster"]
 SAMPLES = ("tumor", "normal")
+#: Rows that a task of segments sorts at most, on average: its windows then need no spill.
+TASK_ROWS = 500_000
 
 
 def reach(config: Config = DEFAULT) -> Column:
@@ -40,8 +44,9 @@ def segmented_starts(breakpoints: DataFrame, config: Config = DEFAULT, most: int
     """breakpoints with a segment of their contig and the number of their cluster in it, partitioned by segment.
 
     A segment begins where a cluster does, in the first positions of a chunk; chunks without such a place go on with the segment
-    before. To find them only the rows of those positions are put in order, so rows are shuffled once and not
-    written. __last marks the last row of a segment. None if a segment would have most rows or there are too many chunks.
+    before. To find them only the rows of those positions are put in order, so rows are shuffled once, over tasks that grow with
+    them, and not written. __last marks the last row of a segment, __head the first of a cluster. None if a segment would have
+    most rows or there are too many chunks.
     """
     at, zone = F.col("start_loc"), max(1, config.chunk // 50)
     extension = F.when(F.col("breakpoint_notation") == INSERTION, F.lit(config.insert_extension)).otherwise(F.lit(config.start_extension))
@@ -50,7 +55,8 @@ def segmented_starts(breakpoints: DataFrame, config: Config = DEFAULT, most: int
     along = Window.partitionBy("start_chr").orderBy("__chunk")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     chunks = settle(chunked.groupBy(*by).agg(F.max(reach(config)).alias("__end"), F.count("*").alias("__n")), "chunks")
-    if chunks.count() > CHUNKS:
+    n_chunks, n_rows = chunks.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    if n_chunks > CHUNKS:
         return None
     reached = chunks.select(*by, F.max("__end").over(earlier).alias("__reach"))
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,13 +75,16 @@ def segmented_starts(breakpoints: DataFrame, config: Config = DEFAULT, most: int
     beyond = F.col("__own").isNotNull() & (F.struct(*order) >= F.struct("__cut.start_loc", "__cut.ord"))
     placed = placed.withColumn("segment", F.when(beyond, F.col("__own")).otherwise(F.col("__prior"))).drop("__chunk", "__cut", "__own", "__prior")
     carried = F.broadcast(cut.where("__own is not null").select("start_chr", F.col("__own").alias("segment"), F.col("__cut.__before").alias("__carried")))
-    held = placed.repartition("start_chr", "segment").join(carried, ["start_chr", "segment"], "left")
+    spark = breakpoints.sparkSession
+    tasks = -(-n_rows // TASK_ROWS)
+    more = [tasks] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    held = placed.repartition(*more, "start_chr", "segment").join(carried, ["start_chr", "segment"], "left")
     whole = Window.partitionBy("start_chr", "segment").orderBy(*order)
     rows = whole.rowsBetween(Window.unboundedPreceding, 0)
     held = held.withColumns({"__before": F.max(reach(config)).over(whole.rowsBetween(Window.unboundedPreceding, -1)), "__last": F.lead(F.lit(True)).over(whole).isNull()})
     furthest = F.greatest("__before", "__carried")
-    held = held.withColumn("__opens", F.when(furthest.isNull() | (at - furthest > extension), 1).otherwise(0))
-    return held.withColumn("cluster", F.sum("__opens").over(rows).cast("bigint")).drop("__before", "__carried", "__opens")
+    held = held.withColumn("__head", furthest.isNull() | (at - furthest > extension))
+    return held.withColumn("cluster", F.count_if("__head").over(rows)).drop("__before", "__carried")
 
 
 def start_clusters(breakpoints: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -118,13 +127,17 @@ def cluster_extent(clustered: DataFrame, keys: list[str] | None = None, config:
 
 def moments(prefix: str = "") -> list[Column]:
     """The statistics of a group of breakpoints that are sums, with three decimals."""
+    return [x.alias(f"{prefix}{n}") for n, x in _moments().items()]
+
+
+def _moments(of: Callable[[Column], Column] = lambda x: x) -> dict[str, Column]:
     size = bp_event_size()
-    return [
-        round3(F.stddev_pop("start_loc")).alias(f"{prefix}starts_std_dev"),
-        round3(F.avg("mapq")).alias(f"{prefix}mapq_mean"),
-        round3(F.stddev_pop(size)).alias(f"{prefix}event_size_std_dev"),
-        round3(F.avg(size)).alias(f"{prefix}event_size_mean"),
-    ]
+    return {
+        "starts_std_dev": round3(of(F.stddev_pop("start_loc"))),
+        "mapq_mean": round3(of(F.avg("mapq"))),
+        "event_size_std_dev": round3(of(F.stddev_pop(size))),
+        "event_size_mean": round3(of(F.avg(size))),
+    }
 
 
 def size_median(name: str) -> tuple[Column, float, dict[str, float]]:
@@ -137,51 +150,95 @@ def cluster_statistics(clustered: DataFrame, keys: list[str] | None = None, pref
     return aggregated(clustered, keys or CLUSTER, moments(prefix), [size_median(name)], large).withColumn(name, round3(F.col(name)))
 
 
+def _wide_sums(config: Config, of: Callable[[Column], Column] = lambda x: x) -> dict[str, Column]:
+    """The wide statistics of a group that are no medians, of its aggregates as of gives them."""
+    size, insert = bp_event_size(), _inserted()
+    both = F.flatten(of(F.collect_set(F.array_compact(F.array("phase_set_start", "phase_set_end")))))
+    hp = lambda v: of(F.count_if(F.col("haplotype_start").eqNullSafe(v) & _phased())) + of(F.count_if(F.col("haplotype_end").eqNullSafe(v) & _phased()))
+    n, span = of(F.count("*")), of(F.max(reach(config))) - of(F.min("start_loc"))
+    samples, sources = of(F.collect_set("sample")), of(F.collect_set("source"))
+    return {
+        "total_breakpoints": n,
+        "unique_samples": F.size(samples).cast("bigint"),
+        "sample_list": F.array_join(F.array_sort(samples), ","),
+        "unique_sources": F.size(sources).cast("bigint"),
+        "source_list": F.array_join(F.array_sort(sources), ","),
+        **_moments(of),
+        "starts_mean": round3(of(F.avg("start_loc"))),
+        "starts_min": of(F.min("start_loc")),
+        "starts_max": of(F.max("start_loc")),
+        "mapq_std_dev": round3(of(F.stddev_pop("mapq"))),
+        "mapq_min": of(F.min("mapq")),
+        "mapq_max": of(F.max("mapq")),
+        "event_size_min": of(F.min(size)),
+        "event_size_max": of(F.max(size)),
+        "insert_count": of(F.count(insert)),
+        "insert_mean": F.coalesce(round3(of(F.avg(insert))), F.lit(0.0)),
+        "insert_std_dev": F.coalesce(round3(of(F.stddev_pop(insert))), F.lit(0.0)),
+        "tumor_alignments": of(F.count_if(F.col("sample") == "tumor")),
+        "normal_alignments": of(F.count_if(F.col("sample") == "normal")),
+        "haplotype_1": hp(1),
+        "haplotype_2": hp(2),
+        "haplotype_none": hp(None),
+        "phase_sets_count": F.size(F.array_distinct(both)),
+        "cluster_span": span,
+        "breakpoint_density": n / F.greatest(F.lit(1), span) * 1000,
+    }
+
+
+def _wide_medians() -> Measures:
+    return [size_median("event_size_median"), (F.col("start_loc"), POSITIONS, {"starts_median": 0.5}), (F.col("mapq"), 16, {"mapq_median": 0.5}), (_inserted(), POSITIONS, {"insert_median": 0.5})]
+
+
+def _dominant(n: str, first: str) -> Column:
+    """The most frequent notation and its number; ties go to the one that comes first."""
+    return F.max_by(F.struct("breakpoint_notation", F.col(n).alias("n")), F.struct(n, (-F.col(f"{first}.start_loc")).alias("s"), (-F.col(f"{first}.ord")).alias("o")))
+
+
+def sample_supports(tumor: Column, normal: Column, total: Column) -> dict[str, Column]:
+    most, least = F.greatest(tumor, normal), F.when(F.least(tumor, normal) > 0, F.least(tumor, normal)).otherwise(F.greatest(tumor, normal))
+    return {"max_sample_support": most, "min_sample_support": least, "support_ratio": most / total}
+
+
 def comprehensive_statistics(clustered: DataFrame, keys: list[str] | None = None, config: Config = DEFAULT, large: int | None = LARGE) -> DataFrame:
     """The wide statistics of each cluster; histograms become one column for each value that can occur.
 
     Ties of the most frequent notation go to the one that comes first in the cluster (by start_loc, ord).
     """
     keys = keys or CLUSTER
-    size, insert = bp_event_size(), F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_length"))
-    both = F.flatten(F.collect_set(F.array_compact(F.array("phase_set_start", "phase_set_end"))))
-    hp = lambda v: (F.count_if(F.col("haplotype_start").eqNullSafe(v) & _phased()) + F.count_if(F.col("haplotype_end").eqNullSafe(v) & _phased())).alias(f"haplotype_{v if v is not None else 'none'}")
-    span = F.max(reach(config)) - F.min("start_loc")
-    sums = [
-        F.count("*").alias("total_breakpoints"),
-        F.size(F.collect_set("sample")).cast("bigint").alias("unique_samples"),
-        F.array_join(F.array_sort(F.collect_set("sample")), ",").alias("sample_list"),
-        F.size(F.collect_set("source")).cast("bigint").alias("unique_sources"),
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("source_list"),
-        *moments(),
-        round3(F.avg("start_loc")).alias("starts_mean"),
-        F.min("start_loc").alias("starts_min"),
-        F.max("start_loc").alias("starts_max"),
-        round3(F.stddev_pop("mapq")).alias("mapq_std_dev"),
-        F.min("mapq").alias("mapq_min"),
-        F.max("mapq").alias("mapq_max"),
-        F.min(size).alias("event_size_min"),
-        F.max(size).alias("event_size_max"),
-        F.count(insert).alias("insert_count"),
-        F.coalesce(round3(F.avg(insert)), F.lit(0.0)).alias("insert_mean"),
-        F.coalesce(round3(F.stddev_pop(insert)), F.lit(0.0)).alias("insert_std_dev"),
-        F.count_if(F.col("sample") == "tumor").alias("tumor_alignments"),
-        F.count_if(F.col("sample") == "normal").alias("normal_alignments"),
-        hp(1),
-        hp(2),
-        hp(None),
-        F.size(F.array_distinct(both)).alias("phase_sets_count"),
-        span.alias("cluster_span"),
-        (F.count("*") / F.greatest(F.lit(1), span) * 1000).alias("breakpoint_density"),
-    ]
-    medians = [size_median("event_size_median"), (F.col("start_loc"), POSITIONS, {"starts_median": 0.5}), (F.col("mapq"), 16, {"mapq_median": 0.5}), (insert, POSITIONS, {"insert_median": 0.5})]
+    sums, medians = [x.alias(n) for n, x in _wide_sums(config).items()], _wide_medians()
     wide = aggregated(clustered, keys, sums, medians, large).withColumns({n: round3(F.col(n)) for _, _, names in medians for n in names})
     wide = wide.withColumn("insert_median", F.coalesce("insert_median", F.lit(0.0)))
     counts = clustered.groupBy(*keys, "breakpoint_notation").agg(F.count("*").alias("n"), F.min(F.struct("start_loc", "ord")).alias("first"))
-    dominant = counts.groupBy(*keys).agg(F.max_by(F.struct("breakpoint_notation", "n"), F.struct("n", (-F.col("first.start_loc")).alias("s"), (-F.col("first.ord")).alias("o"))).alias("d"))
+    dominant = counts.groupBy(*keys).agg(_dominant("n", "first").alias("d"))
     dominant = dominant.select(*keys, F.col("d.breakpoint_notation").alias("dominant_notation"), F.col("d.n").alias("dominant_count"))
-    most, least = F.greatest("tumor_reads", "normal_reads"), F.when(F.least("tumor_reads", "normal_reads") > 0, F.least("tumor_reads", "normal_reads")).otherwise(F.greatest("tumor_reads", "normal_reads"))
-    return wide.join(dominant, keys).join(sample_reads(clustered, keys), keys).withColumns({"max_sample_support": most, "min_sample_support": least, "support_ratio": most / F.col("total_breakpoints")})
+    supports = sample_supports(F.col("tumor_reads"), F.col("normal_reads"), F.col("total_breakpoints"))
+    return wide.join(dominant, keys).join(sample_reads(clustered, keys), keys).withColumns(supports)
+
+
+def with_wide_statistics(rows: DataFrame, keys: list[str], name: str, config: Config = DEFAULT) -> DataFrame:
+    """rows with a struct of the comprehensive_statistics of their group in its row with __head, else null; the distinct reads are left out.
+
+    They are windows of the groups, which hold fewer than LARGE rows: rows that are partitioned by some of the keys are not shuffled again.
+    """
+    noted, whole = Window.partitionBy(*keys, "breakpoint_notation"), Window.partitionBy(*keys)
+    held = rows.withColumns({"__n": F.count("*").over(noted), "__noted": F.min(F.struct("start_loc", "ord")).over(noted)})
+    aggregates: dict[str, Column] = {}
+
+    def of(x: Column) -> Column:
+        # equal aggregates are one column
+        place = list(aggregates).index(str(x)) if str(x) in aggregates else len(aggregates)
+        aggregates.setdefault(str(x), x)
+        return F.col(f"__wide{place}")
+
+    stated = _wide_sums(config, of)
+    stated |= {n: round3(of(F.percentile(x.cast("double"), F.lit(share)))) for x, _, names in _wide_medians() for n, share in names.items()}
+    stated["insert_median"] = F.coalesce(stated["insert_median"], F.lit(0.0))
+    dominant = of(_dominant("__n", "__noted"))
+    stated |= {"dominant_notation": dominant["breakpoint_notation"], "dominant_count": dominant["n"]}
+    columns = {f"__wide{i}": x.over(whole) for i, x in enumerate(aggregates.values())}
+    held = held.withColumns(columns).withColumn(name, F.when(F.col("__head"), F.struct(*[x.alias(n) for n, x in stated.items()])))
+    return held.drop("__n", "__noted", *columns)
 
 
 def summary_lines(statistics_: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -207,6 +264,10 @@ def summary_lines(statistics_: DataFrame, keys: list[str] | None = None) -> Data
     return statistics_.select(*(keys or CLUSTER), F.concat_ws("\n", *lines).alias("summary"))
 
 
+def _inserted() -> Column:
+    return F.when(F.col("breakpoint_notation") == INSERTION, F.col("insert_length"))
+
+
 def _phased() -> Column:
     return F.col("haplotype_start").isNotNull() | F.col("haplotype_end").isNotNull()
 

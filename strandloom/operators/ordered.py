@@ -36,6 +36,19 @@ def islands(rows: DataFrame, keys: list[str], position: Column, end: Column, ext
     return held.join(opened, by).withColumn(name, (F.col("__count") + F.col("__offset")).cast("bigint")).drop("__chunk", "__count", "__offset")
 
 
+def number_segments(rows: DataFrame, keys: list[str], marker: Column, name: str = "island", stage: str = "islands") -> DataFrame:
+    """rows whose islands are numbered from 1 within a segment, with the number of the island from 1 within keys.
+
+    A marker row a segment has the number of its islands; there are no more segments than a broadcast holds. The rows are written once;
+    markers and the segment are left out of the result.
+    """
+    held = settle(rows, stage)
+    earlier = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.where(marker).select(*keys, "segment", F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias("__offset"))
+    placed = held.where(~marker).join(F.broadcast(offsets), [*keys, "segment"])
+    return placed.withColumn(name, F.col(name) + F.col("__offset")).drop("__offset", "segment")
+
+
 def with_bins(rows: DataFrame, low: Column, high: Column, width: int, name: str = "bin") -> DataFrame:
     """One row for each bin of width that [low, high] touches."""
     return rows.withColumn(name, F.explode(F.sequence(F.floor(low / width).cast("bigint"), F.floor(high / width).cast("bigint"))))

@@ -184,6 +184,13 @@ def _called(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return v.breakpoints(spark, d).select(*used, *more)
 
 
+_KEYED = ["start_chr", "cluster", "end_chr", "part", "breakpoint_notation"]
+
+
+def _keyed(calls: DataFrame) -> DataFrame:
+    return calls.withColumn("call_id", F.concat_ws(":", *[c(x).cast("string") for x in _KEYED]))
+
+
 def _numbered(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Breakpoints of calls with their cluster; clusters of too few reads for a call are left in, as none comes of them."""
     return clustering.numbered_starts(_called(spark, d, *more))
@@ -191,8 +198,7 @@ def _numbered(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 def _calls(spark: SparkSession, d: str, clustered: DataFrame | None = None) -> DataFrame:
     """Consensus calls with a key."""
-    calls = (calling.segmented_calls(_called(spark, d)) if clustered is None else calling.call_breakpoints(clustered)).drop("group_end_chr")
-    return calls.withColumn("call_id", F.concat_ws(":", "start_chr", c("cluster").cast("string"), "end_chr", c("part").cast("string"), "breakpoint_notation"))
+    return _keyed((calling.segmented_calls(_called(spark, d)) if clustered is None else calling.call_breakpoints(clustered)).drop("group_end_chr"))
 
 
 @query(f"WITH {_CALLS} SELECT * FROM calls")
@@ -1186,11 +1192,9 @@ def germline_filter(spark, d):
 @query(f"""WITH {_CALLS}, wide_stats AS ({ORACLES['cluster_stats_full']}), w AS (SELECT start_chr, cluster, COLUMNS(* EXCLUDE (start_chr, cluster)) AS 'start_\\0' FROM wide_stats)
     SELECT calls.call_id, w.* EXCLUDE (start_chr, cluster) FROM calls JOIN w USING (start_chr, cluster)""")
 def call_cluster_statistics(spark, d):
-    clustered = _numbered(spark, d, "haplotype_start", "haplotype_end", "phase_set_start", "phase_set_end")
-    calls = _calls(spark, d, clustered)
-    rows = calling.with_cluster_statistics(calls, clustered)
-    names = [x for x in rows.columns if x not in calls.columns]
-    return rows.select("call_id", *names).withColumn("start_phase_sets_count", c("start_phase_sets_count").cast("bigint"))
+    rows = _called(spark, d, "haplotype_start", "haplotype_end", "phase_set_start", "phase_set_end")
+    out = calling.reported_calls(rows, _KEYED, wide=True)
+    return _keyed(out).select("call_id", *[x for x in out.columns if x not in _KEYED]).withColumn("start_phase_sets_count", c("start_phase_sets_count").cast("bigint"))
 
 
 # --- similarity and components -----------------------------------------------------------------------------
