@@ -21,8 +21,14 @@ def allele_fraction(support: Column, depth: Column) -> Column:
     return F.when(depth > 0, F.least(F.lit(1.0), F.bround(support / depth, 3))).otherwise(F.lit(0.0))
 
 
-def read_count_report(calls: DataFrame, clustered: DataFrame, key: str = "call_id") -> DataFrame:
-    """(key, sample, called_reads, cluster_reads, differs): distinct reads of each call against those of its start cluster."""
+def read_count_report(calls: DataFrame, clustered: DataFrame | None = None, key: str = "call_id") -> DataFrame:
+    """(key, sample, called_reads, cluster_reads, differs): distinct reads of each call against those of its start cluster.
+
+    The reads of the cluster are counted from clustered, or are those that its calls carry (clustered_tumor, clustered_normal).
+    """
+    if clustered is None:
+        sides = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"{s}_reads").alias("called_reads"), F.col(f"clustered_{s}").alias("cluster_reads")) for s in SAMPLES]))
+        return calls.select(key, sides.alias("r")).select(key, "r.*", (F.col("r.called_reads") != F.col("r.cluster_reads")).alias("differs"))
     called = calls.select(key, "start_chr", "cluster", F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"{s}_reads").alias("called_reads")) for s in SAMPLES])).alias("r")).select(key, "start_chr", "cluster", "r.*")
     own = clustered.groupBy("start_chr", "cluster", "sample").agg(F.count_distinct("read_name").alias("cluster_reads"))
     out = called.join(own, ["start_chr", "cluster", "sample"], "left").withColumn("cluster_reads", F.coalesce("cluster_reads", F.lit(0).cast("bigint")))

@@ -191,14 +191,9 @@ def _keyed(calls: DataFrame) -> DataFrame:
     return calls.withColumn("call_id", F.concat_ws(":", *[c(x).cast("string") for x in _KEYED]))
 
 
-def _numbered(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    """Breakpoints of calls with their cluster; clusters of too few reads for a call are left in, as none comes of them."""
-    return clustering.numbered_starts(_called(spark, d, *more))
-
-
-def _calls(spark: SparkSession, d: str, clustered: DataFrame | None = None) -> DataFrame:
+def _calls(spark: SparkSession, d: str) -> DataFrame:
     """Consensus calls with a key."""
-    return _keyed((calling.segmented_calls(_called(spark, d)) if clustered is None else calling.call_breakpoints(clustered)).drop("group_end_chr"))
+    return _keyed(calling.segmented_calls(_called(spark, d)).drop("group_end_chr"))
 
 
 @query(f"WITH {_CALLS} SELECT * FROM calls")
@@ -903,8 +898,8 @@ def insertion_shares(spark, d):
     ), r AS (SELECT call_id, start_chr, cluster, 'tumor' AS sample, tumor_reads AS called_reads FROM calls UNION ALL SELECT call_id, start_chr, cluster, 'normal', normal_reads FROM calls)
     SELECT call_id, sample, called_reads, coalesce(n, 0) AS cluster_reads, called_reads <> coalesce(n, 0) AS differs FROM r LEFT JOIN t USING (start_chr, cluster, sample)""")
 def read_count_report(spark, d):
-    rows = _numbered(spark, d)
-    return depth.read_count_report(_calls(spark, d, rows), rows)
+    counts = [f"{s}_reads" for s in depth.SAMPLES] + [f"clustered_{s}" for s in depth.SAMPLES]
+    return depth.read_count_report(_keyed(calling.reported_calls(_called(spark, d), [*_KEYED, *counts])))
 
 
 @query(f"""WITH wide_stats AS ({ORACLES['cluster_stats_full']}) SELECT start_chr, cluster, array_to_string([

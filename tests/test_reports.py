@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT
-from strandloom.operators import calling, clustering, ordered, stages
+from strandloom.operators import calling, clustering, depth, ordered, stages
 from strandloom.plans import catalog
 from tests.test_local_calls import some_rows
 
 KEYED = ["start_chr", "cluster", "end_chr", "part", "breakpoint_notation"]
+COUNTS = ["tumor_reads", "normal_reads", "clustered_tumor", "clustered_normal"]
 
 
 def order(df):
@@ -66,3 +67,20 @@ def test_tasks_of_segments_grow_with_the_rows(spark, monkeypatch):
     assert held.rdd.getNumPartitions() == 9
     want = order(calling.call_breakpoints(clustering.numbered_starts(rows, config), config))
     assert order(calling.segmented_calls(rows, config)) == want
+
+
+def test_count_report_writes_the_counts_of_calls_alone(spark, sf_dir, monkeypatch):
+    written = written_names(monkeypatch)
+    catalog.read_count_report(spark, sf_dir)
+    assert [n for n, _ in written] == ["chunks", "segments", "islands"]
+    # the segment, the kind, the key of a call and four counts
+    assert written[-1][1] == 2 + len(KEYED) + 4
+
+
+def test_count_report_from_calls_equals_that_from_rows(spark):
+    rows = phased_rows(spark, 7)
+    clustered = clustering.numbered_starts(rows)
+    keyed = lambda df: df.withColumn("call_id", F.concat_ws(":", *[F.col(x).cast("string") for x in KEYED]))
+    want = order(depth.read_count_report(keyed(calling.call_breakpoints(clustered)), clustered))
+    assert order(depth.read_count_report(keyed(calling.reported_calls(rows, [*KEYED, *COUNTS])))) == want
+    assert len(want) > 40
