@@ -19,7 +19,7 @@ from strandloom.operators.stages import settle
 CLUSTER = ["start_chr", "cluster"]
 SAMPLES = ("tumor", "normal")
 #: Rows that a task of segments sorts at most, on average: its windows then need no spill.
-TASK_ROWS = 500_000
+TASK_ROWS = 250_000
 
 
 def reach(config: Config = DEFAULT) -> Column:
