@@ -12,12 +12,13 @@ from strandloom.config import CONTIGS
 from strandloom.functions import cigar
 from strandloom.functions.columns import points
 from strandloom.operators.ordered import overlap_join
-from strandloom.operators.stages import settle
 
 c = F.col
 RIGHT, LEFT, COMPLEX, UNKNOWN = "SVBEND_RIGHT_OPEN", "SVBEND_LEFT_OPEN", "SVBEND_COMPLEX", "SVBEND_UNKNOWN"
 #: Kinds of evidence in the order of their counters.
 EVIDENCE = ["unknown", "cigar", "pair", "split", "semi", "shadow", "local_pair"]
+#: Letters of an edge that are compared first; the whole is only where they hold no run of matches.
+NEAR = 64
 
 
 def evidence(kind: str | None) -> Column:
@@ -177,7 +178,7 @@ def indel_candidates(reads: DataFrame, lengths: DataFrame, low: Column, high: Co
 
 def bases_match(a: Column, b: Column) -> Column:
     """Equal bases in any case; N matches everything."""
-    return (a == "N") | (b == "N") | (F.upper(a) == F.upper(b))
+    return (a == b) | (a == "N") | (b == "N") | (F.upper(a) == F.upper(b))
 
 
 def matchify(ops: Column) -> Column:
@@ -186,26 +187,30 @@ def matchify(ops: Column) -> Column:
     return F.transform(ops, lambda x, i: F.struct(x["len"].alias("len"), F.when((x["op"] == "S") & ((i == 0) | (i == n - 1)), "M").otherwise(x["op"]).alias("op")))
 
 
+def _letters(text: Column) -> Column:
+    """The letters of a text as an array: a place in a string is found by walking it, so a string is taken apart once."""
+    return F.split(text, "")
+
+
 def edge_mismatch(sequence: Column, reference: Column, contiguous: int = 5) -> Column:
     """Bases before the first run of so many matches, or -1: how far a read disagrees from its left edge.
 
     Both strings start at the edge; for the right edge give them reversed.
     """
     n = F.least(F.length(sequence), F.length(reference))
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(0).alias("run"), F.lit(-1).alias("at"))
 
-    def step(a: Column, i: Column) -> Column:
-        run = F.when(bases_match(F.substring(sequence, i, F.lit(1)), F.substring(reference, i, F.lit(1))), a["run"] + 1).otherwise(F.lit(0))
-        return F.struct(run.alias("run"), F.when((a["at"] < 0) & (run >= contiguous), i - contiguous).otherwise(a["at"]).alias("at"))
+    def step(found: Column, size: Column) -> Column:
+        upto = F.least(size, n)
+        same = F.zip_with(_letters(F.left(sequence, upto)), _letters(F.left(reference, upto)), lambda a, b: F.when(bases_match(a, b), "=").otherwise("x"))
+        return F.when(found > 0, found).otherwise(F.instr(F.array_join(same, ""), "=" * contiguous))
 
-    return F.aggregate(places, start, step)["at"]
+    return F.coalesce(F.when(n > 0, F.aggregate(F.array(F.lit(NEAR), n), F.lit(0), step) - 1), F.lit(-1))
 
 
 def good_share(qualities: Column, n: Column, least: int = 20, share: float = 0.8) -> Column:
     """Whether enough of the first n quality characters reach a quality; reads without qualities do."""
-    first = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.ascii(F.substring(qualities, i, F.lit(1))) - 33)
-    return qualities.isNull() | (F.size(F.filter(first, lambda q: q >= least)) >= n * share)
+    good = F.filter(_letters(F.left(qualities, F.greatest(F.lit(1), n))), lambda q: F.ascii(q) - 33 >= least)
+    return qualities.isNull() | (F.size(good) >= n * share)
 
 
 def semi_aligned(reads: DataFrame, lengths: DataFrame, least: int = 30, offset: int = 100) -> DataFrame:
@@ -214,20 +219,28 @@ def semi_aligned(reads: DataFrame, lengths: DataFrame, least: int = 30, offset:
     reads also has left_reference and right_reference: the reference from the clipped left edge on, and
     reversed from the clipped right edge on.
     """
-    rows = reads.where("sa is null and seq is not null and not is_unmapped").withColumn("a", cigar.summary(c("cigar"), c("start"), skips=True, last_clip_only=True))
-    left = F.when(c("a.softclip_left") > 0, F.greatest(F.lit(0), edge_mismatch(c("seq"), c("left_reference")))).otherwise(F.lit(0))
-    right = F.when(c("a.softclip_right") > 0, F.greatest(F.lit(0), edge_mismatch(F.reverse("seq"), c("right_reference")))).otherwise(F.lit(0))
-    # only clipped edges can disagree; the walk along them is written once, as three conditions read it
-    rows = rows.where((c("a.softclip_left") > 0) | (c("a.softclip_right") > 0)).withColumns({"leading": left, "trailing": right})
-    rows = settle(rows, "clipped-edges").where(c("leading") + c("trailing") < F.length("seq"))
     free = ~is_overlapping() | c("is_supplementary")
-    leading = (c("leading") >= least) & (free | ~c("is_reverse")) & good_share(c("qual"), c("leading"))
-    trailing = (c("trailing") >= least) & (free | c("is_reverse")) & good_share(F.reverse("qual"), c("trailing"))
-    edge = lambda name, at: F.struct(F.lit(name).alias("edge"), at.cast("bigint").alias("at"))
-    first = c("start") - c("a.softclip_left") + c("leading")
-    last = c("end") + c("a.softclip_right") - c("trailing")
-    rows = rows.withColumn("e", F.explode(F.array_compact(F.array(F.when(leading, edge("leading", first)), F.when(trailing, edge("trailing", last))))))
-    rows = rows.withColumns({"evidence_type": F.lit("SEMI"), "evidence": evidence("semi"), "edge": c("e.edge")})
+
+    def walked(a: Column) -> Column:
+        # only clipped edges can disagree
+        left = F.when(a["softclip_left"] > 0, F.greatest(F.lit(0), edge_mismatch(c("seq"), c("left_reference")))).otherwise(F.lit(0))
+        right = F.when(a["softclip_right"] > 0, F.greatest(F.lit(0), edge_mismatch(F.reverse("seq"), c("right_reference")))).otherwise(F.lit(0))
+        return F.struct(a.alias("a"), left.alias("leading"), right.alias("trailing"))
+
+    def edges(w: Column) -> Column:
+        leading = (w["leading"] >= least) & (free | ~c("is_reverse")) & good_share(c("qual"), w["leading"])
+        trailing = (w["trailing"] >= least) & (free | c("is_reverse")) & good_share(F.reverse("qual"), w["trailing"])
+        first = c("start") - w["a"]["softclip_left"] + w["leading"]
+        last = c("end") + w["a"]["softclip_right"] - w["trailing"]
+        edge = lambda name, at: F.struct(F.lit(name).alias("edge"), at.cast("bigint").alias("at"), w.alias("w"))
+        found = F.array(F.when(leading, edge("leading", first)), F.when(trailing, edge("trailing", last)))
+        return F.when(w["leading"] + w["trailing"] < F.length("seq"), F.array_compact(found))
+
+    # one expression: a CIGAR is parsed once, an edge is walked once, and no rows are written between
+    alone = F.array(cigar.summary(c("cigar"), c("start"), skips=True, last_clip_only=True))
+    found = F.flatten(F.transform(F.transform(alone, walked), edges))
+    rows = reads.where("sa is null and seq is not null and not is_unmapped and contains(cigar, 'S')").withColumn("e", F.explode(found))
+    rows = rows.withColumns({"a": c("e.w.a"), "leading": c("e.w.leading"), "trailing": c("e.w.trailing"), "evidence_type": F.lit("SEMI"), "evidence": evidence("semi"), "edge": c("e.edge")})
     rows = breakend(rows, "bp1", c("contig"), c("e.at"), F.lit(COMPLEX), lengths, offset, offset)
     return breakend(rows, "bp2", c("contig"), c("e.at"), F.lit(UNKNOWN), lengths, offset, offset).drop("e")
 
