@@ -17,7 +17,7 @@ c = F.col
 RIGHT, LEFT, COMPLEX, UNKNOWN = "SVBEND_RIGHT_OPEN", "SVBEND_LEFT_OPEN", "SVBEND_COMPLEX", "SVBEND_UNKNOWN"
 #: Kinds of evidence in the order of their counters.
 EVIDENCE = ["unknown", "cigar", "pair", "split", "semi", "shadow", "local_pair"]
-#: Letters of an edge that are compared first; the whole is only where they hold no run of matches.
+#: Letters of an edge that are compared first; where they hold no run of matches, the whole is compared.
 NEAR = 64
 
 
@@ -236,7 +236,7 @@ def semi_aligned(reads: DataFrame, lengths: DataFrame, least: int = 30, offset:
         found = F.array(F.when(leading, edge("leading", first)), F.when(trailing, edge("trailing", last)))
         return F.when(w["leading"] + w["trailing"] < F.length("seq"), F.array_compact(found))
 
-    # one expression: a CIGAR is parsed once, an edge is walked once, and no rows are written between
+    # one expression: a CIGAR is parsed once, an edge is compared once, and no rows are written between
     alone = F.array(cigar.summary(c("cigar"), c("start"), skips=True, last_clip_only=True))
     found = F.flatten(F.transform(F.transform(alone, walked), edges))
     rows = reads.where("sa is null and seq is not null and not is_unmapped and contains(cigar, 'S')").withColumn("e", F.explode(found))

@@ -52,7 +52,7 @@ def test_edges_by_brute_force(spark):
         assert got == {i: mismatch(a, b, contiguous) for i, (a, b) in enumerate(pairs)}
 
 
-def test_a_long_edge_is_walked_once(spark):
+def test_a_long_edge_takes_time_by_its_length(spark):
     # by places in the string each letter cost a walk of its own: 67 s for these rows, 1.3 s now
     n = 40_000
     rows = spark.range(0, 4, 1, 4).select(F.repeat(F.lit("AC"), F.lit(n // 2)).alias("a"), F.concat(F.repeat(F.lit("G"), F.lit(n - 5)), F.lit("ACACA")).alias("b"), F.repeat(F.lit("I"), F.lit(n)).alias("q"))
